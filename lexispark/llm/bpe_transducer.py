@@ -16,6 +16,7 @@ import base64
 import hashlib
 import struct
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -179,7 +180,7 @@ class MergeTransducer:
 class _Units(dict):
     """Ids by unit of text, encoded when missing; when full, units not used since the last time are forgotten."""
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 200_000):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 250_000):
         self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, unit: str) -> bytes:
@@ -262,6 +263,12 @@ class Utf8Machine:
         return rest
 
 
+@lru_cache(maxsize=1)
+def codec_of(ranks_path: str, pattern: str) -> BpeCodec:
+    """One codec for all tasks of a Python worker, so that what it has built serves the next task too."""
+    return BpeCodec(read_ranks(ranks_path), pattern)
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, decode: bool = True) -> DataFrame:
     """One row per document: doc_id, ids (packed 32-bit), n_tokens, decoded (bytes of the ids, if asked for).
 
@@ -270,7 +277,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, decode:
     bounded_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BpeCodec(read_ranks(ranks_path), pattern)
+        codec = codec_of(ranks_path, pattern)
         for batch in batches:
             ids = [codec.encode(text or "") for text in batch.column(1).to_pylist()]
             arrays = [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
@@ -290,7 +297,7 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = BpeCodec(read_ranks(ranks_path), pattern)
+        codec = codec_of(ranks_path, pattern)
         for batch in batches:
             rows: tuple[list, list, list] = ([], [], [])
             for text in batch.column(1).to_pylist():
