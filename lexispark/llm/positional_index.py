@@ -19,11 +19,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged, text_bytes
+from .packing import pack, unpack
 from .words import Hashes, alnum
 
 SEGMENT_WORDS = 1_500_000
@@ -31,17 +31,6 @@ SEGMENT_WORDS = 1_500_000
 BLOCK_WORDS = 200_000
 
 
-def _pack(a: np.ndarray) -> bytes:
-    """Byte planes, so that equal high bytes lie together."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
-
-
-def _unpack(data: bytes, dtype: type) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(raw.reshape(width, len(raw) // width).T).view(dtype).ravel()
-
-
 def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFrame:
     """Segments of docs: segment (a name), doc_ids, their numbers of words, terms, counts and positions. Written to the shared folder."""
     bounded_batches(docs.sparkSession)
@@ -58,7 +47,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
             terms, counts = np.unique(tokens[order], return_counts=True)
             positions = (np.arange(len(tokens)) + gap)[order].astype(np.uint32)
             return pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), pa.array([lengths], pa.list_(pa.int64())), *(pa.array([_pack(x)], pa.binary()) for x in (terms, counts.astype(np.uint32), positions))],
+                [pa.array([uuid.uuid4().hex]), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), pa.array([lengths], pa.list_(pa.int64())), *(pa.array([pack(x)], pa.binary()) for x in (terms, counts.astype(np.uint32), positions))],
                 ["segment", "doc_ids", "lengths", "terms", "counts", "positions"],
             )
 
@@ -86,8 +75,8 @@ class _Segment:
     def __init__(self, row: dict, wanted: np.ndarray):
         self.lengths = np.array(row["lengths"], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.lengths + 1)))
-        terms, counts = _unpack(row["terms"], np.uint64), _unpack(row["counts"], np.uint32).astype(np.int64)
-        self.positions = _unpack(row["positions"], np.uint32)
+        terms, counts = unpack(row["terms"], np.uint64), unpack(row["counts"], np.uint32).astype(np.int64)
+        self.positions = unpack(row["positions"], np.uint32)
         ends = np.cumsum(counts)
         at = np.minimum(np.searchsorted(terms, wanted), max(len(terms) - 1, 0))
         found = terms[at] == wanted if len(terms) else np.zeros(len(wanted), bool)

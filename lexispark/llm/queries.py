@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, positional_index, quality_rules
+from . import bpe_transducer, katz_model, positional_index, quality_rules
 from .common import read
 
 
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Katz backoff scores of every document by a model of those that are not held out."""
+    return katz_model.score(read(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a 10-word window of a benchmark item covers, found in a positional index."""
     return positional_index.contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -27,6 +32,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_katz_scores": op1_katz_scores,
     "op3_decontamination": op3_decontamination,
     "op7_bpe_codec": op7_bpe_codec,
     "op10_quality_rules": op10_quality_rules,
