@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, katz_model, positional_index, quality_rules
+from . import bpe_transducer, jaccard_join, katz_model, positional_index, quality_rules
 from .common import read
 
 
@@ -21,6 +21,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.linked(read(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE ids of every document, and what they decode to, as digests."""
     return bpe_transducer.token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -34,6 +39,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_scores": op1_katz_scores,
     "op3_decontamination": op3_decontamination,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_bpe_codec": op7_bpe_codec,
     "op10_quality_rules": op10_quality_rules,
 }
