@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, jaccard_join, katz_model, positional_index, quality_rules
+from . import bpe_transducer, jaccard_join, katz_model, positional_index, quality_rules, token_frames
 from .common import read
 
 
@@ -16,6 +16,13 @@ def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_model.score(read(spark, sf_dir, "documents"))
 
 
+def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written in seekable frames, and read back from the files."""
+    docs = read(spark, sf_dir, "documents")
+    manifest = token_frames.write_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return token_frames.read_documents(manifest, docs.schema["doc_id"].dataType.simpleString(), digest=True)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a 10-word window of a benchmark item covers, found in a positional index."""
     return positional_index.contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
@@ -38,6 +45,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_scores": op1_katz_scores,
+    "op2_token_frames": op2_token_frames,
     "op3_decontamination": op3_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_bpe_codec": op7_bpe_codec,
