@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, jaccard_join, katz_model, positional_index, quality_rules, token_frames
+from . import bpe_transducer, chat_windows, jaccard_join, katz_model, positional_index, quality_rules, token_frames
 from .common import read
 
 
@@ -38,6 +38,13 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts are control strings, formatted and read back."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.sql("SELECT CAST(-1 AS BIGINT) AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (CAST(0 AS BIGINT), 'user'), (CAST(1 AS BIGINT), 'assistant') AS t(turn, role)")
+    return chat_windows.digests(chat_windows.format_windows(rows.unionByName(odd)))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures of every document, and whether the base rules and the certified cutoffs keep it."""
     return quality_rules.quality_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -49,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_bpe_codec": op7_bpe_codec,
+    "op9_chat_windows": op9_chat_windows,
     "op10_quality_rules": op10_quality_rules,
 }
 
