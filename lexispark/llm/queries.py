@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, chat_windows, jaccard_join, katz_model, positional_index, quality_rules, token_frames
+from . import bpe_transducer, chat_windows, jaccard_join, katz_model, positional_index, quality_rules, secret_scan, token_frames
 from .common import read
 
 
@@ -38,6 +38,11 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.token_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: candidates that a random forest of labelled findings keeps."""
+    return secret_scan.secret_report(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts are control strings, formatted and read back."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_secret_scan": op8_secret_scan,
     "op9_chat_windows": op9_chat_windows,
     "op10_quality_rules": op10_quality_rules,
 }
