@@ -311,3 +311,21 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(digest, schema)
+
+
+def tokenized(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """docs' columns but text, with ids (packed 32-bit), n_tokens, and whether decoding gives the text back."""
+    bounded_batches(docs.sparkSession)
+    own = [f for f in docs.schema.fields if f.name not in ("text", "ids", "n_tokens", "round_trip")]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(ranks_path, pattern)
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            ids = [codec.encode(t) for t in texts]
+            same = ["".join(codec.decode_stream([np.frombuffer(x, "<u4")])) == t for x, t in zip(ids, texts)]
+            arrays = [*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(same)]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "ids", "n_tokens", "round_trip"])
+
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own)
+    return docs.select(*[F.col(f"`{f.name}`") for f in own], F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, f"{schema}ids binary, n_tokens long, round_trip boolean")

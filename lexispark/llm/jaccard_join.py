@@ -291,3 +291,14 @@ def linked(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "t
     least = placed.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = placed.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each component: the one of the least doc_id. Rows without doc_id stay; of rows that
+    repeat both id and text one stays."""
+    found = linked(docs, width=width, percent=percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
+    found = staged(found, "jaccard-components")
+    out = docs.join(found.where("doc_id = least").select("doc_id"), "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    if found.where("rows > 1").isEmpty():
+        return out
+    return out.withColumn("__same", F.coalesce(F.concat(F.lit("id"), F.col("doc_id").cast("string")), F.uuid())).dropDuplicates(["__same", "text"]).drop("__same")

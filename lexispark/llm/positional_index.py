@@ -236,3 +236,18 @@ def contamination_report(docs: DataFrame, items: DataFrame, *, width: int = 10)
         "doc_id", "n_words", covered["n"].alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("item_ids"), ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, *, width: int = 10) -> DataFrame:
+    """docs without those that have a word in an occurrence of an item's window; rows without doc_id are judged by
+    their own texts too."""
+    named = docs.where("doc_id IS NOT NULL")
+    found = contamination(build_index(docs), items, width=width).where("size(spans) > 0")
+    bad = staged(found.select("doc_id"), "contaminated")
+    out = named.join(bad.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    if bad.where("doc_id IS NULL").isEmpty():
+        return out.union(docs.where("doc_id IS NULL"))
+    unnamed = docs.where("doc_id IS NULL")
+    keyed = unnamed.withColumn("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256))
+    dirty = contamination(build_index(keyed), items, width=width).where("size(spans) > 0").select(F.col("doc_id").alias("__key")).distinct()
+    return out.union(unnamed.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256)).join(dirty, "__key", "left_anti").select(*docs.columns))

@@ -200,3 +200,13 @@ def secret_report(docs: DataFrame, ranks_path: str, **options) -> DataFrame:
     found = scan(rows, train(rows, ranks_path, **options), ranks_path)
     spans = F.array_join(F.transform("secrets", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
     return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"), spans.alias("spans"), F.sha2(F.coalesce("redacted", F.lit("")), 256).alias("redacted_sha256"))
+
+
+def mask_secrets(docs: DataFrame, ranks_path: str, **options) -> DataFrame:
+    """docs with secrets masked in text, and n_chars, if there, of the masked text."""
+    found = scan(docs, train(docs, ranks_path, **options), ranks_path)
+    hit = F.size("secrets") > 0
+    changed = {"text": F.when(hit, F.col("redacted")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(hit, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.withColumns(changed).select(*docs.columns)
