@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_transducer, chat_windows, jaccard_join, katz_model, positional_index, quality_rules, secret_scan, token_frames
+from . import bpe_transducer, chat_windows, html_layout, jaccard_join, katz_model, positional_index, quality_rules, secret_scan, token_frames, unigram_counts
 from .common import read
 
 
@@ -28,6 +28,16 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional_index.contamination_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of unigram pieces of every document, without the pieces."""
+    return unigram_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page, laid out."""
+    return html_layout.render_pages(read(spark, sf_dir, "pages"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more."""
     return jaccard_join.linked(read(spark, sf_dir, "documents"), width=5, percent=80)
@@ -59,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_katz_scores": op1_katz_scores,
     "op2_token_frames": op2_token_frames,
     "op3_decontamination": op3_decontamination,
+    "op4_token_counts": op4_token_counts,
+    "op5_html_text": op5_html_text,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_secret_scan": op8_secret_scan,
