@@ -1,0 +1 @@
+"""Operators over entries, terms, files and events."""
