@@ -1,0 +1,217 @@
+"""Operators that work a document at a time, against libraries and plain versions; nulls, empty tables, odd texts."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
+from brute import measures
+from tokenizers import Tokenizer, models, pre_tokenizers
+
+from lexispark.llm import bpe_transducer, html_layout, quality_rules, secret_scan, token_frames, unigram_counts
+from lexispark.llm.common import read
+
+RANKS, WORDS, PIECES = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")
+ODD = [None, "", " ", " \n\t ", "a", "\x1c x\x85y", "don't  stop\n\nnow", "É́ é İx 　z ﬁ", "🙂中文 re's", "x" * 5000, "the the the the", "a\x00b"]
+
+
+def table(spark, texts, extra=True):
+    rows = [(None if i == 1 else i, t, "en", "src", i, i) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, ids long, n_tokens long")
+    return df if extra else df.drop("ids", "n_tokens")
+
+
+def sha(x):
+    return hashlib.sha256(x).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def codec():
+    return bpe_transducer.BpeCodec(bpe_transducer.read_ranks(RANKS), P.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def tik():
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_transducer.read_ranks(RANKS), special_tokens={})
+
+
+def test_bpe_fuzz(codec, tik):
+    draw = random.Random(1)
+    alphabet, tokens = " \n\t'sdtre\x85\x1c é中文🙂٣Ⅷ-.!aAbBthe", list(codec.machine.ranks)
+    for i in range(3000):
+        s = "".join(draw.choice(alphabet) for _ in range(draw.randint(0, 25))) if i % 2 else b"".join(draw.choices(tokens, k=3)).decode("utf-8", "ignore")
+        ids = np.frombuffer(codec.encode(s), "<u4")
+        assert ids.tolist() == tik.encode_ordinary(s)
+        assert "".join(codec.decode_stream([ids[k : k + 1] for k in range(len(ids))])) == s
+
+
+def test_bpe_small_table(tik):
+    machine = bpe_transducer.MergeTransducer(bpe_transducer.read_ranks(RANKS), max_states=50)
+    for word in ("thething", "Unbelievably", "中文字", "aaaaaaaaaaaa"):
+        assert np.frombuffer(machine.encode(word.encode()), "<u4").tolist() == tik.encode_ordinary(word)
+
+
+def test_utf8_machine():
+    data = "aé中🙂".encode() + b"\xe0\x80\xff\xf0\x9f"
+    machine = bpe_transducer.Utf8Machine()
+    assert "".join([*(machine.feed(data[i : i + 1]) for i in range(len(data))), machine.end()]) == data.decode("utf-8", "replace")
+
+
+def test_bpe_tables(spark, tik):
+    df = table(spark, ODD)
+    for r in bpe_transducer.token_digests(df, RANKS, P.PATTERN).collect():
+        text = (ODD[1] if r["doc_id"] is None else ODD[r["doc_id"]]) or ""
+        ids = np.array(tik.encode_ordinary(text), "<u4")
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(ids.tobytes()), sha(text.encode()))
+    assert bpe_transducer.tokenized(df, RANKS, P.PATTERN).where("NOT round_trip").count() == 0
+    assert bpe_transducer.token_digests(df.limit(0), RANKS, P.PATTERN).count() == 0
+
+
+def test_token_frames(spark):
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    texts = [*ODD, "<|endoftext|> K Å ſ ΑΣ ΑΣ."]
+    manifest = token_frames.write_documents(table(spark, texts), WORDS, 1, files=3)
+    want = {(-1 if i == 1 else i): tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    got = {(-1 if r["doc_id"] is None else r["doc_id"]): r for r in token_frames.read_documents(manifest).collect()}
+    at = 0
+    for key in sorted(want):
+        assert (got[key]["start"], got[key]["ids"]) == (at, want[key])
+        at += len(want[key])
+    digests = {r["doc_id"]: r["ids_crc32"] for r in token_frames.read_documents(manifest, digest=True).collect()}
+    assert digests[4] == zlib.crc32(np.array(want[4], "<u4").tobytes())
+    assert [r["doc_id"] for r in token_frames.read_documents(manifest, wanted=[7]).collect()] == [7]
+    assert token_frames.read_documents(token_frames.write_documents(table(spark, ODD).limit(0), WORDS, 1)).count() == 0
+
+
+def test_frames_check_sums(tmp_path):
+    import pyarrow as pa
+    import zstandard
+
+    path = str(tmp_path / "x.zst")
+    writer = token_frames.FrameWriter(path, 2, pa.int64(), frame_tokens=4)
+    for i in range(5):
+        writer.add(i, np.arange(3, dtype="<u2").tobytes())
+    writer.close()
+    raw = bytearray(open(path, "rb").read())
+    assert zstandard.ZstdDecompressor().stream_reader(bytes(raw), read_across_frames=True).read() == np.tile(np.arange(3, dtype="<u2"), 5).tobytes()
+    reader = token_frames.FrameReader(path)
+    assert len(reader.table) == 3 and [x[0] for x in reader.documents({3})] == [3]
+    raw[reader.starts[1] + 8] ^= 1
+    open(path, "wb").write(raw)
+    broken = token_frames.FrameReader(path)
+    assert broken.frame(0)
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        broken.frame(1)
+
+
+def unigram(vocabulary):
+    tokenizer = Tokenizer(models.Unigram([*vocabulary, ("<unk>", 0.0)], unk_id=len(vocabulary), byte_fallback=False))
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)])
+    return tokenizer
+
+
+@pytest.mark.parametrize(("vocabulary", "alphabet"), [([("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0), ("ba", -2.0), ("aba", -3.0)], "aabbx "), (None, "ab thes é中文🙂\x1c\x85 xqzю▁ĀŒᚠ")])
+def test_unigram_counts(vocabulary, alphabet):
+    vocabulary = vocabulary or unigram_counts.pieces(PIECES)
+    tokenizer, counts, draw = unigram(vocabulary), unigram_counts.Counts(vocabulary, most=50), random.Random(2)
+    for _ in range(2000):
+        s = "".join(draw.choice(alphabet) for _ in range(draw.randint(0, 20)))
+        ids = tokenizer.encode(s, add_special_tokens=False).ids
+        assert counts.of(s) == (len(ids), ids.count(len(vocabulary)))
+
+
+def test_unigram_table(spark, data):
+    tokenizer = unigram(unigram_counts.pieces(PIECES))
+    for docs in (table(spark, ODD), read(spark, data, "documents")):
+        texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+        assert all(r["n_pieces"] == len(tokenizer.encode(texts[r["doc_id"]]).ids) for r in unigram_counts.count_tokens(docs, PIECES).collect())
+
+
+HTML = [
+    ("<p>a<p>b <i>c</i>", "a\n\nb c"),
+    ("<ul><li>x<li>y<ol start=3><li>q<li>r</ol></ul>tail", "- x\n- y\n\n  3. q\n  4. r\n\ntail"),
+    ("<table><tr><th>n<th>value<tr><td>1<td>long cell<br>two<tr><td>22<td>z</table>", "n   value\n1   long cell\n    two\n22  z"),
+    ("<head><title>t</title></head><script>var a='</p>'</script><div hidden>no</div><b style='display: none'>no</b>yes&amp;&lt;", "yes&<"),
+    ("<pre>  k\n   l</pre>x", "  k\n   l\n\nx"),
+    ("a<!-- c --> b</nope>c<br>d", "a bc\nd"),
+    ("<blockquote>q<p>r</blockquote>", "> q\n>\n> r"),
+    ("", ""), ("<", "<"), ("a < b", "a < b"), ("<p", "<p"), ("<div><div>x</div>", "x"), ("<b>" * 3000 + "deep", "deep"), ("<ul>" * 3 + "<li>z", "- z"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), HTML)
+def test_html(page, text):
+    assert html_layout.render(page) == text
+
+
+def test_html_pages(spark, data):
+    from html.parser import HTMLParser
+
+    class Visible(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.off, self.words = 0, []
+
+        def handle_starttag(self, tag, attributes):
+            self.off += tag in ("head", "script", "style")
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("head", "script", "style")
+
+        def handle_data(self, text):
+            self.words += [] if self.off else text.split()
+
+    pages = {r["page_id"]: r["html"] or "" for r in read(spark, data, "pages").collect()}
+    for r in html_layout.render_pages(read(spark, data, "pages")).collect():
+        parser = Visible()
+        parser.feed(pages[r["page_id"]])
+        assert [w for w in r["text"].split() if w != "-"] == [w for w in parser.words if w != "-"]
+    assert html_layout.render_pages(spark.createDataFrame([(None, None), (1, "")], "page_id long, html string")).where("text = ''").count() == 2
+
+
+def test_quality_measures(spark, data):
+    for docs in (table(spark, [*ODD, "x\ny\nx\n \n \nx", "a b c d a b c"], extra=False), read(spark, data, "documents")):
+        for r in quality_rules.measure(docs).collect():
+            m = r["quality_measures"]
+            assert tuple(m[c] for c in quality_rules.MEASURES[:5]) == measures(r["text"])
+
+
+def test_quality_thresholds(spark):
+    good, bad = "plain words of text " * 30, "plain# words% of* text$ " * 30
+    rows = [(i, bad if i % 5 == 0 else good, None if i % 7 == 0 else "en") for i in range(3000)] + [(-1, None, "en"), (-2, good, "rare")]
+    docs = spark.createDataFrame([(i, " ".join(f"{w}{k}" for k, w in enumerate((t or "").split())), lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(0, 2400)] + [(0, 0), (None, 1)], "doc_id long, quality int")
+    got = {r["doc_id"]: r for r in quality_rules.quality_report(docs, labels).collect()}
+    assert all(got[i]["kept"] == (i % 5 != 0) for i in range(3000)) and not got[-1]["kept"] and got[-2]["kept"]
+    none = quality_rules.quality_report(docs, labels.limit(0)).where("kept <> NOT base_failed").count()
+    assert none == 0 and quality_rules.quality_report(docs.limit(0), labels).count() == 0
+
+
+def test_binomial_tail(spark):
+    from math import comb
+
+    from pyspark.sql import functions as F
+
+    for k, n, p in ((0, 100, 0.05), (2, 100, 0.05), (3, 500, 0.02), (60, 100, 0.05)):
+        got = spark.range(1).select(quality_rules.binomial_tail(F.lit(float(k)), F.lit(float(n)), F.lit(p))).first()[0]
+        assert got == pytest.approx(1.0 if k >= n * p else sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+
+
+def test_secrets(spark, data):
+    docs = read(spark, data, "documents")
+    words, longest = secret_scan.dictionary(RANKS)
+    forest = secret_scan.train(docs, RANKS)
+    held = secret_scan.weak_findings(read(spark, data.replace("0.001", "0.01"), "documents"), words, sample=1600)
+    right = sum((forest.probability(secret_scan.features(*f[:4], words, longest)) >= 0.5) == bool(f[4]) for f in held)
+    assert right >= 0.97 * len(held)
+    key = hashlib.sha1(b"k").hexdigest()
+    rows = [(1, f'x token = "{key}" y', "a", 9), (2, f"commit {key} fixed", "a", 9), (3, None, None, 9), (4, 'api_key = "your-example-key-0001"', None, 9), (5, "", "b", 9), (5, "plain words", "b", 9)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, source string, secrets long")
+    got = {r["doc_id"]: r for r in secret_scan.scan(odd, forest, RANKS).collect()}
+    assert [x["start"] for x in got[1]["secrets"]] == [11] and got[1]["redacted"] == 'x token = "[SECRET]" y'
+    assert not got[2]["secrets"] and not got[4]["secrets"] and got[3]["redacted"] is None
+    assert secret_scan.secret_report(docs.limit(0), RANKS).count() == 0
