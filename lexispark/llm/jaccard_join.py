@@ -33,12 +33,12 @@ from .packing import mixed, pack, unpack
 from .words import Hashes, spaced
 
 #: Counters of the sketch, and counters in one slice of it.
-SKETCH, SLICE = 1 << 20, 1 << 12
+SKETCH, SLICE = 1 << 22, 1 << 12
 #: Documents with a token, over what its counter has by chance, from which it is frequent.
 FREQUENT = 64
 #: Documents of one key in one bucket.
 SHARD = 1 << 16
-FLUSH = 2_000_000
+FLUSH = 700_000
 GROUP = 2_000
 
 
@@ -66,21 +66,24 @@ def needed(n: int, percent: int) -> int:
 
 
 def codes_of(counts: np.ndarray) -> np.ndarray:
-    """For each counter 0 if its tokens are rare, else about 8 times the logarithm of their documents."""
+    """The place in the order of each counter's tokens: below 128 eighths of a deviation from what a counter has by
+    chance; from 128 on, for frequent tokens, 8 times the logarithm of their documents."""
     mean = counts.mean()
-    excess = np.maximum(counts - mean - max(FREQUENT, 8 * mean**0.5), 0)
-    return np.minimum(8 * np.log2(1 + excess), 255).astype(np.uint8)
+    deviation = max(mean**0.5, 0.5)
+    excess = counts - mean - max(FREQUENT, 8 * deviation)
+    rare = np.clip(8 * ((counts - mean) / deviation + 4), 0, 127)
+    return np.where(excess > 0, 128 + np.minimum(8 * np.log2(1 + np.maximum(excess, 0)), 127), rare).astype(np.uint8)
 
 
-def keys_of(tokens: np.ndarray, codes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index keys of a set, and each key's frequency code."""
+def keys_of(tokens: np.ndarray, codes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index keys of a set, each key's frequency code, and for single tokens their place in the order, for pairs 0."""
     code = codes[tokens % np.uint64(SKETCH)]
     order = np.lexsort((tokens, code))
     tokens, code = tokens[order], code[order]
-    n, rare = len(tokens), int(np.searchsorted(code, 1))
+    n, rare = len(tokens), int(np.searchsorted(code, 128))
     need = needed(n, percent)
     if rare >= need:
-        return mixed(tokens[:need]), code[:need]
+        return mixed(tokens[:need]), code[:need], np.arange(need)
     keys, found = [mixed(tokens[:rare])], [code[:rare]]
     tokens, code = tokens[rare:], code[rare:]
     level = n.bit_length() - 1
@@ -98,7 +101,8 @@ def keys_of(tokens: np.ndarray, codes: np.ndarray, percent: int) -> tuple[np.nda
             a, b = by[same], by[same + step]
             keys.append(mixed(tokens[a] ^ (mixed(tokens[b]) + np.uint64(at))))
             found.append(np.minimum(code[a], code[b]))
-    return np.concatenate(keys), np.concatenate(found)
+    key = np.concatenate(keys)
+    return key, np.concatenate(found), np.append(np.arange(rare), np.zeros(len(key) - rare, np.int64))
 
 
 def _sets(batch: pa.RecordBatch, hashes: Hashes, width: int) -> Iterator[np.ndarray]:
@@ -110,15 +114,14 @@ def _measured(docs: DataFrame, width: int) -> DataFrame:
     """Rows (doc_id, n, node) of documents, and slices of counters (slice, counts). Staged."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counts = Hashes(), np.zeros(SKETCH, np.int64)
+        hashes, counts = Hashes(200_000), np.zeros(SKETCH, np.uint32)
         names = ["doc_id", "n", "node", "slice", "counts"]
         for batch in batches:
-            sizes, nodes, held = [], [], []
+            sizes, nodes = [], []
             for tokens in _sets(batch, hashes, width):
                 sizes.append(len(tokens))
                 nodes.append(node_of(tokens))
-                held.append(tokens)
-            counts += np.bincount((np.concatenate(held) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+                np.add.at(counts, tokens % np.uint64(SKETCH), np.uint32(1))
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         full = [i for i in range(SKETCH // SLICE) if counts[i * SLICE : (i + 1) * SLICE].any()]
@@ -137,7 +140,7 @@ def _sketch(measured: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts = unpack(counts, np.int64)
+                counts = unpack(counts, np.uint32).astype(np.int64)
                 sums[i] = sums[i] + counts if i in sums else counts
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(x) for x in sums.values()], pa.binary())], ["slice", "counts"])
@@ -150,65 +153,65 @@ def _sketch(measured: DataFrame) -> np.ndarray:
 
 
 def _shared_keys(docs: DataFrame, codes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(key, node, n) of the keys that more than one node has. Keys of very frequent tokens are dealt over several
+    """(key, node, n, pos) of the keys that more than one node has. Keys of very frequent tokens are dealt over several
     buckets and kept as they are. Staged."""
     buckets = 2 * partitions(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(codes)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, hashes = shared.value, Hashes()
-        shards = np.maximum(1, 2 ** (np.arange(256) / 8) / SHARD).astype(np.uint64)
-        keys, found, nodes, sizes, lengths, seen, held = [], [], [], [], [], set(), 0
+        codes, hashes = shared.value, Hashes(200_000)
+        shards = np.maximum(1, 2 ** ((np.arange(256) - 128) / 8) / SHARD).astype(np.uint64)
+        keys, found, places, nodes, sizes, lengths, seen, held = [], [], [], [], [], [], set(), 0
 
         def flush() -> pa.RecordBatch:
-            key, code = np.concatenate(keys), np.concatenate(found)
+            key, code, pos = np.concatenate(keys), np.concatenate(found), np.concatenate(places)
             doc = np.repeat(np.arange(len(nodes)), lengths)
             node, size = np.array(nodes, np.int64), np.array(sizes, np.int64)
             salt = mixed(node)[doc] % shards[code]
             to = ((key + mixed(salt)) % np.uint64(buckets)).astype(np.int32)
             by = np.lexsort((key, to))
-            key, doc, to, split = key[by], doc[by], to[by], (shards[code] > 1)[by]
+            key, doc, to, pos, split = key[by], doc[by], to[by], pos[by], (shards[code] > 1)[by]
             cuts = np.searchsorted(to, np.arange(buckets + 1))
             rows = []
             for b in range(buckets):
                 if cuts[b] < cuts[b + 1]:
                     x = slice(cuts[b], cuts[b + 1])
                     own, place = np.unique(doc[x], return_inverse=True)
-                    rows.append((b, pack(key[x]), pack(place.astype(np.uint32)), pack(split[x].astype(np.uint8)), pack(node[own]), pack(size[own].astype(np.uint32))))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6))], ["bucket", "keys", "place", "split", "nodes", "sizes"])
+                    rows.append((b, pack(key[x]), pack(place.astype(np.uint32)), pack(split[x].astype(np.uint8)), pack(node[own]), pack(size[own].astype(np.uint32)), pack(pos[x].astype(np.uint32))))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7))], ["bucket", "keys", "place", "split", "nodes", "sizes", "pos"])
 
         for batch in batches:
             for doc_id, tokens in zip(batch.column(0), _sets(batch, hashes, width)):
                 if not len(tokens) or not doc_id.is_valid or (node := node_of(tokens)) in seen:
                     continue
-                key, code = keys_of(tokens, codes, percent)
+                key, code, pos = keys_of(tokens, codes, percent)
                 seen.add(node)
-                for to, x in zip((keys, found, nodes, sizes, lengths), (key, code, node, len(tokens), len(key))):
+                for to, x in zip((keys, found, places, nodes, sizes, lengths), (key, code, pos, node, len(tokens), len(key))):
                     to.append(x)
                 held += len(key)
                 if held >= FLUSH:
                     yield flush()
-                    keys, found, nodes, sizes, lengths, seen, held = [], [], [], [], [], set(), 0
+                    keys, found, places, nodes, sizes, lengths, seen, held = [], [], [], [], [], [], set(), 0
         if held:
             yield flush()
 
     def meet(rows: pa.Table) -> pa.Table:
-        cols: list[list[np.ndarray]] = [[], [], [], []]
+        cols: list[list[np.ndarray]] = [[], [], [], [], []]
         for r in rows.to_pylist():
             place = unpack(r["place"], np.uint32)
-            for col, x in zip(cols, (unpack(r["keys"], np.uint64), unpack(r["nodes"], np.int64)[place], unpack(r["sizes"], np.uint32)[place], unpack(r["split"], np.uint8))):
+            for col, x in zip(cols, (unpack(r["keys"], np.uint64), unpack(r["nodes"], np.int64)[place], unpack(r["sizes"], np.uint32)[place], unpack(r["split"], np.uint8), unpack(r["pos"], np.uint32))):
                 col.append(x)
-        key, node, size, split = map(np.concatenate, cols)
-        by = np.lexsort((node, key))
-        key, node, size, split = key[by], node[by], size[by], split[by]
+        key, node, size, split, pos = map(np.concatenate, cols)
+        by = np.lexsort((pos, node, key))
+        key, node, size, split, pos = key[by], node[by], size[by], split[by], pos[by]
         first = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
-        key, node, size, split = key[first], node[first], size[first], split[first]
+        key, node, size, split, pos = key[first], node[first], size[first], split[first], pos[first]
         more = key[1:] == key[:-1]
         kept = np.append(more, False) | np.append(False, more) | (split > 0)
-        return pa.table([pa.array(key[kept].view(np.int64)), pa.array(node[kept]), pa.array(size[kept].astype(np.int32))], ["key", "node", "n"])
+        return pa.table([pa.array(key[kept].view(np.int64)), pa.array(node[kept]), pa.array(size[kept].astype(np.int32)), pa.array(pos[kept].astype(np.int32))], ["key", "node", "n", "pos"])
 
-    sent = docs.mapInArrow(index, "bucket int, keys binary, place binary, split binary, nodes binary, sizes binary")
-    return staged(sent.groupBy("bucket").applyInArrow(meet, "key long, node long, n int"), "jaccard-keys")
+    sent = docs.mapInArrow(index, "bucket int, keys binary, place binary, split binary, nodes binary, sizes binary, pos binary")
+    return staged(sent.groupBy("bucket").applyInArrow(meet, "key long, node long, n int, pos int"), "jaccard-keys")
 
 
 def _texts(docs: DataFrame, measured: DataFrame, keys: DataFrame, width: int) -> DataFrame:
@@ -259,11 +262,12 @@ def linked(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "t
     measured = _measured(docs, width)
     keys = _shared_keys(docs, codes_of(_sketch(measured)), width, percent)
     texts = _texts(docs, measured, keys, width)
-    fits = (F.least("n_a", "n_b") * 100) >= F.greatest("n_a", "n_b") * percent
+    # of two similar sets, the first common token leaves enough tokens behind it in both
+    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
 
     def led(keys: DataFrame) -> DataFrame:
-        leaders = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"))
-        return keys.join(leaders, "key").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b")).where("a <> b").where(fits)
+        leaders = keys.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("lead"))
+        return keys.join(leaders, "key").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"), F.col("lead.pos").alias("pos_a"), F.col("pos").alias("pos_b")).where("a <> b").where(fits)
 
     hits = led(keys).groupBy("a", "b").agg(F.count("*").alias("hits"))
     best = hits.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
@@ -273,11 +277,11 @@ def linked(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "t
         roots = components(links, "jaccard-components")
         colored = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed_keys = colored.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        keys = staged(colored.join(mixed_keys, "key").select("key", "node", "n", "root"), "jaccard-open")
+        keys = staged(colored.join(mixed_keys, "key").select("key", "node", "n", "pos", "root"), "jaccard-open")
         if last:
             sides = keys.select("key", "root").distinct()
             crossing = sides.withColumnRenamed("root", "root_a").join(sides.withColumnRenamed("root", "root_b"), "key").where("root_a < root_b")
-            side = lambda x: keys.select("key", F.col("root").alias(f"root_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
+            side = lambda x: keys.select("key", F.col("root").alias(f"root_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"))
             pairs = crossing.join(side("a"), ["key", "root_a"]).join(side("b"), ["key", "root_b"]).where(fits).select("a", "b")
         else:
             pairs = led(keys.drop("root")).select("a", "b").join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
