@@ -96,9 +96,9 @@ def words(x: Column) -> Column:
 
 
 def anchors(x: Column, size: int = 3) -> Column:
-    """Distinct runs of size characters, and the shorter ones at every place."""
-    at = F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1)))
-    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.substring(x, i, F.lit(n)) for n in range(1, size + 1)]))))
+    """Distinct runs of 1 to size characters, from every place; one pass over the text for each length."""
+    runs = [F.regexp_extract_all(x, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, size + 1)]
+    return F.array_distinct(F.concat(*runs))
 
 
 def clamp_concurrency(x: Column | str) -> Column:

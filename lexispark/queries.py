@@ -282,9 +282,11 @@ def _document_terms(whole: str) -> str:
 
 
 def _matches(texts: str, key: str, column: str) -> str:
-    hay, needle, not_word = f"CASE WHEN t.case_sensitive THEN x.{column} ELSE lower(x.{column}) END", "CASE WHEN t.case_sensitive THEN t.source ELSE lower(t.source) END", r"[^\p{L}\p{M}\p{N}\p{Pc}]"
-    return f"""SELECT {key}, pos AS term_pos, source, target, row_number() OVER (PARTITION BY {key} ORDER BY strlen(source) DESC, pos) AS rank FROM (SELECT x.{key}, t.pos, t.source, t.target FROM {texts} x, terms t
- WHERE t.enabled AND NOT t.ambiguous AND t.source <> '' AND contains({hay}, {needle}) AND (NOT t.whole_word OR regexp_matches({hay}, '(^|{not_word})' || regexp_escape({needle}) || '($|{not_word})')))"""
+    """The terms are single words, so a whole-word term is one of the text's words."""
+    words = lambda x: rf"regexp_extract_all({x}, '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+')"
+    return f"""SELECT {key}, pos AS term_pos, source, target, row_number() OVER (PARTITION BY {key} ORDER BY strlen(source) DESC, pos) AS rank FROM (SELECT x.{key}, t.pos, t.source, t.target
+ FROM (SELECT {key}, {column} AS raw, lower({column}) AS low, {words(column)} AS raw_words, {words(f"lower({column})")} AS low_words FROM {texts}) x, (SELECT *, CASE WHEN case_sensitive THEN source ELSE lower(source) END AS needle FROM terms WHERE enabled AND NOT ambiguous AND source <> '') t
+ WHERE CASE WHEN t.whole_word THEN list_contains(CASE WHEN t.case_sensitive THEN x.raw_words ELSE x.low_words END, t.needle) ELSE contains(CASE WHEN t.case_sensitive THEN x.raw ELSE x.low END, t.needle) END)"""
 
 
 _NOISE_ROWS = ", ".join("({}, '{}', '{}')".format(i, s.replace("'", "''"), t.replace("'", "''")) for i, (s, t) in enumerate(NOISE))
