@@ -76,7 +76,8 @@ def codes_of(counts: np.ndarray) -> np.ndarray:
 
 
 def keys_of(tokens: np.ndarray, codes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index keys of a set, each key's frequency code, and for single tokens their place in the order, for pairs 0."""
+    """Index keys of a set, each key's frequency code, and how many tokens come before all that the set can share if it shares the key: a
+    token before it would be a common key itself, and pairs are only needed by sets that share no rare token."""
     code = codes[tokens % np.uint64(SKETCH)]
     order = np.lexsort((tokens, code))
     tokens, code = tokens[order], code[order]
@@ -102,7 +103,7 @@ def keys_of(tokens: np.ndarray, codes: np.ndarray, percent: int) -> tuple[np.nda
             keys.append(mixed(tokens[a] ^ (mixed(tokens[b]) + np.uint64(at))))
             found.append(np.minimum(code[a], code[b]))
     key = np.concatenate(keys)
-    return key, np.concatenate(found), np.append(np.arange(rare), np.zeros(len(key) - rare, np.int64))
+    return key, np.concatenate(found), np.append(np.arange(rare), np.full(len(key) - rare, rare))
 
 
 def _sets(batch: pa.RecordBatch, hashes: Hashes, width: int) -> Iterator[np.ndarray]:
@@ -206,6 +207,12 @@ def _shared_keys(docs: DataFrame, codes: np.ndarray, width: int, percent: int) -
         key, node, size, split, pos = key[by], node[by], size[by], split[by], pos[by]
         first = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
         key, node, size, split, pos = key[first], node[first], size[first], split[first], pos[first]
+        start = np.append(True, key[1:] != key[:-1])
+        least = np.minimum.reduceat(size, np.flatnonzero(start)).astype(np.int64)[np.cumsum(start) - 1]
+        size = size.astype(np.int64)
+        other = np.maximum(least, -(-percent * size // 100))  # the smallest set that could be similar
+        open_ = ((size - pos) * (100 + percent) >= (size + other) * percent) | (split > 0)
+        key, node, size, split, pos = key[open_], node[open_], size[open_], split[open_], pos[open_]
         more = key[1:] == key[:-1]
         kept = np.append(more, False) | np.append(False, more) | (split > 0)
         return pa.table([pa.array(key[kept].view(np.int64)), pa.array(node[kept]), pa.array(size[kept].astype(np.int32)), pa.array(pos[kept].astype(np.int32))], ["key", "node", "n", "pos"])
@@ -279,8 +286,10 @@ def linked(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "t
         mixed_keys = colored.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
         keys = staged(colored.join(mixed_keys, "key").select("key", "node", "n", "pos", "root"), "jaccard-open")
         if last:
-            sides = keys.select("key", "root").distinct()
-            crossing = sides.withColumnRenamed("root", "root_a").join(sides.withColumnRenamed("root", "root_b"), "key").where("root_a < root_b")
+            sides = keys.groupBy("key", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+            named = lambda x: sides.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "low", "high", "rest")])
+            meet = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent) & (F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("low_a") + F.col("low_b")) * percent)
+            crossing = named("a").join(named("b"), "key").where("root_a < root_b").where(meet).select("key", "root_a", "root_b")
             side = lambda x: keys.select("key", F.col("root").alias(f"root_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"))
             pairs = crossing.join(side("a"), ["key", "root_a"]).join(side("b"), ["key", "root_b"]).where(fits).select("a", "b")
         else:
