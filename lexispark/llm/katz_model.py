@@ -35,7 +35,7 @@ from .common import bounded_batches, partitions, staged, text_bytes
 from .packing import mixed, pack, unpack
 from .words import Hashes, spaced
 
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 1_250_000
 K = 5
 #: Hash of the end of a text: of bytes that are no word.
 END = xxhash.xxh3_64_intdigest(b" end ")
@@ -98,7 +98,7 @@ def chunked(docs: DataFrame, held: Column, buckets: int, chunk_tokens: int) -> D
         return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(ids[0].type)), pa.array([held]), pa.array([lengths]), *(pa.array([b], pa.binary()) for b in blobs)], ["chunk", "doc_ids", "held", "lengths", "tokens", "words", "trained", "buckets"])
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, end = Hashes(), np.array([END], np.uint64)
+        hashes, end = Hashes(200_000), np.array([END], np.uint64)
         ids, flags, lists, size = [], [], [], 0
         for batch in batches:
             at, out = 0, batch.column(1).to_pylist()
