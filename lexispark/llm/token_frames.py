@@ -44,7 +44,7 @@ class WordIds(dict):
     """Packed ids of words without white space, which the tokenizer encodes separately; the words that were not
     used since it was last full are forgotten."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
