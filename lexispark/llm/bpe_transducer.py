@@ -55,7 +55,7 @@ PACK = _Packs()
 class MergeTransducer:
     """Encodes byte pieces by ranked merges, a byte at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         self.ranks, self.max_states = ranks, max_states
         self.token = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
@@ -203,7 +203,7 @@ class BpeCodec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = MergeTransducer(ranks)
         self.pieces = regex.compile(pattern).findall
-        self.piece = _Units(lambda piece: self.machine.encode(piece.encode()))
+        self.piece = _Units(lambda piece: self.machine.encode(piece.encode()), 100_000)
         self.unit = _Units(self._pieces)
         self.spaced = _Units(lambda unit: self._pieces(" " + unit))
         self.token = [self.machine.token.get(i, b"") for i in range(max(self.machine.token, default=-1) + 1)]
