@@ -7,7 +7,9 @@ of one class are indexed. How many classes there are depends on the power of two
 above a power of two are indexed for the lower one too. Frequencies come from a counting sketch of fixed size;
 they order tokens, and any order gives the same result.
 
-Sets that are equal are one node. Nodes that share an index key are candidates. They are verified exactly on
+Sets that are equal are one node. Nodes that share an index key are candidates; of keys that the same nodes share,
+the first in the order stands for all, as it comes first in each of them. Keys of tokens that many documents have
+are dealt over shards, by node; what shards find is combined per key, and sent back to each. Candidates are verified exactly on
 their texts in three rounds: each node with the leader it shares most keys with; then, among keys whose nodes are
 not all linked yet, with every leader; then all pairs of different components that still share a key. So nothing
 is compared that is known to be connected, and every link between components is found.
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions, staged, text_bytes
@@ -36,8 +38,8 @@ from .words import Hashes, spaced
 SKETCH, SLICE = 1 << 22, 1 << 12
 #: Documents with a token, over what its counter has by chance, from which it is frequent.
 FREQUENT = 64
-#: Documents of one key in one bucket.
-SHARD = 1 << 16
+#: Documents of one key in one shard, and how many codes there are: a frequent token's is below 128 + 8 * 64.
+SHARD, CODES = 1 << 12, 640
 FLUSH = 700_000
 GROUP = 2_000
 
@@ -72,7 +74,13 @@ def codes_of(counts: np.ndarray) -> np.ndarray:
     deviation = max(mean**0.5, 0.5)
     excess = counts - mean - max(FREQUENT, 8 * deviation)
     rare = np.clip(8 * ((counts - mean) / deviation + 4), 0, 127)
-    return np.where(excess > 0, 128 + np.minimum(8 * np.log2(1 + np.maximum(excess, 0)), 127), rare).astype(np.uint8)
+    return np.where(excess > 0, 128 + 8 * np.log2(1 + np.maximum(excess, 0)), rare).astype(np.uint16)
+
+
+def shards_of(mean: float) -> np.ndarray:
+    """Over how many shards each code's keys are dealt; mean is what a counter has by chance."""
+    most = 2 ** ((np.arange(CODES) - 127) / 8) + mean + max(FREQUENT, 8 * max(mean**0.5, 0.5))
+    return np.where(np.arange(CODES) < 128, 1, np.clip(np.ceil(most / SHARD), 1, 1 << 20)).astype(np.uint32)
 
 
 def keys_of(tokens: np.ndarray, codes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,15 +161,26 @@ def _sketch(measured: DataFrame) -> np.ndarray:
     return counts
 
 
-def _shared_keys(docs: DataFrame, codes: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(key, node, n, pos) of the keys that more than one node has. Keys of very frequent tokens are dealt over several
-    buckets and kept as they are. Staged."""
+def _per_key(keys: DataFrame, *found) -> DataFrame:
+    """keys with what is found over all rows of their key; rows of a key meet it in as many places as it has shards."""
+    each = keys.groupBy("key").agg(*found, F.max("shards").alias("of"))
+    each = each.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("of") - 1))).drop("of")
+    return keys.withColumn("shard", _shard("node")).join(each, ["key", "shard"]).drop("shard")
+
+
+def _shard(of: str) -> Column:
+    return F.pmod(F.xxhash64(of), F.col("shards")).cast("int")
+
+
+def _shared_keys(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
+    """(key, node, n, pos, shards, weight) of the keys that more than one node has, one key for each set of nodes; weight is
+    how many keys it stands for. Staged."""
     buckets = 2 * partitions(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(codes)
+    shared = docs.sparkSession.sparkContext.broadcast(codes_of(counts))
+    shards = shards_of(counts.mean())
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, hashes = shared.value, Hashes(200_000)
-        shards = np.maximum(1, 2 ** ((np.arange(256) - 128) / 8) / SHARD).astype(np.uint64)
         keys, found, places, nodes, sizes, lengths, seen, held = [], [], [], [], [], [], set(), 0
 
         def flush() -> pa.RecordBatch:
@@ -171,14 +190,14 @@ def _shared_keys(docs: DataFrame, codes: np.ndarray, width: int, percent: int) -
             salt = mixed(node)[doc] % shards[code]
             to = ((key + mixed(salt)) % np.uint64(buckets)).astype(np.int32)
             by = np.lexsort((key, to))
-            key, doc, to, pos, split = key[by], doc[by], to[by], pos[by], (shards[code] > 1)[by]
+            key, doc, to, pos, split = key[by], doc[by], to[by], pos[by], shards[code][by]
             cuts = np.searchsorted(to, np.arange(buckets + 1))
             rows = []
             for b in range(buckets):
                 if cuts[b] < cuts[b + 1]:
                     x = slice(cuts[b], cuts[b + 1])
                     own, place = np.unique(doc[x], return_inverse=True)
-                    rows.append((b, pack(key[x]), pack(place.astype(np.uint32)), pack(split[x].astype(np.uint8)), pack(node[own]), pack(size[own].astype(np.uint32)), pack(pos[x].astype(np.uint32))))
+                    rows.append((b, pack(key[x]), pack(place.astype(np.uint32)), pack(split[x]), pack(node[own]), pack(size[own].astype(np.uint32)), pack(pos[x].astype(np.uint32))))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7))], ["bucket", "keys", "place", "split", "nodes", "sizes", "pos"])
 
         for batch in batches:
@@ -200,7 +219,7 @@ def _shared_keys(docs: DataFrame, codes: np.ndarray, width: int, percent: int) -
         cols: list[list[np.ndarray]] = [[], [], [], [], []]
         for r in rows.to_pylist():
             place = unpack(r["place"], np.uint32)
-            for col, x in zip(cols, (unpack(r["keys"], np.uint64), unpack(r["nodes"], np.int64)[place], unpack(r["sizes"], np.uint32)[place], unpack(r["split"], np.uint8), unpack(r["pos"], np.uint32))):
+            for col, x in zip(cols, (unpack(r["keys"], np.uint64), unpack(r["nodes"], np.int64)[place], unpack(r["sizes"], np.uint32)[place], unpack(r["split"], np.uint32), unpack(r["pos"], np.uint32))):
                 col.append(x)
         key, node, size, split, pos = map(np.concatenate, cols)
         by = np.lexsort((pos, node, key))
@@ -211,14 +230,37 @@ def _shared_keys(docs: DataFrame, codes: np.ndarray, width: int, percent: int) -
         least = np.minimum.reduceat(size, np.flatnonzero(start)).astype(np.int64)[np.cumsum(start) - 1]
         size = size.astype(np.int64)
         other = np.maximum(least, -(-percent * size // 100))  # the smallest set that could be similar
-        open_ = ((size - pos) * (100 + percent) >= (size + other) * percent) | (split > 0)
+        open_ = ((size - pos) * (100 + percent) >= (size + other) * percent) | (split > 1)
         key, node, size, split, pos = key[open_], node[open_], size[open_], split[open_], pos[open_]
         more = key[1:] == key[:-1]
-        kept = np.append(more, False) | np.append(False, more) | (split > 0)
-        return pa.table([pa.array(key[kept].view(np.int64)), pa.array(node[kept]), pa.array(size[kept].astype(np.int32)), pa.array(pos[kept].astype(np.int32))], ["key", "node", "n", "pos"])
+        kept = np.append(more, False) | np.append(False, more) | (split > 1)
+        key, node, size, split, pos = key[kept], node[kept], size[kept], split[kept], pos[kept]
+        weight = np.ones(len(key), np.int64)
+        if len(key):
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            members = np.add.reduceat(mixed(node), start)  # where a key is dealt, only some: such keys are left as they are
+            members = np.where(split[start] > 1, mixed(key[start]), members)
+            places = np.add.reduceat(pos.astype(np.int64), start)
+            by = np.lexsort((places, members))
+            begins = np.append(True, members[by][1:] != members[by][:-1])
+            stands = np.zeros(len(start), np.int64)
+            stands[by[begins]] = np.diff(np.append(np.flatnonzero(begins), len(by)))
+            weight = np.repeat(stands, np.diff(np.append(start, len(key))))
+        kept = weight > 0
+        return pa.table([pa.array(key[kept].view(np.int64)), pa.array(node[kept]), pa.array(size[kept].astype(np.int32)), pa.array(pos[kept].astype(np.int32)), pa.array(split[kept].astype(np.int32)), pa.array(weight[kept])], ["key", "node", "n", "pos", "shards", "weight"])
 
     sent = docs.mapInArrow(index, "bucket int, keys binary, place binary, split binary, nodes binary, sizes binary, pos binary")
-    return staged(sent.groupBy("bucket").applyInArrow(meet, "key long, node long, n int, pos int"), "jaccard-keys")
+    keys = staged(sent.groupBy("bucket").applyInArrow(meet, "key long, node long, n int, pos int, shards int, weight long"), "jaccard-keys")
+    size = F.col("n").cast("long")
+    other = F.greatest("least", F.ceil(size * percent / 100))
+    dealt = _per_key(keys.where("shards > 1"), F.min(size).alias("least")).where((size - F.col("pos")) * (100 + percent) >= (size + other) * percent)
+    keys = keys.where("shards = 1").union(dealt.select(*keys.columns))
+    members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("nodes")]
+    lists = keys.groupBy("key").agg(*members, F.sum("pos").alias("places"), F.max("shards").alias("of"), F.max("weight").alias("stands"))
+    first = lists.where("nodes > 1").groupBy("x", "y", "nodes").agg(F.min(F.struct("places", "key", "of")).alias("first"), F.sum("stands").alias("stands"))
+    each = first.select(F.col("first.key").alias("key"), "stands", F.explode(F.sequence(F.lit(0), F.col("first.of") - 1)).alias("shard"))
+    rows = keys.withColumn("shard", _shard("node")).join(each, ["key", "shard"])
+    return staged(rows.select("key", "node", "n", "pos", "shards", F.col("stands").alias("weight")), "jaccard-keys")
 
 
 def _texts(docs: DataFrame, measured: DataFrame, keys: DataFrame, width: int) -> DataFrame:
@@ -267,29 +309,28 @@ def linked(docs: DataFrame, *, width: int = 5, percent: int = 80, text: str = "t
     bounded_batches(spark)
     docs = docs.select("doc_id", text_bytes(text).alias("text"))
     measured = _measured(docs, width)
-    keys = _shared_keys(docs, codes_of(_sketch(measured)), width, percent)
+    keys = _shared_keys(docs, _sketch(measured), width, percent)
     texts = _texts(docs, measured, keys, width)
     # of two similar sets, the first common token leaves enough tokens behind it in both
     fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
 
     def led(keys: DataFrame) -> DataFrame:
-        leaders = keys.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("lead"))
-        return keys.join(leaders, "key").select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"), F.col("lead.pos").alias("pos_a"), F.col("pos").alias("pos_b")).where("a <> b").where(fits)
+        return _per_key(keys, F.min(F.struct("node", "n", "pos")).alias("lead")).select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"), F.col("lead.pos").alias("pos_a"), F.col("pos").alias("pos_b"), "weight").where("a <> b").where(fits)
 
-    hits = led(keys).groupBy("a", "b").agg(F.count("*").alias("hits"))
+    hits = led(keys).groupBy("a", "b").agg(F.sum("weight").alias("hits"))
     best = hits.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("best")).select(F.col("best.a").alias("a"), "b")
     tried = staged(best, "jaccard-tried")
     links = _verified(tried, texts, width, percent)
     for last in (False, True):
         roots = components(links, "jaccard-components")
         colored = keys.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed_keys = colored.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        keys = staged(colored.join(mixed_keys, "key").select("key", "node", "n", "pos", "root"), "jaccard-open")
+        mixed_keys = _per_key(colored, F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+        keys = staged(mixed_keys.select("key", "node", "n", "pos", "shards", "weight", "root"), "jaccard-open")
         if last:
-            sides = keys.groupBy("key", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
-            named = lambda x: sides.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "low", "high", "rest")])
+            sides = keys.groupBy("key", "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("shards").alias("shards"))
+            named = lambda x, shard: sides.select("key", shard.alias("shard"), *[F.col(c).alias(f"{c}_{x}") for c in ("root", "low", "high", "rest")])
             meet = (F.col("high_a") * 100 >= F.col("low_b") * percent) & (F.col("high_b") * 100 >= F.col("low_a") * percent) & (F.least("rest_a", "rest_b") * (100 + percent) >= (F.col("low_a") + F.col("low_b")) * percent)
-            crossing = named("a").join(named("b"), "key").where("root_a < root_b").where(meet).select("key", "root_a", "root_b")
+            crossing = named("a", _shard("root")).join(named("b", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))), ["key", "shard"]).where("root_a < root_b").where(meet).select("key", "root_a", "root_b")
             side = lambda x: keys.select("key", F.col("root").alias(f"root_{x}"), F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"))
             pairs = crossing.join(side("a"), ["key", "root_a"]).join(side("b"), ["key", "root_b"]).where(fits).select("a", "b")
         else:

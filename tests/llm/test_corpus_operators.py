@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from brute import Katz, components, contamination
 from pyspark.sql import functions as F
@@ -115,6 +116,28 @@ def test_jaccard_documents(spark, data):
     assert jaccard_join.linked(read(spark, data, "documents").limit(0)).count() == 0
 
 
+def test_jaccard_shards(spark, monkeypatch):
+    counts = np.zeros(1 << 12, np.int64)
+    counts[:3] = 100_000, 1_000_000, 100_000_000
+    codes = jaccard_join.codes_of(counts)[:3].astype(int)
+    assert len(set(codes)) == 3
+    assert all(jaccard_join.shards_of(counts.mean())[c] * jaccard_join.SHARD >= n for c, n in zip(codes, counts))
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
+    monkeypatch.setattr(jaccard_join, "SHARD", 3)
+    draw, rows, keys = random.Random(5), [], []
+    passage = [f"p{i}" for i in range(60)]
+    for i in range(90):
+        w = passage[: draw.randint(50, 60)] + [f"x{i}-{k}" for k in range(draw.randint(0, 14))]
+        rows.append((i, " ".join(w[draw.randint(0, 6) :])))
+    shared = jaccard_join._shared_keys
+    monkeypatch.setattr(jaccard_join, "_shared_keys", lambda *a: keys.append(shared(*a)) or keys[0])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.linked(documents(spark, rows)).collect()}
+    assert got == components(rows)
+    assert keys[0].agg(F.max("shards")).first()[0] > 3
+    lists = [frozenset(r["nodes"]) for r in keys[0].groupBy("key").agg(F.collect_list("node").alias("nodes")).collect()]
+    assert len(lists) == len(set(lists)) and min(map(len, lists)) > 1
+
+
 def spoken(rows):
     turns, sha = collections.defaultdict(list), lambda s: hashlib.sha256(s.encode()).hexdigest()
     for conv, turn, role, text in rows:
