@@ -1,7 +1,8 @@
 """Layout-aware rendering of HTML: all visible text, with blocks, lists and tables as they would look.
 
-A tree builder closes what HTML's rules imply (paragraphs at blocks, items, cells and rows at their like, all that
-is open inside an element at its end tag; end tags of nothing open are ignored) and drops what is not shown: the
+A tree builder closes what HTML's rules imply (paragraphs at blocks, items, cells and rows at their like, the head
+at what may not stand in it, all that is open inside an element at its end tag; end tags of nothing open are
+ignored), opens rows that cells imply, and drops what is not shown: the
 head, scripts and styles, templates, and elements hidden by attribute or inline style. Rendering collapses white
 space outside `pre`, starts blocks on lines of their own, leaves a blank line around paragraphs, headings, lists
 and tables, numbers and indents list items, and pads table cells to the width of their column.
@@ -31,6 +32,10 @@ SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure".sp
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: What a start tag ends if it is open, and the elements behind which it doesn't look.
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"table"}), "th": ({"td", "th"}, {"table"}), "tr": ({"tr", "td", "th"}, {"table"}), "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set())}
+#: What may stand in an open head, and what holds the cells and rows of a table.
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+SECTIONS = frozenset("thead tbody tfoot".split())
+CELLS = frozenset("td th".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -63,7 +68,10 @@ def parse(page: str) -> Element:
     while at < size:
         m = TOKEN.search(page, at)
         if (end := m.start() if m else size) > at:
-            stack[-1].children.append(html.unescape(page[at:end]))
+            text = html.unescape(page[at:end])
+            if stack[-1].tag == "head" and SPACES.sub("", text):
+                stack.pop()
+            stack[-1].children.append(text)
         if not m:
             break
         at = m.end()
@@ -81,6 +89,12 @@ def parse(page: str) -> Element:
             close({"p"}, {"table", "td", "th", "button"})
         if tag in ENDS:
             close(*ENDS[tag])
+        if stack[-1].tag == "head" and tag not in HEAD:
+            stack.pop()
+        if tag in CELLS and stack[-1].tag in SECTIONS | {"table"}:
+            row = Element("tr", {})
+            stack[-1].children.append(row)
+            stack.append(row)
         element = Element(tag, {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(m[3])} if m[3].strip(" /") else {})
         stack[-1].children.append(element)
         if tag in RAW:
@@ -120,23 +134,57 @@ class Lines:
         self.lines.append(line)
 
 
-def _rows(element: Element) -> Iterator[Element]:
-    for child in element.children:
-        if isinstance(child, Element) and child.seen():
-            if child.tag == "tr":
-                yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+def _parts(element: Element, inside: frozenset[str], wanted: frozenset[str]) -> tuple[list[Element], list[object]]:
+    """The wanted elements of a table or row, in what may hold them or in elements that may not stand there, and
+    all other children, in order; of an element around wanted ones, the children are taken one by one."""
+    found: list[Element] = []
+    loose: list[object] = []
+    around, todo = _around(element, wanted), list(reversed(element.children))
+    while todo:
+        child = todo.pop()
+        if not isinstance(child, Element):
+            loose.append(child)
+        elif not child.seen():
+            continue
+        elif child.tag in wanted:
+            found.append(child)
+        elif child.tag in inside or id(child) in around:
+            todo.extend(reversed(child.children))
+        else:
+            loose.append(child)
+    return found, loose
 
 
-def _table(element: Element, out: Lines) -> None:
-    grid = [[_laid(cell) for cell in row.children if isinstance(cell, Element) and cell.tag in ("td", "th") and cell.seen()] for row in _rows(element)]
+def _around(element: Element, wanted: frozenset[str]) -> set[int]:
+    """The ids of the shown elements in this one that hold a wanted one, outside tables within it."""
+    around: set[int] = set()
+    todo = [(c, None) for c in element.children if isinstance(c, Element)]
+    while todo:
+        path = todo.pop()
+        now, above = path
+        if now.tag in wanted:
+            while above and id(above[0]) not in around:
+                around.add(id(above[0]))
+                above = above[1]
+        elif now.tag not in ("table", "caption") and now.seen():
+            todo.extend((c, path) for c in now.children if isinstance(c, Element))
+    return around
+
+
+def _table(rows: list[Element], out: Lines) -> list[object]:
+    """Lays out rows; what stands in them outside their cells is returned."""
+    grid, loose = [], []
+    for row in rows:
+        cells, others = _parts(row, frozenset(), CELLS)
+        grid.append([_laid(cell) for cell in cells])
+        loose += others
     widths = [max((len(line) for row in grid if i < len(row) for line in row[i]), default=0) for i in range(max(map(len, grid), default=0))]
     for row in grid:
         for k in range(max(map(len, row), default=0)):
             cells = [(cell[k] if k < len(cell) else "").ljust(width) for cell, width in zip(row, widths)]
             if line := "  ".join(cells).rstrip():
                 out.put(line)
+    return loose
 
 
 def _walk(element: Element, out: Lines, pre: bool) -> None:
@@ -163,13 +211,13 @@ def _walk(element: Element, out: Lines, pre: bool) -> None:
         elif child.tag in ("ul", "ol", "table", "blockquote"):
             out.end(True)
             if child.tag == "table":
+                rows, others = _parts(child, SECTIONS, frozenset(["tr"]))
                 stray = Element("div", {})
-                stray.children = [c for c in child.children if isinstance(c, Element) and c.tag == "caption"]
+                stray.children = [c for c in others if isinstance(c, Element) and c.tag == "caption"]
                 _walk(stray, out, False)
                 out.end()
-                _table(child, out)
-                loose = [c for c in child.children if not (isinstance(c, Element) and c.tag in ("caption", "tr", "thead", "tbody", "tfoot"))]
-                stray.children = loose
+                loose = _table(rows, out)
+                stray.children = [c for c in others if not (isinstance(c, Element) and c.tag == "caption")] + loose
                 _walk(stray, out, False)
             elif child.tag == "blockquote":
                 for line in _laid(child):

@@ -148,6 +148,28 @@ def test_html(page, text):
     assert html_layout.render(page) == text
 
 
+TREES = [
+    ("<head><title>T</title><p>all text", "all text"),
+    ("<head><meta charset=x> <script>s</script>all text<p>more", "all text\n\nmore"),
+    ("<head><noscript><p>n</p></noscript><title>T</title></head>x", "x"),
+    ("<table><tbody><form><tr><td>x<td>y<tr><td>z</table>", "x  y\nz"),
+    ("<table><tr><form><td>x</td><td>y</form></table>", "x  y"),
+    ("<table><tbody><td>x<td>y<tr><td>z</table>", "x  y\nz"),
+    ("<table><td>x<td>y</table>", "x  y"),
+    ("<table><tr>in row<td>x</td></tr></table>", "x\nin row"),
+    ("<table><tbody>in body<tr><td>x</table>", "x\nin body"),
+    ("<table><tbody><form><td>x</table>", "x"),
+    ("<table><tr><td>o<table><td>i</table><td>p</table>q", "o  p\ni\n\nq"),
+    ("<table><tbody hidden><form><tr><td>no</tbody><tr><td>x</table>", "x"),
+    ("<table><tr>" + "<b>" * 30000 + "<td>deep</table>", "deep"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), TREES)
+def test_html_trees(page, text):
+    assert html_layout.render(page) == text
+
+
 def test_html_pages(spark, data):
     from html.parser import HTMLParser
 
