@@ -39,6 +39,8 @@ PATH = f"""CASE WHEN doc_id % 4 = 0 THEN concat('Mods/', source, '/Localization/
  WHEN doc_id % 4 = 2 THEN concat('Public/', source, '/m', doc_id % 83, '.lsx') ELSE concat('Localization/c', doc_id % 71, '.XML') END"""
 FLAGS = "rn % 11 <> 0 AS enabled, rn % 13 = 0 AS ambiguous, {whole} AS whole_word, rn % 7 = 0 AS case_sensitive"
 DOC_TERMS, PAGE_SIZE = 150, 20
+#: Range of doc_id in one contentList file: 1,024 entries of each of 16 files.
+FILE_SPAN = 16 << 10
 NOISE = [
     ("Fireball", "火球术"), ("[1] from [2]", "x"), ("Baldur's Gate", "博德之门"), ("[IE_ContextMenu] Ping", "x"), ("[DRUID][RANGER]", "x"), ("--OBEY--", "x"),
     ("of", "x"), ("OF", "x"), ("the", "x"), ("from", "x"), ("From here", "从这里"), ("'of'", "x"), ("''", "x"), ("中文", "zhong"), (" Paladin ", "圣武士"),
@@ -212,8 +214,8 @@ def glossary_delete(spark, d):
 def contentlist_roundtrip(spark, d):
     """Documents as entries, written as contentList files and parsed again."""
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("-"), F.col("doc_id") % 16, F.lit("/Localization/x.xml")).alias("source_file"), F.concat(F.lit("h"), "doc_id").alias("contentuid"), F.lit("1").alias("version"), F.replace(text.ws_trim("text"), F.lit("<"), F.lit("(")).alias("source"), F.lit("").alias("target"))
-    written = contentlist.written_xml(docs).select(F.col("source_file").alias("name"), FF.file_kind(F.col("source_file")).alias("kind"), F.col("content").cast("binary").alias("content"))
-    return contentlist.entries(contentlist.parse(written)).select("contentuid", "source_file", F.length("source").alias("n_chars"), F.md5(F.col("source").cast("binary")).alias("digest"))
+    written = contentlist.written_xml(docs, span=FILE_SPAN).select(F.col("source_file").alias("name"), FF.file_kind(F.col("source_file")).alias("kind"), F.col("content").cast("binary").alias("content"))
+    return contentlist.entries(contentlist.parse(written), strict=True).select("contentuid", contentlist.whole_name(F.col("source_file")).alias("source_file"), F.length("source").alias("n_chars"), F.md5(F.col("source").cast("binary")).alias("digest"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -1,6 +1,8 @@
 """contentList XML and LSX files: entries from whole-file texts, and files from entries.
 
 One row of a scan is one file. XML is parsed by expat in tasks, a file at a time; the rest is DataFrame functions.
+
+Characters that XML can't hold are written as _x000C_ and read back; an underscore before x is written as _x005F_.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import file_kind
@@ -25,6 +27,24 @@ LSX_TYPES = frozenset(["LSString", "LSWString"])
 PARSED = "source_file string, ordinal long, contentuid string, version string, source string, place long, warning string"
 
 
+#: Characters that XML 1.0 can't hold, and how they are written.
+BARRED = [chr(i) for i in range(32) if i not in (9, 10, 13)] + ["\ufffe", "\uffff"]
+STORED = re.compile("_x(00[01][0-9A-F]|FFF[EF]|005F)_")
+PART_NAME = r"\.part-?\d+(?=\.[^./]*\z)"
+
+
+def _storable(x: Column) -> Column:
+    """x without characters that XML can't hold; parse_content_list undoes it."""
+    marked = F.regexp_replace(x, "_(?=x)", "_x005F_")
+    pairs = F.array(*[F.struct(F.lit(c).alias("raw"), F.lit(f"_x{ord(c):04X}_").alias("named")) for c in BARRED])
+    barred = F.aggregate(pairs, marked, lambda out, c: F.replace(out, c["raw"], c["named"]))
+    return F.when(x.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]"), barred).otherwise(marked)
+
+
+def _restored(x: str) -> str:
+    return STORED.sub(lambda m: chr(int(m[1], 16)), x)
+
+
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """name (below the folder), kind and content of every file; folders that can't be read are skipped."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(folder)
@@ -34,10 +54,8 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("kind", file_kind(F.col("name")))
 
 
-def parse_content_list(name: str, content: bytes) -> list[tuple]:
-    """Entries of one file; inner tags stay in the text, with escaped text around them. A faulty file gives what
-    comes before its fault, and a warning."""
-    rows: list[list] = []
+def _parsed_run(content: bytes | memoryview, rows: list[list]) -> tuple[str, int] | None:
+    """Adds the entries before the first fault to rows; the fault and its place."""
     state = {"open": None, "depth": 0}
     parser = expat.ParserCreate()
     parser.buffer_text = True
@@ -63,13 +81,31 @@ def parse_content_list(name: str, content: bytes) -> list[tuple]:
 
     parser.StartElementHandler, parser.EndElementHandler = start, end
     parser.CharacterDataHandler = lambda data: state["open"] is not None and state["open"].__setitem__(2, state["open"][2] + data)
-    warning = None
     try:
         parser.Parse(content, True)
     except expat.ExpatError as fault:
-        warning = str(fault)
-    out = [(name, i, uid, version, text.strip(), None, None) for i, (uid, version, text) in enumerate(rows)]
-    return [*out, (name, len(out), None, None, None, None, warning)] if warning else out
+        return str(fault), parser.ErrorByteIndex
+    return None
+
+
+def parse_content_list(name: str, content: bytes) -> list[tuple]:
+    """Entries of one file; inner tags stay in the text, with escaped text around them. A fault gives a warning, and
+    reading goes on with the next entry after it."""
+    rows: list[list] = []
+    warnings: list[str] = []
+    head, at = b"<contentList>", 0
+    fault = _parsed_run(content, rows)
+    while fault:
+        warnings.append(fault[0])
+        found = re.compile(rb"<content\s").search(content, max(at, at + fault[1] - (len(head) if at else 0)))
+        if not found:
+            break
+        at = found.start()
+        fault = _parsed_run(head + content[at:], rows)
+        if fault and not fault[1]:
+            break
+    out = [(name, i, _restored(uid), _restored(version), _restored(text.strip()), None, None) for i, (uid, version, text) in enumerate(rows)]
+    return out + [(name, len(out) + i, None, None, None, None, x) for i, x in enumerate(warnings)]
 
 
 ATTRIBUTE = re.compile(r"<attribute\b([^<>]*?)/?>")
@@ -103,22 +139,33 @@ def parse(files: DataFrame) -> DataFrame:
     return files.select("name", "kind", "content").mapInPandas(each, PARSED)
 
 
-def entries(parsed: DataFrame) -> DataFrame:
-    """Entries of parsed rows; pos orders them by file, then as they stand in it."""
-    rows = parsed.where("warning IS NULL")
+def entries(parsed: DataFrame, strict: bool = False) -> DataFrame:
+    """Entries of parsed rows; pos orders them by file, then as they stand in it. If strict, a warning is an error."""
+    fails = F.raise_error(F.concat_ws(": ", "source_file", "warning")).cast("boolean")
+    rows = parsed.where(F.when(F.col("warning").isNull(), True).otherwise(fails if strict else F.lit(False)))
     pos = (F.xxhash64("source_file").bitwiseAND((1 << 31) - 1) * (1 << 32)) + F.col("ordinal")
     return rows.select(pos.alias("pos"), F.concat("source_file", F.lit("#"), "contentuid").alias("id"), "source_file", "source", F.lit("").alias("target"), "contentuid", "version", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error"))
 
 
-def written_xml(entries: DataFrame) -> DataFrame:
-    """(source_file, content): a contentList file of each file's entries, in order; untranslated ones keep their source."""
-    text = escape_fragment(F.coalesce(F.nullif("target", F.lit("")), F.col("source")))
-    line = F.concat(F.lit('  <content contentuid="'), escape_attribute("contentuid"), F.lit('" version="'), escape_attribute("version"), F.lit('">'), text, F.lit("</content>"))
+def written_xml(entries: DataFrame, span: int | None = None) -> DataFrame:
+    """(source_file, content): a contentList file of each file's entries, in order; untranslated ones keep their source.
+    With span, a file for each range of so many pos: x.part0.xml, x.part1.xml; whole_name gives x.xml."""
+    if span:
+        part = F.concat(F.lit(".part"), F.floor(F.col("pos") / span).cast("string"))
+        name = F.regexp_extract("source_file", r"(?s)^(.*?)(\.[^./]*)?\z", 1)
+        entries = entries.withColumn("source_file", F.concat(name, part, F.substr("source_file", F.length(name) + 1)))
+    text = F.replace(escape_fragment(_storable(F.coalesce(F.nullif("target", F.lit("")), F.col("source")))), F.lit("\r"), F.lit("&#13;"))
+    line = F.concat(F.lit('  <content contentuid="'), escape_attribute(_storable(F.col("contentuid"))), F.lit('" version="'), escape_attribute(_storable(F.col("version"))), F.lit('">'), text, F.lit("</content>"))
     lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"])
     head, tail = '<?xml version="1.0" encoding="utf-8"?>\n<contentList>\n', "\n</contentList>\n"
     return entries.groupBy("source_file").agg(F.concat(F.lit(head), F.array_join(lines, "\n"), F.lit(tail)).alias("content"))
 
 
+def whole_name(name: Column) -> Column:
+    """The name that a file of written_xml is a part of."""
+    return F.regexp_replace(name, PART_NAME, "")
+
+
 def patch_lsx(content: bytes, values: dict[int, str]) -> bytes:
     """One file with new values at the places of its attributes; a byte order mark stays."""
     mark = b"\xef\xbb\xbf" if content.startswith(b"\xef\xbb\xbf") else b""

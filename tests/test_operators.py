@@ -129,6 +129,28 @@ def test_paths(spark):
     assert values(spark, ["d/My.PAK"], files.output_name(c), files.is_archive(c)) == [("My_zh.pak", True)]
 
 
+def test_content_list_control_characters(spark):
+    odd = ["a\x0cb", "nul \x00 us \x1f", "_x000C_", "_x0001\x02_x", "__x_\x01x", "c\r\nd", "\ufffe\uffff<b>_xy</b>", "plain"]
+    rows = [(10 * i, "m.n/x.xml", f"h{i}\x01", "1", t, "") for i, t in enumerate(odd)]
+    docs = spark.createDataFrame(rows, "pos long, source_file string, contentuid string, version string, source string, target string")
+    for span, files in ((None, ["m.n/x.xml"]), (20, [f"m.n/x.part{i}.xml" for i in range(4)])):
+        written = contentlist.written_xml(docs, span)
+        assert sorted(r["source_file"] for r in written.collect()) == files
+        parsed = contentlist.parse(written.select(F.col("source_file").alias("name"), F.lit("localization-xml").alias("kind"), F.col("content").cast("binary").alias("content")))
+        got = contentlist.entries(parsed, strict=True).select("contentuid", contentlist.whole_name(F.col("source_file")), "source").collect()
+        assert sorted(map(tuple, got)) == sorted((r[2], r[1], r[4]) for r in rows)
+
+
+def test_content_list_faults(spark):
+    raw = b'<contentList><content contentuid="a">1</content><content contentuid="b">\x0c</content><content contentuid="c">3</content><content contentuid="d"><i></content><content contentuid="e">5</content></contentList>'
+    rows = contentlist.parse_content_list("f", raw)
+    assert [(r[2], r[4]) for r in rows if not r[6]] == [("a", "1"), ("c", "3"), ("e", "5")] and sum(bool(r[6]) for r in rows) == 2
+    parsed = spark.createDataFrame(rows, contentlist.PARSED)
+    assert contentlist.entries(parsed).count() == 3
+    with pytest.raises(Exception, match="not well-formed"):
+        contentlist.entries(parsed, strict=True).collect()
+
+
 def test_content_list_round_trip(spark, tmp_path):
     raw = '<?xml version="1.0" encoding="utf-8"?>\n<contentList><content contentuid="h1" version="2">Cast <LSTag Tag="Fire">Fireball</LSTag> for {1} damage &amp; more<br/></content><content contentuid="h2" version="1"/></contentList>'
     with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
