@@ -1,19 +1,28 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of 16 or more characters of keys and tokens with both a letter and a digit. Its features are
-its length, its characters and their transitions, how much of it dictionary words cover, its document's path, and
-the words beside it. The forest is trained on labelled findings: rows (value, before, after, path, label). Where
-none are given, `weak_findings` labels a bounded sample of the corpus's own candidates: one assigned to a
-credential's name is a secret; the same value after words for digests, and dictionary words or placeholders in
-its place, are not; and other random values in its place are.
+Candidates are runs of 16 or more characters of keys and tokens with both a letter and a digit; values of 6 or more
+characters that are assigned to a credential's name, in quotes or up to white space; keys with a provider's prefix;
+and private keys in PEM, to the end mark or, without one, as far as lines look like theirs. PEM blocks, keys
+by prefix, and assigned values with a letter, a digit and a sign of passwords are secrets by their form, the last two
+unless they hold a placeholder. For the others, features are the length, the
+characters and their transitions, how much of it dictionary words cover, the document's path, and the words beside
+it. The forest is trained on labelled findings: rows (value, before, after, path, label). Where none are given,
+`weak_findings` labels a bounded sample of the corpus's own candidates: one assigned to a credential's name is a
+secret; one after a word for digests or in an address is not; others have no label. Made from each: the same value
+after words for digests, and dictionary words or placeholders in its place, are not secrets; other random values
+and short passwords are, in its place or assigned to a name.
+
+What none of these forms has is never masked: secrets in free text that are shorter than 16 characters or have no
+digit, without a known prefix; assigned values under 6 or over 4,096 characters; and names that CREDENTIAL doesn't list.
 
 The forest is fitted by Spark's ML library on at most `sample` findings; candidates are scored where the documents
 are read, without a shuffle. Null texts have no candidates, null paths count as empty; repeated documents are
-scanned row by row; ranges are in characters and do not overlap. An empty table gives no rows.
+scanned row by row; ranges are in characters, and secrets that overlap are one. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -29,6 +38,11 @@ from .bpe_transducer import read_ranks
 from .common import bounded_batches
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.\-]{16,}")
+#: A value assigned to a credential's name; keys known by their provider's prefix; private keys in PEM.
+ASSIGNED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|passphrase|api.?key|access.?key|private.?key|credential)[\w-]{0,20}["'`]?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}(?:"([^"\n]{6,4096})"|'([^'\n]{6,4096})'|`([^`\n]{6,4096})`|([^\s"'`,;<>(){}\[\]]{6,4096}))""")
+PROVIDER = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[\w-]{20,}|xox[abeoprs]-[\w-]{10,}|AIza[\w-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{16,}\.[\w-]{16,})(?![A-Za-z0-9])")
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S]){0,20000}?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----|(?:\s+(?:[A-Za-z-]+: [^\n]*|[A-Za-z0-9+/=]{16,}))*)")
+PASSWORD = re.compile(r"(?=[^\s]*[A-Za-z])(?=[^\s]*[0-9])(?=[^\s]*[!@#$%^&*~])[^\s${%<(][^\s]{5,63}")
 BEFORE, AFTER, SAMPLE, CUTOFF = 48, 16, 4000, 0.5
 CREDENTIAL = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwd|api.?key|access.?key|private.?key|credential|bearer|auth)\w*\W{0,4}$")
 DIGEST = re.compile(r"(?i)(?:commit|sha\d*|md5|checksum|digest|hash|uuid|etag|revision|integrity)\W{0,4}$")
@@ -69,11 +83,29 @@ def features(value: str, before: str, after: str, path: str, words: frozenset[st
     ]
 
 
+def known(value: str, before: str) -> bool:
+    """Whether a value is a secret by its form, or a password by its characters and the name it is assigned to."""
+    if PEM.match(value):
+        return True
+    if PLACEHOLDER.search(value):
+        return False
+    return bool(PROVIDER.fullmatch(value) or PASSWORD.fullmatch(value) and CREDENTIAL.search(before) and re.search(r"[=:]\W{0,2}$", before))
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Ranges in order. Nothing else starts or ends in a PEM block or a key by prefix; runs may lie in assigned values."""
+    forms = sorted(m.span() for p in (PEM, PROVIDER) for m in p.finditer(text))
+
+    def apart(a: int, b: int) -> bool:
+        i = bisect.bisect_left(forms, (a, a))
+        return not (i and forms[i - 1][1] > a or i < len(forms) and forms[i][0] < b)
+
+    found = {m.span(m.lastindex) for m in ASSIGNED.finditer(text)}
     for m in CANDIDATE.finditer(text):
         value = m.group().rstrip(".-=") if m.group()[-1] in ".-" else m.group()
         if len(value) >= 16 and any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
-            yield m.start(), m.start() + len(value)
+            found.add((m.start(), m.start() + len(value)))
+    yield from sorted({*forms, *(x for x in found if apart(*x))})
 
 
 def dictionary(ranks_path: str) -> tuple[frozenset[str], int]:
@@ -96,14 +128,25 @@ def _found(docs: DataFrame, text: str, path: str) -> DataFrame:
 def _varied(value: str, before: str, after: str, path: str, words: list[str]) -> Iterator[tuple]:
     """Labelled findings made from one candidate; what varies comes from its own digest."""
     draw = hashlib.sha256(value.encode()).digest()
-    secret = bool(CREDENTIAL.search(before)) and not PLACEHOLDER.search(value)
-    yield value, before, after, path, int(secret)
+    if PLACEHOLDER.search(value) or DIGEST.search(before) or ADDRESS.search(before):
+        yield value, before, after, path, 0
+    elif CREDENTIAL.search(before):
+        yield value, before, after, path, 1
     word = lambda i: words[int.from_bytes(draw[i : i + 2], "big") % len(words)]
     dull = [f"{word(0)}_{word(2)}_{word(4)}_{draw[6] % 10}", f"your-{word(0)}-key-{1000 + draw[1]}", "x" * 12 + f"{draw[2]:03d}example", f"{word(3)}/{word(5)}/v{draw[7] % 9}.{word(9)}"]
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     random = ["".join(alphabet[(draw[i % 32] + 7 * draw[(3 * i + 1) % 32] + i) % 62] for i in range(20 + draw[0] % 24)), hashlib.md5(draw).hexdigest(), "AKIA" + hashlib.sha1(draw).hexdigest()[:16].upper()]
     named = before if CREDENTIAL.search(before) else f"{before[-20:]} {('token', 'password', 'api_key', 'secret')[draw[8] % 4]} = \""
     digest = f"{before[-24:-10]} {('commit', 'sha256:', 'checksum', 'md5 =', 'revision:')[draw[9] % 5]} "
+    short = "".join(chr(33 + (draw[i] + 11 * draw[i + 9]) % 94) for i in range(7 + draw[10] % 7)).replace('"', "!")
+    letters = "".join(alphabet[(draw[i % 32] + 5 * draw[(5 * i + 2) % 32] + i) % 52] for i in range(18 + draw[11] % 20))
+    bare = f"{before[-20:].rstrip(chr(34))} {('token', 'password', 'API_KEY', 'secret')[draw[17] % 4]}{('=', ': ')[draw[18] % 2]}"
+    for v in (short, f"{word(12).title()}{draw[13] % 10}{'!#$%&*?@'[draw[14] % 8]}{alphabet[draw[15] % 62]}", f"{alphabet[draw[16] % 62]}{draw[19] % 10}{word(12)[:4]}{draw[20] % 10}{word(14)[:3]}{'!#$%&*?@'[draw[21] % 8]}{draw[22] % 10}", letters):
+        yield v, named, after if CREDENTIAL.search(before) else '"', path, 1
+        yield v, bare, "", path, 1
+    for v in (word(16), f"{word(18)} {word(20)}", f"${{{word(22)}}}", f"get_{word(24)}", "changeme", "your_password"):
+        yield v, named, after if CREDENTIAL.search(before) else '"', path, 0
+        yield v, bare, "", path, 0
     for v in dull:
         if len(v) >= 16:
             yield v, named, after, path, 0
@@ -177,8 +220,10 @@ def scan(docs: DataFrame, forest: Forest, ranks_path: str, *, text: str = "text"
                 spans, n = [], 0
                 for a, b in candidates(t or ""):
                     n += 1
-                    probability = forest.probability(features(t[a:b], t[max(0, a - BEFORE) : a], t[b : b + AFTER], p, words, longest))
-                    if probability >= cutoff:
+                    probability = 1.0 if known(t[a:b], t[max(0, a - BEFORE) : a]) else forest.probability(features(t[a:b], t[max(0, a - BEFORE) : a], t[b : b + AFTER], p, words, longest))
+                    if probability >= cutoff and spans and a < spans[-1]["end"]:
+                        spans[-1]["end"], spans[-1]["probability"] = max(b, spans[-1]["end"]), max(probability, spans[-1]["probability"])
+                    elif probability >= cutoff:
                         spans.append({"start": a, "end": b, "probability": probability})
                 for s in reversed(spans):
                     t = t[: s["start"]] + mask + t[s["end"] :]
