@@ -18,6 +18,17 @@ def unpack(data: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
+def gaps(a: np.ndarray) -> bytes:
+    """Ascending unsigned numbers as their differences."""
+    steps = np.diff(a, prepend=a.dtype.type(0))
+    return pack(steps if len(steps) and steps.max() >= 1 << 32 else steps.astype(np.uint32))
+
+
+def sums(data: bytes) -> np.ndarray:
+    """What gaps() packed."""
+    return np.cumsum(unpack(data, np.uint32 if data[0] == 4 else np.uint64), dtype=np.uint64)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit mix (the finaliser of splitmix64)."""
     x = x.astype(np.uint64)

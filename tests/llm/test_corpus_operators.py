@@ -116,26 +116,64 @@ def test_jaccard_documents(spark, data):
     assert jaccard_join.linked(read(spark, data, "documents").limit(0)).count() == 0
 
 
-def test_jaccard_shards(spark, monkeypatch):
-    counts = np.zeros(1 << 12, np.int64)
-    counts[:3] = 100_000, 1_000_000, 100_000_000
-    codes = jaccard_join.codes_of(counts)[:3].astype(int)
-    assert len(set(codes)) == 3
-    assert all(jaccard_join.shards_of(counts.mean())[c] * jaccard_join.SHARD >= n for c, n in zip(codes, counts))
-    monkeypatch.setattr(jaccard_join, "FREQUENT", 2)
-    monkeypatch.setattr(jaccard_join, "SHARD", 3)
-    draw, rows, keys = random.Random(5), [], []
+def test_jaccard_codes():
+    codes = jaccard_join.codes_of(np.array([1, 2, 3, 100_000, 100_000_000]))
+    assert list(codes[:3]) == [0, 8, 12] and len(set(codes)) == 5
+    assert all(jaccard_join.shards_of(codes) * jaccard_join.SHARD >= [1, 2, 3, 100_000, 100_000_000])
+
+
+@pytest.mark.parametrize("tile", [7, 2048])
+def test_jaccard_hot(spark, monkeypatch, tile):
+    """One passage in all documents; copies that are near but mostly not linked; shards, tiles, small chunks and k up to 4."""
+    for name, value in (("FREQUENT", 2), ("FACTOR", 4), ("SHARD", 3), ("TILE", tile), ("GROUP", 4), ("CHUNK", 900)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    draw, rows, tiles = random.Random(5), [], []
     passage = [f"p{i}" for i in range(60)]
     for i in range(90):
         w = passage[: draw.randint(50, 60)] + [f"x{i}-{k}" for k in range(draw.randint(0, 14))]
         rows.append((i, " ".join(w[draw.randint(0, 6) :])))
-    shared = jaccard_join._shared_keys
-    monkeypatch.setattr(jaccard_join, "_shared_keys", lambda *a: keys.append(shared(*a)) or keys[0])
+    for i in range(160):  # edits at a few places, so that their shingles are shared too
+        w = [f"q{k}" for k in range(80)]
+        for _ in range(draw.randint(1, 3)):
+            w[5 * draw.randrange(16)] = f"e{draw.randrange(3)}"
+        rows.append((100 + i, " ".join(w)))
+    cross = jaccard_join._crossing
+    monkeypatch.setattr(jaccard_join, "_crossing", lambda *a: tiles.append(cross(*a)) or tiles[0])
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.linked(documents(spark, rows)).collect()}
-    assert got == components(rows)
-    assert keys[0].agg(F.max("shards")).first()[0] > 3
-    lists = [frozenset(r["nodes"]) for r in keys[0].groupBy("key").agg(F.collect_list("node").alias("nodes")).collect()]
-    assert len(lists) == len(set(lists)) and min(map(len, lists)) > 1
+    assert got == components(rows) and tiles
+
+
+def test_jaccard_keys():
+    """Sets that are similar share a key, whatever the frequencies of their tokens."""
+    draw = np.random.default_rng(2)
+    for _ in range(1500):
+        n = int(draw.integers(2, 400))
+        code = np.sort(draw.choice([0, 8, 40, 50, 60, 100, 150, 200], 600, p=draw.dirichlet(np.ones(8))))
+        value = draw.permutation(600).astype(np.uint64)
+        order = np.lexsort((value, code))
+        code, value = code[order], value[order]
+        a = np.sort(draw.choice(600, n, False))
+        b = np.sort(np.unique(np.append(draw.permutation(a)[: n - int(draw.integers(0, n // 5 + 1))], draw.choice(600, int(draw.integers(0, n // 5 + 1))))))
+        common = len(np.intersect1d(a, b))
+        if 100 * common < 80 * (len(a) + len(b) - common) or not len(np.intersect1d(a[code[a] > 0], b[code[b] > 0])):
+            continue
+        if len(np.intersect1d(a[code[a] == 0], b[code[b] == 0])):
+            continue  # what both have is not alone
+        keys = [set(jaccard_join.keys_of(value[x][code[x] > 0], code[x][code[x] > 0].astype(np.uint16), len(x), 80)[0].tolist()) for x in (a, b)]
+        assert keys[0] & keys[1]
+
+
+def test_one_of_each_odd(spark):
+    w = " ".join(f"w{i}" for i in range(30))
+    other = " ".join(f"v{i}" for i in range(30))
+    df = spark.createDataFrame([(3, w, 1, "a"), (5, w, 2, "b"), (5, other, 3, "c"), (5, other, 4, "d"), (7, w + " more", 5, "e"), (None, w, 6, "f"), (8, None, 7, None), (8, "", 8, "g")], "doc_id long, text string, node int, row string")
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns
+    rows = sorted(((r["doc_id"] or 0), r["text"]) for r in kept.collect() if r["doc_id"] != 8)
+    assert rows == [(0, w), (3, w), (5, other)] and sum(r["doc_id"] == 8 for r in kept.collect()) == 1
+    assert jaccard_join.one_of_each(df.limit(0)).count() == 0
+    long = " ".join(f"z{i}" for i in range(120_000))
+    assert {r["component_id"] for r in jaccard_join.linked(documents(spark, [(1, long), (2, long + " end"), (9, w)])).collect()} == {1, 9}
 
 
 def spoken(rows):
