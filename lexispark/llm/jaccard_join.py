@@ -14,7 +14,7 @@ for the lower one too.
 2. Index keys of the sets left, (key, node) rows. Sets that are equal are one node. Keys of tokens that many documents
    have are dealt over shards, by node, wherever rows meet what is known of their key.
 3. Candidates are verified exactly on their texts in three rounds: each node with the leader it shares most keys with;
-   then, among keys whose nodes are not all linked yet, with every leader; then all pairs of different components
+   then, among keys whose nodes are not all linked yet, with several leaders of each; then all pairs of different components
    that still share a key, which tiles of bounded size compare by parities of their tokens before texts are read.
    So nothing is compared that is known to be connected, and every link between components is found.
 
@@ -49,6 +49,8 @@ CHUNK, BUCKET_BYTES = 1 << 21, 12 << 20
 FREQUENT, FACTOR = 64, 64
 #: Documents of one key in one shard; nodes of one tile; pairs of one node in one group.
 SHARD, TILE, GROUP = 1 << 12, 1 << 11, 2_000
+#: Leaders of a key that all its nodes are compared with before all pairs are.
+LEADERS = 6
 #: Parities of a node's tokens.
 PARITIES = 1 << 12
 
@@ -327,25 +329,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, unde
 
 def _crossing(keys: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes of different roots that share a key and may be similar by their parities. Of keys of
-    the same nodes, the first in the order stands for all, as it comes first in each of them; a key's nodes are dealt into tiles, and each two tiles meet in one task."""
+    the same nodes, the first in the order stands for all, as it comes first in each of them; a key's nodes are dealt into tiles, and each two tiles meet in one task. A pair comes from the least key it shares."""
     members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("nodes")]
     lists = keys.groupBy("key").agg(*members, F.sum("pos").alias("places"), F.max("shards").alias("shards")).groupBy("x", "y", "nodes").agg(F.min(F.struct("places", "key", "shards")).alias("first"))
     each = lists.select("first.key", F.ceil(F.col("nodes") / TILE).alias("tiles"), F.explode(F.sequence(F.lit(0), F.col("first.shards") - 1)).alias("shard"))
     rows = keys.withColumn("shard", _shard("node")).join(each, ["key", "shard"]).withColumn("tile", F.pmod(F.xxhash64("node", F.lit(2)), "tiles"))
-    rows = rows.join(texts.select("node", "parities"), "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "root", "n", "pos", "parities")
+    about = rows.groupBy("node").agg(F.collect_list("key").alias("keys")).join(texts.select("node", "parities"), "node")  # a set's keys are as bounded as its text
+    rows = rows.join(about, "node").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("key", F.least("tile", "with").alias("i"), F.greatest("tile", "with").alias("j"), "tile", "node", "root", "n", "keys", "parities")
 
     def cross(group: pa.Table) -> pa.Table:
         alone = group.column("i")[0].as_py() == group.column("j")[0].as_py()
-        tile, node, root, n, pos = (group.column(c).to_numpy() for c in ("tile", "node", "root", "n", "pos"))
+        tile, node, root, n = (group.column(c).to_numpy() for c in ("tile", "node", "root", "n"))
+        key, keys = group.column("key")[0].as_py(), [frozenset(x) for x in group.column("keys").to_pylist()]
         bits = np.frombuffer(b"".join(group.column("parities").to_pylist()), np.uint64).reshape(len(node), PARITIES // 64)
         found: list[np.ndarray] = [np.empty((2, 0), np.int64)]
         for r in range(len(node) - 1):
             x = np.arange(r + 1, len(node))
-            both = n[r] + n[x]
-            x = x[(root[r] != root[x]) & (alone | (tile[r] != tile[x])) & (np.minimum(n[r] - pos[r], n[x] - pos[x]) * (100 + percent) >= both * percent)]
+            x = x[(root[r] != root[x]) & (alone | (tile[r] != tile[x])) & (np.minimum(n[r], n[x]) * 100 >= np.maximum(n[r], n[x]) * percent)]
             differ = np.bitwise_count(bits[r] ^ bits[x]).sum(axis=1, dtype=np.int64)
             x = x[100 * (n[r] + n[x] - differ) >= percent * (n[r] + n[x] + differ)]
+            x = np.array([i for i in x if min(keys[r] & keys[i]) == key], np.int64)
             found.append(np.stack([np.full(len(x), node[r]), node[x]]))
         a, b = np.concatenate(found, axis=1)
         return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -361,10 +365,13 @@ def _placed(docs: DataFrame, width: int, percent: int, under: str) -> DataFrame:
     # of two similar sets, the first common token leaves enough tokens behind it in both
     fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
 
-    def led(keys: DataFrame) -> DataFrame:
-        return _per_key(keys, F.min(F.struct("node", "n", "pos")).alias("lead")).select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"), F.col("lead.pos").alias("pos_a"), F.col("pos").alias("pos_b")).where("a <> b").where(fits)
+    def led(keys: DataFrame, leaders: int) -> DataFrame:
+        """Nodes beside so many leaders of each of their keys: those of least hash."""
+        leads = F.array_distinct(F.transform(F.array(*[F.min(F.struct(F.xxhash64("node", F.lit(i)), "node", "n", "pos")) for i in range(leaders)]), lambda x: F.struct(x["node"].alias("node"), x["n"].alias("n"), x["pos"].alias("pos"))))
+        rows = _per_key(keys, leads.alias("leads")).withColumn("lead", F.explode("leads"))
+        return rows.select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.n").alias("n_a"), F.col("n").alias("n_b"), F.col("lead.pos").alias("pos_a"), F.col("pos").alias("pos_b")).where("a <> b").where(fits)
 
-    hits = led(keys).groupBy("a", "b").agg(F.count("*").alias("hits"))
+    hits = led(keys, 1).groupBy("a", "b").agg(F.count("*").alias("hits"))
     tried = staged(hits.groupBy("b").agg(F.max(F.struct("hits", "a")).alias("best")).select(F.col("best.a").alias("a"), "b"), "tried", under=under)
     links = _verified(tried, texts, width, percent, under)
     ordered = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
@@ -376,7 +383,7 @@ def _placed(docs: DataFrame, width: int, percent: int, under: str) -> DataFrame:
         if last:
             pairs = _crossing(keys, texts, percent)
         else:
-            pairs = led(keys.drop("root")).select("a", "b").join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+            pairs = led(keys.drop("root"), LEADERS).select("a", "b").join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
         fresh = staged(pairs.select(*ordered).distinct().join(tried.select(*ordered), ["a", "b"], "left_anti"), "tried", under=under)
         tried, keys = tried.union(fresh), keys.drop("root")
         links = links.union(_verified(fresh, texts, width, percent, under))
