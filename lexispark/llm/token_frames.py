@@ -19,6 +19,7 @@ hash of their texts. An empty table has an empty manifest.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, new_path, partitions, staged, text_bytes
 
-FRAME_TOKENS = 1 << 16
+#: Ids of a frame; bytes of text for one file.
+FRAME_TOKENS, FILE_BYTES = 1 << 16, 16 << 20
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 TOKENIZERS: dict[str, WordIds] = {}
 
@@ -49,7 +51,10 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text they are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        # the library looks for added tokens first, in the text as it stands; those that reach past a word need all of it
+        self.whole = any(x.lstrip or x.rstrip or x.single_word or x.normalized or x.content.split() != [x.content] for x in added)
+        self.added = re.compile(b"|".join(re.escape(x.content.encode().lower()) for x in added) or b"(?!)")
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.pack = {n: struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}").pack for n in range(64)}
         self.most, self.older = most, {}
@@ -60,13 +65,22 @@ class WordIds(dict):
             self.clear()
         ids = self.older.get(word)
         if ids is None:
-            found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-            ids = self.pack[len(found)](*found) if len(found) < 64 else np.array(found, f"<u{self.width}").tobytes()
+            ids = self.direct(word)
         self[word] = ids
         return ids
 
+    def direct(self, text: bytes) -> bytes:
+        found = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
+        return self.pack[len(found)](*found) if len(found) < 64 else np.array(found, f"<u{self.width}").tobytes()
+
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        """Ids as the library gives them. The normaliser lower-cases words, but not what may be an added token."""
+        if self.whole:
+            return self.direct(text)
+        low = text.lower()
+        if not self.added.search(low):
+            return b"".join(map(self.__getitem__, low.split()))
+        return b"".join(self.direct(raw) if self.added.search(word) else self[word] for word, raw in zip(low.split(), text.split()))
 
 
 def word_ids(path: str) -> WordIds:
@@ -168,7 +182,7 @@ def write_documents(docs: DataFrame, tokenizer_path: str, end_id: int, path: str
     spark = docs.sparkSession
     bounded_batches(spark)
     path = path or new_path(spark, "token-frames")
-    files = files or partitions(spark)
+    files = files or -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // FILE_BYTES)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, writer, docs = word_ids(tokenizer_path), None, 0

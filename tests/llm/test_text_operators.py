@@ -72,8 +72,7 @@ def test_bpe_tables(spark, tik):
 
 def test_token_frames(spark):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
-    texts = [*ODD, "<|endoftext|> K Å ſ ΑΣ ΑΣ."]
+    texts = [*ODD, "<|endoftext|> K Å ſ ΑΣ ΑΣ.", "x<|endoftext|>y <|STARTOFTEXT|> Don't<|startoftext|><|endoftext|>.<|ENDoftext|>", "<|endoftext", "e<|endoftext|>\u0301 z", "w " * 200_000]
     manifest = token_frames.write_documents(table(spark, texts), WORDS, 1, files=3)
     want = {(-1 if i == 1 else i): tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
     got = {(-1 if r["doc_id"] is None else r["doc_id"]): r for r in token_frames.read_documents(manifest).collect()}
