@@ -1,29 +1,36 @@
-"""Katz backoff language model: training and scoring of a whole corpus in packed tables.
+"""Katz backoff language model: training on a corpus into packed tables, and scores of texts by them.
 
 Bigrams back off to unigrams, and those to one unknown word. Counts up to 5 are discounted by Good and Turing;
 where their counts of counts allow none, 0.5 is taken off the count. A context's backoff weight makes its
 probabilities over the vocabulary and the unknown word sum to one exactly; a context without discounted counts
 gets one more in its denominator, so that there is something to back off with.
 
+`fit` trains and scores in the same exchange, as each text must meet the counts of its bigrams anyway:
+
 1. Documents become chunks: token numbers of the chunk, and its words' hashes. Staged.
 2. Words meet by hash bucket: ids and training counts, stored as the unigram table by bucket, go back to chunks.
 3. Each chunk sends its bigrams, with documents, to their context's bucket. A bucket has all that follows its
    contexts, so it counts, stores its part of the bigram table, and scores all but what needs the discounts:
    how many tokens of a document had a bigram of count 1 to 5, and which contexts it backed off from.
    Contexts with many rows are dealt over several buckets; their weights are put together on the driver, which
-   are at most 8 rows for each bucket.
+   are at most a million rows. A bigram that many documents of a chunk have is sent once: the bucket takes it for a
+   document of its own, and the chunk shares its score out. There are as many buckets as the texts need.
 4. Discounts known, each bucket computes its backoff weights and sends sums of documents back to their chunks.
 
+`score` evaluates other texts by the stored tables: words look their ids up in the unigram table, bigrams meet their
+context's bucket of the bigram table, which gives a seen bigram's probability, or else the context's weight times the
+unigram's.
+
 A word is its XXH3 64-bit hash. Null texts count as empty: their one token is the end. A document without id
 counts as training. Repeated documents are scored row by row; an empty table gives no rows; held-out documents
-alone are scored by the unknown word.
+alone are scored by the unknown word; texts may have any length. Other columns don't matter.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +38,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, staged, text_bytes
+from .common import bounded_batches, staged, text_bytes
 from .packing import mixed, pack, unpack
 from .words import Hashes, spaced
 
-CHUNK_TOKENS = 1_250_000
+#: Tokens of a chunk; bytes of text for one bucket; documents of a chunk with a bigram from which it is sent once; the
+#: most contexts that are dealt.
+CHUNK_TOKENS, BUCKET_BYTES, MANY, DEALT = 1_250_000, 5 << 20, 48, 1_000_000
 K = 5
 #: Hash of the end of a text: of bytes that are no word.
 END = xxhash.xxh3_64_intdigest(b" end ")
@@ -119,9 +128,8 @@ def chunked(docs: DataFrame, held: Column, buckets: int, chunk_tokens: int) -> D
     return staged(docs.select("doc_id", held.alias("held"), text_bytes().alias("text")).mapInArrow(chunks, schema), "katz-chunks")
 
 
-def unigram_table(chunks: DataFrame, buckets: int) -> DataFrame:
-    """Staged by kind: "chunk" rows give a chunk its words' ids and counts of one bucket, in the order in which it
-    sent them; "model" rows are the unigram table."""
+def _sender(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sends chunks' words to their buckets."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,6 +141,13 @@ def unigram_table(chunks: DataFrame, buckets: int) -> DataFrame:
                 full = [i for i, x in enumerate(parts) if len(x)]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["chunk"]] * len(full)), pa.array([words[parts[i]].tobytes() for i in full], pa.binary()), pa.array([pack(trained[parts[i]]) for i in full], pa.binary())], ["bucket", "chunk", "words", "trained"])
 
+    return send
+
+
+def unigram_table(chunks: DataFrame, buckets: int) -> DataFrame:
+    """Staged by kind: "chunk" rows give a chunk its words' ids and counts of one bucket, in the order in which it
+    sent them; "model" rows are the unigram table."""
+
     def meet(rows: pa.Table) -> pa.Table:
         bucket, chunk = rows.column("bucket")[0].as_py(), rows.column("chunk").to_pylist()
         lists = [np.frombuffer(x, np.uint64) for x in rows.column("words").to_pylist()]
@@ -152,14 +167,14 @@ def unigram_table(chunks: DataFrame, buckets: int) -> DataFrame:
         }
         return pa.table([pa.array(v, t) for v, t in zip(columns.values(), (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], list(columns))
 
-    sent = chunks.select("chunk", "words", "trained", "buckets").mapInArrow(send, "bucket int, chunk string, words binary, trained binary")
+    sent = chunks.select("chunk", "words", "trained", "buckets").mapInArrow(_sender(buckets), "bucket int, chunk string, words binary, trained binary")
     return staged(sent.groupBy("bucket").applyInArrow(meet, "kind string, bucket int, chunk string, words binary, ids binary, counts binary, tokens long, types long, coc array<bigint>"), "katz-unigrams", "kind")
 
 
 def _bigrams(chunks: DataFrame, unigrams: DataFrame, model: Unigrams, trained_docs: int, buckets: int) -> DataFrame:
     """Of each chunk, packed bigrams with documents by context bucket, and a "docs" row with what is known per document."""
     kind = chunks.schema["doc_ids"].dataType.elementType
-    hot = max(1000, model.tokens // (4 * buckets))
+    hot = max(1000, model.tokens // (4 * buckets), model.tokens // DEALT)
 
     def send(chunk: pa.Table, words: pa.Table) -> pa.Table:
         row = chunk.to_pylist()[0]
@@ -180,10 +195,19 @@ def _bigrams(chunks: DataFrame, unigrams: DataFrame, model: Unigrams, trained_do
         before[starts] = 0
         word_bits, doc_bits = int(len(bucket) + 1).bit_length(), len(lengths).bit_length()
         keys, n = np.unique(((tokens + 1) << word_bits | before) << doc_bits | doc, return_counts=True)
-        doc, w1, w2 = keys & ((1 << doc_bits) - 1), keys >> doc_bits & ((1 << word_bits) - 1), keys >> doc_bits + word_bits
+        doc, pair = keys & ((1 << doc_bits) - 1), keys >> doc_bits
+        held = np.array(row["held"])
+        start = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        size = np.diff(np.append(start, len(pair)))
+        many = np.flatnonzero(size >= MANY)
+        inside = np.repeat(size >= MANY, size)
+        shared = (np.repeat(np.arange(len(many)), size[many]), doc[inside], n[inside])
+        code = np.append(doc[~inside] * 4 + held[doc[~inside]], (len(lengths) + np.arange(len(many))) * 4 + 2)
+        trained = np.bincount(shared[0], weights=np.where(held[shared[1]], 0, shared[2]), minlength=len(many)).astype(np.int64)
+        n, pair = np.append(n[~inside], trained), np.append(pair[~inside], pair[start[many]])
+        w1, w2 = pair & ((1 << word_bits) - 1), pair >> word_bits
         salt = mixed(ids[w2]) % (1 + counts[w1] // hot).astype(np.uint64)
         to = (mixed(ids[w1].astype(np.uint64) + salt * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.uint32)
-        held = np.array(row["held"])
         by = np.argsort(to, kind="stable")
         cuts = np.searchsorted(to[by], np.arange(buckets + 1))
         rows: list[tuple] = []
@@ -191,11 +215,12 @@ def _bigrams(chunks: DataFrame, unigrams: DataFrame, model: Unigrams, trained_do
             if cuts[b] == cuts[b + 1]:
                 continue
             x = by[cuts[b] : cuts[b + 1]]
+            x = x[np.argsort(w2[x], kind="stable")]
             second, run = np.unique(w2[x], return_counts=True)
             first, place = np.unique(w1[x], return_inverse=True)
-            arrays = (ids[second], run.astype(np.uint32), counts[second], ids[first], counts[first], place.astype(np.uint32), (doc[x] * 2 + held[doc[x]]).astype(np.uint32), n[x].astype(np.uint32))
+            arrays = (ids[second], run.astype(np.uint32), counts[second], ids[first], counts[first], place.astype(np.uint32), code[x].astype(np.uint32), n[x].astype(np.uint32))
             rows.append((b, row["chunk"], [pack(a) for a in arrays], None, None))
-        rows.append((int(row["chunk"][:8], 16) % buckets, row["chunk"], [pack(a) for a in (held.astype(np.uint8), lengths, per_doc[1], per_doc[0])], row["doc_ids"], len(lengths)))
+        rows.append((int(row["chunk"][:8], 16) % buckets, row["chunk"], [pack(a) for a in (held.astype(np.uint8), lengths, per_doc[1], per_doc[0], *(x.astype(np.uint32) for x in shared))], row["doc_ids"], len(lengths)))
         types = (pa.int32(), pa.string(), pa.list_(pa.binary()), chunk.schema.field("doc_ids").type, pa.int64())
         return pa.table([pa.array(v, t) for v, t in zip(zip(*rows), types)], ["bucket", "chunk", "parts", "doc_ids", "n_docs"])
 
@@ -204,6 +229,20 @@ def _bigrams(chunks: DataFrame, unigrams: DataFrame, model: Unigrams, trained_do
     return left.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(send, f"bucket int, chunk string, parts array<binary>, doc_ids array<{kind.simpleString()}>, n_docs long")
 
 
+def _gathered(items: list[dict]) -> tuple:
+    """Of the rows that chunks sent to a bucket: first and second word, their counts, document codes, and occurrences;
+    each chunk's first document, and how many there are."""
+    cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+    offset, offsets = 0, []
+    for r in items:
+        second, run, count2, first, count1, place, doc, n = (unpack(x, t) for x, t in zip(r["parts"], (np.int64, np.uint32, np.int64, np.int64, np.int64, np.uint32, np.uint32, np.uint32)))
+        for col, x in zip(cols, (first[place], np.repeat(second, run), np.repeat(count2, run), count1[place], doc.astype(np.int64) + 4 * offset, n)):
+            col.append(x)
+        offsets.append(offset)
+        offset += int(doc.max()) // 4 + 1
+    return *map(np.concatenate, cols), offsets, offset
+
+
 def bigram_table(sent: DataFrame, model: Unigrams) -> DataFrame:
     """Staged by kind. "bigrams": a bucket's part of the bigram table with its contexts, and what its documents have
     so far; "docs": the rows of documents."""
@@ -215,22 +254,15 @@ def bigram_table(sent: DataFrame, model: Unigrams) -> DataFrame:
         items = [r for r in items if r["doc_ids"] is None]
         out: list[dict] = [{"kind": "docs", "bucket": bucket, "chunk": r["chunk"], "parts": r["parts"], "doc_ids": r["doc_ids"]} for r in docs]
         if items:
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
-            offset, offsets = 0, []
-            for r in items:
-                second, run, count2, first, count1, place, doc, n = (unpack(x, t) for x, t in zip(r["parts"], (np.int64, np.uint32, np.int64, np.int64, np.int64, np.uint32, np.uint32, np.uint32)))
-                for col, x in zip(cols, (first[place], np.repeat(second, run), np.repeat(count2, run), count1[place], doc.astype(np.int64) + 2 * offset, n)):
-                    col.append(x)
-                offsets.append(offset)
-                offset += int(doc.max()) // 2 + 1
-            w1, w2, c2, c1, doc, n = map(np.concatenate, cols)
-            cols.clear()
+            w1, w2, c2, c1, doc, n, offsets, offset = _gathered(items)
             order = np.lexsort((w2, w1))
             w1, w2, c2, c1, doc, n = (x[order] for x in (w1, w2, c2, c1, doc, n))
+            del order
             new = np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]))
             starts = np.flatnonzero(new)
-            held, doc = doc & 1, doc >> 1
-            pair_count = np.add.reduceat(np.where(held, 0, n).astype(np.int64), starts)
+            pair_count = np.add.reduceat(np.where(doc & 1, 0, n).astype(np.int64), starts)
+            n = np.where(doc & 2, 1, n)  # of a bigram sent once, the score is asked for once
+            doc = doc >> 2
             ctx_new = np.append(True, w1[starts][1:] != w1[starts][:-1])
             ctx_of_pair, ctx_starts = np.cumsum(ctx_new) - 1, np.flatnonzero(ctx_new)
             ctx_count = c1[starts][ctx_starts]
@@ -277,63 +309,169 @@ def _sum_coc(rows: list) -> list[int]:
     return [sum(r["coc"][i] for r in rows) for i in range(K + 1)]
 
 
-def score(docs: DataFrame, held: Column | None = None, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """Train on the documents that are not held out and score all: doc_id, held_out, n_tokens, n_known,
-    train_tokens, base_score, score (log10)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    buckets = partitions(spark)
+@dataclass
+class Katz:
+    """A fitted model: its tables in the shared folder, and numbers of fixed size."""
+
+    unigrams: DataFrame
+    bigrams: DataFrame
+    words: Unigrams
+    d: list[float]
+    hot: dict[int, tuple]
+    trained_docs: int
+    buckets: int
+
+    def weights(self, ids: np.ndarray, count: np.ndarray, mass: np.ndarray, partial: np.ndarray, small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of contexts: log10 of the backoff weights, and whether they have no discounted count."""
+        log_weight, bare = np.log10(backoff_weights(count, mass, small, self.d)), small.sum(0) == 0
+        for i in np.flatnonzero(partial):
+            log_weight[i], bare[i] = self.hot[int(ids[i])]
+        return log_weight, bare
+
+
+TABLE = (np.int64, np.uint32, np.int64, np.int64, np.int64, np.float64, np.uint8, *[np.uint32] * K)
+
+
+def fit(docs: DataFrame, held: Column | None = None, chunk_tokens: int = CHUNK_TOKENS) -> Katz:
+    """Train on the documents that are not held out; all of docs can be scored afterwards by scores_of."""
+    bounded_batches(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
+    buckets = max(2, -(-size // BUCKET_BYTES))
     chunks = chunked(docs, held_out() if held is None else held, buckets, chunk_tokens)
     unigrams = unigram_table(chunks, buckets)
     sums = unigrams.where("kind = 'model'").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), *[F.sum(F.col("coc")[i]).alias(f"n{i}") for i in range(K + 1)]).first()
-    model = Unigrams(sums["n"] or 0, sums["v"] or 0, [sums[f"n{i}"] or 0 for i in range(K + 1)])
+    words = Unigrams(sums["n"] or 0, sums["v"] or 0, [sums[f"n{i}"] or 0 for i in range(K + 1)])
     trained_docs = chunks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
-    table = bigram_table(_bigrams(chunks, unigrams, model, trained_docs, buckets), model)
+    table = bigram_table(_bigrams(chunks, unigrams, words, trained_docs, buckets), words)
     pairs = table.where("kind = 'bigrams'")
     coc = pairs.agg(*[F.sum(F.col("coc")[i]).alias(f"n{i}") for i in range(K + 1)]).first()
     d = discounts([coc[f"n{i}"] or 0 for i in range(K + 1)])
-    hot: dict[int, list] = {}
-    for r in pairs.select(F.explode("hot").alias("h")).select("h.*").collect():  # at most 8 a bucket
-        known = hot.setdefault(r["id"], [r["count"], 0.0, np.zeros(K, np.int64)])
-        known[1] += r["mass"]
-        known[2] += np.array(r["small"])
-    hot_weight = {k: (float(backoff_weights(np.array([c]), np.array([m]), s[:, None], d)[0]), bool(s.sum() == 0)) for k, (c, m, s) in hot.items()}
+    hot = pairs.select(F.explode("hot").alias("h")).groupBy("h.id").agg(F.max("h.count").alias("count"), F.sum("h.mass").alias("mass"), *[F.sum(F.col("h.small")[i]).alias(f"s{i}") for i in range(K)])
+    whole = {}
+    for r in hot.collect():  # DEALT rows at most
+        small = np.array([[r[f"s{i}"]] for i in range(K)])
+        whole[r["id"]] = (float(np.log10(backoff_weights(np.array([r["count"]]), np.array([r["mass"]]), small, d)[0])), not small.any())
+    return Katz(unigrams, table, words, d, whole, trained_docs, buckets)
+
+
+def _gather(model: Katz, rows: DataFrame, kind: str) -> DataFrame:
+    """Results from rows of chunks' documents, and of their sums from each bucket."""
+
+    def gather(rows: pa.Table) -> pa.Table:
+        items = rows.to_pylist()
+        row = next(r for r in items if r["doc_ids"] is not None)
+        held, lengths, known, base, pair, doc, n = (unpack(x, t) for x, t in zip(row["parts"], (np.uint8, np.int64, np.int64, np.float64, np.uint32, np.uint32, np.uint32)))
+        total = np.zeros(len(lengths) + (int(pair.max()) + 1 if len(pair) else 0))
+        for r in items:
+            if r["doc_ids"] is None:
+                total[unpack(r["parts"][0], np.uint32)] += unpack(r["parts"][1], np.float64)
+        total, shared = total[: len(lengths)], total[len(lengths) :]
+        total = total + np.bincount(doc, weights=n * shared[pair], minlength=len(lengths))
+        return pa.table([pa.array(row["doc_ids"], rows.schema.field("doc_ids").type.value_type), pa.array(held.astype(bool)), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), model_tokens, np.int64)), pa.array(base), pa.array(total)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    model_tokens = model.words.tokens
+    return rows.groupBy("chunk").applyInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _dealt(chunks: list[str], offsets: list[int], touched: np.ndarray, value: np.ndarray) -> tuple[list[str], list[list[bytes]]]:
+    """A bucket's sums, by chunk."""
+    cuts = np.append(np.searchsorted(touched, np.array(offsets)), len(touched))
+    return chunks, [[pack((touched[a:b] - o).astype(np.uint32)), pack(value[a:b])] for a, b, o in zip(cuts, cuts[1:], offsets)]
+
+
+def _parts(model: Katz) -> Katz:
+    """What tasks need of a model."""
+    return Katz(None, None, model.words, model.d, model.hot, model.trained_docs, model.buckets)
+
+
+def scores_of(model: Katz) -> DataFrame:
+    """Scores of the documents that fit() was given, held out or not: doc_id, held_out, n_tokens, n_known,
+    train_tokens, base_score, score (log10)."""
+    pairs, shared = model.bigrams.where("kind = 'bigrams'"), model.bigrams.sparkSession.sparkContext.broadcast(_parts(model))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_d = np.log10(d)
+        model = shared.value
+        log_d = np.log10(model.d)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, _, _, _, count, mass, partial, *small = (unpack(x, t) for x, t in zip(row["parts"], (np.int64, np.uint32, np.int64, np.int64, np.int64, np.float64, np.uint8, *[np.uint32] * K)))
+                ids, _, _, _, count, mass, partial, *small = (unpack(x, t) for x, t in zip(row["parts"], TABLE))
                 touched, value, *rest = (unpack(x, t) for x, t in zip(row["scores"], (np.int64, np.float64, *[np.uint32] * K, np.uint32, np.int64, np.uint32, np.uint32, np.int64, np.uint32)))
-                weight = backoff_weights(count, mass, np.array(small, np.int64), d)
-                log_weight, bare = np.log10(weight), np.zeros(len(ids), bool)
-                for i in np.flatnonzero(partial):
-                    w, bare[i] = hot_weight[int(ids[i])]
-                    log_weight[i] = math.log10(w)
+                log_weight, bare = model.weights(ids, count, mass, partial, np.array(small, np.int64))
                 value = value + sum(log_d[r] * rest[r] for r in range(K))
                 miss_ctx, miss_doc, miss_n, ctx, doc, n = rest[K:]
                 size = int(touched[-1]) + 1
                 more = np.bincount(miss_doc, weights=miss_n * log_weight[miss_ctx], minlength=size)
                 more += np.bincount(doc, weights=n * np.where(bare[ctx], np.log10(count[ctx] / (count[ctx] + 1)), 0.0), minlength=size)
-                value = value + more[touched]
-                cuts = np.searchsorted(touched, np.array([*row["offsets"], size]))
-                cuts[-1] = len(touched)
-                parts = [[pack((touched[a:b] - o).astype(np.uint32)), pack(value[a:b])] for a, b, o in zip(cuts, cuts[1:], row["offsets"])]
-                yield pa.RecordBatch.from_arrays([pa.array(row["chunks"]), pa.array(parts, pa.list_(pa.binary()))], ["chunk", "parts"])
+                chunks, parts = _dealt(row["chunks"], row["offsets"], touched, value + more[touched])
+                yield pa.RecordBatch.from_arrays([pa.array(chunks), pa.array(parts, pa.list_(pa.binary()))], ["chunk", "parts"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    known = table.where("kind = 'docs'").select("chunk", "parts", "doc_ids")
+    known = model.bigrams.where("kind = 'docs'").select("chunk", "parts", "doc_ids")
     sent = pairs.select("chunks", "offsets", "parts", "scores").mapInArrow(weigh, "chunk string, parts array<binary>")
-    both = known.unionByName(sent.withColumn("doc_ids", F.lit(None).cast(f"array<{kind}>")))
-
-    def gather(rows: pa.Table) -> pa.Table:
-        items = rows.to_pylist()
-        row = next(r for r in items if r["doc_ids"] is not None)
-        held, lengths, known, base = (unpack(x, t) for x, t in zip(row["parts"], (np.uint8, np.int64, np.int64, np.float64)))
-        total = np.zeros(len(lengths))
-        for r in items:
-            if r["doc_ids"] is None:
-                total[unpack(r["parts"][0], np.uint32)] += unpack(r["parts"][1], np.float64)
-        return pa.table([pa.array(row["doc_ids"], rows.schema.field("doc_ids").type.value_type), pa.array(held.astype(bool)), pa.array(lengths), pa.array(known), pa.array(np.full(len(lengths), model.tokens, np.int64)), pa.array(base), pa.array(total)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return both.groupBy("chunk").applyInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    whole = model.bigrams.schema["doc_ids"].dataType
+    return _gather(model, known.unionByName(sent.withColumn("doc_ids", F.lit(None).cast(whole))), whole.elementType.simpleString())
+
+
+def _looked_up(model: Katz, chunks: DataFrame) -> DataFrame:
+    """Ids and training counts of chunks' words from the unigram table; unknown words have -1 and 0."""
+
+    def look(words: pa.Table, table: pa.Table) -> pa.Table:
+        row = (table.to_pylist() or [None])[0]
+        known = np.frombuffer(row["words"], np.uint64) if row else np.empty(0, np.uint64)
+        ids, counts = (unpack(row["ids"], np.int64), unpack(row["counts"], np.int64)) if row else (np.empty(0, np.int64),) * 2
+        out = []
+        for r in words.to_pylist():
+            asked = np.frombuffer(r["words"], np.uint64)
+            at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
+            hit = known[at] == asked if len(known) else np.zeros(len(asked), bool)
+            found = [np.full(len(asked), -1), np.zeros(len(asked), np.int64)]
+            for x, own in zip(found, (ids, counts)):
+                x[hit] = own[at[hit]]
+            out.append((r["chunk"], r["bucket"], *map(pack, found)))
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary(), pa.binary()))], ["chunk", "bucket", "ids", "counts"])
+
+    sent = chunks.select("chunk", "words", "trained", "buckets").mapInArrow(_sender(model.buckets), "bucket int, chunk string, words binary, trained binary")
+    table = model.unigrams.where("kind = 'model'").select("bucket", "words", "ids", "counts")
+    return sent.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(look, "chunk string, bucket int, ids binary, counts binary")
+
+
+def score(model: Katz, docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Scores of any documents by a fitted model's tables, as scores_of gives them; held_out is true."""
+    bounded_batches(docs.sparkSession)
+    chunks = chunked(docs, F.lit(True), model.buckets, chunk_tokens)
+    ids = staged(_looked_up(model, chunks), "katz-words")
+    sent = _bigrams(chunks, ids.withColumn("kind", F.lit("chunk")), model.words, model.trained_docs, model.buckets)
+    shared, kind = docs.sparkSession.sparkContext.broadcast(_parts(model)), sent.schema["doc_ids"].dataType
+
+    def evaluate(rows: pa.Table, table: pa.Table) -> pa.Table:
+        model, items = shared.value, rows.to_pylist()
+        out = [(r["chunk"], r["parts"], r["doc_ids"]) for r in items if r["doc_ids"] is not None]
+        items = [r for r in items if r["doc_ids"] is None]
+        if items:
+            w1, w2, c2, c1, doc, n, offsets, _ = _gathered(items)
+            n, doc = np.where(doc & 2, 1, n), doc >> 2
+            parts = (table.to_pylist() or [{"parts": None}])[0]["parts"]
+            own, sizes, second, pairs, count, mass, partial, *small = (unpack(x, t) for x, t in zip(parts, TABLE)) if parts else (np.empty(0, t) for t in TABLE)
+            log_weight, bare = model.weights(own, count, mass, partial, np.array(small, np.int64).reshape(K, len(own)))
+            keys = np.repeat(np.arange(len(own)), sizes) << 40 | second  # ids of words stay below 2^40
+            ctx = np.searchsorted(own, w1)
+            there = np.append(own, -2)[ctx] == w1
+            at = np.searchsorted(keys, ctx << 40 | np.maximum(w2, 0))
+            seen = there & (np.append(keys, -1)[at] == (ctx << 40 | w2)) & (w2 >= 0)
+            back = np.zeros(len(w1))
+            back[there] = log_weight[ctx[there]]
+            for i in np.flatnonzero(~there & (c1 > 0)):  # a dealt context none of whose bigrams are here
+                back[i] = model.hot[int(w1[i])][0]
+            r = np.append(pairs, 0)[np.where(seen, at, len(pairs))]
+            discount = np.array([1.0, *model.d, 1.0])[np.minimum(r, K + 1)]
+            whole = np.append(count + bare, 1)[np.where(there, ctx, len(own))]
+            with np.errstate(divide="ignore"):
+                value = n * np.where(seen, np.log10(discount * r / np.maximum(whole, 1)), np.where(c1 > 0, back, 0.0) + np.log10(model.words.p(c2)))
+            sums = np.bincount(doc, weights=value)
+            touched = np.flatnonzero(np.bincount(doc))
+            out += [(c, p, None) for c, p in zip(*_dealt([r["chunk"] for r in items], offsets, touched, sums[touched]))]
+        types = (pa.string(), pa.list_(pa.binary()), rows.schema.field("doc_ids").type)
+        return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["chunk", "parts", "doc_ids"])
+
+    table = model.bigrams.where("kind = 'bigrams'").select("bucket", "parts")
+    met = sent.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(evaluate, f"chunk string, parts array<binary>, doc_ids {kind.simpleString()}")
+    return _gather(model, met, kind.elementType.simpleString())

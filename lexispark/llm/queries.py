@@ -13,7 +13,7 @@ from .common import read
 
 def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Katz backoff scores of every document by a model of those that are not held out."""
-    return katz_model.score(read(spark, sf_dir, "documents"))
+    return katz_model.scores_of(katz_model.fit(read(spark, sf_dir, "documents")))
 
 
 def op2_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, new_path, partitions, staged, text_bytes
 
 #: Ids of a frame; bytes of text for one file.
-FRAME_TOKENS, FILE_BYTES = 1 << 16, 16 << 20
+FRAME_TOKENS, FILE_BYTES = 1 << 16, 256 << 20
 INDEX_MAGIC, TABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 TOKENIZERS: dict[str, WordIds] = {}
 
@@ -182,7 +182,7 @@ def write_documents(docs: DataFrame, tokenizer_path: str, end_id: int, path: str
     spark = docs.sparkSession
     bounded_batches(spark)
     path = path or new_path(spark, "token-frames")
-    files = files or -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // FILE_BYTES)
+    files = files or max(partitions(spark), -(-(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // FILE_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, writer, docs = word_ids(tokenizer_path), None, 0

@@ -2,12 +2,13 @@
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
-from brute import Katz, components, contamination
+from brute import SPACED, Katz, components, contamination, low
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -24,29 +25,36 @@ def texts(spark, data):
     return {r["doc_id"]: r["text"] for r in read(spark, data, "documents").collect()}
 
 
-@pytest.mark.parametrize("buckets", ["3", "64"])
-def test_katz(spark, data, buckets):
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", buckets)
-    try:
-        got = {r["doc_id"]: r for r in katz_model.score(read(spark, data, "documents"), chunk_tokens=9000).collect()}
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+@pytest.mark.parametrize(("bucket_bytes", "many"), [(1 << 20, 3), (4000, 48)])
+def test_katz(spark, data, monkeypatch, bucket_bytes, many):
+    monkeypatch.setattr(katz_model, "BUCKET_BYTES", bucket_bytes)
+    monkeypatch.setattr(katz_model, "MANY", many)
+    fitted = katz_model.fit(read(spark, data, "documents"), chunk_tokens=9000)
+    got = {r["doc_id"]: r for r in katz_model.scores_of(fitted).collect()}
     model = Katz(texts(spark, data), katz_model.discounts)
     for k, w in model.docs.items():
         r = got[k]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (model.held[k], len(w), sum(model.words[x] > 0 for x in w), model.n)
         assert r["score"] == pytest.approx(model.score(k), abs=1e-6) and r["base_score"] == pytest.approx(model.base(k), abs=1e-6)
+    other = {1: "new words " + " ".join(x or "" for x in model.docs[0][:300]), 2: None, 3: "zzz yyy the the of xxx", 4: " ".join(x or "" for k in list(model.docs)[-5:] for x in model.docs[k])}
+    by_table = {r["doc_id"]: r for r in katz_model.score(fitted, documents(spark, list(other.items())), chunk_tokens=500).collect()}
+    for k, t in other.items():
+        w = [*SPACED.findall(low(t)), None]
+        assert (by_table[k]["n_tokens"], by_table[k]["n_known"]) == (len(w), sum(model.words[x] > 0 for x in w))
+        assert by_table[k]["score"] == pytest.approx(sum(math.log10(model.p(h, x)) for h, x in zip([0, *w], w)), abs=1e-6)
+    again = {r["doc_id"]: r["score"] for r in katz_model.score(fitted, read(spark, data, "documents")).collect()}
+    assert again == pytest.approx({k: r["score"] for k, r in got.items()}, abs=1e-6)
     for h in list(model.back)[:50]:
         assert sum(model.p(h, w) for w in model.words) + model.back[h][0] * model.unknown * (model.contexts[h] > 0) == pytest.approx(1)
 
 
 def test_katz_odd(spark):
     odd = documents(spark, [(1, None), (2, ""), (None, "a b"), (1, "a b"), (3, "A  b\tc")])
-    got = katz_model.score(odd).collect()
+    scored = lambda docs: katz_model.scores_of(katz_model.fit(docs))
+    got = scored(odd).collect()
     assert sorted(r["n_tokens"] for r in got) == [1, 1, 3, 3, 4]
-    assert katz_model.score(odd.limit(0)).count() == 0
-    only = katz_model.score(documents(spark, [(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2])).collect()
+    assert scored(odd.limit(0)).count() == 0 and katz_model.score(katz_model.fit(odd), odd.limit(0)).count() == 0
+    only = scored(documents(spark, [(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2])).collect()
     assert all(r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 for r in only)
 
 
