@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, staged, text_bytes
-from .packing import mixed, pack, unpack
+from .packing import gaps, mixed, pack, sums, unpack
 from .words import Hashes, spaced
 
 #: Tokens of a chunk; bytes of text for one bucket; documents of a chunk with a bigram from which it is sent once; the
@@ -215,11 +215,11 @@ def _bigrams(chunks: DataFrame, unigrams: DataFrame, model: Unigrams, trained_do
             if cuts[b] == cuts[b + 1]:
                 continue
             x = by[cuts[b] : cuts[b + 1]]
-            x = x[np.argsort(w2[x], kind="stable")]
-            second, run = np.unique(w2[x], return_counts=True)
-            first, place = np.unique(w1[x], return_inverse=True)
-            arrays = (ids[second], run.astype(np.uint32), counts[second], ids[first], counts[first], place.astype(np.uint32), code[x].astype(np.uint32), n[x].astype(np.uint32))
-            rows.append((b, row["chunk"], [pack(a) for a in arrays], None, None))
+            x = x[np.lexsort((ids[w1[x]], ids[w2[x]]))]
+            second, at, run = np.unique(ids[w2[x]], return_index=True, return_counts=True)
+            first, from_, place = np.unique(ids[w1[x]], return_index=True, return_inverse=True)
+            arrays = (run.astype(np.uint32), counts[w2[x[at]]], counts[w1[x[from_]]], place.astype(np.uint32), code[x].astype(np.uint32), n[x].astype(np.uint32))
+            rows.append((b, row["chunk"], [*(gaps((i + 1).astype(np.uint64)) for i in (second, first)), *(pack(a) for a in arrays)], None, None))  # unknown words are -1
         rows.append((int(row["chunk"][:8], 16) % buckets, row["chunk"], [pack(a) for a in (held.astype(np.uint8), lengths, per_doc[1], per_doc[0], *(x.astype(np.uint32) for x in shared))], row["doc_ids"], len(lengths)))
         types = (pa.int32(), pa.string(), pa.list_(pa.binary()), chunk.schema.field("doc_ids").type, pa.int64())
         return pa.table([pa.array(v, t) for v, t in zip(zip(*rows), types)], ["bucket", "chunk", "parts", "doc_ids", "n_docs"])
@@ -235,7 +235,8 @@ def _gathered(items: list[dict]) -> tuple:
     cols: list[list[np.ndarray]] = [[] for _ in range(6)]
     offset, offsets = 0, []
     for r in items:
-        second, run, count2, first, count1, place, doc, n = (unpack(x, t) for x, t in zip(r["parts"], (np.int64, np.uint32, np.int64, np.int64, np.int64, np.uint32, np.uint32, np.uint32)))
+        second, first = (sums(x).astype(np.int64) - 1 for x in r["parts"][:2])
+        run, count2, count1, place, doc, n = (unpack(x, t) for x, t in zip(r["parts"][2:], (np.uint32, np.int64, np.int64, np.uint32, np.uint32, np.uint32)))
         for col, x in zip(cols, (first[place], np.repeat(second, run), np.repeat(count2, run), count1[place], doc.astype(np.int64) + 4 * offset, n)):
             col.append(x)
         offsets.append(offset)
@@ -278,15 +279,15 @@ def bigram_table(sent: DataFrame, model: Unigrams) -> DataFrame:
             seen, bare = count > 0, (small.sum(0) == 0)
             whole = ctx_count + (bare & ~partial)
             value = n * np.where(seen, np.log10(np.maximum(count, 1)) - np.log10(np.maximum(whole[ctx], 1)), np.log10(lower))
-            sums = [np.bincount(doc, weights=value, minlength=offset)]
-            sums += [np.bincount(doc, weights=np.where(count == r, n, 0), minlength=offset) for r in range(1, K + 1)]
+            per_doc = [np.bincount(doc, weights=value, minlength=offset)]
+            per_doc += [np.bincount(doc, weights=np.where(count == r, n, 0), minlength=offset) for r in range(1, K + 1)]
             touched = np.flatnonzero(np.bincount(doc, minlength=offset))
             missed = np.flatnonzero(~seen & (ctx_count[ctx] > 0))
             doubt = np.flatnonzero(seen & (bare & partial)[ctx])
             kept = pair_count > 0
             table = [w1[starts][ctx_starts], np.bincount(ctx_of_pair[kept], minlength=len(ctx_starts)).astype(np.uint32), w2[starts][kept], pair_count[kept]]
             contexts = [ctx_count, seen_mass, partial.astype(np.uint8), *small.astype(np.uint32)]
-            about = [touched, sums[0][touched], *(x[touched].astype(np.uint32) for x in sums[1:])]
+            about = [touched, per_doc[0][touched], *(x[touched].astype(np.uint32) for x in per_doc[1:])]
             later = [ctx[missed].astype(np.uint32), doc[missed], n[missed].astype(np.uint32), ctx[doubt].astype(np.uint32), doc[doubt], n[doubt].astype(np.uint32)]
             hot = [{"id": int(table[0][i]), "count": int(ctx_count[i]), "mass": float(seen_mass[i]), "small": small[:, i].tolist()} for i in np.flatnonzero(partial)]
             out.append({"kind": "bigrams", "bucket": bucket, "chunks": [r["chunk"] for r in items], "offsets": offsets, "parts": [pack(x) for x in (*table, *contexts)], "scores": [pack(x) for x in (*about, *later)], "coc": _counts_of(pair_count), "hot": hot})
@@ -339,8 +340,8 @@ def fit(docs: DataFrame, held: Column | None = None, chunk_tokens: int = CHUNK_T
     buckets = max(2, -(-size // BUCKET_BYTES))
     chunks = chunked(docs, held_out() if held is None else held, buckets, chunk_tokens)
     unigrams = unigram_table(chunks, buckets)
-    sums = unigrams.where("kind = 'model'").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), *[F.sum(F.col("coc")[i]).alias(f"n{i}") for i in range(K + 1)]).first()
-    words = Unigrams(sums["n"] or 0, sums["v"] or 0, [sums[f"n{i}"] or 0 for i in range(K + 1)])
+    seen = unigrams.where("kind = 'model'").agg(F.sum("tokens").alias("n"), F.sum("types").alias("v"), *[F.sum(F.col("coc")[i]).alias(f"n{i}") for i in range(K + 1)]).first()
+    words = Unigrams(seen["n"] or 0, seen["v"] or 0, [seen[f"n{i}"] or 0 for i in range(K + 1)])
     trained_docs = chunks.agg(F.sum(F.size(F.filter("held", lambda x: ~x)))).first()[0] or 0
     table = bigram_table(_bigrams(chunks, unigrams, words, trained_docs, buckets), words)
     pairs = table.where("kind = 'bigrams'")
@@ -466,9 +467,8 @@ def score(model: Katz, docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> Dat
             whole = np.append(count + bare, 1)[np.where(there, ctx, len(own))]
             with np.errstate(divide="ignore"):
                 value = n * np.where(seen, np.log10(discount * r / np.maximum(whole, 1)), np.where(c1 > 0, back, 0.0) + np.log10(model.words.p(c2)))
-            sums = np.bincount(doc, weights=value)
             touched = np.flatnonzero(np.bincount(doc))
-            out += [(c, p, None) for c, p in zip(*_dealt([r["chunk"] for r in items], offsets, touched, sums[touched]))]
+            out += [(c, p, None) for c, p in zip(*_dealt([r["chunk"] for r in items], offsets, touched, np.bincount(doc, weights=value)[touched]))]
         types = (pa.string(), pa.list_(pa.binary()), rows.schema.field("doc_ids").type)
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["chunk", "parts", "doc_ids"])
 
