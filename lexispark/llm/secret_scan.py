@@ -1,23 +1,27 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
 Candidates are runs of 16 or more characters of keys and tokens with both a letter and a digit; values of 6 or more
-characters that are assigned to a credential's name, in quotes or up to white space; keys with a provider's prefix;
-and private keys in PEM, to the end mark or, without one, as far as lines look like theirs. PEM blocks, keys
-by prefix, and assigned values with a letter, a digit and a sign of passwords are secrets by their form, the last two
-unless they hold a placeholder. For the others, features are the length, the
-characters and their transitions, how much of it dictionary words cover, the document's path, and the words beside
-it. The forest is trained on labelled findings: rows (value, before, after, path, label). Where none are given,
+characters that are assigned to a credential's name, in quotes or up to white space; passwords in addresses; keys with
+a provider's prefix; and private keys in PEM, to the end mark or, without one, as far as lines look like theirs. PEM
+blocks, keys by prefix, passwords in addresses, and assigned values with a letter, a digit and a sign of passwords
+are secrets by their form, the last three unless they hold a placeholder. For the others, the forest's features are
+the length and the kinds of characters; how likely the transitions between characters are in words of a public
+vocabulary, and how much of the value such words cover; the document's path, its parts hashed; and the words beside
+the value, hashed by place. No pattern that labels are made by is a feature.
+
+The forest is trained on labelled findings: rows (value, before, after, path, label). Where none are given,
 `weak_findings` labels a bounded sample of the corpus's own candidates: one assigned to a credential's name is a
-secret; one after a word for digests or in an address is not; others have no label. Made from each: the same value
-after words for digests, and dictionary words or placeholders in its place, are not secrets; other random values
-and short passwords are, in its place or assigned to a name.
+secret; one after a word for digests or in an address is not; others have no label. Made from each: random values of
+several alphabets and short passwords after names of credentials are secrets; the same values after words for digests,
+or beside plain words, and identifiers, dictionary words and placeholders wherever they stand, are not.
 
 What none of these forms has is never masked: secrets in free text that are shorter than 16 characters or have no
 digit, without a known prefix; assigned values under 6 or over 4,096 characters; and names that CREDENTIAL doesn't list.
 
 The forest is fitted by Spark's ML library on at most `sample` findings; candidates are scored where the documents
 are read, without a shuffle. Null texts have no candidates, null paths count as empty; repeated documents are
-scanned row by row; ranges are in characters, and secrets that overlap are one. An empty table gives no rows.
+scanned row by row; ranges are in characters, and secrets that overlap are one. An empty table gives no rows. Texts
+of any length are scanned whole. Columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -25,7 +29,10 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
+import random
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,14 +49,20 @@ CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.\-]{16,}")
 ASSIGNED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|passphrase|api.?key|access.?key|private.?key|credential)[\w-]{0,20}["'`]?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}(?:"([^"\n]{6,4096})"|'([^'\n]{6,4096})'|`([^`\n]{6,4096})`|([^\s"'`,;<>(){}\[\]]{6,4096}))""")
 PROVIDER = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[\w-]{20,}|xox[abeoprs]-[\w-]{10,}|AIza[\w-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{16,}\.[\w-]{16,})(?![A-Za-z0-9])")
 PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S]){0,20000}?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----|(?:\s+(?:[A-Za-z-]+: [^\n]*|[A-Za-z0-9+/=]{16,}))*)")
+ADDRESSED = re.compile(r"(?<=://)[^\s:/@\"'<>]{1,256}:([^\s:/@\"'<>]{3,1024})@(?=[\w.\[-])")
+ADDRESSED_BEFORE = re.compile(r"://[^\s:/@]+:$")
 PASSWORD = re.compile(r"(?=[^\s]*[A-Za-z])(?=[^\s]*[0-9])(?=[^\s]*[!@#$%^&*~])[^\s${%<(][^\s]{5,63}")
-BEFORE, AFTER, SAMPLE, CUTOFF = 48, 16, 4000, 0.5
+LETTERS, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+BEFORE, AFTER, SAMPLE, CUTOFF = 48, 16, 8000, 0.5
 CREDENTIAL = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwd|api.?key|access.?key|private.?key|credential|bearer|auth)\w*\W{0,4}$")
 DIGEST = re.compile(r"(?i)(?:commit|sha\d*|md5|checksum|digest|hash|uuid|etag|revision|integrity)\W{0,4}$")
 ADDRESS = re.compile(r"(?i)(?:https?:|www\.|@)\S*$")
-SAMPLE_PATH = re.compile(r"(?i)test|example|sample|fixture|doc")
 PLACEHOLDER = re.compile(r"(?i)example|sample|placeholder|changeme|your|xxx|000000|123456|abcdef")
-NAMES = ["length", "entropy", "digits", "uppers", "lowers", "signs", "transitions", "vowels", "longest_letters", "hex_only", "distinct", "covered", "placeholder", "sample_path", "path_depth", "credential", "digest", "address", "assigned", "quoted", "closed"]
+#: Bins of hashed words before and after a value, and of parts of a path.
+BEFORE_BINS, AFTER_BINS, PATH_BINS = 64, 8, 16
+#: Names that made-up findings stand after.
+CREDENTIALS = ["token", "password", "api_key", "secret", "passwd", "API_KEY", "access_key", "client_secret", "auth_token", "private_key", "credential", "Authorization: Bearer", "DB_PASSWORD", "secretKey"]
+DIGESTS = ["commit", "sha256:", "checksum", "md5 =", "revision:", "digest =", "hash", "etag:", "build", "uuid =", "object", "blob"]
 
 
 def _kind(c: str) -> int:
@@ -70,16 +83,45 @@ def covered(value: str, words: frozenset[str], longest: int) -> float:
     return n / len(text)
 
 
-def features(value: str, before: str, after: str, path: str, words: frozenset[str], longest: int) -> list[float]:
+class Vocabulary:
+    """Words of four letters or more of a public vocabulary, and how likely characters follow each other in them."""
+
+    def __init__(self, words: frozenset[str]):
+        self.words, self.longest = words, max(map(len, words))
+        pairs, firsts = Counter(x for w in words for x in zip(w, w[1:])), Counter(c for w in words for c in w[:-1])
+        self.log = {x: math.log((n + 0.5) / (firsts[x[0]] + 14)) for x, n in pairs.items()}
+        self.unseen = {c: math.log(0.5 / (n + 14)) for c, n in firsts.items()}
+
+    def likelihood(self, value: str) -> float:
+        """Mean logarithm over the transitions; digits and signs follow anything with 1 in 40."""
+        text = value.lower()
+        each = [self.log.get(x, self.unseen.get(x[0], -3.7) if x[1].isalpha() else -3.7) for x in zip(text, text[1:])]
+        return sum(each) / max(1, len(each))
+
+
+def _bin(word: str, bins: int) -> int:
+    return zlib.crc32(word.encode()) % bins
+
+
+def features(value: str, before: str, after: str, path: str, vocabulary: Vocabulary) -> list[float]:
     n = len(value)
     kinds = [_kind(c) for c in value]
     counts = [value.count(c) for c in set(value)]
     letters = max(map(len, re.findall("[A-Za-z]+", value)), default=0)
+    run = max(len(m.group()) for m in re.finditer(r"(.)\1*", value, re.S))
+    near, far, parts = [0.0] * BEFORE_BINS, [0.0] * AFTER_BINS, [0.0] * PATH_BINS
+    for i, word in enumerate(re.findall(r"[a-z]+", before.lower())[:-4:-1]):
+        at = _bin(word, BEFORE_BINS)
+        near[at] = max(near[at], 1 / (1 + i))
+    for word in re.findall(r"[a-z]+", after.lower())[:1]:
+        far[_bin(word, AFTER_BINS)] = 1.0
+    for part in re.findall(r"[a-z]+", path.lower()):
+        parts[_bin(part, PATH_BINS)] = 1.0
     return [
         float(n), -sum(c / n * math.log2(c / n) for c in counts), kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n,
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n, sum(c in "aeiouAEIOU" for c in value) / n, letters / n, float(not value.strip("0123456789abcdefABCDEF")),
-        len(counts) / n, covered(value, words, longest), float(bool(PLACEHOLDER.search(value))), float(bool(SAMPLE_PATH.search(path))), float(path.count("/")),
-        float(bool(CREDENTIAL.search(before))), float(bool(DIGEST.search(before))), float(bool(ADDRESS.search(before))), float(bool(re.search(r"[=:]\W{0,2}$", before))), float(before[-1:] in ('"', "'", "`")), float(after[:1] in ('"', "'", "`")),
+        len(counts) / n, run / n, covered(value, vocabulary.words, vocabulary.longest), vocabulary.likelihood(value), float(path.count("/")),
+        float(bool(re.search(r"[=:]\W{0,2}$", before))), float(before[-1:] in ('"', "'", "`")), float(after[:1] in ('"', "'", "`")), *near, *far, *parts,
     ]
 
 
@@ -89,6 +131,8 @@ def known(value: str, before: str) -> bool:
         return True
     if PLACEHOLDER.search(value):
         return False
+    if ADDRESSED_BEFORE.search(before) and not value.strip("{}$<>%").isalpha():
+        return True
     return bool(PROVIDER.fullmatch(value) or PASSWORD.fullmatch(value) and CREDENTIAL.search(before) and re.search(r"[=:]\W{0,2}$", before))
 
 
@@ -100,7 +144,7 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
         i = bisect.bisect_left(forms, (a, a))
         return not (i and forms[i - 1][1] > a or i < len(forms) and forms[i][0] < b)
 
-    found = {m.span(m.lastindex) for m in ASSIGNED.finditer(text)}
+    found = {m.span(m.lastindex) for p in (ASSIGNED, ADDRESSED) for m in p.finditer(text)}
     for m in CANDIDATE.finditer(text):
         value = m.group().rstrip(".-=") if m.group()[-1] in ".-" else m.group()
         if len(value) >= 16 and any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
@@ -108,10 +152,9 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
     yield from sorted({*forms, *(x for x in found if apart(*x))})
 
 
-def dictionary(ranks_path: str) -> tuple[frozenset[str], int]:
+def dictionary(ranks_path: str) -> Vocabulary:
     """The letter tokens of four characters or more of a public vocabulary, lower-cased."""
-    words = frozenset(t.strip().decode().lower() for t in read_ranks(ranks_path) if t.strip().isalpha() and t.isascii() and len(t.strip()) > 3)
-    return words, max(map(len, words))
+    return Vocabulary(frozenset(t.strip().decode().lower() for t in read_ranks(ranks_path) if t.strip().isalpha() and t.isascii() and len(t.strip()) > 3))
 
 
 def _found(docs: DataFrame, text: str, path: str) -> DataFrame:
@@ -132,37 +175,35 @@ def _varied(value: str, before: str, after: str, path: str, words: list[str]) ->
         yield value, before, after, path, 0
     elif CREDENTIAL.search(before):
         yield value, before, after, path, 1
-    word = lambda i: words[int.from_bytes(draw[i : i + 2], "big") % len(words)]
-    dull = [f"{word(0)}_{word(2)}_{word(4)}_{draw[6] % 10}", f"your-{word(0)}-key-{1000 + draw[1]}", "x" * 12 + f"{draw[2]:03d}example", f"{word(3)}/{word(5)}/v{draw[7] % 9}.{word(9)}"]
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    random = ["".join(alphabet[(draw[i % 32] + 7 * draw[(3 * i + 1) % 32] + i) % 62] for i in range(20 + draw[0] % 24)), hashlib.md5(draw).hexdigest(), "AKIA" + hashlib.sha1(draw).hexdigest()[:16].upper()]
-    named = before if CREDENTIAL.search(before) else f"{before[-20:]} {('token', 'password', 'api_key', 'secret')[draw[8] % 4]} = \""
-    digest = f"{before[-24:-10]} {('commit', 'sha256:', 'checksum', 'md5 =', 'revision:')[draw[9] % 5]} "
-    short = "".join(chr(33 + (draw[i] + 11 * draw[i + 9]) % 94) for i in range(7 + draw[10] % 7)).replace('"', "!")
-    letters = "".join(alphabet[(draw[i % 32] + 5 * draw[(5 * i + 2) % 32] + i) % 52] for i in range(18 + draw[11] % 20))
-    bare = f"{before[-20:].rstrip(chr(34))} {('token', 'password', 'API_KEY', 'secret')[draw[17] % 4]}{('=', ': ')[draw[18] % 2]}"
-    for v in (short, f"{word(12).title()}{draw[13] % 10}{'!#$%&*?@'[draw[14] % 8]}{alphabet[draw[15] % 62]}", f"{alphabet[draw[16] % 62]}{draw[19] % 10}{word(12)[:4]}{draw[20] % 10}{word(14)[:3]}{'!#$%&*?@'[draw[21] % 8]}{draw[22] % 10}", letters):
-        yield v, named, after if CREDENTIAL.search(before) else '"', path, 1
-        yield v, bare, "", path, 1
-    for v in (word(16), f"{word(18)} {word(20)}", f"${{{word(22)}}}", f"get_{word(24)}", "changeme", "your_password"):
-        yield v, named, after if CREDENTIAL.search(before) else '"', path, 0
-        yield v, bare, "", path, 0
+    rng = random.Random(draw)
+    word = lambda: rng.choice(words)
+    some = lambda alphabet, least, most: "".join(rng.choices(alphabet, k=rng.randint(least, most)))
+    digest, quote = rng.choice(DIGESTS), rng.choice(['"', "'", ""])
+    named = lambda: f"{rng.choice([before[-20:], word()])} {rng.choice(['', word() + '_', word()[:6].upper() + '_'])}{rng.choice(CREDENTIALS)}{rng.choice(['=', ' = ', ': ', chr(34) + ': ', ' => '])}{quote}"
+    plain = lambda: f"{word()} {word()} {rng.choice(['', '= ', ': ', '/', '('])}{rng.choice(['', quote])}"
+    after = lambda first: first + rng.choice(["", "\n", f" {word()}", f", {word()}", f" {word()} {word()}"])
+    keys = [some(LETTERS + DIGITS, 18, 48), some(LETTERS + DIGITS + "+/", 24, 100) + "=" * rng.randint(0, 2), some("0123456789abcdef", 32, 64), some(LETTERS[:26] + DIGITS, 16, 40), some(LETTERS[26:] + DIGITS, 16, 40), some(LETTERS + DIGITS + "-_", 20, 60), some(LETTERS, 18, 40), f"{word()[:3]}_{some(LETTERS + DIGITS, 20, 40)}", ".".join(some(LETTERS + DIGITS + "-_", 16, 70) for _ in range(rng.randint(2, 3))), "-".join(some("0123456789abcdef", 4, 12) for _ in range(rng.randint(3, 6)))]
+    short = [some(LETTERS + DIGITS + "!@#$%^&*", 7, 14), f"{word().title()}{rng.randint(0, 9)}{rng.choice('!#$%&*?@')}{rng.choice(LETTERS)}", f"{rng.choice(LETTERS)}{rng.randint(0, 9)}{word()[:4]}{rng.randint(0, 99)}{word()[:3]}{rng.choice('!#$%&*?@')}{rng.randint(0, 9)}"]
+    dull = [f"{word()}_{word()}_{word()}_{rng.randint(0, 9)}", f"your-{word()}-key-{rng.randint(1000, 1999)}", "x" * rng.randint(8, 20) + "123", f"{word()}/{word()}/v{rng.randint(0, 9)}.{word()}", f"{word()}{word().title()}{word().title()}{rng.randint(0, 99)}", f"{word()}-{word()}-20{rng.randint(10, 29)}.{rng.choice(['tar.gz', 'docx', 'json'])}", f"example-{word()}-{rng.randint(100, 999)}", "0123456789abcdef"[: rng.randint(10, 16)]]
+    words_only = [word(), f"{word()} {word()}", f"${{{word().upper()}}}", f"get_{word()}", "changeme", "your_password", f"<{word()}-{word()}>", f"{word()}.{word()}()"]
+    for v in (*keys, *short):
+        yield v, named(), after(quote), path, 1
+    for v in keys:
+        yield v, f"{before[-24:-10]} {digest} ", after(rng.choice(["", '"'])), path, 0
+        yield v, plain(), after(""), path, 0
+        yield v, f"see https://host/{word()}/", after(""), path, 0
+    for v in (*dull, *words_only):
+        yield v, named(), after(quote), path, 0
     for v in dull:
-        if len(v) >= 16:
-            yield v, named, after, path, 0
-            yield v, digest, "", path, 0
-    for v in random:
-        yield v, named, after if CREDENTIAL.search(before) else '"', path, 1
-        yield v, digest, "", path, 0
-        yield v, "see https://host/" + word(11) + "/", "", path, 0
+        yield v, plain(), after(""), path, 0
 
 
-def weak_findings(docs: DataFrame, words: frozenset[str], text: str = "text", path: str = "source", sample: int = SAMPLE) -> list[tuple]:
+def weak_findings(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", path: str = "source", sample: int = SAMPLE) -> list[tuple]:
     """Labelled findings from the sample candidates of least hash; made-up ones where a corpus has none."""
     found = _found(docs, text, path).withColumn("h", F.xxhash64("value", "before"))
-    rows = found.orderBy("h", "value", "before", "after", "path").limit(max(1, sample // 16)).collect()
-    order = sorted(words)
-    seeds = [(hashlib.sha1(str(i).encode()).hexdigest(), f'{order[i]} {order[2 * i]} token = "', '"', "") for i in range(100)]
+    rows = found.orderBy("h", "value", "before", "after", "path").limit(max(1, sample // 80)).collect()
+    order = sorted(vocabulary.words)
+    seeds = [(hashlib.sha1(str(i).encode()).hexdigest(), f'{order[i]} {order[2 * i]} token = "', '"', "") for i in range(60)]
     return [x for r in [*(tuple(r)[:4] for r in rows), *seeds] for x in _varied(*r, order)]
 
 
@@ -187,9 +228,9 @@ class Forest:
         return total / len(self.trees)
 
 
-def fit(spark, findings: list[tuple], words: frozenset[str], longest: int, trees: int = 24, depth: int = 8, seed: int = 7) -> Forest:
+def fit(spark, findings: list[tuple], vocabulary: Vocabulary, trees: int = 40, depth: int = 12, seed: int = 7) -> Forest:
     """findings: (value, before, after, path, label), a bounded sample."""
-    rows = [(features(*f[:4], words, longest), float(f[4])) for f in findings]
+    rows = [(features(*f[:4], vocabulary), float(f[4])) for f in findings]
     data = spark.createDataFrame(rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
     return Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(data))
 
@@ -197,46 +238,53 @@ def fit(spark, findings: list[tuple], words: frozenset[str], longest: int, trees
 def train(docs: DataFrame, ranks_path: str, *, findings: DataFrame | None = None, sample: int = SAMPLE, text: str = "text", path: str = "source") -> Forest:
     """The forest of labelled findings (at most sample of them, by least hash), or of weak ones from docs."""
     bounded_batches(docs.sparkSession)
-    words, longest = dictionary(ranks_path)
+    vocabulary = dictionary(ranks_path)
     if findings is None:
-        rows = weak_findings(docs, words, text, path, sample)
+        rows = weak_findings(docs, vocabulary, text, path, sample)
     else:
         cols = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("value", "before", "after", "path")]
         rows = [tuple(r)[:5] for r in findings.where("label IS NOT NULL AND length(value) > 0").select(*cols, "label").orderBy(F.xxhash64("value", "before"), "value", "before").limit(sample).collect()]
-    return fit(docs.sparkSession, rows, words, longest)
+    return fit(docs.sparkSession, rows, vocabulary)
 
 
-def scan(docs: DataFrame, forest: Forest, ranks_path: str, *, text: str = "text", path: str = "source", cutoff: float = CUTOFF, mask: str = "[SECRET]") -> DataFrame:
-    """docs with n_candidates, secrets (start, end, probability) and redacted (the text with secrets masked)."""
+def _scanned(docs: DataFrame, forest: Forest, ranks_path: str, text: str, path: str, cutoff: float, mask: str) -> DataFrame:
+    """Rows of docs as the struct row, with n_candidates, secrets and redacted beside it."""
     bounded_batches(docs.sparkSession)
     fields = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, longest = dictionary(ranks_path)
+        vocabulary = dictionary(ranks_path)
         for batch in batches:
-            texts = batch.column("__scanned").to_pylist()
             counts, found, redacted = [], [], []
-            for t, p in zip(texts, batch.column("__path").to_pylist()):
+            for t, p in zip(batch.column("text").to_pylist(), batch.column("path").to_pylist()):
                 spans, n = [], 0
                 for a, b in candidates(t or ""):
                     n += 1
-                    probability = 1.0 if known(t[a:b], t[max(0, a - BEFORE) : a]) else forest.probability(features(t[a:b], t[max(0, a - BEFORE) : a], t[b : b + AFTER], p, words, longest))
+                    beside = t[a:b], t[max(0, a - BEFORE) : a], t[b : b + AFTER]
+                    probability = 1.0 if known(*beside[:2]) else forest.probability(features(*beside, p, vocabulary))
                     if probability >= cutoff and spans and a < spans[-1]["end"]:
                         spans[-1]["end"], spans[-1]["probability"] = max(b, spans[-1]["end"]), max(probability, spans[-1]["probability"])
                     elif probability >= cutoff:
                         spans.append({"start": a, "end": b, "probability": probability})
-                for s in reversed(spans):
-                    t = t[: s["start"]] + mask + t[s["end"] :]
+                if spans:
+                    ends = [0, *(s["end"] for s in spans)]
+                    t = "".join(t[e : s["start"]] + mask for e, s in zip(ends, spans)) + t[ends[-1] :]
                 counts.append(n)
                 found.append(spans)
                 redacted.append(t)
-            own = [batch.column(i) for i in range(batch.num_columns - 2)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(counts, pa.int64()), pa.array(found, fields), pa.array(redacted, pa.string())], [*batch.schema.names[:-2], "n_candidates", "secrets", "redacted"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(counts, pa.int64()), pa.array(found, fields), pa.array(redacted, pa.string())], ["row", "n_candidates", "secrets", "redacted"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name not in ("n_candidates", "secrets", "redacted"))
-    own = docs.drop("n_candidates", "secrets", "redacted")
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")
-    return own.select("*", F.col(text).alias("__scanned"), where.alias("__path")).mapInArrow(look, f"{schema}, n_candidates long, secrets array<struct<start:bigint,end:bigint,probability:double>>, redacted string")
+    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"), where.alias("path"))
+    return rows.mapInArrow(look, f"row {rows.schema['row'].dataType.simpleString()}, n_candidates long, secrets array<struct<start:bigint,end:bigint,probability:double>>, redacted string")
+
+
+def scan(docs: DataFrame, forest: Forest, ranks_path: str, *, text: str = "text", path: str = "source", cutoff: float = CUTOFF, mask: str = "[SECRET]") -> DataFrame:
+    """docs with n_candidates, secrets (start, end, probability) and redacted (the text with secrets masked); own
+    columns of these names are left out."""
+    found = ["n_candidates", "secrets", "redacted"]
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c not in found]
+    return _scanned(docs, forest, ranks_path, text, path, cutoff, mask).select(*own, *found)
 
 
 def secret_report(docs: DataFrame, ranks_path: str, **options) -> DataFrame:
@@ -248,10 +296,10 @@ def secret_report(docs: DataFrame, ranks_path: str, **options) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame, ranks_path: str, **options) -> DataFrame:
-    """docs with secrets masked in text, and n_chars, if there, of the masked text."""
-    found = scan(docs, train(docs, ranks_path, **options), ranks_path)
-    hit = F.size("secrets") > 0
-    changed = {"text": F.when(hit, F.col("redacted")).otherwise(F.col("text"))}
+    """docs with secrets masked in text, and n_chars, if there, of the masked text; all other columns as they are."""
+    found = _scanned(docs, train(docs, ranks_path, **options), ranks_path, "text", "source", CUTOFF, "[SECRET]")
+    changed = {"text": F.col("redacted")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(hit, F.length("redacted").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.length("redacted").cast(docs.schema["n_chars"].dataType)
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    return found.select(*[(F.when(F.size("secrets") > 0, changed[c]).otherwise(x) if c in changed else x).alias(c) for c, x in own.items()])
