@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -164,6 +165,38 @@ TREES = [
     ("<table><tr>" + "<b>" * 30000 + "<td>deep</table>", "deep"),
 ]
 
+LOSSES = [
+    ("<dialog open>shown</dialog><dialog>not</dialog>", "shown"),
+    ("<svg><title>t</title><text>in svg</text></svg>", "in svg"),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b></div>", "yes"),
+    ("<select><option>a<option>b</select>", "a\nb"),
+    ("a<br><br>b<br>c", "a\n\nb\nc"),
+    ("<ol><li>x<li value=7>y<li>z</ol>", "1. x\n7. y\n8. z"),
+    ("<ol reversed><li>x<li>y</ol>", "2. x\n1. y"),
+    ("<table><tr><td colspan=2>wide cell<td>c<tr><td>1<td>2<td>3</table>", "wide cell  c\n1  2       3"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+    ("<style>.off, #no { display: none } @media print { .on { display:none } } i.x{visibility:hidden}</style><p class='a off'>1<p id=no>2<p class=on>3<i class=x>4</i>", "3"),
+    ("<style>.a{display:none}</style><p class=a style='display:block'>x", "x"),
+    ("<a href=\"x>text</a><p>more", "text\n\nmore"),
+    ("<pre>a<br>b</pre>", "a\nb"), ("<a title='1 > 0'>x</a>", "x"), ("<math><mi>x</mi><annotation>no</annotation></math>", "x"),
+    ("<p>a</p >b", "a\n\nb"), ("<textarea>l1\nl2</textarea>", "l1\nl2"), ("<script>x</scripty></script >y", "y"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), LOSSES)
+def test_html_losses(page, text):
+    assert html_layout.render(page) == text
+
+
+HARD = ["<a" * 200_000, '<a href="x ' * 100_000, "<a \"> \"x " * 50_000, "<ul><li>" * 50_000 + "z", "<blockquote>" * 50_000 + "z", "<table><tr><td>" * 50_000 + "z", "<b>" * 50_000 + "<p>x</y>" * 50_000, "<p><button>" + "<b>" * 50_000 + "<div>z" * 50_000, "<style>" + "a{" * 100_000, "<table><tr>" + "<td colspan=1000>z" * 50, "x <" * 100_000, "<!" * 100_000, "word " * 400_000, "<li>x" * 100_000, "<ul>" + "<li>x" * 100_000]
+
+
+@pytest.mark.parametrize("page", HARD, ids=range(len(HARD)))
+def test_html_time(page):
+    began = time.process_time()
+    assert html_layout.render(page) or "z" not in page
+    assert time.process_time() - began < 5
+
 
 @pytest.mark.parametrize(("page", "text"), TREES)
 def test_html_trees(page, text):
