@@ -314,7 +314,8 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def tokenized(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """docs' columns but text, with ids (packed 32-bit), n_tokens, and whether decoding gives the text back."""
+    """docs' columns but text, with ids (packed 32-bit), n_tokens, and round_trip (whether decoding gives the text back);
+    own columns of these names are left out. Null texts have no ids."""
     bounded_batches(docs.sparkSession)
     own = [f for f in docs.schema.fields if f.name not in ("text", "ids", "n_tokens", "round_trip")]
 

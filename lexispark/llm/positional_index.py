@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, staged, text_bytes
+from .common import apart, bounded_batches, staged, text_bytes
 from .packing import pack, unpack
 from .words import Hashes, alnum
 
@@ -239,15 +239,8 @@ def contamination_report(docs: DataFrame, items: DataFrame, *, width: int = 10)
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame, *, width: int = 10) -> DataFrame:
-    """docs without those that have a word in an occurrence of an item's window; rows without doc_id are judged by
-    their own texts too."""
-    named = docs.where("doc_id IS NOT NULL")
-    found = contamination(build_index(docs), items, width=width).where("size(spans) > 0")
-    bad = staged(found.select("doc_id"), "contaminated")
-    out = named.join(bad.where("doc_id IS NOT NULL").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    if bad.where("doc_id IS NULL").isEmpty():
-        return out.union(docs.where("doc_id IS NULL"))
-    unnamed = docs.where("doc_id IS NULL")
-    keyed = unnamed.withColumn("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256))
-    dirty = contamination(build_index(keyed), items, width=width).where("size(spans) > 0").select(F.col("doc_id").alias("__key")).distinct()
-    return out.union(unnamed.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")), 256)).join(dirty, "__key", "left_anti").select(*docs.columns))
+    """docs without those that have a word in an occurrence of an item's window. Each row is judged by its own text,
+    also where an id is null or repeated; own columns may have any names."""
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("doc_id"), "text")
+    found = contamination(build_index(rows.select("doc_id", "text")), items, width=width).where("size(spans) > 0")
+    return apart(rows.select("row", "doc_id"), staged(found.select("doc_id"), "contaminated"), "doc_id").select("row.*")

@@ -29,6 +29,8 @@ CUTOFFS = {
     "dup_line_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1],
     "repeat_share": [0.5, 0.45, 0.4, 0.35, 0.3, 0.25, 0.2, 0.15, 0.1],
 }
+#: The most strata whose thresholds are broadcast.
+FEW_STRATA = 10_000
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_bangs"]
 
 
@@ -92,8 +94,9 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(logs["s"]))
 
 
-def fit_thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, confidence: float = 0.95, weight: float = 10.0, max_strata: int = 64) -> list[dict]:
-    """Certified cutoffs as rows (stratum, rule, cutoff, ...): at most (max_strata + 1) * rules, so fit to be collected."""
+def fit_thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, confidence: float = 0.95, weight: float = 10.0) -> DataFrame:
+    """Certified cutoffs as staged rows: stratum and one column for each rule, null where no cutoff is certified. The
+    row "*" holds for strata that have none; the confidence is split over all strata there are and "*"."""
     labelled = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     rows = measured.where(~base_failed()).select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("*")).alias("stratum"), *[x.alias(k) for k, x in _figures().items()]).join(labelled, "doc_id")
     tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), (F.col(rule) > c).alias("hit")) for rule, cutoffs in CUTOFFS.items() for i, c in enumerate(cutoffs)])
@@ -105,38 +108,36 @@ def fit_thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang"
         .groupBy("stratum", *[F.col(f"test.{c}").alias(c) for c in by])
         .agg(F.sum(good.cast("int")).cast("double").alias("n_good"), F.sum((~good).cast("int")).cast("double").alias("n_bad"), hit(True).alias("hit_good"), hit(False).alias("hit_bad"))
     )
+    counts = staged(counts, "quality-counts")  # as many rows for a stratum as there are cutoffs
     each_risk, split = risk / len(CUTOFFS), (1 - confidence) / len(CUTOFFS)
-    sizes = counts.groupBy("stratum").agg(F.max("n_good").alias("__n")).orderBy(F.desc("__n"), "stratum").limit(max_strata).collect()
-    alpha = split / (len(sizes) + 1)
+    alpha = split / (counts.select("stratum").distinct().count() + 1)
     enough = math.log(alpha) / math.log(1 - each_risk)  # with fewer good documents not even no rejection certifies a cutoff
-    known = sorted(r["stratum"] for r in sizes if r["__n"] >= enough)
-    pooled = counts.withColumn("stratum", F.when(F.col("stratum").isin(known), F.col("stratum")).otherwise("*")).groupBy("stratum", *by).agg(*[F.sum(c).alias(c) for c in ("n_good", "n_bad", "hit_good", "hit_bad")])
+    pooled = counts.withColumn("stratum", F.when(F.col("n_good") >= enough, F.col("stratum")).otherwise("*")).groupBy("stratum", *by).agg(*[F.sum(c).alias(c) for c in ("n_good", "n_bad", "hit_good", "hit_bad")])
     tested = pooled.withColumn("p_value", binomial_tail(F.col("hit_good"), F.col("n_good"), F.lit(each_risk)))
     upto = Window.partitionBy("stratum", "rule").orderBy("step")
-    certified = tested.withColumn("ok", F.min((F.col("p_value") <= alpha).cast("int")).over(upto)).where("ok = 1")
+    certified = F.min((F.col("p_value") <= alpha).cast("int")).over(upto) == 1
     gain = F.col("hit_bad") / F.greatest(F.col("n_bad"), F.lit(1.0)) - weight * F.col("hit_good") / F.greatest(F.col("n_good"), F.lit(1.0))
-    best = certified.withColumn("gain", gain).withColumn("__rank", F.row_number().over(Window.partitionBy("stratum", "rule").orderBy(F.desc("gain"), "step"))).where("__rank = 1 AND gain > 0").drop("__rank", "ok")
-    return [r.asDict() for r in best.orderBy("stratum", "rule").collect()] + [{"stratum": s, "rule": None, "cutoff": None} for s in known]
-
-
-def verdict(thresholds: list[dict], stratum: str = "lang") -> Column:
-    """False where a certified cutoff of the row's stratum is exceeded or the base rules fail."""
-    known = {t["stratum"] for t in thresholds} - {"*"}
-    at = F.coalesce(F.col(stratum).cast("string"), F.lit("*"))
-    own = F.when(at.isin(sorted(known)), at).otherwise("*") if known else F.lit("*")
-    figures, rejected = _figures(), F.lit(False)
-    for t in thresholds:
-        if t["rule"]:
-            rejected = rejected | ((own == t["stratum"]) & (figures[t["rule"]] > t["cutoff"]))
-    return ~base_failed() & ~rejected
+    ranked = tested.withColumn("ok", certified).withColumn("gain", F.when(F.col("ok") & (gain > 0), gain))
+    best = lambda rule: F.max(F.when((F.col("rule") == rule) & F.col("gain").isNotNull(), F.struct("gain", -F.col("step"), "cutoff")))["cutoff"].alias(rule)
+    return staged(ranked.groupBy("stratum").agg(*[best(rule) for rule in CUTOFFS]), "quality-thresholds")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
-    """docs' columns with quality_measures, base_failed and kept. The measures are taken once and staged; texts
-    are staged with them only if docs has them besides the text to measure."""
+    """docs' columns with quality_measures, base_failed and kept (false where a certified cutoff of the row's stratum is
+    exceeded or the base rules fail). docs are staged once, with what measure() gave them. The thresholds are broadcast
+    if they are few; languages are, but a stratum may be anything."""
     measured = staged(docs, "quality-measures")
     thresholds = fit_thresholds(measured, labels, stratum, **options)
-    return measured.withColumns({"base_failed": base_failed(), "kept": verdict(thresholds, stratum)})
+    others = thresholds.where("stratum = '*'").first()
+    own = thresholds.where("stratum <> '*'").select(F.struct(*CUTOFFS).alias("__own"), F.col("stratum").alias("__stratum"))
+    few = thresholds.count() <= FEW_STRATA
+    rows = measured.join(F.broadcast(own) if few else own, F.col(stratum).cast("string") == F.col("__stratum"), "left")
+    rejected = F.lit(False)
+    for rule in CUTOFFS:
+        figure = _figures()[rule]
+        cutoff = F.when(F.col("__own").isNotNull(), F.col(f"__own.{rule}")).otherwise(F.lit(others[rule] if others else None).cast("double"))
+        rejected = rejected | F.coalesce(figure > cutoff, F.lit(False))
+    return rows.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~rejected}).drop("__own", "__stratum")
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -145,6 +146,7 @@ def quality_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     return judge(measured, labels, **options).select("doc_id", *[q[c].alias(c) for c in MEASURES[:5]], "base_failed", "kept")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are kept, with their own columns."""
-    return judge(measure(docs), labels, **options).where("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options) -> DataFrame:
+    """The documents that are kept, with their own columns, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.col(stratum).cast("string").alias("lang"), "text")
+    return judge(measure(rows).drop("text"), labels, **options).where("kept").select("row.*")

@@ -76,6 +76,9 @@ def test_decontamination_odd(spark):
         found = sorted((r["doc_id"] or 0, r["n_words"], sorted(r["item_ids"]), sum(s["end"] - s["first"] for s in r["spans"]) > 0) for r in got)
         assert found == [(0, 2, ["8"], True), (1, 1, [], False), (1, 14, ["7"], True), (2, 3, [], True), (3, 0, [], False), (4, 0, [], False), (5, 2, ["8"], True)]
     assert sorted(r["doc_id"] or 0 for r in positional_index.without_contaminated(df.where("doc_id IS NULL OR doc_id > 1"), it).collect()) == [3, 4]
+    same = spark.createDataFrame([(5, "Short item.", 1, "k"), (5, "clean", 2, None), (None, "short item", 3, "k")], "doc_id long, text string, row int, __key string")
+    left = positional_index.without_contaminated(same, it)
+    assert left.columns == same.columns and [r["text"] for r in left.collect()] == ["clean"]
     near = positional_index.find(index, spark.createDataFrame([(1, "two five seven")], "item_id long, text string"), slop=3).collect()
     assert [(r["doc_id"], r["first"], r["last"]) for r in near] == [(1, 2, 7)]
     assert positional_index.contamination_report(df, it.limit(0)).where("contaminated").count() == 0 and positional_index.contamination_report(df.limit(0), it).count() == 0

@@ -246,6 +246,52 @@ def test_quality_thresholds(spark):
     assert none == 0 and quality_rules.quality_report(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_quality_strata(spark, monkeypatch, few):
+    """Cutoffs, verdicts and error split of a plain version, for more strata than a few; own columns of any name."""
+    from math import comb
+
+    monkeypatch.setattr(quality_rules, "FEW_STRATA", few)
+    monkeypatch.setattr(quality_rules, "CUTOFFS", {"symbols_per_word": [1.0, 0.5, 0.2], "bangs_per_word": [0.5, 0.1]})
+    draw, rows, labels = random.Random(8), [], {}
+    for i in range(4200):
+        lang = f"l{i % 70}" if i < 4000 and i % 70 < 66 else draw.choice(["big", None])
+        good = draw.random() < 0.8
+        words = [f"w{draw.randrange(400)}" + draw.choice(["", "", "#" if not good or draw.random() < 0.02 else ""]) for _ in range(60)]
+        rows.append((i, " ".join(words), lang, 1.0, "x", 2))
+        if draw.random() < 0.9:
+            labels[i] = int(good)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept double, base_failed string, quality_measures int")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.quality_report(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), risk=0.4, confidence=0.5).collect()}
+    figure = {}
+    for i, text, *_ in rows:
+        m = measures(text)
+        figure[i] = {"symbols_per_word": m[2] / m[0], "bangs_per_word": 0.0, "base": 100 * m[4] > 50 * m[0]}
+    of = {i: lang or "*" for i, _, lang, *_ in rows}
+    n_good = {s: sum(of[i] == s and labels[i] and not figure[i]["base"] for i in labels) for s in {of[i] for i in labels if not figure[i]["base"]}}
+    risk, alpha = 0.4 / 2, 0.5 / 2 / (len(n_good) + 1)
+    own = lambda s: s if (1 - risk) ** n_good.get(s, 0) <= alpha else "*"
+    cutoffs = {}
+    for s in {own(s) for s in n_good}:
+        held = [(i, labels[i]) for i in labels if own(of[i]) == s and not figure[i]["base"]]
+        good, bad = sum(q for _, q in held), sum(1 - q for _, q in held)
+        for rule, steps in quality_rules.CUTOFFS.items():
+            best = (0, None)
+            for c in steps:
+                k, b = (sum(q == wanted and figure[i][rule] > c for i, q in held) for wanted in (1, 0))
+                if k >= good * risk or sum(comb(good, x) * risk**x * (1 - risk) ** (good - x) for x in range(k + 1)) > alpha:
+                    break
+                gain = b / max(bad, 1) - 10 * k / max(good, 1)
+                if gain > best[0]:
+                    best = (gain, c)
+            cutoffs[s, rule] = best[1]
+    want = {i: not figure[i]["base"] and not any((c := cutoffs.get((own(of[i]), rule))) is not None and figure[i][rule] > c for rule in quality_rules.CUTOFFS) for i in of}
+    assert got == want and 0 < sum(got.values()) < len(got)
+    if few:
+        kept = quality_rules.keep_good(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), risk=0.4, confidence=0.5)
+        assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in want if want[i]}
+
+
 def test_binomial_tail(spark):
     from math import comb
 
