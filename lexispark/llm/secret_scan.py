@@ -34,6 +34,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -152,6 +153,7 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
     yield from sorted({*forms, *(x for x in found if apart(*x))})
 
 
+@lru_cache(maxsize=1)
 def dictionary(ranks_path: str) -> Vocabulary:
     """The letter tokens of four characters or more of a public vocabulary, lower-cased."""
     return Vocabulary(frozenset(t.strip().decode().lower() for t in read_ranks(ranks_path) if t.strip().isalpha() and t.isascii() and len(t.strip()) > 3))
@@ -228,7 +230,7 @@ class Forest:
         return total / len(self.trees)
 
 
-def fit(spark, findings: list[tuple], vocabulary: Vocabulary, trees: int = 40, depth: int = 12, seed: int = 7) -> Forest:
+def fit(spark, findings: list[tuple], vocabulary: Vocabulary, trees: int = 30, depth: int = 10, seed: int = 7) -> Forest:
     """findings: (value, before, after, path, label), a bounded sample."""
     rows = [(features(*f[:4], vocabulary), float(f[4])) for f in findings]
     data = spark.createDataFrame(rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
