@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -95,9 +97,9 @@ def words(x: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0)))
 
 
-def anchors(x: Column, size: int = 3) -> Column:
-    """Distinct runs of 1 to size characters, from every place; one pass over the text for each length."""
-    runs = [F.regexp_extract_all(x, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, size + 1)]
+def anchors(x: Column, sizes: Sequence[int] = (1, 2, 3)) -> Column:
+    """Distinct runs of so many characters, from every place; one pass over the text for each length."""
+    runs = [F.regexp_extract_all(x, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
     return F.array_distinct(F.concat(*runs))
 
 

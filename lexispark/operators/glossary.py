@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import anchors, first_word, word_bounded, words, ws_trim
+from ..staging import staged
 
 #: Words too common to be terms of their own, if they have up to four bytes.
 STOP_WORDS = [
@@ -54,23 +57,42 @@ def clean_stats(cleaned: DataFrame) -> DataFrame:
 
 def matches(texts: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term_pos, source, target, rank) of usable terms in each text, longest source first, then glossary order.
+    key is a text's own.
 
-    Equi-joins find candidates: a whole-word term by its first word, others by their first three characters. The
-    side of texts is exploded to distinct words or runs, so a term meets a text once; the test decides.
+    Only keys with their distinct words, or runs of up to three characters, are exploded. A whole-word term of one word
+    matches where it equals a word. Other terms are candidates by their first word, or their first three characters;
+    the candidates of a text are gathered, and then tested on it at once.
     """
     usable = terms.where("enabled AND NOT ambiguous AND source <> ''").select("pos", "source", "target", "whole_word", "case_sensitive").withColumn("needle", F.when(F.col("case_sensitive"), F.col("source")).otherwise(F.lower("source")))
-    usable = usable.withColumn("token", F.when(F.col("whole_word"), first_word(F.lower("source"))).otherwise(""))
-    rows = texts.select(key, F.col(text).alias("__text")).withColumn("__low", F.lower("__text"))
-    hay = F.when(F.col("case_sensitive"), F.col("__text")).otherwise(F.col("__low"))
-    by_word = usable.where("token <> ''")
-    by_anchor = usable.where("token = ''").withColumn("token", F.substring(F.lower("needle"), 1, 3))
-    found = [
-        rows.withColumn("token", F.explode(words(F.col("__low")))).join(by_word, "token").where(word_bounded(hay, F.col("needle"))),
-        rows.withColumn("token", F.explode(anchors(F.col("__low")))).join(by_anchor, "token").where(F.when(F.col("whole_word"), word_bounded(hay, F.col("needle"))).otherwise(hay.contains(F.col("needle")))),
-    ]
-    both = found[0].select(key, "pos", "source", "target").union(found[1].select(key, "pos", "source", "target"))
+    usable = usable.withColumn("kind", F.when(F.col("whole_word") & F.col("needle").rlike(r"(?U)^\w+\z"), "word").when(F.col("whole_word") & (first_word(F.lower("source")) != ""), "words").otherwise("part"))
+    usable = staged(usable)  # several joins read the glossary
+    rows = texts.select(F.col(key), F.col(text).alias("__text"))
+    kinds = {(r["kind"], r["size"], r["cased"]) for r in usable.groupBy("kind", F.least(F.length("needle"), F.lit(3)).alias("size"), F.col("case_sensitive").alias("cased")).count().collect()}  # 18 at most
+    found = []
+    for cased in sorted({c for k, _, c in kinds if k == "word"}):
+        each = rows.select(key, F.explode(words(F.col("__text") if cased else F.lower("__text"))).alias("needle"))
+        found.append(each.join(usable.where((F.col("kind") == "word") & (F.col("case_sensitive") == cased)), "needle").select(key, "pos", "source", "target"))
+    unsure = []
+    if any(k == "words" for k, _, _ in kinds):
+        by_word = usable.where("kind = 'words'").withColumn("token", first_word(F.lower("source")))
+        unsure.append(rows.select(key, F.explode(words(F.lower("__text"))).alias("token")).join(by_word, "token"))
+    if sizes := sorted({n for k, n, _ in kinds if k == "part"}):
+        by_run = usable.where("kind = 'part'").withColumn("token", F.substring(F.lower("needle"), 1, 3))
+        unsure.append(rows.select(key, F.explode(anchors(F.lower("__text"), sizes)).alias("token")).join(by_run, "token"))
+    if unsure:
+        term = F.struct("needle", "whole_word", "case_sensitive", "pos", "source", "target")
+        candidates = reduce(DataFrame.union, [x.select(key, term.alias("t")) for x in unsure]).groupBy(key).agg(F.collect_list("t").alias("candidates"))
+        hay = rows.join(candidates, key).withColumn("__low", F.lower("__text"))
+
+        def holds(t: Column) -> Column:
+            inside = F.when(t["case_sensitive"], F.col("__text")).otherwise(F.col("__low"))
+            return F.when(t["whole_word"], word_bounded(inside, t["needle"])).otherwise(inside.contains(t["needle"]))
+
+        found.append(hay.select(key, F.explode(F.filter("candidates", holds)).alias("t")).select(key, "t.pos", "t.source", "t.target"))
+    if not found:
+        found = [rows.crossJoin(usable.select("pos", "source", "target").limit(0)).select(key, "pos", "source", "target")]
     ranked = F.array_sort(F.collect_list(F.struct((-F.octet_length("source")).alias("n"), "pos", "source", "target")))
-    return both.groupBy(key).agg(ranked.alias("m")).select(key, F.posexplode("m").alias("rank", "m")).select(key, F.col("m.pos").alias("term_pos"), "m.source", "m.target", (F.col("rank") + 1).cast("long").alias("rank"))
+    return reduce(DataFrame.union, found).groupBy(key).agg(ranked.alias("m")).select(key, F.posexplode("m").alias("rank", "m")).select(key, F.col("m.pos").alias("term_pos"), "m.source", "m.target", (F.col("rank") + 1).cast("long").alias("rank"))
 
 
 def page(terms: DataFrame, size: int, shown: int = 1) -> DataFrame:

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import anchors, consistency_key, is_blank, series_variant, strip_target_suffix, ws_trim
+from ..functions.text import anchors, is_blank, strip_target_suffix, ws_trim
+from .series import keyed
 
 LEAST_BYTES, REFERENCES = 3, 12
 
 
 def build(entries: DataFrame) -> DataFrame:
     """(key, source, target): the first translated source of each key; a numbered name decides its base too."""
-    done = entries.where(~is_blank("source") & ~is_blank("target")).withColumn("v", series_variant("source"))
-    whole = done.select("pos", F.lit(0).alias("ord"), ws_trim("source").alias("source"), ws_trim("target").alias("target"))
-    base = done.where("v IS NOT NULL").select("pos", F.lit(1).alias("ord"), ws_trim(F.col("v.base")).alias("source"), strip_target_suffix(F.col("target"), F.col("v.suffix")).alias("target"))
-    every = whole.union(base).where("source <> '' AND target IS NOT NULL AND target <> ''").withColumn("key", consistency_key("source")).where(F.octet_length("key") >= LEAST_BYTES)
+    done = keyed(entries).where(~is_blank("source") & ~is_blank("target"))
+    whole = done.select("pos", F.lit(0).alias("ord"), ws_trim("source").alias("source"), ws_trim("target").alias("target"), "key")
+    base = done.where("base IS NOT NULL").select("pos", F.lit(1).alias("ord"), ws_trim("base").alias("source"), strip_target_suffix(F.col("target"), F.col("suffix")).alias("target"), F.col("base_key").alias("key"))
+    every = whole.union(base).where("source <> '' AND target IS NOT NULL AND target <> ''").where(F.octet_length("key") >= LEAST_BYTES)
     first = F.min_by(F.struct("source", "target"), F.struct("pos", "ord", "source", "target"))
     return every.groupBy("key").agg(first.alias("t")).select("key", "t.source", "t.target")
 

@@ -6,11 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import consistency_key, contains_cjk, contains_latin, is_blank, series_variant, ws_trim
+from ..staging import staged
+
+
+KEYED = ("base", "suffix", "base_key", "key")
+
+
+def keyed(entries: DataFrame) -> DataFrame:
+    """entries with base and suffix (null unless they are numbered names), base_key, and the key of the source. Staged,
+    as memory, series and plans all read it."""
+    if set(KEYED) <= set(entries.columns):
+        return entries
+    named = entries.withColumn("v", series_variant("source")).withColumns({"base": F.col("v.base"), "suffix": F.col("v.suffix")}).drop("v")
+    return staged(staged(named).withColumns({"base_key": consistency_key("base"), "key": consistency_key("source")}))
 
 
 def variants(entries: DataFrame) -> DataFrame:
     """entries that are numbered names, with base, suffix and base_key."""
-    return entries.withColumn("v", series_variant("source")).where("v IS NOT NULL").withColumns({"base": F.col("v.base"), "suffix": F.col("v.suffix")}).withColumn("base_key", consistency_key("base")).where("base_key <> ''").drop("v")
+    return keyed(entries).where("base IS NOT NULL AND base_key <> ''")
 
 
 def profiles(found: DataFrame) -> DataFrame:
@@ -35,9 +48,16 @@ def aliases_by_suffix(found: DataFrame, known: DataFrame, taken: DataFrame) -> D
     """(base_key, canonical) of pure CJK bases without alias: the Latin base that shares most suffixes, at least two,
     then has most, then comes first."""
     suffixes = found.select("base_key", F.lower(ws_trim("suffix")).alias("s")).distinct()
-    cjk = suffixes.join(known.where("has_cjk AND NOT has_latin").select("base_key"), "base_key").join(taken.select("base_key"), "base_key", "left_anti")
-    latin = suffixes.join(known.where("has_latin").select("base_key", "n_suffixes"), "base_key").withColumnRenamed("base_key", "canonical")
-    overlap = cjk.join(latin, "s").groupBy("base_key", "canonical").agg(F.count("*").alias("n"), F.first("n_suffixes").alias("m")).where("n >= 2")
+    common = suffixes.groupBy("s").agg(F.count("*").alias("bases"))
+    sets = suffixes.groupBy("base_key").agg(F.collect_set("s").alias("all"))
+    open_ = known.where("has_cjk AND NOT has_latin").select("base_key").join(taken.select("base_key"), "base_key", "left_anti")
+    # two shared suffixes are not both the most common one that a base has, so that one needs no join
+    usual = suffixes.join(open_, "base_key").join(common, "s").groupBy("base_key").agg(F.max_by("s", F.struct("bases", "s")).alias("usual"))
+    cjk = suffixes.join(usual, "base_key").where("s <> usual").select("base_key", "s")
+    latin = suffixes.join(known.where("has_latin").select("base_key"), "base_key").withColumnRenamed("base_key", "canonical")
+    pairs = cjk.join(latin, "s").select("base_key", "canonical").distinct()
+    other = sets.select(F.col("base_key").alias("canonical"), F.col("all").alias("others")).join(known.select(F.col("base_key").alias("canonical"), F.col("n_suffixes").alias("m")), "canonical")
+    overlap = pairs.join(sets, "base_key").join(other, "canonical").select("base_key", "canonical", F.size(F.array_intersect("all", "others")).alias("n"), "m").where("n >= 2")
     best = Window.partitionBy("base_key").orderBy(F.col("n").desc(), F.col("m").desc(), "canonical")
     return overlap.withColumn("r", F.row_number().over(best)).where("r = 1").select("base_key", "canonical")
 
@@ -45,6 +65,6 @@ def aliases_by_suffix(found: DataFrame, known: DataFrame, taken: DataFrame) -> D
 def aliases(entries: DataFrame) -> DataFrame:
     """All aliases, one hop."""
     found = variants(entries)
-    known = profiles(found)
-    by_content = aliases_by_content(found, known)
+    known = staged(profiles(found))
+    by_content = staged(aliases_by_content(found, known))
     return by_content.withColumn("rule", F.lit("contentuid")).union(aliases_by_suffix(found, known, by_content).withColumn("rule", F.lit("suffix")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import compose_variant, consistency_key, is_blank, style_hint
 from ..operators import glossary, memory, series
+from ..staging import staged
 
 
 def pending(entries: DataFrame) -> DataFrame:
@@ -19,17 +20,18 @@ def plan(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     In order: numbered names whose base is in memory; series of two or more pending names; exact keys in memory;
     the rest by exact key.
     """
-    open_entries, known = pending(entries), memory.build(entries)
-    alias = series.aliases(entries).select(F.col("base_key").alias("raw_key"), "canonical")
+    entries = series.keyed(entries)
+    open_entries, known = pending(entries), staged(memory.build(entries))
+    alias = staged(series.aliases(entries)).select(F.col("base_key").alias("raw_key"), "canonical")
     sources = series.profiles(series.variants(entries)).select("base_key", "base_source")
-    named = series.variants(open_entries).withColumnRenamed("base_key", "raw_key").join(alias, "raw_key", "left").withColumn("base_key", F.coalesce("canonical", "raw_key")).join(sources, "base_key", "left").withColumn("base_source", F.coalesce("base_source", "base"))
+    named = series.variants(open_entries).drop("key").withColumnRenamed("base_key", "raw_key").join(alias, "raw_key", "left").withColumn("base_key", F.coalesce("canonical", "raw_key")).join(sources, "base_key", "left").withColumn("base_source", F.coalesce("base_source", "base"))
     terms = known.select(F.col("key").alias("base_key"), F.col("target").alias("known"))
-    joined = named.join(terms, "base_key", "left")
+    joined = staged(named.join(terms, "base_key", "left"))
     hits = joined.where("known IS NOT NULL").select("id", "pos", compose_variant(F.col("known"), F.col("suffix")).alias("target"), F.lit("series").alias("rule"))
     member = F.sort_array(F.collect_list(F.struct("pos", "id", "suffix")))
     groups = joined.where("known IS NULL").groupBy("base_key").agg(F.min_by("base_source", "pos").alias("base"), F.min("pos").alias("first_pos"), member.alias("members")).where(F.size("members") >= 2)
     used = hits.select("id").union(groups.select(F.explode("members.id").alias("id"))).distinct()
-    rest = open_entries.join(used, "id", "left_anti").withColumn("key", consistency_key("source"))
+    rest = open_entries.join(used, "id", "left_anti").drop("suffix")
     exact = rest.join(known.select("key", F.col("target").alias("known")), "key", "left")
     resolved = hits.union(exact.where("known IS NOT NULL").select("id", "pos", F.col("known").alias("target"), F.lit("exact").alias("rule")))
     alike = exact.where("known IS NULL").withColumn("suffix", F.lit(None).cast("string")).groupBy("key").agg(F.min_by("source", "pos").alias("base"), F.min("pos").alias("first_pos"), member.alias("members"))

@@ -113,7 +113,8 @@ def consistency_key(spark, d):
 
 def exact_groups(spark, d):
     keyed = read(spark, d, "documents").select("doc_id", "text", text.consistency_key("text").alias("key"))
-    return keyed.groupBy("key").agg(F.min("doc_id").alias("first_pos"), F.count("*").alias("n"), F.min_by("text", "doc_id").alias("source"))
+    groups = keyed.groupBy(F.md5("key").alias("hash")).agg(F.min("doc_id").alias("first_pos"), F.count("*").alias("n"))
+    return groups.join(keyed, F.col("doc_id") == F.col("first_pos")).select("key", "first_pos", "n", F.col("text").alias("source"))
 
 
 def series_split(spark, d):
