@@ -55,7 +55,7 @@ PACK = _Packs()
 class MergeTransducer:
     """Encodes byte pieces by ranked merges, a byte at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 80_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
         self.ranks, self.max_states = ranks, max_states
         self.token = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
@@ -180,7 +180,7 @@ class MergeTransducer:
 class _Units(dict):
     """Ids by unit of text, encoded when missing; when full, units not used since the last time are forgotten."""
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 120_000):
+    def __init__(self, encode: Callable[[str], bytes], most: int = 200_000):
         self.encode, self.most, self.older = encode, most, {}
 
     def __missing__(self, unit: str) -> bytes:
@@ -204,7 +204,7 @@ class BpeCodec:
         self.machine = MergeTransducer(ranks)
         self.pieces = regex.compile(pattern).findall
         self.piece = _Units(lambda piece: self.machine.encode(piece.encode()), 30_000)
-        self.unit = _Units(self._pieces, 40_000)
+        self.unit = _Units(self._pieces, 20_000)
         self.spaced = _Units(lambda unit: self._pieces(" " + unit))
         self.token = [self.machine.token.get(i, b"") for i in range(max(self.machine.token, default=-1) + 1)]
 

@@ -35,12 +35,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import apart, bounded_batches, meeting, scratch, staged, text_bytes
 from .components import components
-from .packing import gaps, mixed, pack, sums, unpack
+from .packing import gaps, mixed, pack, release, sums, unpack
 from .words import Hashes, spaced
 
 #: Tokens of one chunk of documents, and bytes of text for one bucket of tokens.
@@ -49,8 +49,8 @@ CHUNK, BUCKET_BYTES = 1 << 21, 12 << 20
 FREQUENT, FACTOR = 64, 64
 #: Documents of one key in one shard; nodes of one tile; pairs of one node in one group.
 SHARD, TILE, GROUP = 1 << 12, 1 << 11, 2_000
-#: Leaders of a key that all its nodes are compared with before all pairs are.
-LEADERS = 6
+#: Leaders of a key that its nodes may be compared with before all pairs are, and of how many of them a node is.
+LEADERS, MOST_LEADERS = 6, 16
 #: Parities of a node's tokens.
 PARITIES = 1 << 12
 
@@ -201,6 +201,8 @@ def _indexed(docs: DataFrame, width: int, percent: int, under: str) -> DataFrame
                 ids.append(batch.column("doc_id").slice(at))
         if nodes:
             yield flush()
+        del ids, sizes, nodes, owners, lists, seen, hashes
+        release()
 
     def meet(rows: pa.Table) -> pa.Table:
         own = rows.filter(pc.is_valid(rows.column("doc_ids")))
@@ -383,7 +385,10 @@ def _placed(docs: DataFrame, width: int, percent: int, under: str) -> DataFrame:
         if last:
             pairs = _crossing(keys, texts, percent)
         else:
-            pairs = led(keys.drop("root"), LEADERS).select("a", "b").join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+            side = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+            apart_ = led(keys.drop("root"), LEADERS).groupBy("a", "b").agg(F.count("*").alias("hits")).join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+            # those that a node shares most keys with; the last round has all others
+            pairs = apart_.withColumn("place", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("hits"), "a"))).where(F.col("place") <= MOST_LEADERS).select("a", "b")
         fresh = staged(pairs.select(*ordered).distinct().join(tried.select(*ordered), ["a", "b"], "left_anti"), "tried", under=under)
         tried, keys = tried.union(fresh), keys.drop("root")
         links = links.union(_verified(fresh, texts, width, percent, under))

@@ -26,7 +26,7 @@ def alnum(text: bytes) -> list[bytes]:
 class Hashes(dict):
     """Hash by word; forgets all when full, so memory stays bounded."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
