@@ -2,7 +2,12 @@
 
 Each stage reads what the one before kept, from a table of its own, and all but the last return the columns of
 documents. SQL can't express the stages (a language of finite automata, a fitted forest, component search), so
-there is no ORACLE_SQL; tests/llm compares run() with a brute-force version.
+there is no ORACLE_SQL; tests/llm compares near copies and decontamination with brute-force versions, and run() with
+the stages taken one by one.
+
+In all stages a null text counts as empty (so quality rules reject it), rows are judged by their own texts where ids
+are null or repeated, an empty table gives an empty one, texts of any length are whole, and further columns pass
+through, whatever their names (the last stage leaves out text and own columns of its results' names).
 """
 
 from __future__ import annotations
