@@ -53,6 +53,10 @@ def is_safe(path: Column) -> Column:
     return ~p.rlike(r"^/|^[A-Za-z]:|(^|/)\.\.(/|\z)")
 
 
+def safe_or_error(path: Column) -> Column:
+    return F.when(is_safe(path), path).otherwise(F.raise_error(F.concat(F.lit("unsafe path: "), path)).cast("string"))
+
+
 def is_archive(path: Column) -> Column:
     return path.rlike(r"(?i)\.(pak|zip)\z")
 

@@ -109,3 +109,20 @@ def clamp_concurrency(x: Column | str) -> Column:
 
 def endpoint(x: Column | str) -> Column:
     return F.concat(F.regexp_replace(col(x), r"/+\z", ""), F.lit("/v1/chat/completions"))
+
+
+def lsx_place(contentuid: Column | str) -> Column:
+    """(field, n) of `field#n`; null if it is something else."""
+    x = col(contentuid)
+    n = F.regexp_extract(x, r"\A[^#]*#(\d+)\z", 1).try_cast("long")
+    return F.when(n.isNotNull(), F.struct(F.regexp_extract(x, r"\A([^#]*)#", 1).alias("field"), n.alias("n")))
+
+
+def version_number(version: Column | str) -> Column:
+    """A version as a number; 1 if it is none."""
+    return F.coalesce(col(version).try_cast("int"), F.lit(1))
+
+
+def percent(done: Column | str, total: Column | str) -> Column:
+    """0 to 100; 0 of nothing."""
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.try_divide(100.0 * col(done), col(total)))), F.lit(0.0))

@@ -100,14 +100,25 @@ def page(terms: DataFrame, size: int, shown: int = 1) -> DataFrame:
     return terms.orderBy("pos").limit(size * shown)
 
 
+def remaining(terms: DataFrame, size: int, shown: int = 1) -> DataFrame:
+    """How many terms the shown pages leave."""
+    return terms.agg(F.greatest(F.count("*") - size * shown, F.lit(0).cast("long")).alias("remaining"))
+
+
 def search(terms: DataFrame, query: str) -> DataFrame:
     q = query.strip().lower()
     return terms.where(F.lower("source").contains(q) | F.lower("target").contains(q)) if q else terms
 
 
-def upsert(terms: DataFrame, new: DataFrame) -> DataFrame:
-    """new terms replace the first term of their source in its place, or come last. One new term a source."""
-    fresh = new.select(F.col("source"), F.col("target").alias("new_target"), F.col("pos").alias("new_pos")).where((ws_trim("source") != "") & (ws_trim("new_target") != ""))
+def _holds(condition: Column, fault: str, of: Column, strict: bool) -> Column:
+    """The condition as a filter; if strict, an error where it doesn't hold."""
+    return F.when(condition, True).otherwise(F.raise_error(F.concat(F.lit(f"{fault}: "), of)).cast("boolean") if strict else F.lit(False))
+
+
+def upsert(terms: DataFrame, new: DataFrame, strict: bool = False) -> DataFrame:
+    """new terms replace the first term of their source in its place, or come last. One new term a source. Blank ones
+    are left out, or an error if strict."""
+    fresh = new.select(F.col("source"), F.col("target").alias("new_target"), F.col("pos").alias("new_pos")).where(_holds((ws_trim("source") != "") & (ws_trim("new_target") != ""), "blank term", F.concat("source", F.lit(" = "), "new_target"), strict))
     first = terms.groupBy("source").agg(F.min("pos").alias("first"))
     joined = terms.join(first, "source").join(fresh, "source", "left")
     kept = joined.withColumn("target", F.when((F.col("pos") == F.col("first")) & F.col("new_target").isNotNull(), F.col("new_target")).otherwise(F.col("target"))).select("pos", "source", "target")
@@ -127,6 +138,13 @@ def rename(terms: DataFrame, old_source: str, source: str, target: str) -> DataF
     return terms.withColumns({"source": F.when(hit, F.lit(source)).otherwise(F.col("source")), "target": F.when(hit, F.lit(target)).otherwise(F.col("target"))})
 
 
-def delete(terms: DataFrame, sources: DataFrame) -> DataFrame:
-    """terms without those of sources; official terms stay."""
-    return terms.join(sources.select("source").distinct(), (terms["source"] == sources["source"]) & (F.coalesce(terms["source_kind"], F.lit("")) != "official"), "left_anti")
+def delete(terms: DataFrame, sources: DataFrame, strict: bool = False) -> DataFrame:
+    """terms without those of sources; official terms stay. If strict, a source that no term has, or an official term
+    has, is an error."""
+    if strict:
+        known = terms.groupBy("source").agg(F.bool_or(F.coalesce("source_kind", F.lit("")) == "official").alias("official"))
+        asked = sources.select("source").distinct().join(known, "source", "left")
+        asked = asked.where(_holds(F.col("official").isNotNull(), "no such term", F.col("source"), True))
+        sources = asked.where(_holds(~F.col("official"), "official term", F.col("source"), True))
+    gone = sources.select(F.col("source").alias("__gone")).distinct()
+    return terms.join(gone, (F.col("source") == F.col("__gone")) & (F.coalesce("source_kind", F.lit("")) != "official"), "left_anti")

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import is_blank
+
 
 def fold(events: DataFrame) -> DataFrame:
     """entryId, target, status and error after all events, in the order of (ts, seq).
 
     progress sets the status; delta appends text and sets translating; done replaces the target; error sets status
-    and message and keeps the target; edit replaces the target; all_done changes nothing. Windows instead of one
-    row of all events per entry: the target is what the last done or edit set, and the deltas after it.
+    and message and keeps the target; edit replaces the target; revert empties it and sets pending; all_done changes nothing. Windows instead of one
+    row of all events per entry: the target is what the last done, edit or revert set, and the deltas after it.
     """
     order = Window.partitionBy("entryId").orderBy("ts", "seq")
     own = events.where(F.col("type") != "all_done").withColumn("n", F.row_number().over(order))
-    resets = F.col("type").isin("done", "edit")
+    resets = F.col("type").isin("done", "edit", "revert")
     marks = own.groupBy("entryId").agg(F.coalesce(F.max(F.when(resets, F.col("n"))), F.lit(0)).alias("from_n"), F.max_by(F.struct("type", "status", "message"), "n").alias("last"))
     parts = own.join(marks.select("entryId", "from_n"), "entryId").where((F.col("n") == F.col("from_n")) | ((F.col("n") > F.col("from_n")) & (F.col("type") == "delta")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"]), "")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.when(F.col("type") == "revert", "").otherwise(F.coalesce("text", F.lit(""))).alias("text")))), lambda x: x["text"]), "")
     targets = parts.groupBy("entryId").agg(text.alias("target"))
     kind = F.col("last.type")
-    status = F.when(kind == "progress", F.col("last.status")).when(kind == "delta", "translating").when(kind == "done", "translated").when(kind == "edit", "edited").otherwise("error")
+    status = F.when(kind == "progress", F.col("last.status")).when(kind == "delta", "translating").when(kind == "done", "translated").when(kind == "edit", "edited").when(kind == "revert", "pending").otherwise("error")
     return marks.join(targets, "entryId", "left").select("entryId", F.coalesce("target", F.lit("")).alias("target"), status.alias("status"), F.when(kind == "error", F.col("last.message")).alias("error"))
 
 
@@ -40,6 +42,14 @@ def cancel(events: DataFrame, at_seq: int) -> DataFrame:
     return kept.withColumns({"target": F.when(done, F.col("target")).otherwise(""), "status": F.when(done, F.col("status")).otherwise("pending")})
 
 
+def finished(entries: DataFrame, events: DataFrame) -> DataFrame:
+    """The all_done event of a run over entries: total counts all that were pending, those that memory decided too, and
+    failed the members of jobs that ended in an error. A task that Spark gives up fails the whole run instead."""
+    total = entries.agg(F.count_if(~is_blank("source") & is_blank("target")).alias("total"))
+    failed = events.agg(F.count_distinct(F.when(F.col("type") == "error", F.col("entryId"))).alias("failed"))
+    return total.crossJoin(failed).select(F.lit("all_done").alias("type"), "total", "failed")  # one row each
+
+
 def progress(entries: DataFrame) -> DataFrame:
     done = F.col("status").isin("translated", "edited")
     return entries.agg(F.count("*").alias("total"), F.count_if(done).alias("done"), F.count_if(~done).alias("pending"))

@@ -26,6 +26,11 @@ def search(entries: DataFrame, query: str, *columns: str) -> DataFrame:
     return entries.where(hit) if q else entries
 
 
+def selected(entries: DataFrame, files: DataFrame) -> DataFrame:
+    """Entries of the files (name)."""
+    return entries.join(files.select(F.col("name").alias("source_file")), "source_file", "left_semi")
+
+
 def retranslate_all(entries: DataFrame) -> DataFrame:
     """If nothing is pending, every work item pending again."""
     nothing = entries.agg(F.coalesce(F.max((~is_blank("source") & is_blank("target")).cast("int")), F.lit(0)).alias("open"))
@@ -45,6 +50,10 @@ def by_language(files: DataFrame) -> DataFrame:
     return files.orderBy(F.coalesce("language", F.lit("zzz")), "name")
 
 
+def by_name(files: DataFrame) -> DataFrame:
+    return files.orderBy("name")
+
+
 def write_plan(files: DataFrame) -> DataFrame:
     """Per target path the file of most priority, then the first. Files without entries are left out."""
     full = files.where("n_entries > 0").withColumns({"target_path": target_path(F.col("name")), "priority": write_priority(F.col("language"))})
@@ -61,19 +70,25 @@ def folder_rollup(files: DataFrame) -> DataFrame:
 
 
 def tree(files: DataFrame) -> DataFrame:
-    """Nodes of the path tree: path, name, depth, is_leaf; siblings in order are folders first, then by name."""
+    """Nodes of the path tree: path, name, depth, is_leaf; in_tree_order sorts them."""
     leaf = files.select(F.col("name").alias("path"), F.lit(True).alias("is_leaf"))
     inner = files.select(F.explode(folders(F.col("name"))).alias("path"), F.lit(False).alias("is_leaf")).distinct()
     parts = F.split("path", "/")
     return leaf.union(inner).withColumns({"name": F.element_at(parts, -1), "depth": F.size(parts).cast("long")})
 
 
+def in_tree_order(nodes: DataFrame) -> DataFrame:
+    """Nodes of one folder together; folders first, then by name."""
+    return nodes.orderBy(F.regexp_extract("path", r"(?s)^(.*)/[^/]*\z", 1), "is_leaf", "name")
+
+
 def toggle(selected: DataFrame, shown: DataFrame, on: bool) -> DataFrame:
     """The selection with all shown names added or taken away."""
     return selected.select("name").union(shown.select("name")).distinct() if on else selected.join(shown, "name", "left_anti")
 
 
-def latest_readable(copies: DataFrame) -> DataFrame:
-    """Per name the last copy that can be read; names without one are reported with a null pos."""
+def latest_readable(copies: DataFrame, strict: bool = False) -> DataFrame:
+    """Per name the last copy that can be read; names without one are reported with a null pos, or an error if strict."""
     good = F.col("readable")
-    return copies.groupBy("name").agg(F.max(F.when(good, F.col("pos"))).alias("pos"), F.count_if(~good).alias("unreadable"), F.count("*").alias("copies"))
+    found = copies.groupBy("name").agg(F.max(F.when(good, F.col("pos"))).alias("pos"), F.count_if(~good).alias("unreadable"), F.count("*").alias("copies"))
+    return found.where(F.when(F.col("pos").isNotNull(), True).otherwise(F.raise_error(F.concat(F.lit("no copy can be read: "), "name")).cast("boolean"))) if strict else found

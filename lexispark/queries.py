@@ -6,7 +6,8 @@ frequent words, events from events, files from documents. Targets are expression
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 from .functions import files as FF
 from .functions import markup, text
 from .operators import glossary, memory, series, state, views
-from .plans import planner
-from .sources import contentlist
+from .plans import planner, translate
+from .sources import archive, contentlist, json_io, tree
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -41,6 +42,13 @@ FLAGS = "rn % 11 <> 0 AS enabled, rn % 13 = 0 AS ambiguous, {whole} AS whole_wor
 DOC_TERMS, PAGE_SIZE = 150, 20
 #: Range of doc_id in one contentList file: 1,024 entries of each of 16 files.
 FILE_SPAN = 16 << 10
+#: Parts in one LSX file, documents in one zip archive: ranges of their numbers.
+LSX_SPAN, ZIP_SPAN = 512, 1024
+LSX_LINE = """CASE p_partkey % 3 WHEN 0 THEN concat(translate('<attribute id=~Title~ type=~LSString~ value=~', '~', chr(39)), p_name, ' > &amp; ', p_size, chr(39), '/>')
+ WHEN 1 THEN concat('<attribute type="LSWString" handle="x>y" value="', p_name, ' > &amp; ', p_size, '" id="Tooltip" />') ELSE concat('<attribute id="Name" type="LSString" value="', p_name, '"/>') END"""
+ODD_NAME = "concat(CASE pos % 5 WHEN 0 THEN '../' WHEN 1 THEN '/' WHEN 2 THEN 'C:/' WHEN 3 THEN 'a/./' ELSE '' END, name, CASE WHEN pos % 2 = 0 THEN '.PAK' ELSE '' END)"
+ODD_UID = "CASE p_partkey % 3 WHEN 0 THEN concat('Title#', p_size) WHEN 1 THEN concat('Title#x', p_size) ELSE p_name END"
+ODD_VERSION = "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '7' WHEN 2 THEN 'x' ELSE CAST(p_size AS STRING) END"
 NOISE = [
     ("Fireball", "火球术"), ("[1] from [2]", "x"), ("Baldur's Gate", "博德之门"), ("[IE_ContextMenu] Ping", "x"), ("[DRUID][RANGER]", "x"), ("--OBEY--", "x"),
     ("of", "x"), ("OF", "x"), ("the", "x"), ("from", "x"), ("From here", "从这里"), ("'of'", "x"), ("''", "x"), ("中文", "zhong"), (" Paladin ", "圣武士"),
@@ -213,17 +221,127 @@ def glossary_delete(spark, d):
 
 
 def contentlist_roundtrip(spark, d):
-    """Documents as entries, written as contentList files and parsed again."""
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("-"), F.col("doc_id") % 16, F.lit("/Localization/x.xml")).alias("source_file"), F.concat(F.lit("h"), "doc_id").alias("contentuid"), F.lit("1").alias("version"), F.replace(text.ws_trim("text"), F.lit("<"), F.lit("(")).alias("source"), F.lit("").alias("target"))
+    """Documents between inline tags as entries, written as contentList files and parsed again."""
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("-"), F.col("doc_id") % 16, F.lit("/Localization/x.xml")).alias("source_file"), F.concat(F.lit("h"), "doc_id").alias("contentuid"), F.lit("1").alias("version"), F.concat(F.lit('Cast <LSTag Tag="'), F.col("doc_id"), F.lit('">'), text.ws_trim("text"), F.lit("</LSTag><br/><b></b> 1 < 2 & 3")).alias("source"), F.lit("").alias("target"))
     written = contentlist.written_xml(docs, span=FILE_SPAN).select(F.col("source_file").alias("name"), FF.file_kind(F.col("source_file")).alias("kind"), F.col("content").cast("binary").alias("content"))
     return contentlist.entries(contentlist.parse(written), strict=True).select("contentuid", contentlist.whole_name(F.col("source_file")).alias("source_file"), F.length("source").alias("n_chars"), F.md5(F.col("source").cast("binary")).alias("digest"))
 
 
+SSE = r"""concat('data: {"choices":[{"delta":{"content":"', event_type, event_id, '"}}]}\r\n: note\ndata: {bad\ndata: {"choices":[{"delta":{"content":"!"}}]}\ndata: [DONE]\n')"""
+
+
+def sse_deltas(spark, d):
+    return json_io.sse_deltas(read(spark, d, "events").selectExpr("event_id", f"{SSE} AS value"), keep=["event_id"])
+
+
+def fragment_escape(spark, d):
+    return read(spark, d, "pages").select("page_id", F.md5(markup.escape_fragment(F.col("html")).cast("binary")).alias("digest"))
+
+
+def retranslate_all(spark, d):
+    """Once with pending entries, which changes nothing, and once without."""
+    some = entries(spark, d)
+    return views.retranslate_all(some).union(views.retranslate_all(some.where("target <> ''"))).select("id", "target", "status", "error")
+
+
+def cancelled(spark, d):
+    """State if the run was cancelled halfway."""
+    return state.cancel(events(spark, d), read(spark, d, "events").agg(F.max("event_id")).first()[0] // 2)
+
+
+def reverted(spark, d):
+    return state.fold(events(spark, d).withColumn("type", F.when((F.col("type") == "edit") & (F.col("seq") % 2 == 0), "revert").otherwise(F.col("type"))))
+
+
+def applied_events(spark, d):
+    """Entries by number, with the state of the events of the users of these numbers."""
+    return state.apply_to(entries(spark, d).withColumn("id", F.col("pos").cast("string")), event_fold(spark, d)).select("id", "target", "status", "error")
+
+
+def tree_nodes(spark, d):
+    return views.in_tree_order(views.tree(files(spark, d)))
+
+
+def selection(spark, d):
+    """Checked files with the English ones added, and with them taken away."""
+    shown, checked = files(spark, d).where("language = 'English'"), files(spark, d).where("checked")
+    return views.toggle(checked, shown, True).withColumn("on", F.lit(True)).union(views.toggle(checked, shown, False).select("name", F.lit(False)))
+
+
+def selected_entries(spark, d):
+    return views.selected(read(spark, d, "documents").selectExpr("doc_id", f"{PATH} AS source_file"), files(spark, d).where("checked"))
+
+
+def entry_views(spark, d):
+    found = {"work": views.work_items(entries(spark, d)).select("id"), "open": views.only_pending(entries(spark, d)).select("id"), "terms": glossary.search(part_terms(spark, d), " RE ").select(F.col("pos").cast("string")), "files": views.localization_only(views.classified(files(spark, d))).select("name")}
+    return reduce(DataFrame.union, [rows.select(F.lit(name).alias("view"), F.col(rows.columns[0]).alias("id")) for name, rows in found.items()])
+
+
+def glossary_rename(spark, d):
+    terms = part_terms(spark, d).select("pos", "source", "target")
+    return glossary.rename(terms, terms.where("pos = 1").first()["source"], "crimson", "R!")
+
+
+def glossary_remaining(spark, d):
+    return glossary.remaining(part_terms(spark, d), PAGE_SIZE, 1)
+
+
+def path_rules(spark, d):
+    name = F.col("name")
+    return files(spark, d).selectExpr(f"{ODD_NAME} AS name").select("name", FF.is_safe(name).alias("safe"), FF.is_archive(name).alias("archive"), FF.output_name(name).alias("output"))
+
+
+def small_rules(spark, d):
+    rows = read(spark, d, "part").selectExpr("p_partkey", "p_size", f"{ODD_UID} AS uid", f"{ODD_VERSION} AS version").withColumn("place", text.lsx_place("uid"))
+    return rows.select("p_partkey", F.col("place.field").alias("field"), F.col("place.n").alias("n"), text.version_number("version").alias("version"), text.percent(F.col("p_size") - 5, F.lit(40)).alias("percent"))
+
+
+def file_order(spark, d):
+    return contentlist.in_order(files(spark, d).select("name"))
+
+
+def lsx_patch(spark, d):
+    """Parts as LSX files; their titles translated in place, and the files parsed again."""
+    rows = read(spark, d, "part").selectExpr("p_partkey", f"concat('m', p_partkey div {LSX_SPAN}, '.lsx') AS name", f"{LSX_LINE} AS line")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"])
+    content = F.concat(F.lit("<save>\n"), F.array_join(lines, "\n"), F.lit("\n</save>\n"))
+    made = rows.groupBy("name").agg(content.cast("binary").alias("content")).withColumn("kind", FF.file_kind(F.col("name")))
+    found = contentlist.entries(contentlist.parse(made), strict=True)
+    told = found.withColumn("target", F.when(F.col("contentuid").startswith("Title"), F.upper("source")).otherwise(""))
+    written = tree.written(made, told).withColumn("kind", FF.file_kind(F.col("name")))
+    return contentlist.entries(contentlist.parse(written), strict=True).select("source_file", "contentuid", "source")
+
+
+def zip_members(spark, d):
+    """Documents as members of zip archives, packed and opened again."""
+    docs = read(spark, d, "documents").select(F.concat(F.lit("a"), F.floor(F.col("doc_id") / ZIP_SPAN)).alias("archive"), F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    packed = archive.repacked(docs).select(F.col("archive").alias("path"), "content")
+    return archive.unpacked(packed).select("archive", "name", "size", F.md5("content").alias("digest"))
+
+
+def translated_table(spark, d):
+    return translate.translate_table(entries(spark, d), part_terms(spark, d))[0].select("id", "target", "status", "error")
+
+
+def _fails_on_r(prompt: str, source: str) -> Iterator[str]:
+    if source.startswith("r"):
+        raise ValueError(source)
+    yield source
+
+
+def run_totals(spark, d):
+    """Totals of a run whose translator fails on some sources."""
+    events = translate.translate_table(entries(spark, d), part_terms(spark, d), _fails_on_r, first_wait_s=0.0)[1]
+    return state.finished(entries(spark, d), events)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__.lstrip("_"): f
     for f in (
         glossary_match, glossary_match_substring, glossary_clean, glossary_clean_stats, consistency_key, exact_groups, series_split, series_profiles, series_alias, memory_build, memory_refs_top12,
         plan_resolved, fanout, prompt, event_fold, progress, pending_filter, search, classify_files, write_plan, folder_rollup, latest_readable, inline_tags, glossary_page, glossary_upsert, glossary_delete, contentlist_roundtrip,
+        sse_deltas, fragment_escape, retranslate_all, cancelled, reverted, applied_events, tree_nodes, selection, selected_entries, entry_views, glossary_rename, glossary_remaining,
+        path_rules, small_rules, file_order, lsx_patch, zip_members, translated_table, run_totals,
     )
 } | {"plan_jobs": _jobs}
 
@@ -314,6 +432,12 @@ EDITS_CTE = "edits AS (SELECT pos, CASE WHEN pos % 8 = 1 THEN source ELSE source
 _REFS = "SELECT key, ref_key, ref_source, ref_target, row_number() OVER (PARTITION BY key ORDER BY strlen(ref_source) DESC, ref_key) AS rank FROM (SELECT k.key, m.key AS ref_key, m.source AS ref_source, m.target AS ref_target FROM (SELECT DISTINCT key FROM {keys}) k, memory m WHERE contains(k.key, m.key) AND k.key <> m.key) QUALIFY rank <= 12"
 _ASK = "Translate into Simplified Chinese and answer with the translation only"
 
+_CUT = EVENTS_CTE.replace("FROM events)", "FROM events WHERE event_id < (SELECT max(event_id) // 2 FROM events))")
+_REVERT = EVENTS_CTE.replace("ELSE 'edit' END AS type", "ELSE CASE WHEN event_id % 2 = 0 THEN 'revert' ELSE 'edit' END END AS type").replace("('done', 'edit')", "('done', 'edit', 'revert')").replace("string_agg(e.text,", "string_agg(CASE WHEN e.type = 'revert' THEN '' ELSE e.text END,").replace("ELSE 'error' END AS status", "WHEN 'revert' THEN 'pending' ELSE 'error' END AS status")
+_TAG_NAME = r"regexp_extract(s, '(?s)^<\s*/?\s*([^\s/>!?<][^\s/>]*)', 1)"
+_ESCAPED = "replace(replace(replace(replace(replace(s, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), chr(39), '&apos;'), '\"', '&quot;')"
+_TAGGED = f"concat('Cast <LSTag Tag=\"', doc_id, '\">', {_trim('text')}, '</LSTag><br/><b></b> 1 < 2 & 3')"
+
 ORACLE_SQL: dict[str, str] = {
     "glossary_match": f"WITH {_document_terms('rn % 5 <> 0')} {_matches('documents', 'doc_id', 'text')}",
     "glossary_match_substring": f"WITH {_document_terms('rn < 0')}, m AS ({_matches('documents', 'doc_id', 'text')}) SELECT source, target, count(*) AS n_texts, CAST(sum(rank) AS BIGINT) AS ranks FROM m GROUP BY 1, 2",
@@ -345,5 +469,26 @@ ORACLE_SQL: dict[str, str] = {
     "glossary_page": f"WITH {_document_terms('rn % 5 <> 0')} SELECT pos, source, target FROM terms ORDER BY pos LIMIT {2 * PAGE_SIZE}",
     "glossary_upsert": f"WITH {PART_TERMS_CTE}, {EDITS_CTE} SELECT t.pos, t.source, coalesce(e.target, t.target) AS target FROM terms t LEFT JOIN edits e ON e.source = t.source UNION ALL SELECT (SELECT max(pos) FROM terms) + 1 + pos, source, target FROM edits WHERE source NOT IN (SELECT source FROM terms)",
     "glossary_delete": f"WITH {PART_TERMS_CTE} SELECT pos, source, target FROM terms WHERE NOT (pos % 3 = 0 AND pos % 5 <> 0)",
-    "contentlist_roundtrip": f"SELECT concat('h', doc_id) AS contentuid, concat(source, '-', doc_id % 16, '/Localization/x.xml') AS source_file, length(replace({_trim('text')}, '<', '(')) AS n_chars, md5(replace({_trim('text')}, '<', '(')) AS digest FROM documents",
+    "contentlist_roundtrip": f"SELECT concat('h', doc_id) AS contentuid, concat(source, '-', doc_id % 16, '/Localization/x.xml') AS source_file, length({_TAGGED}) AS n_chars, md5({_TAGGED}) AS digest FROM documents",
+    "sse_deltas": "SELECT event_id, CAST(0 AS BIGINT) AS pos, concat(event_type, event_id) AS text FROM events UNION ALL SELECT event_id, 3, '!' FROM events",
+    "fragment_escape": f"SELECT page_id, md5(array_to_string(list_transform(regexp_extract_all(html, '(?s)<[^>]*>|[^<]+|<'), lambda s: CASE WHEN starts_with(s, '<') AND ends_with(s, '>') AND {_TAG_NAME} IN ('LSTag', 'font', 'i', 'b', 'u', 'br') THEN s ELSE {_ESCAPED} END), '')) AS digest FROM pages",
+    "retranslate_all": f"WITH {E_CTE} SELECT id, target, 'pending' AS status, CAST(NULL AS VARCHAR) AS error FROM entries UNION ALL SELECT id, '', 'pending', NULL FROM entries WHERE target <> ''",
+    "cancelled": f"""WITH {_CUT} SELECT "entryId", CASE WHEN status IN ('translated', 'edited', 'error') THEN target ELSE '' END AS target, CASE WHEN status IN ('translated', 'edited', 'error') THEN status ELSE 'pending' END AS status, error FROM folded""",
+    "reverted": f"WITH {_REVERT} SELECT * FROM folded",
+    "applied_events": f"""WITH {EVENTS_CTE}, {E_CTE} SELECT CAST(x.pos AS VARCHAR) AS id, CASE WHEN f.status IS NULL THEN x.target ELSE f.target END AS target, coalesce(f.status, 'pending') AS status, f.error FROM entries x LEFT JOIN folded f ON f."entryId" = CAST(x.pos AS VARCHAR)""",
+    "tree_nodes": f"WITH {FILES_CTE}, n AS (SELECT name AS path, true AS is_leaf FROM files UNION ALL SELECT DISTINCT array_to_string(p[:i], '/'), false FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(name, '/') AS p FROM files))) SELECT path, is_leaf, string_split(path, '/')[-1] AS name, CAST(len(string_split(path, '/')) AS BIGINT) AS depth FROM n",
+    "selection": f"WITH {FILES2_CTE} SELECT name, true AS \"on\" FROM facts WHERE pos % 3 = 0 OR language = 'English' UNION ALL SELECT name, false FROM facts WHERE pos % 3 = 0 AND language IS DISTINCT FROM 'English'",
+    "selected_entries": f"WITH {FILES_CTE} SELECT doc_id, {PATH} AS source_file FROM documents WHERE {PATH} IN (SELECT name FROM files WHERE pos % 3 = 0)",
+    "entry_views": f"WITH {E_CTE}, {PART_TERMS_CTE}, {FILES_CTE} SELECT 'work' AS view, id FROM entries WHERE {_trim('source')} <> '' UNION ALL SELECT 'open', id FROM entries WHERE target = '' UNION ALL SELECT 'terms', CAST(pos AS VARCHAR) FROM terms WHERE contains(lower(source), 're') OR contains(lower(target), 're') UNION ALL SELECT 'files', name FROM files WHERE (lower(name) LIKE '%.xml' AND contains(lower(name), 'localization')) OR lower(name) LIKE '%.loca'",
+    "glossary_rename": f"WITH {PART_TERMS_CTE} SELECT pos, CASE WHEN pos = 1 THEN 'crimson' ELSE source END AS source, CASE WHEN pos = 1 THEN 'R!' ELSE target END AS target FROM terms",
+    "glossary_remaining": f"WITH {PART_TERMS_CTE} SELECT greatest(count(*) - {PAGE_SIZE}, 0) AS remaining FROM terms",
+    "path_rules": rf"WITH {FILES_CTE} SELECT name, NOT regexp_matches(name, '^/|^[A-Za-z]:|(^|/)\.\.(/|$)') AS safe, regexp_matches(name, '(?i)\.(pak|zip)$') AS archive, concat(regexp_replace(regexp_extract(name, '([^/]*)$', 1), '(?i)\.(pak|zip)$', ''), '_zh.pak') AS output FROM (SELECT {ODD_NAME} AS name FROM files)",
+    "small_rules": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Title' END AS field, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS BIGINT) END AS n, CAST(CASE p_partkey % 4 WHEN 1 THEN 7 WHEN 3 THEN p_size ELSE 1 END AS INTEGER) AS version, greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), CAST(p_size - 5 AS DOUBLE) * 100 / 40)) AS percent FROM part",
+    "file_order": f"WITH {FILES_CTE} SELECT name, row_number() OVER (ORDER BY name) - 1 AS pos FROM files",
+    "lsx_patch": f"SELECT concat('m', p_partkey // {LSX_SPAN}, '.lsx') AS source_file, concat(field, '#', row_number() OVER (PARTITION BY p_partkey // {LSX_SPAN}, field ORDER BY p_partkey) - 1) AS contentuid, CASE field WHEN 'Title' THEN upper(value) ELSE value END AS source FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Title' ELSE 'Tooltip' END AS field, concat(p_name, ' > & ', p_size) AS value FROM part WHERE p_partkey % 3 <> 2)",
+    "zip_members": f"SELECT concat('a', doc_id // {ZIP_SPAN}) AS archive, concat(source, '/', doc_id, '.txt') AS name, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents",
+    "run_totals": f"WITH {BASE_CTES}, {PLAN_CTE} SELECT 'all_done' AS type, (SELECT count(*) FROM open) AS total, CAST((SELECT coalesce(sum(n_members), 0) FROM jobs WHERE base LIKE 'r%') AS BIGINT) AS failed",
 }
+_OUTPUTS = ORACLE_SQL["fanout"].replace(f"{PLAN_CTE} SELECT j.id", f"{PLAN_CTE}, outputs AS (SELECT j.id")
+ORACLE_SQL["translated_table"] = f"""{_OUTPUTS} UNION ALL SELECT id, pos, {COMPOSE('known', 'suffix')} FROM joined WHERE known IS NOT NULL UNION ALL SELECT id, pos, known FROM rest WHERE known IS NOT NULL)
+ SELECT x.id, coalesce(o.target, x.target) AS target, CASE WHEN o.id IS NULL THEN 'pending' ELSE 'translated' END AS status, CAST(NULL AS VARCHAR) AS error FROM entries x LEFT JOIN outputs o USING (id)"""

@@ -4,42 +4,71 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.files import file_kind, is_safe, language, normalized_path
+from ..functions.files import file_kind, is_safe, language, normalized_path, safe_or_error
 
+#: Members that travel to Spark together, and their bytes.
+BATCH_MEMBERS, BATCH_BYTES = 256, 16 << 20
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each member of zip archives: archive, pos, name, size, kind, language, content and readable.
 
-    Members whose paths leave the archive are left out; those that can't be read have no content.
+def read_archives(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    return unpacked(spark.read.format("binaryFile").load(path).select("path", "content"), strict)
+
+
+def unpacked(archives: DataFrame, strict: bool = False) -> DataFrame:
+    """A row for each member of zip archives (path, content): archive, pos, name, size, kind, language, content and readable.
+
+    Members whose paths leave the archive are left out, or an error if strict. Those that can't be read have no
+    content; an archive that can't be opened is one such row, without a name.
     """
+    columns = ["archive", "pos", "name", "size", "content"]
+
+    def opened(archive: str, content: bytes) -> Iterator[tuple]:
+        try:
+            z = zipfile.ZipFile(io.BytesIO(content))
+        except (zipfile.BadZipFile, NotImplementedError, ValueError):
+            yield archive, -1, "", len(content), None
+            return
+        for pos, info in enumerate(z.infolist()):
+            if not info.is_dir():
+                try:
+                    data = z.read(info)
+                except (zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError, zlib.error):
+                    data = None
+                yield archive, pos, info.filename, info.file_size, data
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for pos, info in enumerate(z.infolist()):
-                        if info.is_dir():
-                            continue
-                        try:
-                            data = z.read(info)
-                        except (zipfile.BadZipFile, NotImplementedError, RuntimeError):
-                            data = None
-                        yield pd.DataFrame({"archive": [archive], "pos": [pos], "name": [info.filename], "size": [info.file_size], "content": [data]})
-
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = raw.mapInPandas(members, "archive string, pos long, name string, size long, content binary")
-    named = rows.withColumn("name", normalized_path(F.col("name"))).where(is_safe(F.col("name")))
+            rows, held = [], 0
+            for row in chain.from_iterable(map(opened, batch["path"], batch["content"])):
+                rows.append(row)
+                held += len(row[4] or b"")
+                if held > BATCH_BYTES or len(rows) == BATCH_MEMBERS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=columns)
+
+    rows = archives.select("path", "content").mapInPandas(members, "archive string, pos long, name string, size long, content binary")
+    named = rows.withColumn("name", normalized_path(F.col("name")))
+    named = named.withColumn("name", safe_or_error(F.col("name"))) if strict else named.where(is_safe(F.col("name")))
     return named.withColumns({"kind": file_kind(F.col("name")), "language": language(F.col("name")), "readable": F.col("content").isNotNull()})
 
 
+def inner_packages(members: DataFrame) -> DataFrame:
+    """(archive, name): the first member of each archive, by name, that is a package itself."""
+    return members.where(F.col("name").rlike(r"(?i)\.pak\z")).groupBy("archive").agg(F.min("name").alias("name"))
+
+
 def repacked(members: DataFrame) -> DataFrame:
-    """(archive, content): one zip of each archive's members (archive, name, content), by name."""
+    """(archive, content): one zip of each archive's members (archive, name, content), by name. A zip is one value, so
+    each archive must fit in its task."""
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()

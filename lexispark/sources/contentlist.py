@@ -14,17 +14,18 @@ from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.files import file_kind
 from ..functions.markup import escape_fragment
 from ..functions.text import escape_attribute
+from ..staging import staged
 
 #: Translatable attributes of LSX files, and their types.
 LSX_FIELDS = frozenset(["Description", "DisplayName", "Title", "Tooltip", "TooltipDescription"])
 LSX_TYPES = frozenset(["LSString", "LSWString"])
-PARSED = "source_file string, ordinal long, contentuid string, version string, source string, place long, warning string"
+PARSED = "source_file string, file_no long, ordinal long, contentuid string, version string, source string, place long, warning string"
 
 
 #: Characters that XML 1.0 can't hold, and how they are written.
@@ -54,9 +55,18 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("kind", file_kind(F.col("name")))
 
 
-def _parsed_run(content: bytes | memoryview, rows: list[list]) -> tuple[str, int] | None:
+def in_order(files: DataFrame) -> DataFrame:
+    """files with pos, the place of their names in byte order. Names are sorted in ranges: only the ranges' sizes meet
+    in one task, and contents move only where there are too many names to broadcast."""
+    names = staged(files.select("name").distinct().repartitionByRange("name").withColumn("part", F.spark_partition_id()))
+    before = names.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("name")) - 1
+    return files.drop("pos").join(names.join(before, "part").select("name", (F.col("before") + place).alias("pos")), "name")
+
+
+def _parsed_run(content: bytes, rows: list[list]) -> tuple[str, int] | None:
     """Adds the entries before the first fault to rows; the fault and its place."""
-    state = {"open": None, "depth": 0}
+    state = {"open": None, "depth": 0, "just_opened": False}
     parser = expat.ParserCreate()
     parser.buffer_text = True
 
@@ -67,20 +77,28 @@ def _parsed_run(content: bytes | memoryview, rows: list[list]) -> tuple[str, int
         else:
             state["depth"] += 1
             state["open"][2] += f"<{tag}{''.join(f' {k}="{escape(v, {chr(34): '&quot;'})}"' for k, v in attributes.items())}>"
+            state["just_opened"] = True
 
     def end(tag: str) -> None:
         if state["open"] is not None:
             if state["depth"]:
                 state["depth"] -= 1
-                text = state["open"][2]
-                opened = re.search(rf"<{re.escape(tag)}(?: [^<>]*)?>\Z", text)
-                state["open"][2] = text[:-1] + "/>" if opened else f"{text}</{tag}>"
+                ended = parser.CurrentByteIndex  # just after an empty tag, or before an end tag
+                if state["just_opened"] and content[max(0, ended - 4) : ended].replace(b"\0", b"").endswith(b"/>"):
+                    state["open"][2] = state["open"][2][:-1] + "/>"
+                else:
+                    state["open"][2] += f"</{tag}>"
+                state["just_opened"] = False
             else:
                 rows.append(state["open"])
                 state["open"] = None
 
-    parser.StartElementHandler, parser.EndElementHandler = start, end
-    parser.CharacterDataHandler = lambda data: state["open"] is not None and state["open"].__setitem__(2, state["open"][2] + data)
+    def text(data: str) -> None:
+        if state["open"] is not None:
+            state["open"][2] += data
+            state["just_opened"] = False
+
+    parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler = start, end, text
     try:
         parser.Parse(content, True)
     except expat.ExpatError as fault:
@@ -104,46 +122,64 @@ def parse_content_list(name: str, content: bytes) -> list[tuple]:
         fault = _parsed_run(head + content[at:], rows)
         if fault and not fault[1]:
             break
-    out = [(name, i, _restored(uid), _restored(version), _restored(text.strip()), None, None) for i, (uid, version, text) in enumerate(rows)]
-    return out + [(name, len(out) + i, None, None, None, None, x) for i, x in enumerate(warnings)]
+    out = [(name, None, i, _restored(uid), _restored(version), _restored(text.strip()), None, None) for i, (uid, version, text) in enumerate(rows)]
+    return out + [(name, None, len(out) + i, None, None, None, None, x) for i, x in enumerate(warnings)]
 
 
-ATTRIBUTE = re.compile(r"<attribute\b([^<>]*?)/?>")
-PART = re.compile(r"([\w:.-]+)\s*=\s*\"([^\"]*)\"")
+MARK = b"\xef\xbb\xbf"
+ATTRIBUTE = re.compile(rb"""<attribute(?:\s+[^\s=<>"']+\s*=\s*(?:"[^"]*"|'[^']*'))*""")
+PART = re.compile(rb"""([^\s=<>"']+)\s*=\s*("[^"]*"|'[^']*')""")
+REFERENCE = re.compile(r"&[#\w]+;")
 
 
-def parse_lsx(name: str, content: bytes) -> list[tuple]:
-    """Translatable attributes of one file, numbered per field, with the place of each in the file."""
+def _lsx_tags(content: bytes) -> tuple[list[dict[str, tuple[int, int]]], str | None]:
+    """Where the values of each attribute element stand, by name, and the fault that ended the file early."""
+    places: list[int] = []
+    parser = expat.ParserCreate("utf-8")
+    parser.StartElementHandler = lambda tag, _: places.append(parser.CurrentByteIndex) if tag == "attribute" else None
+    fault = None
     try:
-        text = content.removeprefix(b"\xef\xbb\xbf").decode("utf-8")
-    except UnicodeDecodeError as fault:
-        return [(name, 0, None, None, None, None, str(fault))]
+        parser.Parse(content, True)
+    except expat.ExpatError as e:
+        fault = str(e)
+    spans = ({m[1].decode(): (m.start(2) + 1, m.end(2) - 1) for m in PART.finditer(content, at, ATTRIBUTE.match(content, at).end())} for at in places)
+    return list(spans), fault
+
+
+def parse_lsx(name: str, content: bytes) -> list[tuple]:
+    """Translatable attributes of one file, numbered per field, with the place of each in the file. A fault, or bytes
+    that aren't UTF-8, give a warning after what came before."""
+    content = content.removeprefix(MARK)
+    tags, fault = _lsx_tags(content)
     out, numbers = [], {}
-    for place, m in enumerate(ATTRIBUTE.finditer(text)):
-        a = {k: html.unescape(v) for k, v in PART.findall(m[1])}
+    for place, tag in enumerate(tags):
+        a = {k: REFERENCE.sub(lambda m: html.unescape(m[0]), content[i:j].decode()) for k, (i, j) in tag.items()}
         if a.get("id") in LSX_FIELDS and a.get("type") in LSX_TYPES and a.get("value"):
             n = numbers[a["id"]] = numbers.get(a["id"], -1) + 1
-            out.append((name, len(out), f"{a['id']}#{n}", "1", a["value"], place, None))
-    return out
+            out.append((name, None, len(out), f"{a['id']}#{n}", "1", a["value"], place, None))
+    return out + [(name, None, len(out), None, None, None, None, fault)] * bool(fault)
 
 
 def parse(files: DataFrame) -> DataFrame:
-    """Parsed rows of files (name, kind, content) of text kinds; other kinds have none."""
+    """Parsed rows of files (name, kind, content) of text kinds; other kinds have none. A column pos of files, as of
+    in_order, is their file_no."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, kind, content in zip(batch["name"], batch["kind"], batch["content"]):
+            for name, kind, pos, content in zip(batch["name"], batch["kind"], batch["pos"], batch["content"]):
                 rows = parse_content_list(name, bytes(content)) if kind == "localization-xml" else parse_lsx(name, bytes(content)) if kind == "metadata-lsx" else []
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
+                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")]).assign(file_no=pos)
 
-    return files.select("name", "kind", "content").mapInPandas(each, PARSED)
+    pos = F.col("pos") if "pos" in files.columns else F.lit(None)
+    return files.select("name", "kind", pos.cast("long").alias("pos"), "content").mapInPandas(each, PARSED)
 
 
 def entries(parsed: DataFrame, strict: bool = False) -> DataFrame:
-    """Entries of parsed rows; pos orders them by file, then as they stand in it. If strict, a warning is an error."""
+    """Entries of parsed rows; pos orders them by file, then as they stand in it. If strict, a warning is an error.
+    Files without a number (see in_order) are ordered by a hash of their names, which two may share."""
     fails = F.raise_error(F.concat_ws(": ", "source_file", "warning")).cast("boolean")
     rows = parsed.where(F.when(F.col("warning").isNull(), True).otherwise(fails if strict else F.lit(False)))
-    pos = (F.xxhash64("source_file").bitwiseAND((1 << 31) - 1) * (1 << 32)) + F.col("ordinal")
+    pos = (F.coalesce("file_no", F.xxhash64("source_file").bitwiseAND((1 << 31) - 1)) * (1 << 32)) + F.col("ordinal")
     return rows.select(pos.alias("pos"), F.concat("source_file", F.lit("#"), "contentuid").alias("id"), "source_file", "source", F.lit("").alias("target"), "contentuid", "version", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error"))
 
 
@@ -167,23 +203,27 @@ def whole_name(name: Column) -> Column:
 
 
 def patch_lsx(content: bytes, values: dict[int, str]) -> bytes:
-    """One file with new values at the places of its attributes; a byte order mark stays."""
-    mark = b"\xef\xbb\xbf" if content.startswith(b"\xef\xbb\xbf") else b""
-    text, out, at = content.removeprefix(b"\xef\xbb\xbf").decode("utf-8"), [], 0
-    for place, m in enumerate(ATTRIBUTE.finditer(text)):
-        if place in values and (v := re.search(r"\bvalue\s*=\s*\"([^\"]*)\"", m[0])):
-            out.append(text[at : m.start() + v.start(1)])
-            out.append(escape(values[place], {'"': "&quot;"}))
-            at = m.start() + v.end(1)
-    return mark + ("".join(out) + text[at:]).encode("utf-8")
+    """One file with new values at the places of its attributes; a byte order mark and all else stay as they are."""
+    mark = MARK if content.startswith(MARK) else b""
+    content, out, at = content.removeprefix(MARK), [], 0
+    for place, tag in enumerate(_lsx_tags(content)[0]):
+        if place in values and "value" in tag:
+            i, j = tag["value"]
+            out += [content[at:i], escape(values[place], {'"': "&quot;", "'": "&apos;"} if content[i - 1 : i] == b"'" else {'"': "&quot;"}).encode()]
+            at = j
+    return mark + b"".join(out) + content[at:]
 
 
 def written_lsx(files: DataFrame, translated: DataFrame) -> DataFrame:
-    """(name, content): files (name, content) with the non-empty targets (source_file, place, target) put in place."""
-    changes = translated.where("target <> ''").groupBy(F.col("source_file").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct("place", "target"))).alias("values"))
+    """(name, content): files (name, content) with the non-empty targets (source_file, contentuid, target) put in place."""
+    changes = translated.where("target <> ''").groupBy(F.col("source_file").alias("name")).agg(F.map_from_entries(F.collect_list(F.struct("contentuid", "target"))).alias("values"))
+
+    def patched(name: str, content: bytes, values: object) -> bytes:
+        targets = dict(values) if values is not None else {}
+        return patch_lsx(content, {r[6]: targets[r[3]] for r in parse_lsx(name, content) if r[3] in targets}) if targets else content
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"name": batch["name"], "content": [patch_lsx(bytes(c), {int(k): v for k, v in (dict(x) if x is not None else {}).items()}) for c, x in zip(batch["content"], batch["values"])]})
+            yield pd.DataFrame({"name": batch["name"], "content": [patched(n, bytes(c), x) for n, c, x in zip(batch["name"], batch["content"], batch["values"])]})
 
     return files.select("name", "content").join(changes, "name", "left").mapInPandas(each, "name string, content binary")

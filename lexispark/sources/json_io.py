@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..schema import TERM
+
 #: Fields of a glossary file, in both spellings that files use.
 FIELDS = "source string, target string, category string, sourceKind string, source_kind string, enabled boolean, ambiguous boolean, wholeWord boolean, whole_word boolean, caseSensitive boolean, case_sensitive boolean, count long"
 
@@ -36,10 +41,48 @@ def event_json(kind: Column) -> Column:
     return F.to_json(F.struct(kind.alias("type"), "entryId", "status", "text", "message", "total", "failed"))
 
 
-def sse_deltas(lines: DataFrame, column: str = "value") -> DataFrame:
-    """pos and text of the deltas of a stream of server-sent events, one body a row; other lines don't count."""
+def sse_deltas(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """pos and text of the deltas of a stream of server-sent events, one body a row; other lines don't count. Columns
+    of keep tell bodies apart."""
     line = F.posexplode(F.split(F.col(column), "\n")).alias("pos", "line")
     data = F.regexp_extract("line", r"^data: (.*?)\r?\z", 1)
     parsed = F.from_json(data, "choices array<struct<delta:struct<content:string>>>")
-    rows = lines.select(line).where(data != "[DONE]").withColumn("text", F.get(parsed["choices"], F.lit(0))["delta"]["content"])
-    return rows.where("text IS NOT NULL").select(F.col("pos").cast("long"), "text")
+    rows = lines.select(*keep, F.col(column), line).where(data != "[DONE]").withColumn("text", F.get(parsed["choices"], F.lit(0))["delta"]["content"])
+    return rows.where("text IS NOT NULL").select(*keep, F.col("pos").cast("long"), "text")
+
+
+#: A small glossary to begin with; own terms.
+SEED = [
+    ("Ember Ward", "余烬结界", "spell"), ("Frost Lance", "霜矛", "spell"), ("Tide Caller", "唤潮者", "class"), ("Stone Warden", "石卫", "class"),
+    ("Hill Folk", "丘民", "race"), ("Marsh Drake", "沼泽龙", "creature"), ("Old Harbour", "旧港", "location"), ("Saving Roll", "豁免掷骰", "mechanic"),
+]
+TERM_COLUMNS = ["pos", "source", "target", "category", "source_kind", "enabled", "ambiguous", "whole_word", "case_sensitive", "count"]
+
+
+def seed(spark: SparkSession) -> DataFrame:
+    """The terms of a glossary that nobody has edited; official, so they can't be deleted."""
+    rows = [(i, s, t, c, "official", True, False, True, False, 0) for i, (s, t, c) in enumerate(SEED)]
+    return spark.createDataFrame(rows, TERM)
+
+
+def save_glossary(terms: DataFrame, folder: str) -> None:
+    """A term a line, in as many files as there are partitions; categories are not written."""
+    terms.select([c for c in TERM_COLUMNS if c != "category"]).write.mode("overwrite").json(folder)
+
+
+def load_glossary(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms of a saved glossary. If there is none, the seed, which is saved; if a line of it is no term, the seed."""
+    try:
+        rows = spark.read.schema(f"{TERM}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
+    except AnalysisException as fault:
+        if fault.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return reset_glossary(spark, folder)
+    broken = rows.select("pos", "source", "target", "_corrupt").where("_corrupt IS NOT NULL OR pos IS NULL OR source IS NULL OR target IS NULL")
+    return rows.drop("_corrupt").fillna({"category": "name_or_title"}) if broken.isEmpty() else seed(spark)
+
+
+def reset_glossary(spark: SparkSession, folder: str) -> DataFrame:
+    """The seed, saved in place of what was there."""
+    save_glossary(seed(spark), folder)
+    return seed(spark)

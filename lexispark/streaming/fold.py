@@ -27,6 +27,8 @@ class EntryFold(StatefulProcessor):
                 target, status, error = target + (e.text or ""), "translating", None
             elif e.type in ("done", "edit"):
                 target, status, error = e.text or "", "translated" if e.type == "done" else "edited", None
+            elif e.type == "revert":
+                target, status, error = "", "pending", None
             elif e.type == "error":
                 status, error = "error", e.message
         self.state.update((target, status, error))

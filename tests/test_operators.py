@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexispark.functions import files, markup, text
 from lexispark.operators import glossary, state, views
 from lexispark.plans import planner, translate
-from lexispark.sources import archive, contentlist, json_io
+from lexispark.sources import archive, contentlist, json_io, tree
 from lexispark.streaming.fold import fold_stream
 
 TERM = "pos long, source string, target string, enabled boolean, ambiguous boolean, whole_word boolean, case_sensitive boolean"
@@ -144,7 +144,7 @@ def test_content_list_control_characters(spark):
 def test_content_list_faults(spark):
     raw = b'<contentList><content contentuid="a">1</content><content contentuid="b">\x0c</content><content contentuid="c">3</content><content contentuid="d"><i></content><content contentuid="e">5</content></contentList>'
     rows = contentlist.parse_content_list("f", raw)
-    assert [(r[2], r[4]) for r in rows if not r[6]] == [("a", "1"), ("c", "3"), ("e", "5")] and sum(bool(r[6]) for r in rows) == 2
+    assert [(r[3], r[5]) for r in rows if not r[7]] == [("a", "1"), ("c", "3"), ("e", "5")] and sum(bool(r[7]) for r in rows) == 2
     parsed = spark.createDataFrame(rows, contentlist.PARSED)
     assert contentlist.entries(parsed).count() == 3
     with pytest.raises(Exception, match="not well-formed"):
@@ -170,7 +170,7 @@ def test_content_list_round_trip(spark, tmp_path):
 
 def test_faulty_xml_keeps_what_came_before():
     rows = contentlist.parse_content_list("f", b'<contentList><content contentuid="h1" version="1">a</content><content')
-    assert rows[0][2:5] == ("h1", "1", "a") and rows[1][-1]
+    assert rows[0][3:6] == ("h1", "1", "a") and rows[1][-1]
 
 
 def test_fragments(spark):
@@ -181,9 +181,9 @@ def test_fragments(spark):
 def test_lsx():
     raw = b'\xef\xbb\xbf<a><attribute id="Description" type="LSString" value="A"/><attribute id="Description" type="LSWString" value="B"/><attribute id="Name" type="LSString" value="C"/><attribute id="Title" type="FixedString" value="D"/><attribute id="Tooltip" type="LSString" value=""/></a>'
     rows = contentlist.parse_lsx("f", raw)
-    assert [(r[2], r[4]) for r in rows] == [("Description#0", "A"), ("Description#1", "B")]
-    patched = contentlist.patch_lsx(raw, {rows[1][5]: '"x" & y'})
-    assert patched.startswith(b"\xef\xbb\xbf") and contentlist.parse_lsx("f", patched)[1][4] == '"x" & y' and contentlist.parse_lsx("f", b"\xff")[0][-1]
+    assert [(r[3], r[5]) for r in rows] == [("Description#0", "A"), ("Description#1", "B")]
+    patched = contentlist.patch_lsx(raw, {rows[1][6]: '"x" & y'})
+    assert patched.startswith(b"\xef\xbb\xbf") and contentlist.parse_lsx("f", patched)[1][5] == '"x" & y' and contentlist.parse_lsx("f", b"\xff")[0][-1]
 
 
 def test_json(spark):
@@ -202,3 +202,92 @@ def test_views(spark):
     named = spark.createDataFrame([("a/b/c.xml",), ("a/d.xml",)], "name string")
     assert sorted((r["path"], r["is_leaf"]) for r in views.tree(named).collect()) == [("a", False), ("a/b", False), ("a/b/c.xml", True), ("a/d.xml", True)]
     assert [r["name"] for r in views.toggle(named, named.limit(1), False).collect()] == ["a/d.xml"]
+
+
+def test_inline_tags_stay_as_they_stand():
+    body = 'a<b></b>c<br/><b>&lt;b&gt;</b><i x="/"></i><u>/></u><b><!-- - /></b><font\n/>'.replace("<!-- - /></b>", "<!--/>--></b>")
+    for encoding in ("utf-8", "utf-16"):
+        rows = contentlist.parse_content_list("f", f'<?xml version="1.0" encoding="{encoding}"?><contentList><content contentuid="a">{body}</content></contentList>'.encode(encoding))
+        assert [r[5] for r in rows] == ['a<b></b>c<br/><b><b></b><i x="/"></i><u>/></u><b></b><font/>'], encoding
+
+
+def test_lsx_quotes_and_signs(spark):
+    raw = b"""<a><attribute id='Title' type='LSString' value='x > "y"'/><attribute value="1 > 0&#10;z" type="LSString"\n id="Title"></attribute><!-- <attribute id="Title" type="LSString" value="no"/> --></a>"""
+    rows = contentlist.parse_lsx("f.lsx", raw)
+    assert [(r[3], r[5]) for r in rows] == [("Title#0", 'x > "y"'), ("Title#1", "1 > 0\nz")]
+    files = spark.createDataFrame([("f.lsx", bytearray(raw)), ("g.lsx", bytearray(raw))], "name string, content binary")
+    told = spark.createDataFrame([("f.lsx", "Title#0", "it's"), ("f.lsx", "Title#1", "")], "source_file string, contentuid string, target string")
+    out = {r["name"]: bytes(r["content"]) for r in contentlist.written_lsx(files, told).collect()}
+    assert out["g.lsx"] == raw and out["f.lsx"] == raw.replace(b"x > \"y\"", b"it&apos;s")
+    assert contentlist.parse_lsx("f", b'<a><attribute id="Title" type="LSString" value="k"/><b')[0][5] == "k" and contentlist.parse_lsx("f", b"<a><b")[0][-1]
+
+
+def test_broken_and_unsafe_archives(spark, tmp_path):
+    (tmp_path / "bad.zip").write_bytes(b"no zip")
+    with zipfile.ZipFile(tmp_path / "good.zip", "w") as z:
+        for name in ("b/z.PAK", "a/y.pak", "../x"):
+            z.writestr(name, name)
+    members = archive.read_archives(spark, str(tmp_path / "*.zip"))
+    assert sorted((r["name"], r["readable"]) for r in members.collect()) == [("", False), ("a/y.pak", True), ("b/z.PAK", True)]
+    assert [r["name"] for r in archive.inner_packages(members).collect()] == ["a/y.pak"]
+    with pytest.raises(Exception, match="unsafe path"):
+        archive.read_archives(spark, str(tmp_path / "good.zip"), strict=True).collect()
+
+
+def test_files_are_written(spark, tmp_path):
+    xml = '<contentList><content contentuid="h1" version="1">Stone</content></contentList>'
+    lsx = '<a><attribute id="Title" type="LSString" value="Stone"/></a>'
+    with zipfile.ZipFile(tmp_path / "m.zip", "w") as z:
+        z.writestr("Localization/English/t.xml", xml)
+        z.writestr("meta.lsx", lsx)
+        z.writestr("s.lua", "x")
+    members = archive.read_archives(spark, str(tmp_path / "m.zip"))
+    assert sorted(r["name"] for r in tree.extract(members, str(tmp_path / "all")).collect()) == ["Localization/English/t.xml", "meta.lsx", "s.lua"]
+    assert (tmp_path / "all/s.lua").read_text() == "x"
+    found = contentlist.entries(contentlist.parse(contentlist.in_order(contentlist.read_files(spark, str(tmp_path / "all")))))
+    assert [(r["pos"], r["id"]) for r in found.orderBy("pos").collect()] == [(0, "Localization/English/t.xml#h1"), (1 << 32, "meta.lsx#Title#0")]
+    done, events = translate.translate_table(found, json_io.seed(spark))
+    assert {r["type"] for r in events.collect()} == {"progress", "delta", "done"}
+    tree.write_tree(tree.written(members, done, retarget=True), str(tmp_path / "out"))
+    assert "【译文】Stone</content>" in (tmp_path / "out/Localization/Chinese/t.xml").read_text()
+    assert 'value="【译文】Stone"' in (tmp_path / "out/meta.lsx").read_text() and not (tmp_path / "out/s.lua").exists()
+    with pytest.raises(Exception, match="no copy can be read"):
+        tree.extract(members.withColumn("readable", F.lit(False)), str(tmp_path / "none"))
+
+
+def test_cancel_and_timeout(spark, tmp_path):
+    jobs = planner.plan(entries(spark, [("Stone", ""), ("Wood", "")]))[1].withColumn("prompt", F.lit("p"))
+    (tmp_path / "stop").touch()
+    assert translate.run_jobs(jobs, cancelled=translate.FileFlag(str(tmp_path / "stop"))).count() == 0
+    assert translate.run_jobs(jobs, cancelled=translate.FileFlag(str(tmp_path / "go"))).where("type = 'done'").count() == 2
+
+    def slow(prompt, source):
+        import time
+
+        time.sleep(0.05)
+        yield "x"
+
+    got = translate.run_jobs(jobs, slow, first_wait_s=0.0, timeout_s=0.01).where("type IN ('done', 'error')").collect()
+    assert [r["type"] for r in got] == ["error", "error"] and "no answer" in got[0]["message"]
+
+
+def test_strict_edits(spark):
+    terms = spark.createDataFrame([(0, "a", "1", "user"), (1, "b", "2", "official")], "pos long, source string, target string, source_kind string")
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "source string")
+    assert glossary.delete(terms, names("a"), strict=True).count() == 1
+    for source, fault in (("b", "official term: b"), ("z", "no such term: z")):
+        with pytest.raises(Exception, match=fault):
+            glossary.delete(terms, names(source), strict=True).collect()
+    with pytest.raises(Exception, match="blank term"):
+        glossary.upsert(terms.select("pos", "source", "target"), spark.createDataFrame([(0, " ", "x")], "pos long, source string, target string"), strict=True).collect()
+
+
+def test_saved_glossary(spark, tmp_path):
+    folder = str(tmp_path / "g")
+    first = json_io.load_glossary(spark, folder)
+    assert first.count() == len(json_io.SEED) and json_io.load_glossary(spark, folder).count() == len(json_io.SEED)
+    json_io.save_glossary(first.where("pos < 2"), folder)
+    assert json_io.load_glossary(spark, folder).count() == 2
+    (tmp_path / "g" / "x.json").write_text("{broken\n")
+    assert json_io.load_glossary(spark, folder).count() == len(json_io.SEED)
+    assert json_io.reset_glossary(spark, folder).count() == json_io.load_glossary(spark, folder).count() == len(json_io.SEED)
