@@ -13,10 +13,12 @@ Nulls encode as the empty text; empty texts give no ids and decode to empty byte
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
+from contextlib import AbstractContextManager, contextmanager
+from threading import Lock, Timer
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
+from .packing import release
 
 NEVER = 1 << 60
 
@@ -55,7 +58,7 @@ PACK = _Packs()
 class MergeTransducer:
     """Encodes byte pieces by ranked merges, a byte at a time."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000):
         self.ranks, self.max_states = ranks, max_states
         self.token = {rank: token for token, rank in ranks.items()}
         self.child: dict[int, int] = {}
@@ -127,7 +130,7 @@ class MergeTransducer:
                     joined = rank(a + b)
                     if joined is not None and joined < until_a and joined <= until_b:
                         known = False
-            if len(self.stand) >= 500_000:
+            if len(self.stand) >= 200_000:
                 self.stand.clear()
             self.stand[key] = known
         return known
@@ -178,18 +181,24 @@ class MergeTransducer:
 
 
 class _Units(dict):
-    """Ids by unit of text, encoded when missing; when full, units not used since the last time are forgotten."""
+    """Ids by unit of text, encoded when missing and kept from the second time on, as most units never come again; when
+    full, units not used since the last time are forgotten."""
 
-    def __init__(self, encode: Callable[[str], bytes], most: int = 200_000):
-        self.encode, self.most, self.older = encode, most, {}
+    MARKS = 1 << 20
+
+    def __init__(self, encode: Callable[[str], bytes], most: int = 100_000):
+        self.encode, self.most, self.older, self.met = encode, most, {}, bytearray(self.MARKS)
 
     def __missing__(self, unit: str) -> bytes:
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
         ids = self.older.get(unit)
         if ids is None:
-            ids = self.encode(unit)
+            ids, at = self.encode(unit), hash(unit) % self.MARKS
+            if not self.met[at]:
+                self.met[at] = 1
+                return ids
+        if len(self) >= self.most:
+            self.older, self.met = dict(self), bytearray(self.MARKS)
+            self.clear()
         self[unit] = ids
         return ids
 
@@ -263,10 +272,45 @@ class Utf8Machine:
         return rest
 
 
-@lru_cache(maxsize=1)
-def codec_of(ranks_path: str, pattern: str) -> BpeCodec:
-    """One codec for all tasks of a Python worker, so that what it has built serves the next task too."""
-    return BpeCodec(read_ranks(ranks_path), pattern)
+class _Lent:
+    """One codec for all tasks of a Python worker, so that what it has built serves the next task too. Workers outlive
+    their stage, so it is given up when no task has begun for a while."""
+
+    IDLE_S = 2.0
+
+    def __init__(self) -> None:
+        self.lock, self.key, self.codec, self.turn, self.users = Lock(), None, None, 0, 0
+
+    @contextmanager
+    def __call__(self, ranks_path: str, pattern: str) -> Iterator[BpeCodec]:
+        with self.lock:
+            if self.key != (ranks_path, pattern):
+                self.key, self.codec = (ranks_path, pattern), BpeCodec(read_ranks(ranks_path), pattern)
+            codec, self.users = self.codec, self.users + 1
+        try:
+            yield codec
+        finally:
+            with self.lock:
+                self.turn, self.users = self.turn + 1, self.users - 1
+                later = Timer(self.IDLE_S, self._give_up, [self.turn])
+            later.daemon = True
+            later.start()
+
+    def _give_up(self, turn: int) -> None:
+        with self.lock:
+            if self.users or turn != self.turn:
+                return
+            self.key = self.codec = None
+        gc.collect()  # states refer to each other
+        release()
+
+
+_LENT = _Lent()
+
+
+def codec_of(ranks_path: str, pattern: str) -> AbstractContextManager[BpeCodec]:
+    """The worker's codec, while it is used."""
+    return _LENT(ranks_path, pattern)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, decode: bool = True) -> DataFrame:
@@ -277,13 +321,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, decode:
     bounded_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(ranks_path, pattern)
-        for batch in batches:
-            ids = [codec.encode(text or "") for text in batch.column(1).to_pylist()]
-            arrays = [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-            if decode:
-                arrays.append(pa.array([codec.decode_bytes(np.frombuffer(x, "<u4")) for x in ids], pa.binary()))
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "n_tokens", "decoded"][: len(arrays)])
+        with codec_of(ranks_path, pattern) as codec:
+            for batch in batches:
+                ids = [codec.encode(text or "") for text in batch.column(1).to_pylist()]
+                arrays = [batch.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if decode:
+                    arrays.append(pa.array([codec.decode_bytes(np.frombuffer(x, "<u4")) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "ids", "n_tokens", "decoded"][: len(arrays)])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens long" + ", decoded binary" * decode
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, schema)
@@ -297,17 +341,17 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     bounded_batches(docs.sparkSession)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(ranks_path, pattern)
-        for batch in batches:
-            rows: tuple[list, list, list] = ([], [], [])
-            for text in batch.column(1).to_pylist():
-                ids = codec.encode(text or "")
-                tokens, sha = np.frombuffer(ids, "<u4"), hashlib.sha256()
-                for part in codec.decode_stream(tokens[i : i + 4096] for i in range(0, len(tokens), 4096)):
-                    sha.update(part.encode())
-                for column, value in zip(rows, (len(tokens), hashlib.sha256(ids).hexdigest(), sha.hexdigest())):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with codec_of(ranks_path, pattern) as codec:
+            for batch in batches:
+                rows: tuple[list, list, list] = ([], [], [])
+                for text in batch.column(1).to_pylist():
+                    ids = codec.encode(text or "")
+                    tokens, sha = np.frombuffer(ids, "<u4"), hashlib.sha256()
+                    for part in codec.decode_stream(tokens[i : i + 4096] for i in range(0, len(tokens), 4096)):
+                        sha.update(part.encode())
+                    for column, value in zip(rows, (len(tokens), hashlib.sha256(ids).hexdigest(), sha.hexdigest())):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(digest, schema)
@@ -320,13 +364,13 @@ def tokenized(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     own = [f for f in docs.schema.fields if f.name not in ("text", "ids", "n_tokens", "round_trip")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(ranks_path, pattern)
-        for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            ids = [codec.encode(t) for t in texts]
-            same = ["".join(codec.decode_stream([np.frombuffer(x, "<u4")])) == t for x, t in zip(ids, texts)]
-            arrays = [*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(same)]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "ids", "n_tokens", "round_trip"])
+        with codec_of(ranks_path, pattern) as codec:
+            for batch in batches:
+                texts = batch.column(batch.num_columns - 1).to_pylist()
+                ids = [codec.encode(t) for t in texts]
+                same = ["".join(codec.decode_stream([np.frombuffer(x, "<u4")])) == t for x, t in zip(ids, texts)]
+                arrays = [*batch.columns[:-1], pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(same)]
+                yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "ids", "n_tokens", "round_trip"])
 
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own)
     return docs.select(*[F.col(f"`{f.name}`") for f in own], F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, f"{schema}ids binary, n_tokens long, round_trip boolean")

@@ -359,3 +359,24 @@ def test_secrets_unseen(spark, data):
     by_kind = {hidden[k][:22]: sum(bool(found[i]) for i in range(k, len(hidden), 8)) for k in range(8)} | {shown[k][:22]: sum(bool(found[len(hidden) + i]) for i in range(k, len(shown), 8)) for k in range(8)}
     print("recall", hits / len(hidden), "precision", hits / (hits + wrong), by_kind)
     assert hits >= 0.9 * len(hidden) and hits >= 0.9 * (hits + wrong), by_kind
+
+
+def test_codec_is_given_up_when_idle(monkeypatch):
+    lent, path = bpe_transducer._Lent(), P.path("byte_bpe_50k.tiktoken")
+    monkeypatch.setattr(lent, "IDLE_S", 0.2)
+    with lent(path, P.PATTERN) as first, lent(path, P.PATTERN) as second:
+        assert first is second
+        time.sleep(0.5)
+    with lent(path, P.PATTERN) as third:
+        assert third is first
+        time.sleep(0.5)
+        assert lent.codec is first
+    time.sleep(0.8)
+    assert lent.codec is None
+
+
+def test_units_met_once_are_not_kept():
+    units = bpe_transducer._Units(str.encode, 3)
+    for word in "a b a a c c d d e e b f f g g a".split():
+        assert units[word] == word.encode()
+    assert len(units) <= 3 and "g" in units and len(units.older) <= 3
