@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import apart, bounded_batches, meeting, scratch, staged, text_bytes
 from .components import components
-from .packing import gaps, mixed, pack, release, sums, unpack
+from .packing import gaps, giving_back, mixed, pack, release, sums, unpack
 from .words import Hashes, spaced
 
 #: Tokens of one chunk of documents, and bytes of text for one bucket of tokens.
@@ -300,7 +300,7 @@ def _texts(docs: DataFrame, index: DataFrame, keys: DataFrame, width: int, under
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["node", "text", "parities"])
 
     found = meeting(docs, one.select("doc_id"), "doc_id").join(one, "doc_id").select("node", "text")
-    return staged(found.mapInArrow(squeeze, "node long, text binary, parities binary"), "texts", under=under)
+    return staged(found.mapInArrow(giving_back(squeeze), "node long, text binary, parities binary"), "texts", under=under)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, under: str) -> DataFrame:
@@ -326,7 +326,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int, unde
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     rows = members.union(leaders).repartition("a", "part").sortWithinPartitions("a", "part", "after")
-    return staged(rows.mapInArrow(verify, "a long, b long"), "links", under=under)
+    return staged(rows.mapInArrow(giving_back(verify), "a long, b long"), "links", under=under)
 
 
 def _crossing(keys: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -434,6 +434,6 @@ def one_of_each(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(x) for x in _sets(batch, hashes, width)], pa.int64())], ["row", "node"])
 
     several = meeting(docs, repeated, "doc_id").select(F.struct("*").alias("row"), text_bytes().alias("text"))
-    named = several.mapInArrow(name, f"row {several.schema['row'].dataType.simpleString()}, node long").withColumn("doc_id", F.col("row.doc_id"))
+    named = several.mapInArrow(giving_back(name), f"row {several.schema['row'].dataType.simpleString()}, node long").withColumn("doc_id", F.col("row.doc_id"))
     kept = named.join(first, ["doc_id", "node"], "left_semi").dropDuplicates(["doc_id", "node"]).select("row.*")
     return apart(docs, gone.union(repeated).distinct(), "doc_id").union(kept)

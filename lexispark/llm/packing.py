@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 
@@ -41,6 +43,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def release() -> None:
-    """Give freed memory back to the system: Python workers live on, and glibc would keep it for them."""
+    """Give freed memory back to the system: Python workers live on, and glibc and Arrow would keep it for them."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run over a task's batches; what it held goes back to the system at the task's end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import apart, bounded_batches, staged, text_bytes
-from .packing import pack, unpack
+from .packing import giving_back, pack, unpack
 from .words import Hashes, alnum
 
 SEGMENT_WORDS = 1_500_000
@@ -66,7 +66,7 @@ def build_index(docs: DataFrame, segment_words: int = SEGMENT_WORDS) -> DataFram
             yield segment()
 
     schema = f"segment string, doc_ids array<{kind}>, lengths array<bigint>, terms binary, counts binary, positions binary"
-    return staged(docs.select("doc_id", text_bytes().alias("text")).mapInArrow(segments, schema), "positional-index")
+    return staged(docs.select("doc_id", text_bytes().alias("text")).mapInArrow(giving_back(segments), schema), "positional-index")
 
 
 class _Segment:
@@ -183,7 +183,7 @@ def find(index: DataFrame, items: DataFrame, *, width: int | None = None, slop:
                         for owner in queries.owners[n]:
                             yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][d] for d in doc], batch.schema.field("doc_ids").type.value_type), pa.array([queries.items[owner]] * len(doc)), pa.array(first - segment.starts[doc]), pa.array(last - segment.starts[doc])], ["doc_id", "item_id", "first", "last"])
 
-        part = index.mapInArrow(search, f"doc_id {kind}, item_id string, first long, last long")
+        part = index.mapInArrow(giving_back(search), f"doc_id {kind}, item_id string, first long, last long")
         out = part if out is None else out.union(part)
     return out
 
@@ -220,7 +220,7 @@ def contamination(index: DataFrame, items: DataFrame, *, width: int = 10, block_
                         arrays = [pa.array([row["segment"]] * len(items_of)), pa.array(range(i, i + len(items_of)), pa.int32()), pa.array(row["doc_ids"][part], batch.schema.field("doc_ids").type.value_type), pa.array(row["lengths"][part], pa.int64()), pa.array(spans[part], SPANS), pa.array(items_of, pa.list_(pa.string()))]
                         yield pa.RecordBatch.from_arrays(arrays, ["segment", "row", "doc_id", "n_words", "spans", "item_ids"])
 
-        parts.append(index.mapInArrow(search, f"segment string, row int, doc_id {kind}, n_words long, spans array<struct<first:bigint,end:bigint>>, item_ids array<string>"))
+        parts.append(index.mapInArrow(giving_back(search), f"segment string, row int, doc_id {kind}, n_words long, spans array<struct<first:bigint,end:bigint>>, item_ids array<string>"))
     if len(parts) == 1:
         return parts[0]
     every = reduce(DataFrame.union, parts)  # a row of each block for each document
