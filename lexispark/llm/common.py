@@ -60,7 +60,7 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
-def _marked(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, Column]:
+def marked(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, Column]:
     """docs' rows as structs beside a bitmap of fixed size (8 MB, so it's broadcast) of the ids, and whether a row's bit is set."""
     at = F.pmod(F.xxhash64(column), F.lit(MARKS))
     marks = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("marks"))
@@ -70,15 +70,15 @@ def _marked(docs: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, Co
 
 def meeting(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows of docs whose column is in ids: most others are left out before anything is shuffled."""
-    rows, marked = _marked(docs, ids, column)
-    return rows.where(marked).select("row.*").join(ids.select(column).distinct(), column, "left_semi").select(own_columns(docs))
+    rows, unsure = marked(docs, ids, column)
+    return rows.where(unsure).select("row.*").join(ids.select(column).distinct(), column, "left_semi").select(own_columns(docs))
 
 
 def apart(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows of docs whose column is not in ids or null: most are kept without a shuffle."""
-    rows, marked = _marked(docs, ids, column)
-    unsure = rows.where(marked).select("row.*").join(ids.select(column), column, "left_anti").select(own_columns(docs))
-    return rows.where(~marked).select("row.*").union(unsure)
+    rows, unsure = marked(docs, ids, column)
+    rest = rows.where(unsure).select("row.*").join(ids.select(column), column, "left_anti").select(own_columns(docs))
+    return rows.where(~unsure).select("row.*").union(rest)
 
 
 def partitions(spark: SparkSession) -> int:
