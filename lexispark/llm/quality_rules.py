@@ -7,15 +7,15 @@ the first that is not certified; the confidence is split over rules and strata (
 rules, so all rules together keep to it. Of the certified cutoffs, the one with the best gain in rejected bad
 documents, less `weight` times the rejected good ones, is taken; a stratum with too few labels gets none.
 
-Null texts count as empty: no words, base_failed, not kept. Null strata and those with few labels share the
-stratum "*". Documents repeated under one id are judged row by row; of several labels of one id the least
-quality counts. Without labels only the base rules apply.
+Null texts count as empty: no words, base_failed, not kept. A null stratum is a stratum as any. Where no cutoff is
+certified, so in strata with few labels or none and in all of them without labels, only the base rules apply: nothing
+was tested there, so nothing could be guaranteed. Documents repeated under one id are judged row by row; of several
+labels of one id the least quality counts. Texts are measured whole, of any length, in their own rows. An empty table
+gives an empty result; own columns keep their names and values in keep_good().
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -95,10 +95,10 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
 
 
 def fit_thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = 0.05, confidence: float = 0.95, weight: float = 10.0) -> DataFrame:
-    """Certified cutoffs as staged rows: stratum and one column for each rule, null where no cutoff is certified. The
-    row "*" holds for strata that have none; the confidence is split over all strata there are and "*"."""
+    """Certified cutoffs as staged rows: stratum and one column for each rule, null where no cutoff is certified; strata
+    without labels have no row. The confidence is split over all strata that are tested."""
     labelled = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__quality"))
-    rows = measured.where(~base_failed()).select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("*")).alias("stratum"), *[x.alias(k) for k, x in _figures().items()]).join(labelled, "doc_id")
+    rows = measured.where(~base_failed()).select("doc_id", F.col(stratum).cast("string").alias("stratum"), *[x.alias(k) for k, x in _figures().items()]).join(labelled, "doc_id")
     tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(c).alias("cutoff"), (F.col(rule) > c).alias("hit")) for rule, cutoffs in CUTOFFS.items() for i, c in enumerate(cutoffs)])
     good = F.col("__quality") >= 1
     hit = lambda is_good: F.sum(F.when(F.col("test.hit") & (good if is_good else ~good), 1).otherwise(0)).cast("double")
@@ -110,10 +110,8 @@ def fit_thresholds(measured: DataFrame, labels: DataFrame, stratum: str = "lang"
     )
     counts = staged(counts, "quality-counts")  # as many rows for a stratum as there are cutoffs
     each_risk, split = risk / len(CUTOFFS), (1 - confidence) / len(CUTOFFS)
-    alpha = split / (counts.select("stratum").distinct().count() + 1)
-    enough = math.log(alpha) / math.log(1 - each_risk)  # with fewer good documents not even no rejection certifies a cutoff
-    pooled = counts.withColumn("stratum", F.when(F.col("n_good") >= enough, F.col("stratum")).otherwise("*")).groupBy("stratum", *by).agg(*[F.sum(c).alias(c) for c in ("n_good", "n_bad", "hit_good", "hit_bad")])
-    tested = pooled.withColumn("p_value", binomial_tail(F.col("hit_good"), F.col("n_good"), F.lit(each_risk)))
+    alpha = split / max(1, counts.select("stratum").distinct().count())
+    tested = counts.withColumn("p_value", binomial_tail(F.col("hit_good"), F.col("n_good"), F.lit(each_risk)))
     upto = Window.partitionBy("stratum", "rule").orderBy("step")
     certified = F.min((F.col("p_value") <= alpha).cast("int")).over(upto) == 1
     gain = F.col("hit_bad") / F.greatest(F.col("n_bad"), F.lit(1.0)) - weight * F.col("hit_good") / F.greatest(F.col("n_good"), F.lit(1.0))
@@ -128,15 +126,12 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **options)
     if they are few; languages are, but a stratum may be anything."""
     measured = staged(docs, "quality-measures")
     thresholds = fit_thresholds(measured, labels, stratum, **options)
-    others = thresholds.where("stratum = '*'").first()
-    own = thresholds.where("stratum <> '*'").select(F.struct(*CUTOFFS).alias("__own"), F.col("stratum").alias("__stratum"))
+    own = thresholds.select(F.struct(*CUTOFFS).alias("__own"), F.col("stratum").alias("__stratum"))
     few = thresholds.count() <= FEW_STRATA
-    rows = measured.join(F.broadcast(own) if few else own, F.col(stratum).cast("string") == F.col("__stratum"), "left")
+    rows = measured.join(F.broadcast(own) if few else own, F.col(stratum).cast("string").eqNullSafe(F.col("__stratum")), "left")
     rejected = F.lit(False)
     for rule in CUTOFFS:
-        figure = _figures()[rule]
-        cutoff = F.when(F.col("__own").isNotNull(), F.col(f"__own.{rule}")).otherwise(F.lit(others[rule] if others else None).cast("double"))
-        rejected = rejected | F.coalesce(figure > cutoff, F.lit(False))
+        rejected = rejected | F.coalesce(_figures()[rule] > F.col(f"__own.{rule}"), F.lit(False))
     return rows.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~rejected}).drop("__own", "__stratum")
 
 

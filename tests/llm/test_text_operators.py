@@ -267,13 +267,12 @@ def test_quality_strata(spark, monkeypatch, few):
     for i, text, *_ in rows:
         m = measures(text)
         figure[i] = {"symbols_per_word": m[2] / m[0], "bangs_per_word": 0.0, "base": 100 * m[4] > 50 * m[0]}
-    of = {i: lang or "*" for i, _, lang, *_ in rows}
-    n_good = {s: sum(of[i] == s and labels[i] and not figure[i]["base"] for i in labels) for s in {of[i] for i in labels if not figure[i]["base"]}}
-    risk, alpha = 0.4 / 2, 0.5 / 2 / (len(n_good) + 1)
-    own = lambda s: s if (1 - risk) ** n_good.get(s, 0) <= alpha else "*"
+    of = {i: lang for i, _, lang, *_ in rows}
+    tested = {of[i] for i in labels if not figure[i]["base"]}
+    risk, alpha = 0.4 / 2, 0.5 / 2 / len(tested)
     cutoffs = {}
-    for s in {own(s) for s in n_good}:
-        held = [(i, labels[i]) for i in labels if own(of[i]) == s and not figure[i]["base"]]
+    for s in tested:
+        held = [(i, labels[i]) for i in labels if of[i] == s and not figure[i]["base"]]
         good, bad = sum(q for _, q in held), sum(1 - q for _, q in held)
         for rule, steps in quality_rules.CUTOFFS.items():
             best = (0, None)
@@ -285,13 +284,24 @@ def test_quality_strata(spark, monkeypatch, few):
                 if gain > best[0]:
                     best = (gain, c)
             cutoffs[s, rule] = best[1]
-    want = {i: not figure[i]["base"] and not any((c := cutoffs.get((own(of[i]), rule))) is not None and figure[i][rule] > c for rule in quality_rules.CUTOFFS) for i in of}
+    want = {i: not figure[i]["base"] and not any((c := cutoffs.get((of[i], rule))) is not None and figure[i][rule] > c for rule in quality_rules.CUTOFFS) for i in of}
     assert got == want and 0 < sum(got.values()) < len(got)
     if few:
         kept = quality_rules.keep_good(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), risk=0.4, confidence=0.5)
         assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in want if want[i]}
 
 
+def test_quality_without_certificate(spark):
+    """Where no holdout was tested nothing but the base rules rejects; a stratum may be called anything; ids may repeat."""
+    bad = lambda i: " ".join(f"w{i}x{k}#" for k in range(60))
+    good = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, bad(i) if i % 2 else good(i), "seen") for i in range(1400)] + [(1400 + i, bad(i), ["unseen", "*", None][i % 3]) for i in range(60)] + [(1900, bad(1), "few"), (1, good(0), "seen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(2, 1400)] + [(1900, 0)], "doc_id long, quality int")
+    got = sorted((r["doc_id"], r["kept"]) for r in quality_rules.quality_report(docs, labels).collect())
+    assert got == sorted([(i, i % 2 == 0) for i in range(1400)] + [(1400 + i, True) for i in range(60)] + [(1900, True), (1, True)])
+
+
 def test_binomial_tail(spark):
     from math import comb
 
