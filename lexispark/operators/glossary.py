@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import anchors, first_word, word_bounded, words, ws_trim
-from ..staging import staged
+from ..functions.text import word_bounded, ws_trim
+from ..staging import scratch, staged
+from .containment import contained
 
 #: Words too common to be terms of their own, if they have up to four bytes.
 STOP_WORDS = [
@@ -55,44 +54,66 @@ def clean_stats(cleaned: DataFrame) -> DataFrame:
     return cleaned.agg(F.count_if(F.col("reason").isNull()).alias("kept"), F.count_if(F.col("reason").isNotNull()).alias("removed"))
 
 
+def anchor_tokens(texts: DataFrame, usable: DataFrame, token: str, under: str) -> DataFrame:
+    """(token, pos, sure) for each usable term that some text may hold: the tokens that its texts have one of.
+
+    A term is made of pieces, words or else the whole of it, and each piece lies within one token of a text. A count
+    table over all texts has the distinct tokens; a piece that must be a whole token is looked up there, another is
+    searched in them. The term's anchor is the piece whose tokens the fewest texts have; a term with a piece that no
+    text has is left out. sure: the term is one piece, and the token alone shows that it matches.
+    """
+    counted = staged(texts.select(F.explode(token).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).withColumn("low", F.lower("token")), under)
+    pieces = usable.select("pos", "worded", "whole_word", F.size("pieces").alias("many"), F.posexplode("pieces").alias("no", "piece"))
+    pieces = pieces.withColumn("exact", F.col("worded") & (F.col("whole_word") | ((F.col("no") > 0) & (F.col("no") < F.col("many") - 1))))
+    within = contained(counted.select(F.col("low").alias("hay")), pieces.where("NOT exact").select(F.col("piece").alias("needle")), under)
+    held = pieces.where("NOT exact").join(within, F.col("piece") == F.col("needle")).select("pos", "no", "many", F.col("hay").alias("low"))
+    found = pieces.where("exact").select("pos", "no", "many", F.col("piece").alias("low")).union(held).join(counted, "low")
+    found = staged(found.select("pos", "no", "many", "token", "n"), under)
+    weights = found.groupBy("pos", "no", "many").agg(F.sum("n").alias("n"))
+    rarest = weights.groupBy("pos", "many").agg(F.min_by("no", F.struct("n", "no")).alias("no"), F.count(F.lit(1)).alias("held")).where("held = many").select("pos", "no")
+    inside = F.when(F.col("case_sensitive"), F.col("token")).otherwise(F.lower("token"))
+    fits = F.when(F.col("whole_word"), inside == F.col("needle")).otherwise(inside.contains(F.col("needle")))
+    alone = (F.size("pieces") == 1) & (F.col("pieces")[0] == F.lower("source")) & (F.col("worded") | ~F.col("whole_word"))
+    chosen = found.join(rarest, ["pos", "no"]).select("token", "pos").join(usable, "pos")
+    return chosen.withColumn("sure", alone).where(~F.col("sure") | fits).select("token", "pos", "sure")
+
+
 def matches(texts: DataFrame, terms: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, term_pos, source, target, rank) of usable terms in each text, longest source first, then glossary order.
-    key is a text's own.
+    key is a text's own; a null one is a key, too.
 
-    Only keys with their distinct words, or runs of up to three characters, are exploded. A whole-word term of one word
-    matches where it equals a word. Other terms are candidates by their first word, or their first three characters;
-    the candidates of a text are gathered, and then tested on it at once.
+    Texts are split into distinct words (and what lies between, if a term has no word) and joined with the terms by the
+    tokens of anchor_tokens(), so a term costs as many rows as texts have its rarest piece, whatever else it holds. Terms
+    of several words, and other ones that a token can't prove, are then tested on the candidates' texts. Only keys and
+    tokens are shuffled, and texts that have such candidates.
     """
-    usable = terms.where("enabled AND NOT ambiguous AND source <> ''").select("pos", "source", "target", "whole_word", "case_sensitive").withColumn("needle", F.when(F.col("case_sensitive"), F.col("source")).otherwise(F.lower("source")))
-    usable = usable.withColumn("kind", F.when(F.col("whole_word") & F.col("needle").rlike(r"(?U)^\w+\z"), "word").when(F.col("whole_word") & (first_word(F.lower("source")) != ""), "words").otherwise("part"))
-    usable = staged(usable)  # several joins read the glossary
-    rows = texts.select(F.col(key), F.col(text).alias("__text"))
-    kinds = {(r["kind"], r["size"], r["cased"]) for r in usable.groupBy("kind", F.least(F.length("needle"), F.lit(3)).alias("size"), F.col("case_sensitive").alias("cased")).count().collect()}  # 18 at most
-    found = []
-    for cased in sorted({c for k, _, c in kinds if k == "word"}):
-        each = rows.select(key, F.explode(words(F.col("__text") if cased else F.lower("__text"))).alias("needle"))
-        found.append(each.join(usable.where((F.col("kind") == "word") & (F.col("case_sensitive") == cased)), "needle").select(key, "pos", "source", "target"))
-    unsure = []
-    if any(k == "words" for k, _, _ in kinds):
-        by_word = usable.where("kind = 'words'").withColumn("token", first_word(F.lower("source")))
-        unsure.append(rows.select(key, F.explode(words(F.lower("__text"))).alias("token")).join(by_word, "token"))
-    if sizes := sorted({n for k, n, _ in kinds if k == "part"}):
-        by_run = usable.where("kind = 'part'").withColumn("token", F.substring(F.lower("needle"), 1, 3))
-        unsure.append(rows.select(key, F.explode(anchors(F.lower("__text"), sizes)).alias("token")).join(by_run, "token"))
-    if unsure:
-        term = F.struct("needle", "whole_word", "case_sensitive", "pos", "source", "target")
-        candidates = reduce(DataFrame.union, [x.select(key, term.alias("t")) for x in unsure]).groupBy(key).agg(F.collect_list("t").alias("candidates"))
-        hay = rows.join(candidates, key).withColumn("__low", F.lower("__text"))
-
-        def holds(t: Column) -> Column:
-            inside = F.when(t["case_sensitive"], F.col("__text")).otherwise(F.col("__low"))
-            return F.when(t["whole_word"], word_bounded(inside, t["needle"])).otherwise(inside.contains(t["needle"]))
-
-        found.append(hay.select(key, F.explode(F.filter("candidates", holds)).alias("t")).select(key, "t.pos", "t.source", "t.target"))
-    if not found:
-        found = [rows.crossJoin(usable.select("pos", "source", "target").limit(0)).select(key, "pos", "source", "target")]
-    ranked = F.array_sort(F.collect_list(F.struct((-F.octet_length("source")).alias("n"), "pos", "source", "target")))
-    return reduce(DataFrame.union, found).groupBy(key).agg(ranked.alias("m")).select(key, F.posexplode("m").alias("rank", "m")).select(key, F.col("m.pos").alias("term_pos"), "m.source", "m.target", (F.col("rank") + 1).cast("long").alias("rank"))
+    spark = texts.sparkSession
+    with scratch(spark) as under:
+        low = F.lower("source")
+        found_words = F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0))
+        usable = terms.where("enabled AND NOT ambiguous AND source <> ''").select("pos", "source", "target", "whole_word", "case_sensitive", F.when(F.col("case_sensitive"), F.col("source")).otherwise(low).alias("needle"), (F.size(found_words) > 0).alias("worded"), F.when(F.size(found_words) > 0, found_words).otherwise(F.array(low)).alias("pieces"))
+        usable = staged(usable, under)
+        pattern = r"(?U)\w+" if usable.where("NOT worded").isEmpty() else r"(?U)\w+|\W+"
+        rows = texts.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+        tokens = F.array_distinct(F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)))
+        anchored = staged(anchor_tokens(rows, usable, tokens, under).join(usable.drop("worded", "pieces"), "pos"), under)
+        term = F.struct((-F.octet_length("source")).alias("n"), "pos", "source", "target", "sure", "needle", "whole_word", "case_sensitive")
+        seen = rows.select("__key", F.explode(tokens).alias("token")).join(anchored, "token").groupBy("__key").agg(F.collect_set(term).alias("c"))
+        if anchored.where("NOT sure").isEmpty():
+            held = seen
+        else:
+            seen = staged(seen, under)  # read twice, and the texts of candidates only are shuffled
+            unsure = F.exists("c", lambda t: ~t["sure"])
+            tested = seen.where(unsure).withColumnRenamed("__key", "__of")
+            hay = rows.join(tested, F.col("__key").eqNullSafe(F.col("__of"))).select("__key", "__text", F.lower("__text").alias("__low"), "c")
+
+            def holds(t: Column) -> Column:
+                inside = F.when(t["case_sensitive"], F.col("__text")).otherwise(F.col("__low"))
+                return t["sure"] | F.when(t["whole_word"], word_bounded(inside, t["needle"])).otherwise(inside.contains(t["needle"]))
+
+            held = seen.where(~unsure).union(hay.select("__key", F.filter("c", holds).alias("c")))
+        ranked = held.select("__key", F.posexplode(F.array_sort("c")).alias("rank", "m"))
+        return staged(ranked.select(F.col("__key").alias(key), F.col("m.pos").alias("term_pos"), "m.source", "m.target", (F.col("rank") + 1).cast("long").alias("rank")))
 
 
 def page(terms: DataFrame, size: int, shown: int = 1) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import anchors, is_blank, strip_target_suffix, ws_trim
+from ..functions.text import is_blank, strip_target_suffix, ws_trim
+from .containment import contained
 from .series import keyed
 
 LEAST_BYTES, REFERENCES = 3, 12
@@ -23,9 +24,10 @@ def build(entries: DataFrame) -> DataFrame:
 
 def references(keys: DataFrame, memory: DataFrame, top: int = REFERENCES) -> DataFrame:
     """(key, rank, ref_key, ref_source, ref_target): up to top terms whose key is a proper part of key, those of the
-    longest source first. Candidates share the first three characters of a term's key with some place of key."""
-    texts = keys.select("key").distinct().withColumn("anchor", F.explode(anchors(F.col("key"))))
-    terms = memory.select(F.col("key").alias("ref_key"), F.col("source").alias("ref_source"), F.col("target").alias("ref_target"), F.substring("key", 1, 3).alias("anchor"))
-    found = texts.join(terms, "anchor").where(F.col("key").contains(F.col("ref_key")) & (F.col("key") != F.col("ref_key")))
+    longest source first. The memory's keys are found in others at their rarest runs of characters; of a key's references
+    no more than top are ever held together."""
+    terms = memory.select(F.col("key").alias("ref_key"), F.col("source").alias("ref_source"), F.col("target").alias("ref_target"))
+    found = contained(keys.select(F.col("key").alias("hay")), terms.select(F.col("ref_key").alias("needle"))).where("hay <> needle")
+    found = found.join(terms, F.col("needle") == F.col("ref_key")).withColumnRenamed("hay", "key")
     order = Window.partitionBy("key").orderBy(F.octet_length("ref_source").desc(), "ref_key")
     return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top).select("key", "rank", "ref_key", "ref_source", "ref_target")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.text import consistency_key, contains_cjk, contains_latin, is_blank, series_variant, ws_trim
 from ..staging import staged
 
-
+#: Suffixes that are taken as a set; there are 2^HOT such sets at most.
+HOT = 8
 KEYED = ("base", "suffix", "base_key", "key")
 
 
@@ -44,22 +45,44 @@ def aliases_by_content(found: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.groupBy("base_key").agg(F.min_by("canonical", "contentuid").alias("canonical"))
 
 
+def best_overlaps(cjk: DataFrame, latin: DataFrame) -> DataFrame:
+    """(suffixes, canonical) for each row of cjk (suffixes: a sorted array, each once): of the rows of latin (suffixes,
+    canonical, m) that share at least two suffixes, the one that shares most, then has the largest m, then the least name.
+
+    The HOT suffixes that most rows have make at most 2^HOT different sets, and of the rows of latin with one such set
+    only the best can win by hot suffixes alone; these few sets meet by two of them. Rows that share any other suffix
+    meet by it, and all that they share is counted. So neither join has pairs of a suffix that everything has.
+    """
+    every = cjk.select("suffixes").union(latin.select("suffixes"))
+    hot = [r["s"] for r in every.select(F.explode("suffixes").alias("s")).groupBy("s").count().orderBy(F.desc("count"), "s").limit(HOT).collect()]
+    hot = F.array(*[F.lit(s) for s in hot]).cast("array<string>")
+    common = lambda x: F.array_intersect(x, hot)
+    first = F.min_by(F.struct("m", "canonical"), F.struct(-F.col("m"), "canonical"))
+    champions = latin.groupBy(common("suffixes").alias("theirs")).agg(first.alias("c")).select("theirs", "c.*")
+    twos = lambda x: F.flatten(F.transform(x, lambda a, i: F.transform(F.slice(x, i + 2, F.size(x)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    two = lambda rows, x: rows.withColumn("two", F.explode(twos(F.col(x))))
+    sets = cjk.select(common("suffixes").alias("ours")).distinct()
+    shared = lambda a, b: F.size(F.array_intersect(a, b)).alias("n")
+    by_hot = two(sets, "ours").join(two(champions, "theirs"), "two").select("ours", "canonical", "m", shared("ours", "theirs"))
+    best = F.min_by(F.struct("n", "m", "canonical"), F.struct(-F.col("n"), -F.col("m"), "canonical"))
+    by_hot = by_hot.groupBy("ours").agg(best.alias("best"))
+    won = cjk.withColumn("ours", common("suffixes")).join(by_hot, "ours").select("suffixes", "best.*")
+    other = lambda rows, name: rows.select(F.col("suffixes").alias(name), *[c for c in rows.columns if c != "suffixes"], F.explode(F.array_except("suffixes", hot)).alias("s"))
+    met = other(cjk, "ours").join(other(latin, "theirs"), "s").select("ours", "theirs", "canonical", "m").distinct()
+    met = met.select(F.col("ours").alias("suffixes"), shared("ours", "theirs"), "m", "canonical").where("n >= 2")
+    return won.union(met).groupBy("suffixes").agg(best.alias("best")).select("suffixes", "best.canonical")
+
+
 def aliases_by_suffix(found: DataFrame, known: DataFrame, taken: DataFrame) -> DataFrame:
     """(base_key, canonical) of pure CJK bases without alias: the Latin base that shares most suffixes, at least two,
-    then has most, then comes first."""
-    suffixes = found.select("base_key", F.lower(ws_trim("suffix")).alias("s")).distinct()
-    common = suffixes.groupBy("s").agg(F.count("*").alias("bases"))
-    sets = suffixes.groupBy("base_key").agg(F.collect_set("s").alias("all"))
-    open_ = known.where("has_cjk AND NOT has_latin").select("base_key").join(taken.select("base_key"), "base_key", "left_anti")
-    # two shared suffixes are not both the most common one that a base has, so that one needs no join
-    usual = suffixes.join(open_, "base_key").join(common, "s").groupBy("base_key").agg(F.max_by("s", F.struct("bases", "s")).alias("usual"))
-    cjk = suffixes.join(usual, "base_key").where("s <> usual").select("base_key", "s")
-    latin = suffixes.join(known.where("has_latin").select("base_key"), "base_key").withColumnRenamed("base_key", "canonical")
-    pairs = cjk.join(latin, "s").select("base_key", "canonical").distinct()
-    other = sets.select(F.col("base_key").alias("canonical"), F.col("all").alias("others")).join(known.select(F.col("base_key").alias("canonical"), F.col("n_suffixes").alias("m")), "canonical")
-    overlap = pairs.join(sets, "base_key").join(other, "canonical").select("base_key", "canonical", F.size(F.array_intersect("all", "others")).alias("n"), "m").where("n >= 2")
-    best = Window.partitionBy("base_key").orderBy(F.col("n").desc(), F.col("m").desc(), "canonical")
-    return overlap.withColumn("r", F.row_number().over(best)).where("r = 1").select("base_key", "canonical")
+    then has most, then comes first. Bases of one set of suffixes are one row: they have one answer, or only the first
+    of them can be one."""
+    sets = found.select("base_key", F.lower(ws_trim("suffix")).alias("s")).distinct().groupBy("base_key").agg(F.sort_array(F.collect_list("s")).alias("suffixes"))
+    sets = staged(sets.join(known.select("base_key", "has_latin", "has_cjk"), "base_key"))
+    open_ = sets.where("has_cjk AND NOT has_latin").join(taken.select("base_key"), "base_key", "left_anti").select("base_key", "suffixes")
+    latin = sets.where("has_latin").groupBy("suffixes").agg(F.min("base_key").alias("canonical")).withColumn("m", F.size("suffixes"))
+    best = best_overlaps(open_.select("suffixes").distinct(), latin)
+    return open_.join(best, "suffixes").select("base_key", "canonical")
 
 
 def aliases(entries: DataFrame) -> DataFrame:

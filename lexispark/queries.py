@@ -39,7 +39,9 @@ PATH = f"""CASE WHEN doc_id % 4 = 0 THEN concat('Mods/', source, '/Localization/
  WHEN doc_id % 4 = 1 THEN concat('Mods/', source, '/localization/', {LANGUAGE}, '/b', doc_id % 89, '.loca')
  WHEN doc_id % 4 = 2 THEN concat('Public/', source, '/m', doc_id % 83, '.lsx') ELSE concat('Localization/c', doc_id % 71, '.XML') END"""
 FLAGS = "rn % 11 <> 0 AS enabled, rn % 13 = 0 AS ambiguous, {whole} AS whole_word, rn % 7 = 0 AS case_sensitive"
-DOC_TERMS, PAGE_SIZE = 150, 20
+PAGE_SIZE = 20
+#: Single words and pairs of words.
+TERM_PATTERNS = ['[a-z]{3,12}', '[a-z]{3,12} [a-z]{3,12}']
 #: Range of doc_id in one contentList file: 1,024 entries of each of 16 files.
 FILE_SPAN = 16 << 10
 #: Parts in one LSX file, documents in one zip archive: ranges of their numbers.
@@ -66,22 +68,21 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumns({"language": FF.language(F.col("name")), "checked": F.col("pos") % 3 == 0})
 
 
-def _terms(counted: DataFrame, whole: str, order: list, top: int | None) -> DataFrame:
-    from pyspark.sql import Window
-
-    kept = counted.orderBy(*order).limit(top) if top else counted
-    ranked = kept.withColumn("rn", F.row_number().over(Window.orderBy(*order)).cast("long"))
-    return ranked.selectExpr("rn AS pos", "CASE WHEN rn % 4 = 0 THEN upper(word) ELSE word END AS source", "concat('T', rn) AS target", *FLAGS.format(whole=whole).split(", "))
+def _terms(numbered: DataFrame, whole: str) -> DataFrame:
+    return numbered.selectExpr("rn AS pos", "CASE WHEN rn % 4 = 0 THEN upper(word) ELSE word END AS source", "concat('T', rn) AS target", *FLAGS.format(whole=whole).split(", "))
 
 
 def document_terms(spark: SparkSession, sf_dir: str, whole: str = "rn % 5 <> 0") -> DataFrame:
-    """The most frequent words of documents; a top-k report."""
-    found = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,12}"), F.lit(0))).alias("word"))
-    return _terms(found.groupBy("word").count(), whole, [F.desc("count"), "word"], DOC_TERMS)
+    """All words of the benchmark's items, and all pairs of them beside each other, numbered by their first place."""
+    items = read(spark, sf_dir, "benchmark")
+    found = [items.select("item_id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("place", "word")).select("word", F.expr(f"(item_id * 16777216 + place) * 2 + {i}").alias("rn")) for i, pattern in enumerate(TERM_PATTERNS)]
+    return _terms(reduce(DataFrame.union, found).groupBy("word").agg(F.min("rn").alias("rn")), whole)
 
 
 def part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _terms(read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).distinct(), "rn % 3 <> 0", ["word"], None)
+    """All words of parts' names, numbered by the first part and place."""
+    found = read(spark, sf_dir, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("place", "word"))
+    return _terms(found.groupBy("word").agg(F.min(F.expr("p_partkey * 5 + place")).alias("rn")), "rn % 3 <> 0")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -279,7 +280,7 @@ def entry_views(spark, d):
 
 def glossary_rename(spark, d):
     terms = part_terms(spark, d).select("pos", "source", "target")
-    return glossary.rename(terms, terms.where("pos = 1").first()["source"], "crimson", "R!")
+    return glossary.rename(terms, terms.orderBy("pos").first()["source"], "crimson", "R!")
 
 
 def glossary_remaining(spark, d):
@@ -395,19 +396,26 @@ rest AS (SELECT o.*, o.k2 AS key, m.target AS known FROM (SELECT *, {_key("sourc
 alike AS (SELECT key, arg_min(source, pos) AS base, min(pos) AS first_pos, count(*) AS n_members, string_agg(id || ':', ',' ORDER BY pos) AS members FROM rest WHERE known IS NULL GROUP BY key),
 jobs AS (SELECT 'series' AS kind, base, first_pos, n_members, members FROM grouped UNION ALL SELECT CASE WHEN n_members > 1 THEN 'exact_group' ELSE 'single' END, base, first_pos, n_members, members FROM alike)"""
 TERM_COLUMNS = "rn AS pos, CASE WHEN rn % 4 = 0 THEN upper(word) ELSE word END AS source, concat('T', rn) AS target, "
-PART_TERMS_CTE = f"terms AS (SELECT {TERM_COLUMNS}{FLAGS.format(whole='rn % 3 <> 0')} FROM (SELECT word, row_number() OVER (ORDER BY word) AS rn FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part)))"
+PART_TERMS_CTE = f"terms AS (SELECT {TERM_COLUMNS}{FLAGS.format(whole='rn % 3 <> 0')} FROM (SELECT word, min(p_partkey * 5 + place) AS rn FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) - 1 AS place FROM part) GROUP BY word))"
 
 
 def _document_terms(whole: str) -> str:
-    return f"terms AS (SELECT {TERM_COLUMNS}{FLAGS.format(whole=whole)} FROM (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS rn FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{3,12}}')) AS word FROM documents) GROUP BY word ORDER BY n DESC, word LIMIT {DOC_TERMS})))"
+    found = " UNION ALL ".join(f"SELECT unnest(w) AS word, (item_id * 16777216 + generate_subscripts(w, 1) - 1) * 2 + {i} AS rn FROM (SELECT item_id, regexp_extract_all(lower(text), '{pattern}') AS w FROM benchmark)" for i, pattern in enumerate(TERM_PATTERNS))
+    return f"terms AS (SELECT {TERM_COLUMNS}{FLAGS.format(whole=whole)} FROM (SELECT word, min(rn) AS rn FROM ({found}) GROUP BY word))"
 
 
 def _matches(texts: str, key: str, column: str) -> str:
-    """The terms are single words, so a whole-word term is one of the text's words."""
-    words = lambda x: rf"regexp_extract_all({x}, '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+')"
-    return f"""SELECT {key}, pos AS term_pos, source, target, row_number() OVER (PARTITION BY {key} ORDER BY strlen(source) DESC, pos) AS rank FROM (SELECT x.{key}, t.pos, t.source, t.target
- FROM (SELECT {key}, {column} AS raw, lower({column}) AS low, {words(column)} AS raw_words, {words(f"lower({column})")} AS low_words FROM {texts}) x, (SELECT *, CASE WHEN case_sensitive THEN source ELSE lower(source) END AS needle FROM terms WHERE enabled AND NOT ambiguous AND source <> '') t
- WHERE CASE WHEN t.whole_word THEN list_contains(CASE WHEN t.case_sensitive THEN x.raw_words ELSE x.low_words END, t.needle) ELSE contains(CASE WHEN t.case_sensitive THEN x.raw ELSE x.low END, t.needle) END)"""
+    """The terms are single words or two with a space between, so a whole-word term is one of the text's words, or two of
+    them with just a space between."""
+    word = r"[\p{L}\p{M}\p{N}\p{Pc}]+"
+    tokens = lambda x: rf"regexp_extract_all({x}, '{word}|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+')"
+    units = lambda x: f"list_concat({x}, list_filter(list_transform(range(1, greatest(len({x}) - 1, 1)), lambda i: CASE WHEN {x}[i + 1] = ' ' THEN {x}[i] || ' ' || {x}[i + 2] END), lambda u: u IS NOT NULL))"
+    return f"""SELECT {key}, pos AS term_pos, source, target, row_number() OVER (PARTITION BY {key} ORDER BY strlen(source) DESC, pos) AS rank FROM (
+ WITH x AS (SELECT {key}, {column} AS raw, lower({column}) AS low, {tokens(column)} AS raw_tokens, {tokens(f"lower({column})")} AS low_tokens FROM {texts}),
+ u AS (SELECT DISTINCT * FROM (SELECT {key}, true AS cased, unnest({units("raw_tokens")}) AS unit FROM x UNION ALL SELECT {key}, false, unnest({units("low_tokens")}) FROM x)),
+ t AS (SELECT *, CASE WHEN case_sensitive THEN source ELSE lower(source) END AS needle FROM terms WHERE enabled AND NOT ambiguous AND source <> '')
+ SELECT u.{key}, t.pos, t.source, t.target FROM u JOIN t ON t.needle = u.unit AND t.case_sensitive = u.cased AND t.whole_word
+ UNION ALL SELECT x.{key}, t.pos, t.source, t.target FROM x JOIN t ON NOT t.whole_word AND contains(CASE WHEN t.case_sensitive THEN x.raw ELSE x.low END, t.needle))"""
 
 
 _NOISE_ROWS = ", ".join("({}, '{}', '{}')".format(i, s.replace("'", "''"), t.replace("'", "''")) for i, (s, t) in enumerate(NOISE))
@@ -480,7 +488,7 @@ ORACLE_SQL: dict[str, str] = {
     "selection": f"WITH {FILES2_CTE} SELECT name, true AS \"on\" FROM facts WHERE pos % 3 = 0 OR language = 'English' UNION ALL SELECT name, false FROM facts WHERE pos % 3 = 0 AND language IS DISTINCT FROM 'English'",
     "selected_entries": f"WITH {FILES_CTE} SELECT doc_id, {PATH} AS source_file FROM documents WHERE {PATH} IN (SELECT name FROM files WHERE pos % 3 = 0)",
     "entry_views": f"WITH {E_CTE}, {PART_TERMS_CTE}, {FILES_CTE} SELECT 'work' AS view, id FROM entries WHERE {_trim('source')} <> '' UNION ALL SELECT 'open', id FROM entries WHERE target = '' UNION ALL SELECT 'terms', CAST(pos AS VARCHAR) FROM terms WHERE contains(lower(source), 're') OR contains(lower(target), 're') UNION ALL SELECT 'files', name FROM files WHERE (lower(name) LIKE '%.xml' AND contains(lower(name), 'localization')) OR lower(name) LIKE '%.loca'",
-    "glossary_rename": f"WITH {PART_TERMS_CTE} SELECT pos, CASE WHEN pos = 1 THEN 'crimson' ELSE source END AS source, CASE WHEN pos = 1 THEN 'R!' ELSE target END AS target FROM terms",
+    "glossary_rename": f"WITH {PART_TERMS_CTE} SELECT pos, CASE WHEN pos = first THEN 'crimson' ELSE source END AS source, CASE WHEN pos = first THEN 'R!' ELSE target END AS target FROM (SELECT *, min(pos) OVER () AS first FROM terms)",
     "glossary_remaining": f"WITH {PART_TERMS_CTE} SELECT greatest(count(*) - {PAGE_SIZE}, 0) AS remaining FROM terms",
     "path_rules": rf"WITH {FILES_CTE} SELECT name, NOT regexp_matches(name, '^/|^[A-Za-z]:|(^|/)\.\.(/|$)') AS safe, regexp_matches(name, '(?i)\.(pak|zip)$') AS archive, concat(regexp_replace(regexp_extract(name, '([^/]*)$', 1), '(?i)\.(pak|zip)$', ''), '_zh.pak') AS output FROM (SELECT {ODD_NAME} AS name FROM files)",
     "small_rules": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Title' END AS field, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS BIGINT) END AS n, CAST(CASE p_partkey % 4 WHEN 1 THEN 7 WHEN 3 THEN p_size ELSE 1 END AS INTEGER) AS version, greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), CAST(p_size - 5 AS DOUBLE) * 100 / 40)) AS percent FROM part",

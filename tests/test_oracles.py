@@ -5,7 +5,7 @@ import pytest
 
 from lexispark.queries import ORACLE_SQL, QUERIES
 
-TABLES = "part events documents labels pages".split()
+TABLES = "part events documents labels pages benchmark".split()
 
 
 @pytest.fixture(scope="module")
