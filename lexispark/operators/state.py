@@ -2,44 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank
 
+#: Types of events that change an entry; all others are passed over.
+TYPES = ("progress", "delta", "done", "error", "edit", "revert")
 
-def fold(events: DataFrame) -> DataFrame:
-    """entryId, target, status and error after all events, in the order of (ts, seq).
 
-    progress sets the status; delta appends text and sets translating; done replaces the target; error sets status
-    and message and keeps the target; edit replaces the target; revert empties it and sets pending; all_done changes nothing. Windows instead of one
-    row of all events per entry: the target is what the last done, edit or revert set, and the deltas after it.
+def changes(events: DataFrame) -> DataFrame:
+    """What events do to each entry, in the order of (ts, seq): entryId, replaced (whether target was set anew), text
+    (that comes in its place or after it), status, told (whether error was set anew), error and completed.
+
+    progress sets the status; delta appends text and sets translating; done and edit replace the target; error sets the
+    status and the message; revert empties target and message and sets pending. Only error and revert touch the message,
+    so it stays until then. Aggregates that combine before the shuffle find the last events; only deltas that
+    count, and the last replacement, are gathered.
     """
-    order = Window.partitionBy("entryId").orderBy("ts", "seq")
-    own = events.where(F.col("type") != "all_done").withColumn("n", F.row_number().over(order))
-    resets = F.col("type").isin("done", "edit", "revert")
-    marks = own.groupBy("entryId").agg(F.coalesce(F.max(F.when(resets, F.col("n"))), F.lit(0)).alias("from_n"), F.max_by(F.struct("type", "status", "message"), "n").alias("last"))
-    parts = own.join(marks.select("entryId", "from_n"), "entryId").where((F.col("n") == F.col("from_n")) | ((F.col("n") > F.col("from_n")) & (F.col("type") == "delta")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.when(F.col("type") == "revert", "").otherwise(F.coalesce("text", F.lit(""))).alias("text")))), lambda x: x["text"]), "")
-    targets = parts.groupBy("entryId").agg(text.alias("target"))
-    kind = F.col("last.type")
-    status = F.when(kind == "progress", F.col("last.status")).when(kind == "delta", "translating").when(kind == "done", "translated").when(kind == "edit", "edited").when(kind == "revert", "pending").otherwise("error")
-    return marks.join(targets, "entryId", "left").select("entryId", F.coalesce("target", F.lit("")).alias("target"), status.alias("status"), F.when(kind == "error", F.col("last.message")).alias("error"))
-
-
-def apply_to(entries: DataFrame, state: DataFrame) -> DataFrame:
-    """entries with folded state; events of unknown entries don't matter."""
-    s = state.select(F.col("entryId").alias("id"), F.col("target").alias("t"), F.col("status").alias("s"), F.col("error").alias("e"))
-    joined = entries.join(s, "id", "left")
-    seen = F.col("s").isNotNull()
-    return joined.withColumns({"target": F.when(seen, F.col("t")).otherwise(F.col("target")), "status": F.when(seen, F.col("s")).otherwise(F.col("status")), "error": F.when(seen, F.col("e")).otherwise(F.col("error"))}).drop("t", "s", "e")
-
-
-def cancel(events: DataFrame, at_seq: int) -> DataFrame:
-    """State when everything from at_seq on is ignored and what is not complete is pending again."""
-    kept = fold(events.where((F.col("seq") < at_seq) | (F.col("type") == "all_done")))
-    done = F.col("status").isin("translated", "edited", "error")
-    return kept.withColumns({"target": F.when(done, F.col("target")).otherwise(""), "status": F.when(done, F.col("status")).otherwise("pending")})
+    own = events.where(F.col("type").isin(*TYPES)).withColumn("at", F.struct("ts", "seq"))
+    kind = F.col("type")
+    resets, tells = kind.isin("done", "edit", "revert"), kind.isin("error", "revert")
+    marks = own.groupBy("entryId").agg(
+        F.max(F.when(resets, F.col("at"))).alias("since"), F.max_by(F.struct("type", "status"), "at").alias("last"), F.bool_or(kind == "done").alias("completed"),
+        F.max_by(F.when(tells, F.struct(F.when(kind == "error", F.col("message")).alias("message"))), F.when(tells, F.col("at"))).alias("said"), F.bool_or(tells).alias("told"),
+    )
+    parts = own.where(resets | (kind == "delta")).join(marks.select(F.col("entryId").alias("of"), "since"), F.col("entryId").eqNullSafe(F.col("of")))
+    parts = parts.where(F.col("since").isNull() | (F.col("at") >= F.col("since")))
+    text = F.array_sort(F.collect_list(F.struct("at", F.when(kind == "revert", "").otherwise(F.coalesce("text", F.lit(""))).alias("text"))))
+    texts = parts.groupBy(F.col("entryId").alias("of")).agg(F.array_join(F.transform(text, lambda x: x["text"]), "").alias("text"))
+    last = F.col("last.type")
+    status = F.when(last == "progress", F.col("last.status")).when(last == "delta", "translating").when(last == "done", "translated").when(last == "edit", "edited").when(last == "revert", "pending").otherwise("error")
+    joined = marks.join(texts, F.col("entryId").eqNullSafe(F.col("of")), "left")
+    return joined.select("entryId", F.col("since").isNotNull().alias("replaced"), F.coalesce("text", F.lit("")).alias("text"), status.alias("status"), "told", F.col("said.message").alias("error"), "completed")
+
+
+def fold(events: DataFrame) -> DataFrame:
+    """entryId, target, status and error after all events, of entries that had no target and no error."""
+    return changes(events).select("entryId", F.col("text").alias("target"), "status", "error")
+
+
+def apply_to(entries: DataFrame, events: DataFrame) -> DataFrame:
+    """entries after the events; their own targets are what deltas go on from. Events of unknown entries don't matter."""
+    return _onto(entries, changes(events)).drop("__completed")
+
+
+def _onto(entries: DataFrame, changed: DataFrame) -> DataFrame:
+    c = changed.select(F.struct("*").alias("__c"))
+    seen = F.col("__c").isNotNull()
+    joined = entries.join(c, F.col("id") == F.col("__c.entryId"), "left")
+    own = F.coalesce("target", F.lit(""))
+    target = F.when(~seen, F.col("target")).when(F.col("__c.replaced"), F.col("__c.text")).otherwise(F.concat(own, "__c.text"))
+    error = F.when(seen & F.col("__c.told"), F.col("__c.error")).otherwise(F.col("error"))
+    return joined.withColumns({"target": target, "status": F.when(seen, F.col("__c.status")).otherwise(F.col("status")), "error": error, "__completed": F.coalesce("__c.completed", F.lit(False))}).drop("__c")
+
+
+def cancel(entries: DataFrame, events: DataFrame, at_seq: int) -> DataFrame:
+    """entries of a run that was cancelled at at_seq: events from there on are ignored, and entries without a done before
+    it are pending again, with neither target nor error."""
+    now = _onto(entries, changes(events.where(F.col("seq") < at_seq)))
+    kept = F.col("__completed")
+    return now.withColumns({"target": F.when(kept, F.col("target")).otherwise(""), "status": F.when(kept, F.col("status")).otherwise("pending"), "error": F.when(kept, F.col("error"))}).drop("__completed")
 
 
 def finished(entries: DataFrame, events: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from .functions import markup, text
 from .operators import glossary, memory, series, state, views
 from .plans import planner, translate
 from .sources import archive, contentlist, json_io, tree
+from .streaming import fold, once, sse
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -86,7 +87,11 @@ def part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").selectExpr(
+    return _events(read(spark, sf_dir, "events"))
+
+
+def _events(table: DataFrame) -> DataFrame:
+    return table.selectExpr(
         "ts", "event_id AS seq", "CAST(user_id AS STRING) AS entryId",
         "CASE event_type WHEN 'signup' THEN 'progress' WHEN 'view' THEN 'delta' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'edit' END AS type",
         "CASE WHEN event_type = 'signup' THEN 'translating' END AS status", "concat(event_type, event_id, ';') AS text", "concat('m', event_id) AS message",
@@ -235,6 +240,15 @@ def sse_deltas(spark, d):
     return json_io.sse_deltas(read(spark, d, "events").selectExpr("event_id", f"{SSE} AS value"), keep=["event_id"])
 
 
+def sse_stream(spark, d):
+    """The same in one body a user, in chunks of 7 bytes, which cut lines and characters; put together by a stream."""
+    table = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/[e]vents.parquet")
+    bodies = table.selectExpr("CAST(user_id AS STRING) AS body", "event_id", f"CAST(replace({SSE}, '!', '→…') AS BINARY) AS data")
+    cuts = bodies.select("body", "event_id", "data", F.explode(F.expr("sequence(0, octet_length(data) div 7)")).alias("i"))
+    chunks = cuts.selectExpr("body", "event_id * 1024 + i AS seq", "substring(data, CAST(i AS INT) * 7 + 1, 7) AS chunk")
+    return once.drained(sse.delta_stream(chunks)).select(F.col("body").cast("long").alias("user_id"), "pos", "text")
+
+
 def fragment_escape(spark, d):
     return read(spark, d, "pages").select("page_id", F.md5(markup.escape_fragment(F.col("html")).cast("binary")).alias("digest"))
 
@@ -245,9 +259,25 @@ def retranslate_all(spark, d):
     return views.retranslate_all(some).union(views.retranslate_all(some.where("target <> ''"))).select("id", "target", "status", "error")
 
 
+def _numbered_entries(spark, d):
+    return entries(spark, d).withColumn("id", F.col("pos").cast("string"))
+
+
+def _middle(spark, d):
+    return read(spark, d, "events").agg(F.max("event_id")).first()[0] // 2
+
+
 def cancelled(spark, d):
-    """State if the run was cancelled halfway."""
-    return state.cancel(events(spark, d), read(spark, d, "events").agg(F.max("event_id")).first()[0] // 2)
+    """Entries by number if the run of the users' events was cancelled halfway."""
+    return state.cancel(_numbered_entries(spark, d), events(spark, d), _middle(spark, d)).select("id", "target", "status", "error")
+
+
+def event_stream(spark, d):
+    """The same run as a stream that starts from the entries: those that its events and the cancel changed."""
+    table = spark.readStream.schema(read(spark, d, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/[e]vents.parquet")
+    stop = "event_id = {}".format(_middle(spark, d))
+    log = _events(table).withColumns({"type": F.when(F.expr(stop.replace("event_id", "seq")), "cancel").otherwise(F.col("type")), "ts": F.timestamp_seconds("seq")})
+    return once.drained(fold.fold_stream(log, _numbered_entries(spark, d)), ["run", "entryId"]).drop("run")
 
 
 def reverted(spark, d):
@@ -256,7 +286,7 @@ def reverted(spark, d):
 
 def applied_events(spark, d):
     """Entries by number, with the state of the events of the users of these numbers."""
-    return state.apply_to(entries(spark, d).withColumn("id", F.col("pos").cast("string")), event_fold(spark, d)).select("id", "target", "status", "error")
+    return state.apply_to(_numbered_entries(spark, d), events(spark, d)).select("id", "target", "status", "error")
 
 
 def tree_nodes(spark, d):
@@ -341,7 +371,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         glossary_match, glossary_match_substring, glossary_clean, glossary_clean_stats, consistency_key, exact_groups, series_split, series_profiles, series_alias, memory_build, memory_refs_top12,
         plan_resolved, fanout, prompt, event_fold, progress, pending_filter, search, classify_files, write_plan, folder_rollup, latest_readable, inline_tags, glossary_page, glossary_upsert, glossary_delete, contentlist_roundtrip,
-        sse_deltas, fragment_escape, retranslate_all, cancelled, reverted, applied_events, tree_nodes, selection, selected_entries, entry_views, glossary_rename, glossary_remaining,
+        sse_deltas, sse_stream, event_stream, fragment_escape, retranslate_all, cancelled, reverted, applied_events, tree_nodes, selection, selected_entries, entry_views, glossary_rename, glossary_remaining,
         path_rules, small_rules, file_order, lsx_patch, zip_members, translated_table, run_totals,
     )
 } | {"plan_jobs": _jobs}
@@ -433,9 +463,12 @@ facts AS (SELECT *, CASE WHEN a > 0 AND len(p) > a + 1 THEN p[a + 1] END AS lang
 PRIORITY = "CAST(CASE WHEN language = 'English' THEN 3 WHEN language IN ('Chinese', 'ChineseSimplified') THEN 2 ELSE 1 END AS BIGINT)"
 EVENTS_CTE = """e AS (SELECT CAST(user_id AS VARCHAR) AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE event_type WHEN 'signup' THEN 'progress' WHEN 'view' THEN 'delta' WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'error' ELSE 'edit' END AS type,
  concat(event_type, event_id, ';') AS text, concat('m', event_id) AS message FROM events),
-marks AS (SELECT id, coalesce(max(n) FILTER (type IN ('done', 'edit')), 0) AS f, arg_max(type, n) AS last, arg_max(message, n) AS message FROM e GROUP BY id),
+marks AS (SELECT id, coalesce(max(n) FILTER (type IN ('done', 'edit')), 0) AS f, arg_max(type, n) AS last, arg_max(type, n) FILTER (type IN ('error', 'revert')) AS tells, arg_max(message, n) FILTER (type IN ('error', 'revert')) AS message,
+ bool_or(type = 'done') AS completed FROM e GROUP BY id),
 folded AS (SELECT m.id AS "entryId", coalesce((SELECT string_agg(e.text, '' ORDER BY e.n) FROM e WHERE e.id = m.id AND (e.n = m.f OR (e.n > m.f AND e.type = 'delta'))), '') AS target,
- CASE last WHEN 'progress' THEN 'translating' WHEN 'delta' THEN 'translating' WHEN 'done' THEN 'translated' WHEN 'edit' THEN 'edited' ELSE 'error' END AS status, CASE WHEN last = 'error' THEN message END AS error FROM marks m)"""
+ CASE last WHEN 'progress' THEN 'translating' WHEN 'delta' THEN 'translating' WHEN 'done' THEN 'translated' WHEN 'edit' THEN 'edited' ELSE 'error' END AS status, CASE WHEN tells = 'error' THEN message END AS error, completed, f > 0 AS replaced, tells IS NOT NULL AS told FROM marks m),
+onto AS (SELECT CAST(x.pos AS VARCHAR) AS id, CASE WHEN f.status IS NULL THEN x.target WHEN replaced THEN f.target ELSE x.target || f.target END AS target, coalesce(f.status, 'pending') AS status, f.error, coalesce(completed, false) AS completed, f.status IS NOT NULL AS seen
+ FROM entries x LEFT JOIN folded f ON f."entryId" = CAST(x.pos AS VARCHAR))"""
 EDITS_CTE = "edits AS (SELECT pos, CASE WHEN pos % 8 = 1 THEN source ELSE source || 's' END AS source, target || '!' AS target FROM terms WHERE pos % 4 = 1)"
 _REFS = "SELECT key, ref_key, ref_source, ref_target, row_number() OVER (PARTITION BY key ORDER BY strlen(ref_source) DESC, ref_key) AS rank FROM (SELECT k.key, m.key AS ref_key, m.source AS ref_source, m.target AS ref_target FROM (SELECT DISTINCT key FROM {keys}) k, memory m WHERE contains(k.key, m.key) AND k.key <> m.key) QUALIFY rank <= 12"
 _ASK = "Translate into Simplified Chinese and answer with the translation only"
@@ -465,8 +498,8 @@ ORACLE_SQL: dict[str, str] = {
  keyed AS (SELECT *, {_key('base')} AS key FROM jobs), rr AS (SELECT key, string_agg(ref_source || ' = ' || ref_target, chr(10) ORDER BY rank) AS lines FROM ({_REFS.format(keys='keyed')}) GROUP BY key)
  SELECT kind, first_pos, '{_ASK}.' || chr(10) || chr(10) || '[Context] Use it for meaning and tone; terms and tags go first:' || chr(10) || 'short names' || coalesce(chr(10) || chr(10) || '[Terms] Use exactly these translations:' || chr(10) || mm.lines, '')
  || coalesce(chr(10) || chr(10) || '[Decided] Names already translated in this mod:' || chr(10) || rr.lines, '') || chr(10) || chr(10) || 'Text:' || chr(10) || k.base AS prompt FROM keyed k LEFT JOIN mm ON mm.base = k.base LEFT JOIN rr ON rr.key = k.key""",
-    "event_fold": f"WITH {EVENTS_CTE} SELECT * FROM folded",
-    "progress": f"WITH {EVENTS_CTE} SELECT count(*) AS total, count(*) FILTER (status IN ('translated', 'edited')) AS done, count(*) FILTER (status NOT IN ('translated', 'edited')) AS pending FROM folded",
+    "event_fold": f"""WITH {E_CTE}, {EVENTS_CTE} SELECT "entryId", target, status, error FROM folded""",
+    "progress": f"WITH {E_CTE}, {EVENTS_CTE} SELECT count(*) AS total, count(*) FILTER (status IN ('translated', 'edited')) AS done, count(*) FILTER (status NOT IN ('translated', 'edited')) AS pending FROM folded",
     "pending_filter": f"WITH {E_CTE} SELECT id, source FROM entries WHERE {_trim('source')} <> '' AND {_trim('target')} = ''",
     "search": "SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'tion') OR contains(lower(lang), 'tion') OR contains(lower(source), 'tion')",
     "classify_files": f"WITH {FILES2_CTE} SELECT name, CASE WHEN lower(name) LIKE '%.xml' AND contains(lower(name), 'localization') THEN 'localization-xml' WHEN lower(name) LIKE '%.loca' THEN 'localization-loca' WHEN lower(name) LIKE '%.lsx' THEN 'metadata-lsx' WHEN lower(name) LIKE '%.lua' THEN 'script-lua' WHEN lower(name) LIKE '%.txt' THEN 'data-txt' ELSE 'other' END AS kind, language, CASE WHEN len(p) > 2 THEN array_to_string(p[-2:], '/') ELSE name END AS short, target, {PRIORITY} AS priority, NOT regexp_matches(name, '^/|^[A-Za-z]:|(^|/)\\.\\.(/|$)') AS safe FROM facts",
@@ -478,12 +511,14 @@ ORACLE_SQL: dict[str, str] = {
     "glossary_upsert": f"WITH {PART_TERMS_CTE}, {EDITS_CTE} SELECT t.pos, t.source, coalesce(e.target, t.target) AS target FROM terms t LEFT JOIN edits e ON e.source = t.source UNION ALL SELECT (SELECT max(pos) FROM terms) + 1 + pos, source, target FROM edits WHERE source NOT IN (SELECT source FROM terms)",
     "glossary_delete": f"WITH {PART_TERMS_CTE} SELECT pos, source, target FROM terms WHERE NOT (pos % 3 = 0 AND pos % 5 <> 0)",
     "contentlist_roundtrip": f"SELECT concat('h', doc_id) AS contentuid, concat(source, '-', doc_id % 16, '/Localization/x.xml') AS source_file, length({_TAGGED}) AS n_chars, md5({_TAGGED}) AS digest FROM documents",
+    "sse_stream": "WITH b AS (SELECT user_id, concat(event_type, event_id) AS text, 5 * (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) AS pos FROM events) SELECT user_id, pos, text FROM b UNION ALL SELECT user_id, pos + 3, '→…' FROM b",
     "sse_deltas": "SELECT event_id, CAST(0 AS BIGINT) AS pos, concat(event_type, event_id) AS text FROM events UNION ALL SELECT event_id, 3, '!' FROM events",
     "fragment_escape": f"SELECT page_id, md5(array_to_string(list_transform(regexp_extract_all(html, '(?s)<[^>]*>|[^<]+|<'), lambda s: CASE WHEN starts_with(s, '<') AND ends_with(s, '>') AND {_TAG_NAME} IN ('LSTag', 'font', 'i', 'b', 'u', 'br') THEN s ELSE {_ESCAPED} END), '')) AS digest FROM pages",
     "retranslate_all": f"WITH {E_CTE} SELECT id, target, 'pending' AS status, CAST(NULL AS VARCHAR) AS error FROM entries UNION ALL SELECT id, '', 'pending', NULL FROM entries WHERE target <> ''",
-    "cancelled": f"""WITH {_CUT} SELECT "entryId", CASE WHEN status IN ('translated', 'edited', 'error') THEN target ELSE '' END AS target, CASE WHEN status IN ('translated', 'edited', 'error') THEN status ELSE 'pending' END AS status, error FROM folded""",
-    "reverted": f"WITH {_REVERT} SELECT * FROM folded",
-    "applied_events": f"""WITH {EVENTS_CTE}, {E_CTE} SELECT CAST(x.pos AS VARCHAR) AS id, CASE WHEN f.status IS NULL THEN x.target ELSE f.target END AS target, coalesce(f.status, 'pending') AS status, f.error FROM entries x LEFT JOIN folded f ON f."entryId" = CAST(x.pos AS VARCHAR)""",
+    "cancelled": f"""WITH {E_CTE}, {_CUT} SELECT id, CASE WHEN completed THEN target ELSE '' END AS target, CASE WHEN completed THEN status ELSE 'pending' END AS status, CASE WHEN completed THEN error END AS error FROM onto""",
+    "event_stream": f"""WITH {E_CTE}, {_CUT.replace("ORDER BY ts, event_id", "ORDER BY event_id")} SELECT id AS "entryId", CASE WHEN completed THEN target ELSE '' END AS target, CASE WHEN completed THEN status ELSE 'pending' END AS status, CASE WHEN completed THEN error END AS error FROM onto""",
+    "reverted": f"""WITH {E_CTE}, {_REVERT} SELECT "entryId", target, status, error FROM folded""",
+    "applied_events": f"WITH {E_CTE}, {EVENTS_CTE} SELECT id, target, status, error FROM onto",
     "tree_nodes": f"WITH {FILES_CTE}, n AS (SELECT name AS path, true AS is_leaf FROM files UNION ALL SELECT DISTINCT array_to_string(p[:i], '/'), false FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(name, '/') AS p FROM files))) SELECT path, is_leaf, string_split(path, '/')[-1] AS name, CAST(len(string_split(path, '/')) AS BIGINT) AS depth FROM n",
     "selection": f"WITH {FILES2_CTE} SELECT name, true AS \"on\" FROM facts WHERE pos % 3 = 0 OR language = 'English' UNION ALL SELECT name, false FROM facts WHERE pos % 3 = 0 AND language IS DISTINCT FROM 'English'",
     "selected_entries": f"WITH {FILES_CTE} SELECT doc_id, {PATH} AS source_file FROM documents WHERE {PATH} IN (SELECT name FROM files WHERE pos % 3 = 0)",

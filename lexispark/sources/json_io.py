@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import ws_trim
 from ..schema import TERM
 
 #: Fields of a glossary file, in both spellings that files use.
@@ -41,14 +42,20 @@ def event_json(kind: Column) -> Column:
     return F.to_json(F.struct(kind.alias("type"), "entryId", "status", "text", "message", "total", "failed"))
 
 
-def sse_deltas(lines: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
-    """pos and text of the deltas of a stream of server-sent events, one body a row; other lines don't count. Columns
-    of keep tell bodies apart."""
-    line = F.posexplode(F.split(F.col(column), "\n")).alias("pos", "line")
-    data = F.regexp_extract("line", r"^data: (.*?)\r?\z", 1)
+def sse_deltas(bodies: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """pos and text of the deltas of server-sent events, one body a row. Columns of keep tell bodies apart. A last line
+    without its end is unfinished, so it doesn't count."""
+    lines = F.split(F.col(column), "\n")
+    whole = F.slice(lines, F.lit(1), F.size(lines) - 1)
+    return line_deltas(bodies.select(*keep, F.posexplode(whole).alias("pos", "line")), keep)
+
+
+def line_deltas(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The deltas among whole lines (pos, line); lines of other kinds, broken ones and empty deltas don't count."""
+    data = ws_trim(F.regexp_extract("line", r"(?s)^data: (.*?)\r*\z", 1))
     parsed = F.from_json(data, "choices array<struct<delta:struct<content:string>>>")
-    rows = lines.select(*keep, F.col(column), line).where(data != "[DONE]").withColumn("text", F.get(parsed["choices"], F.lit(0))["delta"]["content"])
-    return rows.where("text IS NOT NULL").select(*keep, F.col("pos").cast("long"), "text")
+    rows = lines.where(data != "[DONE]").withColumn("text", F.get(parsed["choices"], F.lit(0))["delta"]["content"])
+    return rows.where("text <> ''").select(*keep, F.col("pos").cast("long"), "text")
 
 
 #: A small glossary to begin with; own terms.
