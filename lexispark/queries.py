@@ -6,6 +6,7 @@ frequent words, events from events, files from documents. Targets are expression
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -17,6 +18,7 @@ from .functions import markup, text
 from .operators import glossary, memory, series, state, views
 from .plans import planner, translate
 from .sources import archive, contentlist, json_io, tree
+from .staging import shared_dir
 from .streaming import fold, once, sse
 
 
@@ -346,8 +348,9 @@ def lsx_patch(spark, d):
 def zip_members(spark, d):
     """Documents as members of zip archives, packed and opened again."""
     docs = read(spark, d, "documents").select(F.concat(F.lit("a"), F.floor(F.col("doc_id") / ZIP_SPAN)).alias("archive"), F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
-    packed = archive.repacked(docs).select(F.col("archive").alias("path"), "content")
-    return archive.unpacked(packed).select("archive", "name", "size", F.md5("content").alias("digest"))
+    folder = f"{shared_dir(spark)}/zips-{uuid.uuid4().hex}"
+    archive.write_archives(docs, folder)
+    return archive.read_archives(spark, folder).select(F.regexp_extract("archive", r"([^/]+)\z", 1).alias("archive"), "name", "size", F.md5("content").alias("digest"))
 
 
 def translated_table(spark, d):

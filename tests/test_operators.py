@@ -9,7 +9,6 @@ from lexispark.functions import files, markup, text
 from lexispark.operators import glossary, state, views
 from lexispark.plans import planner, translate
 from lexispark.sources import archive, contentlist, json_io, tree
-from lexispark.streaming.fold import fold_stream
 
 TERM = "pos long, source string, target string, enabled boolean, ambiguous boolean, whole_word boolean, case_sensitive boolean"
 
@@ -104,19 +103,6 @@ def event_rows(spark):
 def test_fold(spark):
     got = {r["entryId"]: (r["target"], r["status"]) for r in state.fold(event_rows(spark)).collect()}
     assert got == FOLDED
-    cancelled = {r["entryId"]: (r["target"], r["status"]) for r in state.cancel(event_rows(spark), 8).collect()}
-    assert cancelled["e3"] == ("", "pending") and cancelled["e1"] == ("Z", "translated") and cancelled["e2"][1] == "error"
-
-
-def test_fold_stream(spark, tmp_path):
-    source = event_rows(spark)
-    for i, part in enumerate(("seq < 3", "seq >= 3 AND seq < 6", "seq >= 6")):
-        source.where(part).coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
-    read = spark.readStream.schema(source.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in"))
-    last = {}
-    query = fold_stream(read).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda df, _: last.update({r["entryId"]: (r["target"], r["status"]) for r in df.collect()})).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert query.exception() is None and last == FOLDED
 
 
 def test_paths(spark):
@@ -164,8 +150,8 @@ def test_content_list_round_trip(spark, tmp_path):
     written = contentlist.written_xml(told)
     again = contentlist.entries(contentlist.parse(written.select(F.col("source_file").alias("name"), F.lit("localization-xml").alias("kind"), F.col("content").cast("binary").alias("content"))))
     assert [r["source"] for r in again.orderBy("pos").collect()] == ['【译文】Cast <LSTag Tag="Fire">Fireball</LSTag> for {1} damage & more<br/>', ""]
-    zipped = archive.repacked(written.select(F.lit("a").alias("archive"), F.col("source_file").alias("name"), F.col("content").cast("binary").alias("content"))).collect()
-    assert len(zipped) == 1 and len(zipped[0]["content"]) > 0
+    zipped = archive.write_archives(written.select(F.lit("a.zip").alias("archive"), F.col("source_file").alias("name"), F.col("content").cast("binary").alias("content")), str(tmp_path / "out")).collect()
+    assert [(r["members"], r["bytes"]) for r in zipped] == [(1, (tmp_path / "out/a.zip").stat().st_size)]
 
 
 def test_faulty_xml_keeps_what_came_before():
