@@ -1,27 +1,30 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are runs of 16 or more characters of keys and tokens with both a letter and a digit; values of 6 or more
-characters that are assigned to a credential's name, in quotes or up to white space; passwords in addresses; keys with
-a provider's prefix; and private keys in PEM, to the end mark or, without one, as far as lines look like theirs. PEM
-blocks, keys by prefix, passwords in addresses, and assigned values with a letter, a digit and a sign of passwords
-are secrets by their form, the last three unless they hold a placeholder. For the others, the forest's features are
-the length and the kinds of characters; how likely the transitions between characters are in words of a public
-vocabulary, and how much of the value such words cover; the document's path, its parts hashed; and the words beside
-the value, hashed by place. No pattern that labels are made by is a feature.
-
-The forest is trained on labelled findings: rows (value, before, after, path, label). Where none are given,
-`weak_findings` labels a bounded sample of the corpus's own candidates: one assigned to a credential's name is a
-secret; one after a word for digests or in an address is not; others have no label. Made from each: random values of
-several alphabets and short passwords after names of credentials are secrets; the same values after words for digests,
-or beside plain words, and identifiers, dictionary words and placeholders wherever they stand, are not.
+Candidates are runs of 16 or more characters of keys and tokens with both a letter and a digit; values that are assigned
+to a credential's name, in quotes or up to white space, of any length; passwords in addresses; keys with a provider's
+prefix; and private keys in PEM, to the end mark or, without one before the next block, as far as lines look like
+theirs. A text is gone through once for each form: names are looked at where they begin, a value ends before the next
+is looked for, and a block before the next begins, so time grows with the text whatever it holds.
+
+The forest has the verdict on all of them. Its features are which forms found the value; the length and the kinds of
+characters, and whether they are what passwords or placeholders have; how likely the transitions between characters are
+in words of a public vocabulary, and how much of the value such words cover; the document's path, its parts hashed; and
+the words beside the value, hashed by place.
+
+It is trained on labelled findings: rows (value, before, after, path, label). Where none are given, `weak_findings`
+labels a bounded sample of the corpus's own candidates: one assigned to a credential's name is a secret; one after a
+word for digests or in an address is not; others have no label. Made from each: random values of several alphabets and
+short passwords after names of credentials are secrets, and so are keys of providers, passwords in addresses and PEM
+blocks; the same values after words for digests, or beside plain words, and identifiers, dictionary words and
+placeholders wherever they stand, are not.
 
 What none of these forms has is never masked: secrets in free text that are shorter than 16 characters or have no
-digit, without a known prefix; assigned values under 6 or over 4,096 characters; and names that CREDENTIAL doesn't list.
+digit, without a known prefix; and names that NAME doesn't list.
 
-The forest is fitted by Spark's ML library on at most `sample` findings; candidates are scored where the documents
-are read, without a shuffle. Null texts have no candidates, null paths count as empty; repeated documents are
-scanned row by row; ranges are in characters, and secrets that overlap are one. An empty table gives no rows. Texts
-of any length are scanned whole. Columns of docs may have any names.
+The forest is fitted by Spark's ML library on at most `sample` findings, made-up ones included; candidates are scored
+where the documents are read, without a shuffle. Null texts have no candidates, null paths count as empty; repeated
+documents are scanned row by row; ranges are in characters, and secrets that overlap are one. An empty table gives no
+rows. Texts of any length are scanned whole. Columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -46,15 +49,23 @@ from .bpe_transducer import read_ranks
 from .common import bounded_batches
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.\-]{16,}")
-#: A value assigned to a credential's name; keys known by their provider's prefix; private keys in PEM.
-ASSIGNED = re.compile(r"""(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|passphrase|api.?key|access.?key|private.?key|credential)[\w-]{0,20}["'`]?[ \t]{0,4}(?::=|=>|[=:])[ \t]{0,4}(?:"([^"\n]{6,4096})"|'([^'\n]{6,4096})'|`([^`\n]{6,4096})`|([^\s"'`,;<>(){}\[\]]{6,4096}))""")
-PROVIDER = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[\w-]{20,}|xox[abeoprs]-[\w-]{10,}|AIza[\w-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{36}|SG\.[\w-]{16,}\.[\w-]{16,})(?![A-Za-z0-9])")
-PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S]){0,20000}?-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----|(?:\s+(?:[A-Za-z-]+: [^\n]*|[A-Za-z0-9+/=]{16,}))*)")
-ADDRESSED = re.compile(r"(?<=://)[^\s:/@\"'<>]{1,256}:([^\s:/@\"'<>]{3,1024})@(?=[\w.\[-])")
-ADDRESSED_BEFORE = re.compile(r"://[^\s:/@]+:$")
-PASSWORD = re.compile(r"(?=[^\s]*[A-Za-z])(?=[^\s]*[0-9])(?=[^\s]*[!@#$%^&*~])[^\s${%<(][^\s]{5,63}")
+#: Names of credentials; a name at its start, up to what is assigned to it; a value without quotes; keys known by their
+#: provider's prefix; marks and lines of private keys in PEM.
+NAME = re.compile(r"(?i)token|secret|passw(?:or)?d|passwd|pwd|passphrase|api.?key|access.?key|private.?key|credential")
+ASSIGNMENT = re.compile(r"(?<![\w.-])([\w.-]++)[\"'`]?[ \t]*+(?::=|=>|[=:])[ \t]*+")
+SPACED_KEY = re.compile(r"(?i)(?:api|access|private) \Z")
+BARE = re.compile(r"[^\s\"'`,;<>(){}\[\]]++")
+PROVIDER = re.compile(r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|github_pat_[A-Za-z0-9_]{22,}+|glpat-[\w-]{20,}+|xox[abeoprs]-[\w-]{10,}+|AIza[\w-]{35}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+|npm_[A-Za-z0-9]{36}|SG\.[\w-]{16,}+\.[\w-]{16,}+)(?![A-Za-z0-9])")
+BEGIN, PEM = "-----BEGIN ", re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+PEM_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+PEM_LINES = re.compile(r"(?:\s++(?:[A-Za-z-]++: [^\n]*+|[A-Za-z0-9+/=]{16,}+))*+")
+ADDRESSED = re.compile(r"(?<=://)[^\s:/@\"'<>]++:([^\s:/@\"'<>]++)@(?=[\w.\[-])")
+PASSWORD = re.compile(r"(?=[^\s]*[A-Za-z])(?=[^\s]*[0-9])(?=[^\s]*[!@#$%^&*~])[^\s${%<(][^\s]*+")
+FORMS = ("pem", "provider", "assigned", "addressed", "run")
 LETTERS, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
 BEFORE, AFTER, SAMPLE, CUTOFF = 48, 16, 8000, 0.5
+#: No more findings than these are made from one.
+MADE = 100
 CREDENTIAL = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwd|api.?key|access.?key|private.?key|credential|bearer|auth)\w*\W{0,4}$")
 DIGEST = re.compile(r"(?i)(?:commit|sha\d*|md5|checksum|digest|hash|uuid|etag|revision|integrity)\W{0,4}$")
 ADDRESS = re.compile(r"(?i)(?:https?:|www\.|@)\S*$")
@@ -104,7 +115,7 @@ def _bin(word: str, bins: int) -> int:
     return zlib.crc32(word.encode()) % bins
 
 
-def features(value: str, before: str, after: str, path: str, vocabulary: Vocabulary) -> list[float]:
+def features(value: str, before: str, after: str, path: str, forms: frozenset[str], vocabulary: Vocabulary) -> list[float]:
     n = len(value)
     kinds = [_kind(c) for c in value]
     counts = [value.count(c) for c in set(value)]
@@ -119,6 +130,7 @@ def features(value: str, before: str, after: str, path: str, vocabulary: Vocabul
     for part in re.findall(r"[a-z]+", path.lower()):
         parts[_bin(part, PATH_BINS)] = 1.0
     return [
+        *(float(f in forms) for f in FORMS), float(bool(PASSWORD.fullmatch(value))), float(bool(PLACEHOLDER.search(value))), float(value.strip("{}$<>%").isalpha()),
         float(n), -sum(c / n * math.log2(c / n) for c in counts), kinds.count(0) / n, kinds.count(1) / n, kinds.count(2) / n, kinds.count(3) / n,
         sum(a != b for a, b in zip(kinds, kinds[1:])) / n, sum(c in "aeiouAEIOU" for c in value) / n, letters / n, float(not value.strip("0123456789abcdefABCDEF")),
         len(counts) / n, run / n, covered(value, vocabulary.words, vocabulary.longest), vocabulary.likelihood(value), float(path.count("/")),
@@ -126,31 +138,60 @@ def features(value: str, before: str, after: str, path: str, vocabulary: Vocabul
     ]
 
 
-def known(value: str, before: str) -> bool:
-    """Whether a value is a secret by its form, or a password by its characters and the name it is assigned to."""
-    if PEM.match(value):
-        return True
-    if PLACEHOLDER.search(value):
-        return False
-    if ADDRESSED_BEFORE.search(before) and not value.strip("{}$<>%").isalpha():
-        return True
-    return bool(PROVIDER.fullmatch(value) or PASSWORD.fullmatch(value) and CREDENTIAL.search(before) and re.search(r"[=:]\W{0,2}$", before))
-
-
-def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Ranges in order. Nothing else starts or ends in a PEM block or a key by prefix; runs may lie in assigned values."""
-    forms = sorted(m.span() for p in (PEM, PROVIDER) for m in p.finditer(text))
+def _assigned(text: str) -> Iterator[tuple[int, int]]:
+    """Values assigned to credentials' names, one after the other."""
+    at = 0
+    while m := ASSIGNMENT.search(text, at):
+        at = m.end()
+        if not (NAME.search(m[1]) or m[1][:3].lower() == "key" and SPACED_KEY.search(text, max(0, m.start() - 8), m.start())):
+            continue
+        if (quote := text[at : at + 1]) in ("'", '"', "`"):
+            end = text.find(quote, at + 1)
+            if end > at + 1 and "\n" not in text[at + 1 : end]:
+                yield at + 1, end
+                at = end + 1
+        elif value := BARE.match(text, at):
+            yield value.span()
+            at = value.end()
+
+
+def _blocks(text: str) -> Iterator[tuple[int, int]]:
+    """Private keys in PEM."""
+    for m in PEM.finditer(text):
+        limit = text.find(BEGIN, m.end())
+        end = PEM_END.search(text, m.end(), limit if limit >= 0 else len(text)) or PEM_LINES.match(text, m.end())
+        yield m.start(), end.end()
+
+
+def candidates(text: str) -> list[tuple[int, int, frozenset[str]]]:
+    """Ranges in order, and the forms that found them. Nothing else starts or ends in a PEM block or a key by prefix; runs
+    may lie in assigned values."""
+    found: dict[tuple[int, int], set[str]] = {}
+    for form, spans in (("pem", _blocks(text)), ("provider", (m.span() for m in PROVIDER.finditer(text)))):
+        for span in spans:
+            found.setdefault(span, set()).add(form)
+    whole = sorted(found)
 
     def apart(a: int, b: int) -> bool:
-        i = bisect.bisect_left(forms, (a, a))
-        return not (i and forms[i - 1][1] > a or i < len(forms) and forms[i][0] < b)
+        i = bisect.bisect_left(whole, (a, a))
+        return (a, b) in found or not (i and whole[i - 1][1] > a or i < len(whole) and whole[i][0] < b)
 
-    found = {m.span(m.lastindex) for p in (ASSIGNED, ADDRESSED) for m in p.finditer(text)}
+    runs = []
     for m in CANDIDATE.finditer(text):
-        value = m.group().rstrip(".-=") if m.group()[-1] in ".-" else m.group()
-        if len(value) >= 16 and any(map(str.isdigit, value)) and any(map(str.isalpha, value)):
-            found.add((m.start(), m.start() + len(value)))
-    yield from sorted({*forms, *(x for x in found if apart(*x))})
+        end = m.start() + len(m.group().rstrip(".-=") if m.group()[-1] in ".-" else m.group())
+        if end - m.start() >= 16 and re.search("[0-9]", text[m.start() : end]) and re.search("[A-Za-z]", text[m.start() : end]):
+            runs.append((m.start(), end))
+    for form, spans in (("assigned", _assigned(text)), ("addressed", (m.span(1) for m in ADDRESSED.finditer(text))), ("run", runs)):
+        for span in spans:
+            if apart(*span):
+                found.setdefault(span, set()).add(form)
+    return [(a, b, frozenset(forms)) for (a, b), forms in sorted(found.items())]
+
+
+def forms_of(value: str, before: str, after: str) -> frozenset[str]:
+    """The forms that find a value between what stands beside it."""
+    a = len(before)
+    return next((f for x, y, f in candidates(before + value + after) if (x, y) == (a, a + len(value))), frozenset())
 
 
 @lru_cache(maxsize=1)
@@ -164,7 +205,7 @@ def _found(docs: DataFrame, text: str, path: str) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(t[a:b], t[max(0, a - BEFORE) : a], t[b : b + AFTER], p) for t, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b in candidates(t)]
+            rows = [(t[a:b], t[max(0, a - BEFORE) : a], t[b : b + AFTER], p) for t, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b, _ in candidates(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(4)], ["value", "before", "after", "path"])
 
     return docs.select(F.coalesce(text, F.lit("")), F.coalesce(F.col(path).cast("string"), F.lit("")) if path in docs.columns else F.lit("")).mapInArrow(find, "value string, before string, after string, path string")
@@ -190,6 +231,19 @@ def _varied(value: str, before: str, after: str, path: str, words: list[str]) ->
     words_only = [word(), f"{word()} {word()}", f"${{{word().upper()}}}", f"get_{word()}", "changeme", "your_password", f"<{word()}-{word()}>", f"{word()}.{word()}()"]
     for v in (*keys, *short):
         yield v, named(), after(quote), path, 1
+    upper, base64 = LETTERS[:26] + DIGITS, LETTERS + DIGITS + "+/"
+    provided = [f"{rng.choice(['AKIA', 'ASIA'])}{some(upper, 16, 16)}", f"gh{rng.choice('pousr')}_{some(LETTERS + DIGITS, 36, 40)}", f"{rng.choice('sr')}k_{rng.choice(['live', 'test'])}_{some(LETTERS + DIGITS, 16, 40)}", f"glpat-{some(LETTERS + DIGITS, 20, 20)}", f"AIza{some(LETTERS + DIGITS, 35, 35)}", f"xox{rng.choice('abp')}-{some(DIGITS, 10, 12)}-{some(LETTERS + DIGITS, 20, 24)}"]
+    for v in provided:
+        yield v, rng.choice([plain(), named(), f"{before[-24:]} "]), after(rng.choice(["", quote])), path, 1
+    for v in (f"AKIA{some(upper, 9, 9)}EXAMPLE", f"AKIA{'X' * 16}", f"ghp_{'x' * 36}", f"sk_test_{'0' * 24}"):
+        yield v, rng.choice([plain(), named(), f"{before[-24:]} "]), after(""), path, 0
+    kind, lines = rng.choice(["", "RSA ", "EC ", "OPENSSH ", "ENCRYPTED "]), [some(base64, 64, 64) for _ in range(rng.randint(1, 6))]
+    for end in ("\n", f"\n-----END {kind}PRIVATE KEY-----"):
+        yield f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(lines) + end.rstrip("\n"), rng.choice([plain(), named(), "\n", ""]), "\n", path, 1
+    for v in (*short, some(LETTERS + DIGITS, 8, 24), f"{word()}{rng.randint(1, 9999)}"):
+        yield v, f"{word()} {rng.choice(['postgres', 'mysql', 'https', 'redis', 'amqp'])}://{word()}:", f"@{word()}.{word()}", path, 1
+    for v in (word(), f"${{{word()}}}", "password", f"<{word()}>"):
+        yield v, f"{word()} {rng.choice(['postgres', 'https', 'redis'])}://{word()}:", f"@{word()}.{word()}", path, 0
     for v in keys:
         yield v, f"{before[-24:-10]} {digest} ", after(rng.choice(["", '"'])), path, 0
         yield v, plain(), after(""), path, 0
@@ -203,9 +257,10 @@ def _varied(value: str, before: str, after: str, path: str, words: list[str]) ->
 def weak_findings(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", path: str = "source", sample: int = SAMPLE) -> list[tuple]:
     """Labelled findings from the sample candidates of least hash; made-up ones where a corpus has none."""
     found = _found(docs, text, path).withColumn("h", F.xxhash64("value", "before"))
-    rows = found.orderBy("h", "value", "before", "after", "path").limit(max(1, sample // 80)).collect()
+    each = max(1, sample // (2 * MADE))
+    rows = found.orderBy("h", "value", "before", "after", "path").limit(each).collect()
     order = sorted(vocabulary.words)
-    seeds = [(hashlib.sha1(str(i).encode()).hexdigest(), f'{order[i]} {order[2 * i]} token = "', '"', "") for i in range(60)]
+    seeds = [(hashlib.sha1(str(i).encode()).hexdigest(), f'{order[i]} {order[2 * i]} token = "', '"', "") for i in range(each)]
     return [x for r in [*(tuple(r)[:4] for r in rows), *seeds] for x in _varied(*r, order)]
 
 
@@ -232,7 +287,7 @@ class Forest:
 
 def fit(spark, findings: list[tuple], vocabulary: Vocabulary, trees: int = 30, depth: int = 10, seed: int = 7) -> Forest:
     """findings: (value, before, after, path, label), a bounded sample."""
-    rows = [(features(*f[:4], vocabulary), float(f[4])) for f in findings]
+    rows = [(features(*f[:4], forms_of(*f[:3]), vocabulary), float(f[4])) for f in findings]
     data = spark.createDataFrame(rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
     return Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(data))
 
@@ -246,7 +301,7 @@ def train(docs: DataFrame, ranks_path: str, *, findings: DataFrame | None = None
     else:
         cols = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("value", "before", "after", "path")]
         rows = [tuple(r)[:5] for r in findings.where("label IS NOT NULL AND length(value) > 0").select(*cols, "label").orderBy(F.xxhash64("value", "before"), "value", "before").limit(sample).collect()]
-    return fit(docs.sparkSession, rows, vocabulary)
+    return fit(docs.sparkSession, rows[:sample], vocabulary)
 
 
 def _scanned(docs: DataFrame, forest: Forest, ranks_path: str, text: str, path: str, cutoff: float, mask: str) -> DataFrame:
@@ -260,10 +315,9 @@ def _scanned(docs: DataFrame, forest: Forest, ranks_path: str, text: str, path:
             counts, found, redacted = [], [], []
             for t, p in zip(batch.column("text").to_pylist(), batch.column("path").to_pylist()):
                 spans, n = [], 0
-                for a, b in candidates(t or ""):
+                for a, b, forms in candidates(t or ""):
                     n += 1
-                    beside = t[a:b], t[max(0, a - BEFORE) : a], t[b : b + AFTER]
-                    probability = 1.0 if known(*beside[:2]) else forest.probability(features(*beside, p, vocabulary))
+                    probability = forest.probability(features(t[a:b], t[max(0, a - BEFORE) : a], t[b : b + AFTER], p, forms, vocabulary))
                     if probability >= cutoff and spans and a < spans[-1]["end"]:
                         spans[-1]["end"], spans[-1]["probability"] = max(b, spans[-1]["end"]), max(probability, spans[-1]["probability"])
                     elif probability >= cutoff:

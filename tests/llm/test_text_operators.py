@@ -320,9 +320,71 @@ def test_secret_forms(spark, data):
     docs = read(spark, data, "documents")
     found = secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, source string"), secret_scan.train(docs, RANKS), RANKS)
     assert [r["redacted"] for r in found.orderBy("doc_id").collect()] == want + shown
-    assert list(secret_scan.candidates('token: "of the user 9f86d081884c7d65"')) == [(8, 36), (20, 36)]
+    assert [c[:2] for c in secret_scan.candidates('token: "of the user 9f86d081884c7d65"')] == [(8, 36), (20, 36)]
     a = pem.index("\nq8")
-    assert list(secret_scan.candidates("x " + pem[:a] + "\n\nplain words")) == [(2, 2 + a)]
+    assert [c[:2] for c in secret_scan.candidates("x " + pem[:a] + "\n\nplain words")] == [(2, 2 + a)]
+
+
+def plain_candidates(text):
+    """Assigned, addressed and PEM spans by trying every place; for short texts."""
+    import re
+
+    out = {(m.start(1), m.end(1), "addressed") for i in range(len(text)) if (m := re.compile(r"://[^\s:/@\"'<>]+:([^\s:/@\"'<>]+)@[\w.\[-]").match(text, i))}
+    at = 0
+    while at < len(text):
+        m = re.compile(r"[\w.-]+[\"'`]?[ \t]*(?::=|=>|[=:])[ \t]*").match(text, at)
+        if not m or at and re.match(r"[\w.-]", text[at - 1]):
+            at += 1
+            continue
+        name = re.match(r"[\w.-]+", m.group()).group()
+        at = m.end()
+        if re.search(r"(?i)token|secret|passw(or)?d|passwd|pwd|passphrase|api.?key|access.?key|private.?key|credential", name) or name.lower().startswith("key") and re.search(r"(?i)(api|access|private) $", text[: m.start()]):
+            value = re.compile(r"\"([^\"\n]+)\"|'([^'\n]+)'|`([^`\n]+)`|([^\s\"'`,;<>(){}\[\]]+)").match(text, at)
+            if value:
+                out.add((*value.span(value.lastindex), "assigned"))
+                at = value.end()
+    return out
+
+
+def test_secret_candidates():
+    """The linear scan finds what trying every place does; nothing has a bound of length; time grows with the text."""
+    draw = random.Random(12)
+    pieces = ["token", "pass", "password", "api key", "key", "_", "-", ".", " ", "=", ":", ":=", "=>", '"', "'", "`", "\n", "\t", "x1!", "é", "://", "u:", "@", "h", "ab", ",", "("]
+    for _ in range(20000):
+        text = "".join(draw.choice(pieces) for _ in range(draw.randint(1, 14)))
+        got = {(a, b, f) for a, b, forms in secret_scan.candidates(text) for f in forms if f != "run"}
+        assert got == plain_candidates(text), text
+    one = lambda text: [text[a:b] for a, b, _ in secret_scan.candidates(text)]
+    long = "pw!1 " * 1000
+    assert one(f'password = "{long}"') == [long] and one("token_" + "n" * 500 + ' = "pw!x1y"') == ["pw!x1y"] and one('password = "a1!b2"') == ["a1!b2"]
+    block = "-----BEGIN PRIVATE KEY-----\n" + "odd line, no key\n" * 1500 + "-----END PRIVATE KEY-----"
+    assert one(f"x {block} y") == [block]
+    assert one("redis://" + "u" * 999 + ":p@h") == ["p"]
+    for part in ("token", 'token="', "token=", "-----BEGIN PRIVATE KEY-----\n", "://a:", "api key: ", "a      ", "SG.", "A1" * 20, "x-y." * 9):
+        began = time.time()
+        secret_scan.candidates(part * (1_000_000 // len(part)))
+        assert time.time() - began < 5, part
+
+
+def test_secret_findings_are_bounded(spark, data, monkeypatch):
+    """As many findings as said go to the fit, made-up ones included; given ones are cut, too."""
+    seen = []
+    monkeypatch.setattr(secret_scan, "fit", lambda spark, findings, vocabulary: seen.append(len(findings)))
+    docs = read(spark, data, "documents")
+    for sample in (400, 8000):
+        secret_scan.train(docs, RANKS, sample=sample)
+    given = spark.createDataFrame([(f"v{i}", "b", "a", "p", i % 2) for i in range(50)], "value string, before string, after string, path string, label int")
+    secret_scan.train(docs, RANKS, findings=given, sample=20)
+    assert 0 < seen[0] <= 400 < seen[1] <= 8000 and seen[2] == 20
+    assert max(sum(1 for _ in secret_scan._varied(f"v{i}" * 9, "token = ", "", "p", ["word", "other"])) for i in range(50)) <= secret_scan.MADE
+
+
+def test_secrets_in_long_texts(spark, data):
+    """A key at the end of a text of a million characters is masked there, and all else stays."""
+    docs, key = read(spark, data, "documents"), "q7Zt" * 10
+    text = "plain words of text " * 50_000 + f'token = "{key}"'
+    out = secret_scan.mask_secrets(spark.createDataFrame([(1, text, "s")], "doc_id long, text string, source string").unionByName(docs.select("doc_id", "text", "source")), RANKS)
+    assert text.replace(key, "[SECRET]") in {r["text"] for r in out.where("doc_id = 1").collect()}
 
 
 def test_secrets(spark, data):
@@ -330,7 +392,7 @@ def test_secrets(spark, data):
     vocabulary = secret_scan.dictionary(RANKS)
     forest = secret_scan.train(docs, RANKS)
     held = secret_scan.weak_findings(read(spark, data.replace("0.001", "0.01"), "documents"), vocabulary, sample=1600)
-    right = sum((forest.probability(secret_scan.features(*f[:4], vocabulary)) >= 0.5) == bool(f[4]) for f in held)
+    right = sum((forest.probability(secret_scan.features(*f[:4], secret_scan.forms_of(*f[:3]), vocabulary)) >= 0.5) == bool(f[4]) for f in held)
     assert right >= 0.95 * len(held)
     key = hashlib.sha1(b"k").hexdigest()
     rows = [(1, f'x token = "{key}" y', "a", 9), (2, f"commit {key} fixed", "a", 9), (3, None, None, 9), (4, 'api_key = "your-example-key-0001"', None, 9), (5, "", "b", 9), (5, "plain words", "b", 9)]
