@@ -9,7 +9,8 @@ blocks on lines of their own, leaves a blank line around paragraphs, headings, l
 list items, and pads table cells to the width of their column, also of cells that span several.
 
 Time and memory grow with the page: tags are scanned once, and trees are built and laid out with stacks of our own.
-Below DEEP lists, quotes and tables within each other, further ones are plain blocks. If a tag's quotes run to the end
+As browsers let at most 512 elements stand within each other, so lists, quotes and tables are laid out that deep, and
+further ones are plain blocks, so that a page of nothing but list tags is no page of its length squared. If a tag's quotes run to the end
 of the page, from there on tags end at the next ">" whatever the quotes; a tag without any ">" is text.
 
 Null and empty pages render as empty text. Markup that is not closed runs to the end; pages of any length are
@@ -42,8 +43,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt"
 HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 SECTIONS = frozenset("thead tbody tfoot".split())
 CELLS = frozenset("td th".split())
-#: How many lists, quotes and tables within each other are laid out, and the most columns of a cell.
-DEEP, SPAN = 32, 1000
+#: How many lists, quotes and tables within each other are laid out (as in browsers), and the most columns of a cell.
+DEEP, SPAN = 512, 1000
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
@@ -209,12 +210,16 @@ def _above(places: list[int], wall: int) -> Iterator[int]:
 
 
 class Lines:
-    """Lines of text as they are laid out; a gap is at most one blank line. todo: what is still to be laid out."""
+    """Lines of text as they are laid out; a gap is at most one blank line. todo: what is still to be laid out.
 
-    def __init__(self, depth: int = 0, done: Callable[[list[str]], None] | None = None) -> None:
-        self.lines: list[str] = []
+    Lines inside another's (above) go to the same place, each once: the first behind what stands before it there and a
+    mark, the others behind that and `then`."""
+
+    def __init__(self, depth: int = 0, done: Callable[[list[str]], None] | None = None, above: Lines | None = None, mark: str = "", then: str = "") -> None:
+        self.lines: list[str] = above.lines if above else []
         self.parts: list[str] = []
         self.gap, self.open, self.depth, self.done = False, False, depth, done
+        self.above, self.mark, self.rest, self.some = above, mark, above.rest + then if above else "", False
         self.todo: list[tuple | Callable[[], None]] = []
 
     def add(self, text: str) -> None:
@@ -240,10 +245,16 @@ class Lines:
         self.gap = self.gap or gap
 
     def put(self, line: str) -> None:
-        if self.gap and self.lines:
-            self.lines.append("")
-        self.gap = False
-        self.lines.append(line)
+        begun, at = [], self
+        while at.above and not at.some:
+            begun.append(at)
+            at = at.above
+        if at.gap and at.some:
+            self.lines.append(at.rest.rstrip())
+        before, at.gap, at.some = at.rest if at.some else "", False, True
+        for inner in reversed(begun):
+            before, inner.gap, inner.some = before + inner.mark, False, True
+        self.lines.append((before + line).rstrip() if self.above else line)
 
 
 def _parts(element: Element, inside: frozenset[str], wanted: frozenset[str]) -> tuple[list[Element], list[object]]:
@@ -313,7 +324,9 @@ def _put_table(grid: list[list[tuple[int, int, list[str]]]], out: Lines) -> None
     for c in range(max(widths, default=-1) + 1):
         starts[c], at = at, at + (widths[c] + 2 if widths[c] else 0)
     for row in rows:
-        for k in range(max((len(lines) for _, _, lines in row), default=0)):
+        tall = sorted((len(lines), column) for column, _, lines in row)
+        beside = tall[-2][0] if len(tall) > 1 else 0  # below these lines only the tallest cell has any
+        for k in range(beside):
             line, here = [], 0
             for column, _, lines in row:
                 if k < len(lines) and lines[k]:
@@ -321,6 +334,11 @@ def _put_table(grid: list[list[tuple[int, int, list[str]]]], out: Lines) -> None
                     here = starts[column] + len(lines[k])
             if joined := "".join(line).rstrip():
                 out.put(joined)
+        for column, _, lines in row:
+            pad = " " * starts[column]
+            for text in lines[beside:]:
+                if text := text.rstrip():
+                    out.put(pad + text if pad else text)
 
 
 def _start_table(table: Element, out: Lines, frames: list[Lines], visible: bool) -> None:
@@ -331,7 +349,7 @@ def _start_table(table: Element, out: Lines, frames: list[Lines], visible: bool)
         cells, rest = _parts(row, frozenset(), CELLS)
         seen = visible if row.visible is None else row.visible
         grid.append([(_whole(c.attributes.get("colspan", ""), 1, SPAN, 1), _whole(c.attributes.get("rowspan", ""), 1, len(rows), 1), []) for c in cells])
-        tasks += [lambda c=c, lines=place[2], seen=seen: _open(c, out.depth + 1, lines.extend, frames, seen) for c, place in zip(cells, grid[-1])]
+        tasks += [lambda c=c, lines=place[2], seen=seen: _open(c, Lines(out.depth + 1, lines.extend), frames, seen) for c, place in zip(cells, grid[-1])]
         loose += rest
     of = lambda wanted: [(c, False, visible) for c in others if (isinstance(c, Element) and c.tag == "caption") == wanted]
     out.todo.extend(reversed([*of(True), out.end, *tasks, lambda: _put_table(grid, out), *of(False), *((c, False, visible) for c in loose)]))
@@ -346,20 +364,14 @@ def _start_list(element: Element, out: Lines, frames: list[Lines], visible: bool
             number = _whole(child.attributes.get("value", ""), -(10**9), 10**9, number)
             mark = f"{number}. " if element.tag == "ol" else "- "
             number += -1 if back else 1
-
-            def put(lines: list[str], mark: str = mark) -> None:
-                for i, line in enumerate(lines):
-                    out.put(((mark if not i else " " * len(mark)) + line).rstrip())
-
-            tasks.append(lambda c=child, put=put: _open(c, out.depth + 1, put, frames, visible))
+            tasks.append(lambda c=child, mark=mark: _open(c, Lines(out.depth + 1, None, out, mark, " " * len(mark)), frames, visible))
         else:
             tasks += [(child, False, visible), out.end]
     out.todo.extend(reversed(tasks))
 
 
-def _open(element: Element, depth: int, done: Callable[[list[str]], None], frames: list[Lines], visible: bool) -> None:
-    """Lays the element's children out on lines of their own, which done gets."""
-    frame = Lines(depth, done)
+def _open(element: Element, frame: Lines, frames: list[Lines], visible: bool) -> None:
+    """Lays the element's children out in a frame."""
     seen = visible if element.visible is None else element.visible
     frame.todo.extend((c, element.tag == "pre", seen) for c in reversed(element.children))
     frames.append(frame)
@@ -385,7 +397,7 @@ def _step(out: Lines, child: object, pre: bool, visible: bool, frames: list[Line
         if tag == "table":
             _start_table(child, out, frames, visible)
         elif tag == "blockquote":
-            _open(child, out.depth + 1, lambda lines: [out.put(f"> {line}".rstrip()) for line in lines] and None, frames, visible)
+            _open(child, Lines(out.depth + 1, None, out, "> ", "> "), frames, visible)
         else:
             _start_list(child, out, frames, visible)
     else:
@@ -406,13 +418,14 @@ def _step(out: Lines, child: object, pre: bool, visible: bool, frames: list[Line
 def render(page: str) -> str:
     found: list[str] = []
     frames: list[Lines] = []
-    _open(parse(page), 0, found.extend, frames, True)
+    _open(parse(page), Lines(0, found.extend), frames, True)
     while frames:
         out = frames[-1]
         if not out.todo:
             out.end()
             frames.pop()
-            out.done(out.lines)
+            if out.done:
+                out.done(out.lines)
         elif callable(task := out.todo.pop()):
             task()
         else:

@@ -40,6 +40,24 @@ def tik():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe_transducer.read_ranks(RANKS), special_tokens={})
 
 
+@pytest.mark.parametrize("depth", [1, 31, 33, 200, 510])
+def test_html_deep_layout(depth):
+    """Lists keep their numbers and indentation, quotes their marks and tables their columns however deep they stand."""
+    items = html_layout.render("<ol><li>one<li>" * depth + "<ol><li>one<li>two</ol>").split("\n")
+    assert items == ["1. one", *(" " * 3 * k + "2. 1. one" for k in range(depth)), " " * 3 * depth + "2. two"]
+    assert html_layout.render("<table><tr><td>" * depth + "<table><tr><td>a<td>b<tr><td>ccc<td>d</table>") == "a    b\nccc  d"
+    assert html_layout.render("<blockquote>" * depth + "a<br>b") == "\n".join("> " * depth + x for x in "ab")
+
+
+def test_html_tables_of_pages(spark):
+    """Empty tables, repeated rows and columns of the results' names."""
+    rows = [(1, "<p>a", "x"), (1, "<p>a", "x"), (None, None, "y")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    got = sorted(map(repr, map(tuple, html_layout.render_pages(pages).collect())))
+    assert got == sorted(map(repr, [(1, "a", 1, 1), (1, "a", 1, 1), (None, "", 0, 0)]))
+    assert html_layout.render_pages(pages.where("false")).collect() == []
+
+
 def test_bpe_fuzz(codec, tik):
     draw = random.Random(1)
     alphabet, tokens = " \n\t'sdtre\x85\x1c é中文🙂٣Ⅷ-.!aAbBthe", list(codec.machine.ranks)
