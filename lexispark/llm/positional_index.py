@@ -6,8 +6,10 @@ are made where the documents are read, without a shuffle, and a query runs on al
 a frequent term meets in one task. A phrase starts from its rarest term's positions in the segment and
 intersects them with the other terms' lists, each less its offset, rarest first, until none is left.
 
-Queries are sent to the segments in blocks of bounded size. Null texts have no words; empty documents give rows
-without hits; items without words match nothing. Repeated documents give a row each; an item id that repeats
+Queries are compiled where the items are read, into blocks of bounded size in the shared folder; a segment is read once
+and meets one block after the other. Null texts have no words; empty documents give rows without hits; items without
+words match nothing, and without items nothing is hit. Texts are taken whole: a segment ends behind the document that
+fills it. Repeated documents give a row each; an item id that repeats
 counts once, and an item without an id marks words but is not counted.
 """
 
@@ -15,10 +17,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,7 @@ from .packing import giving_back, pack, unpack
 from .words import Hashes, alnum
 
 SEGMENT_WORDS = 1_500_000
-#: Words of the queries in one block that goes to the tasks: 8 bytes each.
+#: Words of the queries in one block that a task holds.
 BLOCK_WORDS = 200_000
 
 
@@ -125,67 +128,117 @@ class _Segment:
 
 
 class Queries:
-    """Distinct word sequences and the items that each belongs to."""
-
-    def __init__(self, items: list[tuple], width: int | None):
-        self.items = sorted({str(k) for k, words in items if k is not None})
-        number = {k: i for i, k in enumerate(self.items)}
-        owners: dict[tuple, set[int]] = {}
-        for key, words in items:
-            n = len(words)
-            step = n if width is None or n < width else width
-            for i in range(n - step + 1 if n else 0):
-                owner = owners.setdefault(tuple(words[i : i + step].tolist()), set())
-                if key is not None:
-                    owner.add(number[str(key)])
-        self.terms = np.array(sorted({t for sequence in owners for t in sequence}), np.uint64)
-        self.sequences = [np.searchsorted(self.terms, np.array(s, np.uint64)) for s in owners]
-        self.owners = [np.array(sorted(x), np.int64) for x in owners.values()]
+    """A block of word sequences, each once, and the items that it belongs to."""
+
+    def __init__(self, block: dict):
+        self.items: list[str] = block["items"]
+        self.terms, self.flat = unpack(block["terms"], np.uint64), unpack(block["sequences"], np.uint32).astype(np.int64)
+        self.ends, self.owner_ends = (np.cumsum(unpack(block[c], np.uint32).astype(np.int64)) for c in ("lengths", "owner_counts"))
+        self.owners_flat = unpack(block["owners"], np.uint32)
+
+    def owners(self, n: int) -> np.ndarray:
+        return self.owners_flat[self.owner_ends[n - 1] if n else 0 : self.owner_ends[n]]
 
     def matches(self, row: dict, slop: int) -> tuple[_Segment, list[tuple[int, np.ndarray, np.ndarray]]]:
         segment, out = _Segment(row, self.terms), []
-        for n, terms in enumerate(self.sequences):
-            if not segment.count[terms].min():
-                continue
+        starts = np.concatenate(([0], self.ends[:-1]))
+        there = np.flatnonzero(np.minimum.reduceat(segment.count[self.flat], starts)) if len(self.ends) else []
+        for n in there:  # all terms of these stand in the segment
+            terms = self.flat[starts[n] : self.ends[n]]
             first, last = segment.near(terms, slop) if slop else (at := segment.phrase(terms), at + len(terms) - 1)
             if len(first):
                 out.append((n, first, last))
         return segment, out
 
 
-def _blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple]]:
-    """The items' hashed words in blocks of at most block_words words, or one item."""
-    hashes, block, held = Hashes(), [], 0
-    for row in items.select("item_id", text_bytes().alias("text")).toLocalIterator():
-        words = hashes.of(alnum(bytes(row["text"])))
-        if block and held + len(words) > block_words:
-            yield block
-            block, held = [], 0
-        block.append((row["item_id"], words))
-        held += len(words)
-    yield block
+def _compiled(items: list[tuple], width: int | None) -> pa.RecordBatch:
+    """Items (id, hashed words) as a block."""
+    names = sorted({str(k) for k, _ in items if k is not None})
+    number = {k: i for i, k in enumerate(names)}
+    owners: dict[tuple, set[int]] = {}
+    for key, words in items:
+        n = len(words)
+        step = n if width is None or n < width else width
+        for i in range(n - step + 1 if n else 0):
+            owner = owners.setdefault(tuple(words[i : i + step].tolist()), set())
+            if key is not None:
+                owner.add(number[str(key)])
+    terms = np.array(sorted({t for sequence in owners for t in sequence}), np.uint64)
+    flat = np.searchsorted(terms, np.array([t for s in owners for t in s], np.uint64))
+    each = {"terms": terms, "sequences": flat, "lengths": [len(s) for s in owners], "owner_counts": [len(o) for o in owners.values()], "owners": [i for o in owners.values() for i in sorted(o)]}
+    packed = {c: pa.array([pack(x if c == "terms" else np.array(x, np.uint32))], pa.binary()) for c, x in each.items()}
+    return pa.record_batch({"items": pa.array([names], pa.list_(pa.string())), **packed})
+
+
+BLOCK = "items array<string>, terms binary, sequences binary, lengths binary, owner_counts binary, owners binary"
+
+
+def compile_queries(items: DataFrame, width: int | None, block_words: int = BLOCK_WORDS) -> list[str]:
+    """The items' word sequences as blocks of about block_words words, made where the items are read and written to the
+    shared folder; the driver gets the names of the files. With a width, an item longer than a block goes on in the next,
+    so that each window lies within one."""
+    bounded_batches(items.sparkSession)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, block, held = Hashes(), [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                words = hashes.of(alnum(text.as_py()))
+                step = len(words) if width is None else max(block_words, width)
+                for i in range(0, max(len(words) - (width or 1) + 1, 1), step or 1):
+                    part = words[i : i + step + (width or 1) - 1] if i or len(words) > step else words
+                    if block and held + len(part) > block_words:
+                        yield _compiled(block, width)
+                        block, held = [], 0
+                    block.append((key, part))
+                    held += len(part)
+        if held:
+            yield _compiled(block, width)
+
+    return staged(items.select("item_id", text_bytes().alias("text")).mapInArrow(giving_back(blocks), BLOCK), "queries").inputFiles()
+
+
+class _Blocks:
+    """The blocks of files in the shared folder, one at a time; a single one is kept for a task's next segments."""
+
+    def __init__(self, files: list[str]):
+        self.files, self.kept = files, None
+
+    def __iter__(self) -> Iterator[Queries]:
+        if self.kept:
+            yield self.kept
+            return
+        n = 0
+        for file in self.files:
+            store, place = pafs.FileSystem.from_uri(file)
+            with store.open_input_file(place) as source:
+                table = pq.ParquetFile(source)
+                for group in range(table.num_row_groups):
+                    for batch in table.iter_batches(1, [group]):
+                        n += 1
+                        queries = Queries(batch.to_pylist()[0])
+                        yield queries
+        if n == 1:
+            self.kept = queries
 
 
 def find(index: DataFrame, items: DataFrame, *, width: int | None = None, slop: int = 0, block_words: int = BLOCK_WORDS) -> DataFrame:
     """All matches: doc_id, item_id (as text), first and last (word numbers in the document). width: match every
     window of so many words of an item instead of whole items; slop: other words allowed among an item's."""
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    out = None
-    for block in _blocks(items, block_words):
-        queries = Queries(block, width)
+    blocks = _Blocks(compile_queries(items, width, block_words))
 
-        def search(batches: Iterator[pa.RecordBatch], queries: Queries = queries) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for queries in blocks:
                     segment, matches = queries.matches(row, slop)
                     for n, first, last in matches:
                         doc = segment.doc(first)
-                        for owner in queries.owners[n]:
+                        for owner in queries.owners(n):
                             yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][d] for d in doc], batch.schema.field("doc_ids").type.value_type), pa.array([queries.items[owner]] * len(doc)), pa.array(first - segment.starts[doc]), pa.array(last - segment.starts[doc])], ["doc_id", "item_id", "first", "last"])
 
-        part = index.mapInArrow(giving_back(search), f"doc_id {kind}, item_id string, first long, last long")
-        out = part if out is None else out.union(part)
-    return out
+    return index.mapInArrow(giving_back(search), f"doc_id {kind}, item_id string, first long, last long")
 
 
 SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
@@ -193,38 +246,37 @@ SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
 def contamination(index: DataFrame, items: DataFrame, *, width: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Per document of the index: segment, row (its place there), doc_id, n_words, spans (hit words, from first to
-    before end) and item_ids (those with a window that occurs)."""
+    before end) and item_ids (those with a window that occurs). The index is scanned once, whatever the items' number:
+    a segment meets one block of queries after the other."""
     kind = index.schema["doc_ids"].dataType.elementType.simpleString()
-    parts = []
-    for block in _blocks(items, block_words):
-        queries = Queries(block, width)
+    blocks = _Blocks(compile_queries(items, width, block_words))
 
-        def search(batches: Iterator[pa.RecordBatch], queries: Queries = queries) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                lengths = np.array(row["lengths"], np.int64)
+                starts = np.concatenate(([0], np.cumsum(lengths + 1)))
+                edges, found = np.zeros(starts[-1] + 1, np.int32), [set() for _ in row["doc_ids"]]
+                for queries in blocks:
                     segment, matches = queries.matches(row, 0)
-                    edges, found = np.zeros(segment.starts[-1] + 1, np.int32), [set() for _ in row["doc_ids"]]
                     for n, first, last in matches:
                         np.add.at(edges, first, 1)
                         np.add.at(edges, last + 1, -1)
+                        names = [queries.items[x] for x in queries.owners(n)]
                         for d in np.unique(segment.doc(first)):
-                            found[d].update(queries.owners[n].tolist())
-                    mask = np.diff((np.cumsum(edges) > 0).astype(np.int8), prepend=0)
-                    begin, end = np.flatnonzero(mask == 1), np.flatnonzero(mask == -1)
-                    spans: list[list] = [[] for _ in found]
-                    for d, a, b in zip(segment.doc(begin), begin, end):
-                        spans[d].append({"first": a - segment.starts[d], "end": b - segment.starts[d]})
-                    for i in range(0, len(found), 4096):
-                        part = slice(i, i + 4096)
-                        items_of = [[queries.items[x] for x in sorted(f)] for f in found[part]]
-                        arrays = [pa.array([row["segment"]] * len(items_of)), pa.array(range(i, i + len(items_of)), pa.int32()), pa.array(row["doc_ids"][part], batch.schema.field("doc_ids").type.value_type), pa.array(row["lengths"][part], pa.int64()), pa.array(spans[part], SPANS), pa.array(items_of, pa.list_(pa.string()))]
-                        yield pa.RecordBatch.from_arrays(arrays, ["segment", "row", "doc_id", "n_words", "spans", "item_ids"])
-
-        parts.append(index.mapInArrow(giving_back(search), f"segment string, row int, doc_id {kind}, n_words long, spans array<struct<first:bigint,end:bigint>>, item_ids array<string>"))
-    if len(parts) == 1:
-        return parts[0]
-    every = reduce(DataFrame.union, parts)  # a row of each block for each document
-    return every.groupBy("segment", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
+                            found[d].update(names)
+                mask = np.diff((np.cumsum(edges) > 0).astype(np.int8), prepend=0)
+                begin, end = np.flatnonzero(mask == 1), np.flatnonzero(mask == -1)
+                spans: list[list] = [[] for _ in found]
+                for d, a, b in zip(np.searchsorted(starts, begin, side="right") - 1, begin, end):
+                    spans[d].append({"first": a - starts[d], "end": b - starts[d]})
+                for i in range(0, len(found), 4096):
+                    part = slice(i, i + 4096)
+                    items_of = [sorted(f) for f in found[part]]
+                    arrays = [pa.array([row["segment"]] * len(items_of)), pa.array(range(i, i + len(items_of)), pa.int32()), pa.array(row["doc_ids"][part], batch.schema.field("doc_ids").type.value_type), pa.array(row["lengths"][part], pa.int64()), pa.array(spans[part], SPANS), pa.array(items_of, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["segment", "row", "doc_id", "n_words", "spans", "item_ids"])
+
+    return index.mapInArrow(giving_back(search), f"segment string, row int, doc_id {kind}, n_words long, spans array<struct<first:bigint,end:bigint>>, item_ids array<string>")
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, *, width: int = 10) -> DataFrame:

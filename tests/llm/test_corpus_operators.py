@@ -65,6 +65,22 @@ def test_decontamination(spark, data):
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == want[r["doc_id"]]
 
 
+def test_decontamination_in_small_blocks(spark, data):
+    """Items that are longer than a block, and as many blocks as it takes: the same hits from one scan of the index."""
+    docs, items = read(spark, data, "documents"), read(spark, data, "benchmark")
+    long = " ".join(f"w{i}" for i in range(5000))
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, "x " * 100_000 + long), (-2, long[: len(long) // 2])], "doc_id long, text string"))
+    items = items.unionByName(spark.createDataFrame([(-5, long), (None, "w7 w8 w9")], "item_id long, text string"))
+    want = contamination([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
+    files = positional_index.compile_queries(items, 10, 25)
+    assert spark.read.parquet(*files).count() > 100
+    index = positional_index.build_index(docs)
+    found = positional_index.contamination(index, items, block_words=25)
+    assert str(found._jdf.queryExecution().executedPlan()).count("Scan parquet") == 1
+    for r in found.collect():
+        assert (r["n_words"], sum(s["end"] - s["first"] for s in r["spans"]), len(r["item_ids"])) == want[r["doc_id"]][:3]
+
+
 def test_decontamination_odd(spark):
     words = "one two three four five six seven eight nine ten eleven twelve".split()
     docs = [(1, "x " + " ".join(words) + " y"), (2, "seven, EIGHT! nine"), (3, None), (4, ""), (5, "Short item."), (1, "short"), (None, "Short-item")]
