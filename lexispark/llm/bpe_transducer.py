@@ -7,7 +7,9 @@ tokens that end there. Threads that die drop out, and tokens that all live threa
 lookahead is bounded by the vocabulary. A set of threads, less the tokens emitted, is a state; states and
 their transitions are built when first met and forgotten together when the table is full.
 
-Nulls encode as the empty text; empty texts give no ids and decode to empty bytes.
+Nulls encode as the empty text; empty texts give no ids and decode to empty bytes. Texts, and pieces within them, may
+have any length; each row is encoded by itself, so repeated rows and ids give a row each; an empty table gives an empty
+one. Columns of docs that no result has may have any names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from contextlib import AbstractContextManager, contextmanager
 from threading import Lock, Timer
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -172,12 +175,13 @@ class MergeTransducer:
 
     def encode(self, piece: bytes) -> bytes:
         """Ids of one piece as little-endian unsigned 32-bit integers."""
-        state, out = self.start, b""
+        state, out = self.start, []
         for byte in piece:
             state, emitted = state.get(byte) or self._transition(state, byte)
             if emitted:
-                out += emitted
-        return out + state.rest
+                out.append(emitted)
+        out.append(state.rest)
+        return b"".join(out)
 
 
 class _Units(dict):
@@ -204,14 +208,16 @@ class _Units(dict):
 
 
 class BpeCodec:
-    """Whole texts to packed ids and back. pattern splits texts into the pieces that are encoded separately."""
+    """Whole texts to packed ids and back. pattern splits texts into the pieces that are encoded separately. Under the
+    public tokenizers' pattern a match begins at each single space between other characters, so that units between such
+    spaces are looked up whole; under any other pattern texts are taken piece by piece."""
 
     #: A single space before a unit starts a match of its own; next to other white space it does not.
     UNEVEN = regex.compile(r"\s[ ]|[ ]\s|\A[ ]|[ ]\Z")
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.machine = MergeTransducer(ranks)
-        self.pieces = regex.compile(pattern).findall
+        self.pieces, self.by_space = regex.compile(pattern).findall, pattern == public_tokenizers.PATTERN
         self.piece = _Units(lambda piece: self.machine.encode(piece.encode()), 30_000)
         self.unit = _Units(self._pieces, 20_000)
         self.spaced = _Units(lambda unit: self._pieces(" " + unit))
@@ -221,7 +227,7 @@ class BpeCodec:
         return b"".join(map(self.piece.__getitem__, self.pieces(text)))
 
     def encode(self, text: str) -> bytes:
-        if self.UNEVEN.search(text):
+        if not self.by_space or self.UNEVEN.search(text):
             return self._pieces(text)
         first, *rest = text.split(" ")
         return self.unit[first] + b"".join(map(self.spaced.__getitem__, rest))

@@ -68,6 +68,23 @@ def test_bpe_fuzz(codec, tik):
         assert "".join(codec.decode_stream([ids[k : k + 1] for k in range(len(ids))])) == s
 
 
+def test_bpe_other_pattern():
+    """Another pattern, whose matches don't begin at spaces; a long piece without any."""
+    pattern = r"\S+\s*|\s+"
+    own = bpe_transducer.BpeCodec(bpe_transducer.read_ranks(RANKS), pattern)
+    other = tiktoken.Encoding("own2", pat_str=pattern, mergeable_ranks=bpe_transducer.read_ranks(RANKS), special_tokens={})
+    draw = random.Random(2)
+    for text in ("a b  c", "the cat sat. On the mat", " x", "word " * 50, "".join(draw.choices("abcdef019+/", k=60_000))):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == other.encode_ordinary(text)
+
+
+def test_bpe_repeated_rows(spark):
+    rows = [(1, "same text", "x")] * 3 + [(1, "other", "y"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    assert sorted(r["n_tokens"] for r in bpe_transducer.token_digests(docs, RANKS, P.PATTERN).collect()) == [0, 1, 2, 2, 2]
+    assert bpe_transducer.token_digests(docs.where("false"), RANKS, P.PATTERN).collect() == []
+
+
 def test_bpe_small_table(tik):
     machine = bpe_transducer.MergeTransducer(bpe_transducer.read_ranks(RANKS), max_states=50)
     for word in ("thething", "Unbelievably", "中文字", "aaaaaaaaaaaa"):
