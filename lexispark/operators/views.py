@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.files import file_kind, folders, target_path, write_priority
 from ..functions.text import is_blank
+from ..staging import staged
+
+#: The collation of names.
+LOCALE = "en"
 
 
 def work_items(entries: DataFrame) -> DataFrame:
@@ -46,8 +50,18 @@ def localization_only(files: DataFrame) -> DataFrame:
     return files.where(F.col("kind").isin("localization-xml", "localization-loca"))
 
 
+def collated(x: Column | str) -> Column:
+    """A name as it is sorted for readers: by the collation of the locale, not by bytes."""
+    return F.collate(x, LOCALE)
+
+
+def language_order(files: DataFrame) -> list[Column]:
+    """Files by language, those without one last, then by name."""
+    return [collated(F.coalesce("language", F.lit("zzz"))), collated("name"), F.col("name")]
+
+
 def by_language(files: DataFrame) -> DataFrame:
-    return files.orderBy(F.coalesce("language", F.lit("zzz")), "name")
+    return files.orderBy(*language_order(files))
 
 
 def by_name(files: DataFrame) -> DataFrame:
@@ -77,9 +91,28 @@ def tree(files: DataFrame) -> DataFrame:
     return leaf.union(inner).withColumns({"name": F.element_at(parts, -1), "depth": F.size(parts).cast("long")})
 
 
+def tree_order() -> list[Column]:
+    """A node's key in a tree that is shown unfolded: at each level folders before files, then by name; a folder stands
+    right before what is in it."""
+    parts = F.split("path", "/")
+    last = F.size(parts) - 1
+    key = F.transform(parts, lambda x, i: F.struct(F.when((i == last) & F.col("is_leaf"), 1).otherwise(0).alias("file"), collated(x).alias("name"), x.alias("raw")))
+    return [key]
+
+
 def in_tree_order(nodes: DataFrame) -> DataFrame:
-    """Nodes of one folder together; folders first, then by name."""
-    return nodes.orderBy(F.regexp_extract("path", r"(?s)^(.*)/[^/]*\z", 1), "is_leaf", "name")
+    """Nodes as the unfolded tree shows them."""
+    return nodes.orderBy(*tree_order())
+
+
+def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """rows with place (1, 2, ...) in an order. Rows are sorted in ranges; only the ranges' sizes meet in one task."""
+    keyed = rows.select(F.struct("*").alias("row"), *[x.alias(f"k{i}") for i, x in enumerate(order)])
+    keys = [f"k{i}" for i in range(len(order))]
+    lying = staged(keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("row", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    sizes = lying.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lying.join(sizes.select("part", "first", before.alias("before")), "part").select("row.*", (F.col("before") + F.col("at") - F.col("first") + 1).alias("place"))
 
 
 def toggle(selected: DataFrame, shown: DataFrame, on: bool) -> DataFrame:

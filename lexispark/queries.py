@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import files as FF
@@ -228,13 +228,28 @@ def glossary_delete(spark, d):
     return glossary.delete(terms, terms.where("pos % 3 = 0").select("source")).select("pos", "source", "target")
 
 
+def _document_entries(spark, d):
+    """Documents between inline tags as entries of 16 files a source."""
+    return read(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("-"), F.col("doc_id") % 16, F.lit("/Localization/x.xml")).alias("source_file"), F.concat(F.lit("h"), "doc_id").alias("contentuid"), F.lit("1").alias("version"), F.concat(F.lit('Cast <LSTag Tag="'), F.col("doc_id"), F.lit('">'), text.ws_trim("text"), F.lit("</LSTag><br/><b></b> 1 < 2 & 3")).alias("source"), F.lit("").alias("target"))
+
+
 def contentlist_roundtrip(spark, d):
     """Documents between inline tags as entries, written as contentList files and parsed again."""
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("-"), F.col("doc_id") % 16, F.lit("/Localization/x.xml")).alias("source_file"), F.concat(F.lit("h"), "doc_id").alias("contentuid"), F.lit("1").alias("version"), F.concat(F.lit('Cast <LSTag Tag="'), F.col("doc_id"), F.lit('">'), text.ws_trim("text"), F.lit("</LSTag><br/><b></b> 1 < 2 & 3")).alias("source"), F.lit("").alias("target"))
+    docs = _document_entries(spark, d)
     written = contentlist.written_xml(docs, span=FILE_SPAN).select(F.col("source_file").alias("name"), FF.file_kind(F.col("source_file")).alias("kind"), F.col("content").cast("binary").alias("content"))
     return contentlist.entries(contentlist.parse(written), strict=True).select("contentuid", contentlist.whole_name(F.col("source_file")).alias("source_file"), F.length("source").alias("n_chars"), F.md5(F.col("source").cast("binary")).alias("digest"))
 
 
+def contentlist_split(spark, d):
+    """The same entries in whole files that tasks stream out, read again by several tasks a file."""
+    docs = _document_entries(spark, d)
+    folder = f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}"
+    contentlist.write_xml(docs, folder)
+    rows = contentlist.entries(contentlist.parse_split(spark, folder), strict=True)
+    order = F.row_number().over(Window.partitionBy("source_file").orderBy("pos")).cast("long")
+    return rows.select("contentuid", F.regexp_extract("source_file", r"([^/]+/[^/]+/[^/]+)\z", 1).alias("source_file"), order.alias("place"), F.md5(F.col("source").cast("binary")).alias("digest"))
+
+
 SSE = r"""concat('data: {"choices":[{"delta":{"content":"', event_type, event_id, '"}}]}\r\n: note\ndata: {bad\ndata: {"choices":[{"delta":{"content":"!"}}]}\ndata: [DONE]\n')"""
 
 
@@ -295,6 +310,16 @@ def tree_nodes(spark, d):
     return views.in_tree_order(views.tree(files(spark, d)))
 
 
+def language_places(spark, d):
+    """Each file's place by language and name, as readers sort them."""
+    return views.numbered(files(spark, d).select("name", "language"), views.language_order(files(spark, d))).select("name", "place")
+
+
+def tree_places(spark, d):
+    """Each node's place in the unfolded tree."""
+    return views.numbered(views.tree(files(spark, d)), views.tree_order()).select("path", "is_leaf", "place")
+
+
 def selection(spark, d):
     """Checked files with the English ones added, and with them taken away."""
     shown, checked = files(spark, d).where("language = 'English'"), files(spark, d).where("checked")
@@ -375,7 +400,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         glossary_match, glossary_match_substring, glossary_clean, glossary_clean_stats, consistency_key, exact_groups, series_split, series_profiles, series_alias, memory_build, memory_refs_top12,
         plan_resolved, fanout, prompt, event_fold, progress, pending_filter, search, classify_files, write_plan, folder_rollup, latest_readable, inline_tags, glossary_page, glossary_upsert, glossary_delete, contentlist_roundtrip,
         sse_deltas, sse_stream, event_stream, fragment_escape, retranslate_all, cancelled, reverted, applied_events, tree_nodes, selection, selected_entries, entry_views, glossary_rename, glossary_remaining,
-        path_rules, small_rules, file_order, lsx_patch, zip_members, translated_table, run_totals,
+        path_rules, small_rules, file_order, lsx_patch, zip_members, contentlist_split, language_places, tree_places, translated_table, run_totals,
     )
 } | {"plan_jobs": _jobs}
 
@@ -522,6 +547,9 @@ ORACLE_SQL: dict[str, str] = {
     "event_stream": f"""WITH {E_CTE}, {_CUT.replace("ORDER BY ts, event_id", "ORDER BY event_id")} SELECT id AS "entryId", CASE WHEN completed THEN target ELSE '' END AS target, CASE WHEN completed THEN status ELSE 'pending' END AS status, CASE WHEN completed THEN error END AS error FROM onto""",
     "reverted": f"""WITH {E_CTE}, {_REVERT} SELECT "entryId", target, status, error FROM folded""",
     "applied_events": f"WITH {E_CTE}, {EVENTS_CTE} SELECT id, target, status, error FROM onto",
+    "contentlist_split": f"SELECT concat('h', doc_id) AS contentuid, concat(source, '-', doc_id % 16, '/Localization/x.xml') AS source_file, row_number() OVER (PARTITION BY source, doc_id % 16 ORDER BY doc_id) AS place, md5({_TAGGED}) AS digest FROM documents",
+    "language_places": f"WITH {FILES2_CTE} SELECT name, row_number() OVER (ORDER BY coalesce(language, 'zzz') COLLATE en, name COLLATE en, name) AS place FROM facts",
+    "tree_places": f"WITH {FILES_CTE}, n AS (SELECT name AS path, true AS is_leaf, string_split(name, '/') AS p FROM files UNION ALL SELECT DISTINCT array_to_string(p[:i], '/'), false, p[:i] FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(name, '/') AS p FROM files))) SELECT path, is_leaf, row_number() OVER (ORDER BY list_transform(p, lambda x, i: CASE WHEN is_leaf AND i = len(p) THEN '1' ELSE '0' END || icu_sort_key(x, 'en') || chr(1) || x)) AS place FROM n",
     "tree_nodes": f"WITH {FILES_CTE}, n AS (SELECT name AS path, true AS is_leaf FROM files UNION ALL SELECT DISTINCT array_to_string(p[:i], '/'), false FROM (SELECT p, unnest(range(1, len(p))) AS i FROM (SELECT string_split(name, '/') AS p FROM files))) SELECT path, is_leaf, string_split(path, '/')[-1] AS name, CAST(len(string_split(path, '/')) AS BIGINT) AS depth FROM n",
     "selection": f"WITH {FILES2_CTE} SELECT name, true AS \"on\" FROM facts WHERE pos % 3 = 0 OR language = 'English' UNION ALL SELECT name, false FROM facts WHERE pos % 3 = 0 AND language IS DISTINCT FROM 'English'",
     "selected_entries": f"WITH {FILES_CTE} SELECT doc_id, {PATH} AS source_file FROM documents WHERE {PATH} IN (SELECT name FROM files WHERE pos % 3 = 0)",

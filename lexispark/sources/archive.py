@@ -10,12 +10,12 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import file_kind, is_safe, language, normalized_path, safe_or_error
 from ..staging import staged
+from .streams import Growing, place, sweep
 
 #: Bytes of members that one task reads, about; rows and bytes of a batch.
 RANGE_BYTES, BATCH_ROWS, BATCH_BYTES = 32 << 20, 1024, 8 << 20
@@ -26,13 +26,6 @@ EPOCH = 33  # 1980-01-01 in the format's date
 DIRECTORY = "archive string, pos long, name string, size long, packed long, crc long, method int, encrypted boolean, offset long, error string"
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a URI, as Spark gives it (file:/x for file:///x)."""
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-
-
 def directory(archives: DataFrame) -> DataFrame:
     """A row for each member of archives (path): what its archive's directory says, with nothing but the directory read.
     An archive that can't be opened is one row with an error and no name."""
@@ -41,9 +34,9 @@ def directory(archives: DataFrame) -> DataFrame:
         columns = [c.split()[0] for c in DIRECTORY.split(", ")]
         for batch in batches:
             for path in batch["path"]:
-                system, place = _place(path)
+                system, at = place(path)
                 try:
-                    with system.open_input_file(place) as file, zipfile.ZipFile(file) as z:  # reads the end and the directory
+                    with system.open_input_file(at) as file, zipfile.ZipFile(file) as z:  # reads the end and the directory
                         found = z.infolist()
                 except (zipfile.BadZipFile, NotImplementedError, ValueError, OSError) as fault:
                     yield pd.DataFrame([(path, -1, None, None, None, None, None, None, None, f"archive: {fault}")], columns=columns)
@@ -97,13 +90,13 @@ def contents(members: DataFrame) -> DataFrame:
 
     def rows(batch: pd.DataFrame) -> Iterator[tuple]:
         for path, own in batch.sort_values(["archive", "offset"]).groupby("archive", sort=False):
-            system, place = _place(path)
+            system, at = place(path)
             file = None
             for m in own.itertuples(index=False):
                 content, error = None, m.error
                 if m.name is not None:
                     try:
-                        file = file or system.open_input_file(place)
+                        file = file or system.open_input_file(at)
                         content = _member(file, m)
                     except (ValueError, OSError, zlib.error) as fault:
                         error = f"member: {fault}"
@@ -164,31 +157,24 @@ class _Zip:
     """One archive being written: members one after the other, and then their directory."""
 
     def __init__(self, path: str, job: str):
-        self.system, self.path = _place(path)
-        self.own = f"{self.path}.{uuid.uuid4().hex}.{job}"
-        self.system.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.out, self.at, self.members, self.headers = self.system.open_output_stream(self.own), 0, 0, []
+        self.out, self.members, self.headers = Growing(path, job), 0, []
 
     def add(self, name: str, crc: int, size: int, method: int, data: bytes) -> None:
         raw = name.encode()
-        self.headers.append(_central_header(raw, crc, size, len(data), method, self.at))
+        self.headers.append(_central_header(raw, crc, size, len(data), method, self.out.size))
         for piece in (_local_header(raw, crc, size, len(data), method), data):
             self.out.write(piece)
-            self.at += len(piece)
         self.members += 1
 
     def close(self) -> int:
-        length = sum(map(len, self.headers))
-        for piece in (*self.headers, _end(self.members, self.at, length)):
+        start, length = self.out.size, sum(map(len, self.headers))
+        for piece in (*self.headers, _end(self.members, start, length)):
             self.out.write(piece)
-            self.at += len(piece)
         self.out.close()
-        self.system.move(self.own, self.path)
-        return self.at
+        return self.out.size
 
     def drop(self) -> None:
-        self.out.close()
-        self.system.delete_file(self.own)
+        self.out.drop()
 
 
 def packed(members: DataFrame) -> DataFrame:
@@ -244,7 +230,4 @@ def write_archives(members: DataFrame, folder: str) -> DataFrame:
     try:
         return staged(sorted_.mapInPandas(write, "path string, members long, bytes long"))
     finally:
-        system, place = _place(folder)
-        for info in system.get_file_info(fs.FileSelector(place, allow_not_found=True, recursive=True)):
-            if info.path.endswith(job):
-                system.delete_file(info.path)
+        sweep(folder, job)

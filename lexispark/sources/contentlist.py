@@ -17,10 +17,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.files import file_kind
+from ..functions.files import file_kind, safe_or_error
 from ..functions.markup import escape_fragment
 from ..functions.text import escape_attribute
 from ..staging import staged
+from .streams import write_streams
 
 #: Translatable attributes of LSX files, and their types.
 LSX_FIELDS = frozenset(["Description", "DisplayName", "Title", "Tooltip", "TooltipDescription"])
@@ -183,6 +184,72 @@ def entries(parsed: DataFrame, strict: bool = False) -> DataFrame:
     return rows.select(pos.alias("pos"), F.concat("source_file", F.lit("#"), "contentuid").alias("id"), "source_file", "source", F.lit("").alias("target"), "contentuid", "version", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("error"))
 
 
+#: What cuts a file into records, what an entry starts with, and what may hide either: such files are parsed whole.
+CLOSING, ENTRY = "</content>", re.compile(r"<content[\s/>]")
+HIDING = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>", re.S)
+SUSPECT = re.compile(r"<!--|-->|<!\[CDATA\[|\]\]>|<!DOCTYPE|\x00|\ufffd")
+OTHER_CODE = re.compile(r"<\?xml[^>]*encoding\s*=\s*[\"'](?!utf-?8[\"'])", re.I)
+RECORDS = f"{PARSED}, block long, suspect boolean"
+
+
+def _record(name: str, text: str, first: bool, last: bool) -> tuple[list[tuple], bool]:
+    """Parsed rows of one record, and whether its file must be parsed whole after all."""
+    suspect = bool(SUSPECT.search(HIDING.sub("", text)) or first and OTHER_CODE.search(text) or last and "</contentList" not in text)
+    found = ENTRY.search(text)
+    if suspect or not found:
+        return [], suspect
+    body = text[found.start() :] if first else text
+    rows = parse_content_list(name, b"<contentList>" + (body + ("" if last else CLOSING + "</contentList>")).encode())
+    return rows, any(r[7] for r in rows) and len(ENTRY.findall(body)) > 1  # an entry in an entry, or one that lacks its end
+
+
+def parse_split(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of parse() for the contentList files at path, each file cut at its closing tags and read by as many tasks
+    as it has ranges. Rows stand in the file's order: ranges are numbered by their first byte, and only their sizes are
+    added up. Files whose records can't be told apart so (comments or CDATA across tags, entries in entries, document
+    types, codes other than UTF-8, no end) are parsed whole."""
+    text = spark.read.option("lineSep", CLOSING).option("recursiveFileLookup", "true").text(path)
+    place = F.col("_metadata.file_block_start"), F.col("_metadata.file_block_start") + F.col("_metadata.file_block_length") >= F.col("_metadata.file_size")
+    lines = text.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("path"), place[0].alias("block"), place[1].alias("ends"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, at = None, 0
+
+        def parsed(record: tuple, last: bool) -> list[tuple]:
+            nonlocal at
+            value, name, block, _ = record
+            rows, suspect = _record(name, bytes(value).decode("utf-8", "replace"), block == 0 and at == 0, last)
+            out = [(*r[:2], at + i, *r[3:], block, suspect) for i, r in enumerate(rows)] or [(name, None, at, None, None, None, None, None, block, suspect)]
+            at += len(out)
+            return out
+
+        columns = [c.split()[0] for c in RECORDS.split(", ")]
+        for batch in batches:
+            out = []
+            for record in batch.itertuples(index=False, name=None):
+                if held:
+                    ended = held[1:3] != record[1:3]
+                    out += parsed(held, ended and held[3])
+                    at = 0 if ended else at
+                held = record
+            yield pd.DataFrame(out, columns=columns)
+        if held:
+            yield pd.DataFrame(parsed(held, held[3]), columns=columns)
+
+    found = staged(lines.mapInPandas(each, RECORDS))
+    blocks = found.groupBy("source_file", "block").agg(F.max("ordinal").alias("most"), F.bool_or("suspect").alias("suspect"))
+    file = Window.partitionBy("source_file")
+    before = F.sum(F.col("most") + 1).over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select(F.col("source_file").alias("of"), F.col("block").alias("its"), F.coalesce(before, F.lit(0)).alias("before"), F.max("suspect").over(file).alias("whole"))
+    rows = found.join(blocks, (F.col("source_file") == F.col("of")) & (F.col("block") == F.col("its")))
+    names = [c.split()[0] for c in PARSED.split(", ")]
+    split = rows.where("NOT whole AND (contentuid IS NOT NULL OR warning IS NOT NULL)").withColumn("ordinal", F.col("before") + F.col("ordinal")).select(names)
+    odd = blocks.where("whole").select(F.col("of").alias("path")).distinct()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("_metadata.file_path").alias("path"), "content").join(odd, "path", "left_semi")
+    every = split.union(parse(files.select(F.col("path").alias("name"), F.lit("localization-xml").alias("kind"), "content")))
+    return every.withColumn("source_file", F.url_decode(F.replace("source_file", F.lit("+"), F.lit("%2B"))))
+
+
 def written_xml(entries: DataFrame, span: int | None = None) -> DataFrame:
     """(source_file, content): a contentList file of each file's entries, in order; untranslated ones keep their source.
     With span, a file for each range of so many pos: x.part0.xml, x.part1.xml; whole_name gives x.xml."""
@@ -190,11 +257,25 @@ def written_xml(entries: DataFrame, span: int | None = None) -> DataFrame:
         part = F.concat(F.lit(".part"), F.floor(F.col("pos") / span).cast("string"))
         name = F.regexp_extract("source_file", r"(?s)^(.*?)(\.[^./]*)?\z", 1)
         entries = entries.withColumn("source_file", F.concat(name, part, F.substr("source_file", F.length(name) + 1)))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", _line().alias("line")))), lambda x: x["line"])
+    return entries.groupBy("source_file").agg(F.concat(F.lit(HEAD), F.array_join(lines, "\n"), F.lit(TAIL)).alias("content"))
+
+
+HEAD, TAIL = '<?xml version="1.0" encoding="utf-8"?>\n<contentList>\n', "\n</contentList>\n"
+
+
+def _line() -> Column:
+    """An entry's line in its file."""
     text = F.replace(escape_fragment(_storable(F.coalesce(F.nullif("target", F.lit("")), F.col("source")))), F.lit("\r"), F.lit("&#13;"))
-    line = F.concat(F.lit('  <content contentuid="'), escape_attribute(_storable(F.col("contentuid"))), F.lit('" version="'), escape_attribute(_storable(F.col("version"))), F.lit('">'), text, F.lit("</content>"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"])
-    head, tail = '<?xml version="1.0" encoding="utf-8"?>\n<contentList>\n', "\n</contentList>\n"
-    return entries.groupBy("source_file").agg(F.concat(F.lit(head), F.array_join(lines, "\n"), F.lit(tail)).alias("content"))
+    return F.concat(F.lit('  <content contentuid="'), escape_attribute(_storable(F.col("contentuid"))), F.lit('" version="'), escape_attribute(_storable(F.col("version"))), F.lit('">'), text, F.lit("</content>"))
+
+
+def write_xml(entries: DataFrame, folder: str) -> DataFrame:
+    """The files of written_xml below folder, which all executors reach; (path, pieces, bytes) of what was written. Lines
+    are made in parallel and sorted by file and pos; the task with a file's lines streams them out, so no file is ever
+    one value, and one may be larger than any value can be."""
+    lines = entries.select(safe_or_error(F.col("source_file")).alias("name"), "pos", _line().alias("piece"))
+    return write_streams(lines, ["pos"], folder, HEAD, "\n", TAIL)
 
 
 def whole_name(name: Column) -> Column:

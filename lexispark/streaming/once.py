@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..staging import shared_dir
 
@@ -43,7 +44,7 @@ def drained(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
         query.awaitTermination()
     if query.lastProgress is None:
         return spark.createDataFrame([], stream.schema)
-    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/rows")
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/rows")
     if not keys:
         return rows.drop("batch")
     last = F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch")
