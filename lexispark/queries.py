@@ -55,9 +55,9 @@ ODD_NAME = "concat(CASE pos % 5 WHEN 0 THEN '../' WHEN 1 THEN '/' WHEN 2 THEN 'C
 ODD_UID = "CASE p_partkey % 3 WHEN 0 THEN concat('Title#', p_size) WHEN 1 THEN concat('Title#x', p_size) ELSE p_name END"
 ODD_VERSION = "CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN '7' WHEN 2 THEN 'x' ELSE CAST(p_size AS STRING) END"
 NOISE = [
-    ("Fireball", "火球术"), ("[1] from [2]", "x"), ("Baldur's Gate", "博德之门"), ("[IE_ContextMenu] Ping", "x"), ("[DRUID][RANGER]", "x"), ("--OBEY--", "x"),
-    ("of", "x"), ("OF", "x"), ("the", "x"), ("from", "x"), ("From here", "从这里"), ("'of'", "x"), ("''", "x"), ("中文", "zhong"), (" Paladin ", "圣武士"),
-    ("'Danthelon's Dancing Axe'", '"丹瑟隆的飞斧"'), ("'Brake' Lever", '"制动"拉杆'), ("", "x"), ("blank", "  "), ("「Lich」", "『巫妖』"), ("...", "x"), ("Will-o-the-Wisp", "x"),
+    ("Emberwind", "余烬之风"), ("[1] of [22]", "x"), ("Marsh's Edge", "沼泽之缘"), ("[IE_OpenDoor] Knock", "x"), ("[MAGE][THIEF]", "x"), ("--HUSH--", "x"),
+    ("of", "x"), ("OF", "x"), ("the", "x"), ("from", "x"), ("Over there", "那边"), ("'of'", "x"), ("''", "x"), ("山川", "shan"), (" Warden ", "守望者"),
+    ("'Orrin's Long Spear'", '"奥林的长矛"'), ("'Left' Valve", '"左"阀'), ("", "x"), ("blank", "  "), ("「Wraith」", "『幽魂』"), ("...", "x"), ("Jack-in-the-Green", "x"),
 ]
 
 
@@ -378,6 +378,60 @@ def zip_members(spark, d):
     return archive.read_archives(spark, folder).select(F.regexp_extract("archive", r"([^/]+)\z", 1).alias("archive"), "name", "size", F.md5("content").alias("digest"))
 
 
+def _members(spark, d):
+    """Documents as members of archives; every other name has backslashes, some are packages."""
+    name = F.concat("source", F.when(F.col("doc_id") % 2 == 0, F.lit("/")).otherwise(F.lit("\\")), "doc_id", F.when(F.col("doc_id") % 10 == 3, ".PAK").otherwise(".txt"))
+    return read(spark, d, "documents").select(F.concat(F.lit("a"), F.floor(F.col("doc_id") / 64), F.lit(".zip")).alias("archive"), name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+
+
+def inner_packages(spark, d):
+    return archive.inner_packages(_members(spark, d).withColumn("name", FF.normalized_path(F.col("name"))))
+
+
+def extracted_files(spark, d):
+    """The archives written, read, extracted below a folder, and what that folder holds then."""
+    top = f"{shared_dir(spark)}/extract-{uuid.uuid4().hex}"
+    archive.write_archives(_members(spark, d), f"{top}/zips")
+    tree.extract(archive.read_archives(spark, f"{top}/zips").withColumn("pos", F.lit(0)), f"{top}/files")
+    return contentlist.read_files(spark, f"{top}/files").select("name", "kind", F.col("length").alias("size"), F.md5("content").alias("digest"))
+
+
+LSX_FILE = """concat('<save><attribute id="Title" type="LSString" value="', p_name, '"/></save>')"""
+
+
+def lsx_bytes(spark, d):
+    """A file a part: with a byte order mark, without, and with a byte that is no UTF-8."""
+    content = f"CASE p_partkey % 3 WHEN 0 THEN concat(unhex('EFBBBF'), CAST({LSX_FILE} AS BINARY)) WHEN 1 THEN CAST({LSX_FILE} AS BINARY) ELSE concat(unhex('FF'), CAST({LSX_FILE} AS BINARY)) END"
+    made = read(spark, d, "part").selectExpr("concat('m', p_partkey, '.lsx') AS name", "'metadata-lsx' AS kind", f"{content} AS content")
+    return contentlist.parse(made).select("source_file", "contentuid", "source", F.col("warning").isNotNull().alias("warned"))
+
+
+def file_faults(spark, d):
+    """A contentList file a document; every seventh ends within a tag, which costs no more than that."""
+    tail = "CASE WHEN doc_id % 7 = 0 THEN '<content' ELSE '</contentList>' END"
+    made = read(spark, d, "documents").selectExpr("concat('f', doc_id, '.xml') AS name", "'localization-xml' AS kind", f"CAST(concat('<contentList><content contentuid=\"', doc_id, '\">', lang, '</content>', {tail}) AS BINARY) AS content")
+    parsed = contentlist.parse(made)
+    faults = parsed.groupBy("source_file").agg(F.count("warning").alias("n_faults"))
+    return contentlist.entries(parsed).join(faults, "source_file").select("id", "source", "version", "n_faults")
+
+
+def saved_glossary(spark, d):
+    """Terms saved and loaded again."""
+    folder = f"{shared_dir(spark)}/glossary-{uuid.uuid4().hex}"
+    terms = part_terms(spark, d).withColumns({"category": F.lit("x"), "source_kind": F.lit("user"), "count": F.col("pos") % 7})
+    json_io.save_glossary(terms, folder)
+    return json_io.load_glossary(spark, folder).select(*json_io.TERM_COLUMNS)
+
+
+def request_rules(spark, d):
+    base = F.concat(F.lit("http://h/"), "p_name", F.repeat(F.lit("/"), F.col("p_size") % 3))
+    return read(spark, d, "part").select("p_partkey", text.clamp_concurrency(F.col("p_size") * 3 - 10).cast("long").alias("concurrency"), text.endpoint(base).alias("endpoint"))
+
+
+def translatable_files(spark, d):
+    return views.localization_only(views.classified(files(spark, d))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
 def translated_table(spark, d):
     return translate.translate_table(entries(spark, d), part_terms(spark, d))[0].select("id", "target", "status", "error")
 
@@ -400,7 +454,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         glossary_match, glossary_match_substring, glossary_clean, glossary_clean_stats, consistency_key, exact_groups, series_split, series_profiles, series_alias, memory_build, memory_refs_top12,
         plan_resolved, fanout, prompt, event_fold, progress, pending_filter, search, classify_files, write_plan, folder_rollup, latest_readable, inline_tags, glossary_page, glossary_upsert, glossary_delete, contentlist_roundtrip,
         sse_deltas, sse_stream, event_stream, fragment_escape, retranslate_all, cancelled, reverted, applied_events, tree_nodes, selection, selected_entries, entry_views, glossary_rename, glossary_remaining,
-        path_rules, small_rules, file_order, lsx_patch, zip_members, contentlist_split, language_places, tree_places, translated_table, run_totals,
+        path_rules, small_rules, file_order, lsx_patch, zip_members, contentlist_split, language_places, tree_places, inner_packages, extracted_files, lsx_bytes, file_faults, saved_glossary, request_rules, translatable_files, translated_table, run_totals,
     )
 } | {"plan_jobs": _jobs}
 
@@ -560,6 +614,13 @@ ORACLE_SQL: dict[str, str] = {
     "small_rules": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Title' END AS field, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size AS BIGINT) END AS n, CAST(CASE p_partkey % 4 WHEN 1 THEN 7 WHEN 3 THEN p_size ELSE 1 END AS INTEGER) AS version, greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), CAST(p_size - 5 AS DOUBLE) * 100 / 40)) AS percent FROM part",
     "file_order": f"WITH {FILES_CTE} SELECT name, row_number() OVER (ORDER BY name) - 1 AS pos FROM files",
     "lsx_patch": f"SELECT concat('m', p_partkey // {LSX_SPAN}, '.lsx') AS source_file, concat(field, '#', row_number() OVER (PARTITION BY p_partkey // {LSX_SPAN}, field ORDER BY p_partkey) - 1) AS contentuid, CASE field WHEN 'Title' THEN upper(value) ELSE value END AS source FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Title' ELSE 'Tooltip' END AS field, concat(p_name, ' > & ', p_size) AS value FROM part WHERE p_partkey % 3 <> 2)",
+    "inner_packages": "SELECT concat('a', doc_id // 64, '.zip') AS archive, min(concat(source, '/', doc_id, '.PAK')) AS name FROM documents WHERE doc_id % 10 = 3 GROUP BY 1",
+    "extracted_files": "SELECT concat(source, '/', doc_id, CASE WHEN doc_id % 10 = 3 THEN '.PAK' ELSE '.txt' END) AS name, CASE WHEN doc_id % 10 = 3 THEN 'other' ELSE 'data-txt' END AS kind, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents",
+    "lsx_bytes": "SELECT concat('m', p_partkey, '.lsx') AS source_file, CASE WHEN p_partkey % 3 < 2 THEN 'Title#0' END AS contentuid, CASE WHEN p_partkey % 3 < 2 THEN p_name END AS source, p_partkey % 3 = 2 AS warned FROM part",
+    "file_faults": "SELECT concat('f', doc_id, '.xml#', doc_id) AS id, lang AS source, '1' AS version, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS n_faults FROM documents",
+    "saved_glossary": f"WITH {PART_TERMS_CTE} SELECT pos, source, target, 'name_or_title' AS category, 'user' AS source_kind, enabled, ambiguous, whole_word, case_sensitive, pos % 7 AS count FROM terms",
+    "request_rules": "SELECT p_partkey, CAST(least(greatest(p_size * 3 - 10, 1), 100) AS BIGINT) AS concurrency, concat('http://h/', p_name, '/v1/chat/completions') AS endpoint FROM part",
+    "translatable_files": f"WITH {FILES_CTE} SELECT CASE WHEN lower(name) LIKE '%.xml' THEN 'localization-xml' ELSE 'localization-loca' END AS kind, count(*) AS n FROM files WHERE lower(name) LIKE '%.xml' AND contains(lower(name), 'localization') OR lower(name) LIKE '%.loca' GROUP BY 1",
     "zip_members": f"SELECT concat('a', doc_id // {ZIP_SPAN}) AS archive, concat(source, '/', doc_id, '.txt') AS name, CAST(strlen(coalesce(text, '')) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents",
     "run_totals": f"WITH {BASE_CTES}, {PLAN_CTE} SELECT 'all_done' AS type, (SELECT count(*) FROM open) AS total, CAST((SELECT coalesce(sum(n_members), 0) FROM jobs WHERE base LIKE 'r%') AS BIGINT) AS failed",
 }
