@@ -99,7 +99,7 @@ def translate_table(entries: DataFrame, terms: DataFrame, translator: Callable[[
     asked = planner.requests(jobs, terms, memory.build(entries), hint)
     events = staged(memory_events(resolved).unionByName(run_jobs(asked, translator, **options)))
     ordered = events.withColumns({"ts": F.timestamp_seconds("job_pos"), "status": F.lit(TRANSLATING)})
-    return state.apply_to(entries, state.fold(ordered)), events
+    return state.apply_to(entries, ordered), events
 
 
 def _composed(base: str, suffix: str | None) -> str:
