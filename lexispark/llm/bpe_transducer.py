@@ -215,12 +215,13 @@ class BpeCodec:
     #: A single space before a unit starts a match of its own; next to other white space it does not.
     UNEVEN = regex.compile(r"\s[ ]|[ ]\s|\A[ ]|[ ]\Z")
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine = MergeTransducer(ranks)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: float = 1.0):
+        """room: of what its tables may hold; with less, more is built again."""
+        self.machine = MergeTransducer(ranks, int(100_000 * room))
         self.pieces, self.by_space = regex.compile(pattern).findall, pattern == public_tokenizers.PATTERN
-        self.piece = _Units(lambda piece: self.machine.encode(piece.encode()), 30_000)
-        self.unit = _Units(self._pieces, 20_000)
-        self.spaced = _Units(lambda unit: self._pieces(" " + unit))
+        self.piece = _Units(lambda piece: self.machine.encode(piece.encode()), int(30_000 * room))
+        self.unit = _Units(self._pieces, int(20_000 * room))
+        self.spaced = _Units(lambda unit: self._pieces(" " + unit), int(100_000 * room))
         self.token = [self.machine.token.get(i, b"") for i in range(max(self.machine.token, default=-1) + 1)]
 
     def _pieces(self, text: str) -> bytes:
@@ -288,10 +289,10 @@ class _Lent:
         self.lock, self.key, self.codec, self.turn, self.users = Lock(), None, None, 0, 0
 
     @contextmanager
-    def __call__(self, ranks_path: str, pattern: str) -> Iterator[BpeCodec]:
+    def __call__(self, ranks_path: str, pattern: str, room: float = 1.0) -> Iterator[BpeCodec]:
         with self.lock:
-            if self.key != (ranks_path, pattern):
-                self.key, self.codec = (ranks_path, pattern), BpeCodec(read_ranks(ranks_path), pattern)
+            if self.key != (ranks_path, pattern, room):
+                self.key, self.codec = (ranks_path, pattern, room), BpeCodec(read_ranks(ranks_path), pattern, room)
             codec, self.users = self.codec, self.users + 1
         try:
             yield codec
@@ -314,9 +315,9 @@ class _Lent:
 _LENT = _Lent()
 
 
-def codec_of(ranks_path: str, pattern: str) -> AbstractContextManager[BpeCodec]:
+def codec_of(ranks_path: str, pattern: str, room: float = 1.0) -> AbstractContextManager[BpeCodec]:
     """The worker's codec, while it is used."""
-    return _LENT(ranks_path, pattern)
+    return _LENT(ranks_path, pattern, room)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, *, decode: bool = True) -> DataFrame:
@@ -363,14 +364,15 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(digest, schema)
 
 
-def tokenized(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def tokenized(docs: DataFrame, ranks_path: str, pattern: str, room: float = 0.5) -> DataFrame:
     """docs' columns but text, with ids (packed 32-bit), n_tokens, and round_trip (whether decoding gives the text back);
-    own columns of these names are left out. Null texts have no ids."""
+    own columns of these names are left out. Null texts have no ids. room: of the codec's tables, as executors that have
+    done other stages have less memory left."""
     bounded_batches(docs.sparkSession)
     own = [f for f in docs.schema.fields if f.name not in ("text", "ids", "n_tokens", "round_trip")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with codec_of(ranks_path, pattern) as codec:
+        with codec_of(ranks_path, pattern, room) as codec:
             for batch in batches:
                 texts = batch.column(batch.num_columns - 1).to_pylist()
                 ids = [codec.encode(t) for t in texts]

@@ -10,8 +10,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of one Arrow batch: bounds what a Python worker holds of long texts.
-BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
+#: Rows and bytes of one Arrow batch: bounds what a Python worker holds of long texts, and the buffers that its executor
+#: keeps for batches.
+BATCH_ROWS, BATCH_BYTES = 256, 2 << 20
 #: Bits of the bitmap that rows are told apart by before a join.
 MARKS = 1 << 26
 

@@ -29,7 +29,7 @@ from .common import apart, bounded_batches, staged, text_bytes
 from .packing import giving_back, pack, unpack
 from .words import Hashes, alnum
 
-SEGMENT_WORDS = 1_500_000
+SEGMENT_WORDS = 1_000_000
 #: Words of the queries in one block that a task holds.
 BLOCK_WORDS = 200_000
 
