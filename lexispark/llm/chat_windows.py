@@ -10,8 +10,10 @@ budget form a span, and a turn that crosses a multiple is a span of its own. A w
 system turn, as many whole turns before the span as fit `history` tokens, and the span. The system turn counts
 in its first window only; repeated turns carry no loss, so each assistant text is a target once.
 
-Null texts and roles count as empty. Turns are in the order of turn (nulls first), role and text, so repeated
-turns stay. A null conv_id is a conversation like others. A turn larger than the room for a span makes a window that exceeds the budget.
+Null texts and roles count as empty. Turns are in the order of turn (nulls first), role and a hash of the text, so
+repeated turns stay. A null conv_id is a conversation like others. A turn larger than the room for a span makes a window
+that exceeds the budget; no text is cut. An empty table has no windows; other columns than conv_id, turn, role and text
+are left out, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ that hold the documents asked for. Tasks write files of names of their own and r
 by Spark, lists those of the attempts that succeeded, so a lost or repeated task leaves no trace in it.
 
 Null texts count as empty: the end id alone. Null ids come first; repeated ids are all kept, in the order of a
-hash of their texts. An empty table has an empty manifest.
+hash of their texts. An empty table has an empty manifest. A document of any length is whole within one frame. Other
+columns than doc_id and text don't matter, whatever their names.
 """
 
 from __future__ import annotations

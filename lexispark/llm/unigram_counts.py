@@ -8,7 +8,8 @@ tokenizers library. A character without a piece of its own may be an unknown pie
 unknown pieces side by side count as one.
 
 The scores come from a public vocabulary's order by a rule (see `pieces`); nothing is trained. Null and empty
-texts have no tokens; repeated documents are counted row by row; texts of any length are counted whole.
+texts have no tokens; repeated documents are counted row by row; texts of any length are counted whole. An empty table
+gives no rows; other columns than doc_id and the text don't matter, whatever their names.
 """
 
 from __future__ import annotations

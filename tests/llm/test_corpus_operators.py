@@ -236,6 +236,30 @@ def test_chat_odd(spark):
     assert chat_windows.format_windows(df.limit(0)).count() == 0
 
 
+def test_chat_repeated_rows_and_names(spark):
+    """Turns that tie stay all; columns of the results' names don't matter."""
+    rows = [(1, 0, "user", "a", 9), (1, 0, "user", "a", 9), (1, 0, "assistant", "b", 9), (1, 1, "assistant", "c", 9), (1, 1, "assistant", "b", 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, window long").withColumn("formatted", F.lit("x"))
+    found = chat_windows.read_windows(chat_windows.format_windows(df)).first()
+    assert sorted((t["role"], t["text"]) for t in found["turns"]) == sorted((r[2], r[3]) for r in rows) and sorted(found["loss_text"]) == ["b", "b", "c"]
+
+
+def test_pipeline_of_odd_rows(spark, data):
+    """Nulls, repeated rows and ids, and own columns through all stages; an empty table stays empty."""
+    good = " ".join(f"word{i} is here" for i in range(60))
+    rows = [(1, good, "en", "s", 5, "k"), (1, good, "en", "s", 5, "k"), (1, good.replace("word", "other"), None, None, None, "k"), (None, good.replace("word", "third"), "en", "s", 5, None), (2, None, "en", "s", 0, "k"), (3, "", "en", "s", 0, "k"), (4, " ".join(f"wide{i} is here" for i in range(20_000)), "en", "s", 5, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = staged(stage(spark, docs, data), "t")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "row"], name
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, data).collect()
+    assert sorted((r["doc_id"] or 0, r["row"] or "") for r in last) == [(0, ""), (1, "k"), (1, "k"), (4, "k")] and all(r["round_trip"] for r in last)
+    empty = docs.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        empty = staged(stage(spark, empty, data), "t")
+        assert empty.count() == 0
+
+
 def test_pipeline(spark, data):
     docs, columns = read(spark, data, "documents"), read(spark, data, "documents").columns
     tables = [docs]

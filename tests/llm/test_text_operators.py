@@ -123,6 +123,17 @@ def test_token_frames(spark):
     assert token_frames.read_documents(token_frames.write_documents(table(spark, ODD).limit(0), WORDS, 1)).count() == 0
 
 
+def test_token_frames_of_repeated_rows(spark):
+    """Ids that repeat are all kept, side by side, also with one text; columns of the results' names don't matter."""
+    tokenizer = Tokenizer.from_file(WORDS)
+    rows = [(5, "same", 1, 2), (5, "same", 3, 4), (5, "other words", 5, 6), (1, "first", 7, 8), (None, None, 9, 9), (None, "x", 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start long, ids long")
+    got = sorted((r["start"], r["doc_id"], r["ids"]) for r in token_frames.read_documents(token_frames.write_documents(docs, WORDS, 1, files=2)).collect())
+    assert sorted(map(repr, ((r[1], r[2]) for r in got))) == sorted(map(repr, ((r[0], tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1]) for r in rows)))
+    assert [r[1] for r in got] == [None, None, 1, 5, 5, 5]
+    assert [r[0] for r in got] == [sum(len(x[2]) for x in got[:i]) for i in range(len(got))]
+
+
 def test_frames_check_sums(tmp_path):
     import pyarrow as pa
     import zstandard
@@ -167,6 +178,16 @@ def test_unigram_table(spark, data):
         assert all(r["n_pieces"] == len(tokenizer.encode(texts[r["doc_id"]]).ids) for r in unigram_counts.count_tokens(docs, PIECES).collect())
 
 
+def test_unigram_odd_tables(spark):
+    """Repeated rows, an empty table, columns of the results' names, a long text."""
+    rows = [(1, "the same text", "x"), (1, "the same text", "y"), (None, None, "z"), (2, "word " * 200_000, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_pieces string")
+    one = unigram_counts.count_tokens(docs.where("text = 'word'").unionByName(spark.createDataFrame([(3, "word", "")], docs.schema)), PIECES).first()["n_pieces"]
+    got = unigram_counts.count_tokens(docs, PIECES).collect()
+    assert len(got) == 4 and {r["doc_id"]: r["n_pieces"] for r in got}[2] == 200_000 * one and sum(r["doc_id"] is None and r["n_pieces"] == 0 for r in got) == 1
+    assert unigram_counts.count_tokens(docs.where("false"), PIECES).collect() == []
+
+
 HTML = [
     ("<p>a<p>b <i>c</i>", "a\n\nb c"),
     ("<ul><li>x<li>y<ol start=3><li>q<li>r</ol></ul>tail", "- x\n- y\n\n  3. q\n  4. r\n\ntail"),
