@@ -288,7 +288,8 @@ class Forest:
 def fit(spark, findings: list[tuple], vocabulary: Vocabulary, trees: int = 30, depth: int = 10, seed: int = 7) -> Forest:
     """findings: (value, before, after, path, label), a bounded sample."""
     rows = [(features(*f[:4], forms_of(*f[:3]), vocabulary), float(f[4])) for f in findings]
-    data = spark.createDataFrame(rows, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label")
+    table = pa.table({"x": pa.array([x for x, _ in rows], pa.list_(pa.float64())), "label": pa.array([y for _, y in rows], pa.float64())})
+    data = spark.createDataFrame(table).select(array_to_vector("x").alias("features"), "label")  # a table needs no Python workers
     return Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(data))
 
 
