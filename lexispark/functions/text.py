@@ -89,14 +89,6 @@ def word_bounded(text: Column, needle: Column) -> Column:
     return (needle != "") & text.contains(needle) & F.regexp_like(text, literal)
 
 
-def first_word(x: Column) -> Column:
-    return F.regexp_extract(x, r"(?U)\w+", 0)
-
-
-def words(x: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0)))
-
-
 def anchors(x: Column, sizes: Sequence[int] = (1, 2, 3)) -> Column:
     """Distinct runs of so many characters, from every place; one pass over the text for each length."""
     runs = [F.regexp_extract_all(x, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
