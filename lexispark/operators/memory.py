@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip_target_suffix, ws_trim
+from ..staging import scratch, staged
 from .containment import contained
 from .series import keyed
 
@@ -27,7 +28,8 @@ def references(keys: DataFrame, memory: DataFrame, top: int = REFERENCES) -> Dat
     longest source first. The memory's keys are found in others at their rarest runs of characters; of a key's references
     no more than top are ever held together."""
     terms = memory.select(F.col("key").alias("ref_key"), F.col("source").alias("ref_source"), F.col("target").alias("ref_target"))
-    found = contained(keys.select(F.col("key").alias("hay")), terms.select(F.col("ref_key").alias("needle"))).where("hay <> needle")
-    found = found.join(terms, F.col("needle") == F.col("ref_key")).withColumnRenamed("hay", "key")
-    order = Window.partitionBy("key").orderBy(F.octet_length("ref_source").desc(), "ref_key")
-    return found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top).select("key", "rank", "ref_key", "ref_source", "ref_target")
+    with scratch(keys.sparkSession) as under:
+        found = contained(keys.select(F.col("key").alias("hay")), terms.select(F.col("ref_key").alias("needle")), under).where("hay <> needle")
+        found = found.join(terms, F.col("needle") == F.col("ref_key")).withColumnRenamed("hay", "key")
+        order = Window.partitionBy("key").orderBy(F.octet_length("ref_source").desc(), "ref_key")
+        return staged(found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top).select("key", "rank", "ref_key", "ref_source", "ref_target"))

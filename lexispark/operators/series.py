@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import consistency_key, contains_cjk, contains_latin, is_blank, series_variant, ws_trim
-from ..staging import staged
+from ..staging import scratch, staged
 
 #: Suffixes that are taken as a set; there are 2^HOT such sets at most.
 HOT = 8
@@ -19,7 +19,8 @@ def keyed(entries: DataFrame) -> DataFrame:
     if set(KEYED) <= set(entries.columns):
         return entries
     named = entries.withColumn("v", series_variant("source")).withColumns({"base": F.col("v.base"), "suffix": F.col("v.suffix")}).drop("v")
-    return staged(staged(named).withColumns({"base_key": consistency_key("base"), "key": consistency_key("source")}))
+    with scratch(entries.sparkSession) as under:
+        return staged(staged(named, under).withColumns({"base_key": consistency_key("base"), "key": consistency_key("source")}))
 
 
 def variants(entries: DataFrame) -> DataFrame:
@@ -73,12 +74,12 @@ def best_overlaps(cjk: DataFrame, latin: DataFrame) -> DataFrame:
     return won.union(met).groupBy("suffixes").agg(best.alias("best")).select("suffixes", "best.canonical")
 
 
-def aliases_by_suffix(found: DataFrame, known: DataFrame, taken: DataFrame) -> DataFrame:
+def aliases_by_suffix(found: DataFrame, known: DataFrame, taken: DataFrame, under: str | None = None) -> DataFrame:
     """(base_key, canonical) of pure CJK bases without alias: the Latin base that shares most suffixes, at least two,
     then has most, then comes first. Bases of one set of suffixes are one row: they have one answer, or only the first
     of them can be one."""
     sets = found.select("base_key", F.lower(ws_trim("suffix")).alias("s")).distinct().groupBy("base_key").agg(F.sort_array(F.collect_list("s")).alias("suffixes"))
-    sets = staged(sets.join(known.select("base_key", "has_latin", "has_cjk"), "base_key"))
+    sets = staged(sets.join(known.select("base_key", "has_latin", "has_cjk"), "base_key"), under)
     open_ = sets.where("has_cjk AND NOT has_latin").join(taken.select("base_key"), "base_key", "left_anti").select("base_key", "suffixes")
     latin = sets.where("has_latin").groupBy("suffixes").agg(F.min("base_key").alias("canonical")).withColumn("m", F.size("suffixes"))
     best = best_overlaps(open_.select("suffixes").distinct(), latin)
@@ -86,8 +87,10 @@ def aliases_by_suffix(found: DataFrame, known: DataFrame, taken: DataFrame) -> D
 
 
 def aliases(entries: DataFrame) -> DataFrame:
-    """All aliases, one hop."""
+    """All aliases, one hop; a staged table."""
     found = variants(entries)
-    known = staged(profiles(found))
-    by_content = staged(aliases_by_content(found, known))
-    return by_content.withColumn("rule", F.lit("contentuid")).union(aliases_by_suffix(found, known, by_content).withColumn("rule", F.lit("suffix")))
+    with scratch(entries.sparkSession) as under:
+        known = staged(profiles(found), under)
+        by_content = staged(aliases_by_content(found, known), under)
+        by_suffix = aliases_by_suffix(found, known, by_content, under)
+        return staged(by_content.withColumn("rule", F.lit("contentuid")).union(by_suffix.withColumn("rule", F.lit("suffix"))))
