@@ -39,6 +39,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -47,6 +48,7 @@ from pyspark.sql import functions as F
 
 from .bpe_transducer import read_ranks
 from .common import bounded_batches
+from .packing import release
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=.\-]{16,}")
 #: Names of credentials; a name at its start, up to what is assigned to it; a value without quotes; keys known by their
@@ -63,7 +65,7 @@ ADDRESSED = re.compile(r"(?<=://)[^\s:/@\"'<>]++:([^\s:/@\"'<>]++)@(?=[\w.\[-])"
 PASSWORD = re.compile(r"(?=[^\s]*[A-Za-z])(?=[^\s]*[0-9])(?=[^\s]*[!@#$%^&*~])[^\s${%<(][^\s]*+")
 FORMS = ("pem", "provider", "assigned", "addressed", "run")
 LETTERS, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
-BEFORE, AFTER, SAMPLE, CUTOFF = 48, 16, 8000, 0.5
+BEFORE, AFTER, SAMPLE, CUTOFF = 48, 16, 4000, 0.5
 #: No more findings than these are made from one.
 MADE = 100
 CREDENTIAL = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|passwd|api.?key|access.?key|private.?key|credential|bearer|auth)\w*\W{0,4}$")
@@ -287,10 +289,15 @@ class Forest:
 
 def fit(spark, findings: list[tuple], vocabulary: Vocabulary, trees: int = 30, depth: int = 10, seed: int = 7) -> Forest:
     """findings: (value, before, after, path, label), a bounded sample."""
-    rows = [(features(*f[:4], forms_of(*f[:3]), vocabulary), float(f[4])) for f in findings]
-    table = pa.table({"x": pa.array([x for x, _ in rows], pa.list_(pa.float64())), "label": pa.array([y for _, y in rows], pa.float64())})
+    each = [np.array(features(*f[:4], forms_of(*f[:3]), vocabulary)) for f in findings]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int32)]).astype(np.int32)
+    table = pa.table({"x": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0), *each]))), "label": pa.array([float(f[4]) for f in findings], pa.float64())})
+    del each
     data = spark.createDataFrame(table).select(array_to_vector("x").alias("features"), "label")  # a table needs no Python workers
-    return Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(data))
+    forest = Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(data))
+    del table, data
+    release()  # of the driver
+    return forest
 
 
 def train(docs: DataFrame, ranks_path: str, *, findings: DataFrame | None = None, sample: int = SAMPLE, text: str = "text", path: str = "source") -> Forest:
