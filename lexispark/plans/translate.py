@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators import memory, state
 from ..schema import TRANSLATING
+from ..sources.streams import batched
 from ..staging import staged
 from . import planner
 
@@ -79,9 +80,8 @@ def run_jobs(jobs: DataFrame, translator: Callable[[str, str], Iterable[str]] =
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         with ThreadPoolExecutor(max(1, min(concurrency, 100))) as pool:
-            for batch in batches:
-                for rows in pool.map(run, batch.itertuples(index=False, name=None)):
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in EVENTS.split(", ")])
+            runs = (rows for batch in batches for rows in pool.map(run, batch.itertuples(index=False, name=None)))
+            yield from batched((row for rows in runs for row in rows), [c.split()[0] for c in EVENTS.split(", ")], 5)
 
     return jobs.select("first_pos", "kind", "base", "members", "prompt").mapInPandas(each, EVENTS)
 

@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.files import file_kind, is_safe, language, normalized_path, safe_or_error
 from ..staging import staged
-from .streams import Growing, place, sweep
+from .streams import Growing, batched, place, sweep
 
-#: Bytes of members that one task reads, about; rows and bytes of a batch.
-RANGE_BYTES, BATCH_ROWS, BATCH_BYTES = 32 << 20, 1024, 8 << 20
+#: Bytes of members that one task reads, about.
+RANGE_BYTES = 32 << 20
 #: Fixed values of the zip format: signatures, versions, methods, flags, the local header's length.
 LOCAL, CENTRAL, END, END_64, LOCATOR_64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
 PLAIN, DEFLATED, VERSION, VERSION_64, UTF8_NAME, ENCRYPTED, LOCAL_BYTES, MOST_32, MOST_16 = 0, 8, 20, 45, 0x800, 1, 30, 0xFFFFFFFF, 0xFFFF
@@ -30,37 +30,25 @@ def directory(archives: DataFrame) -> DataFrame:
     """A row for each member of archives (path): what its archive's directory says, with nothing but the directory read.
     An archive that can't be opened is one row with an error and no name."""
 
+    def members(path: str) -> Iterator[tuple]:
+        system, at = place(path)
+        try:
+            with system.open_input_file(at) as file, zipfile.ZipFile(file) as z:  # reads the end and the directory
+                found = z.infolist()
+        except (zipfile.BadZipFile, NotImplementedError, ValueError, OSError) as fault:
+            yield path, -1, None, None, None, None, None, None, None, f"archive: {fault}"
+            return
+        for i, m in enumerate(found):
+            if not m.is_dir():
+                yield path, i, m.filename, m.file_size, m.compress_size, m.CRC, m.compress_type, bool(m.flag_bits & ENCRYPTED), m.header_offset, None
+
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in DIRECTORY.split(", ")]
-        for batch in batches:
-            for path in batch["path"]:
-                system, at = place(path)
-                try:
-                    with system.open_input_file(at) as file, zipfile.ZipFile(file) as z:  # reads the end and the directory
-                        found = z.infolist()
-                except (zipfile.BadZipFile, NotImplementedError, ValueError, OSError) as fault:
-                    yield pd.DataFrame([(path, -1, None, None, None, None, None, None, None, f"archive: {fault}")], columns=columns)
-                    continue
-                for at in range(0, len(found), BATCH_ROWS):
-                    rows = [(path, at + i, m.filename, m.file_size, m.compress_size, m.CRC, m.compress_type, bool(m.flag_bits & ENCRYPTED), m.header_offset, None) for i, m in enumerate(found[at : at + BATCH_ROWS]) if not m.is_dir()]
-                    yield pd.DataFrame(rows, columns=columns)
+        paths = (path for batch in batches for path in batch["path"])
+        yield from batched((row for path in paths for row in members(path)), [c.split()[0] for c in DIRECTORY.split(", ")], 2)
 
     return archives.select("path").mapInPandas(listed, DIRECTORY)
 
 
-def _batched(rows: Iterator[tuple], columns: list[str], content: int) -> Iterator[pd.DataFrame]:
-    """rows in frames of bounded numbers and bytes; content is the place of their bytes."""
-    held: list[tuple] = []
-    size = 0
-    for row in rows:
-        held.append(row)
-        size += len(row[content] or b"")
-        if size > BATCH_BYTES or len(held) == BATCH_ROWS:
-            yield pd.DataFrame(held, columns=columns)
-            held, size = [], 0
-    yield pd.DataFrame(held, columns=columns)
-
-
 def _member(file: pa.NativeFile, m: object) -> bytes:
     """A member's bytes, by two reads of their ranges."""
     if m.encrypted or m.method not in (PLAIN, DEFLATED):
@@ -107,7 +95,7 @@ def contents(members: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.astype({c: object for c in ("name", "size", "packed", "crc", "method", "encrypted", "offset", "error")}).where(batch.notna(), None)
-            yield from _batched(rows(batch), ["archive", "pos", "name", "size", "content", "error"], 4)
+            yield from batched(rows(batch), ["archive", "pos", "name", "size", "content", "error"], 4)
 
     return dealt.mapInPandas(read, "archive string, pos long, name string, size long, content binary, error string")
 
@@ -188,7 +176,7 @@ def packed(members: DataFrame) -> DataFrame:
 
     def deflate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield from _batched(map(deflated, batch.itertuples(index=False)), ["archive", "name", "crc", "size", "method", "data"], 5)
+            yield from batched(map(deflated, batch.itertuples(index=False)), ["archive", "name", "crc", "size", "method", "data"], 5)
 
     safe = members.where(is_safe(F.col("name")) & F.col("content").isNotNull())
     return safe.select("archive", "name", "content").mapInPandas(deflate, "archive string, name string, crc long, size long, method int, data binary")

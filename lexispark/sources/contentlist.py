@@ -21,7 +21,7 @@ from ..functions.files import file_kind, safe_or_error
 from ..functions.markup import escape_fragment
 from ..functions.text import escape_attribute
 from ..staging import staged
-from .streams import write_streams
+from .streams import batched, write_streams
 
 #: Translatable attributes of LSX files, and their types.
 LSX_FIELDS = frozenset(["Description", "DisplayName", "Title", "Tooltip", "TooltipDescription"])
@@ -163,13 +163,15 @@ def parse_lsx(name: str, content: bytes) -> list[tuple]:
 
 def parse(files: DataFrame) -> DataFrame:
     """Parsed rows of files (name, kind, content) of text kinds; other kinds have none. A column pos of files, as of
-    in_order, is their file_no."""
+    in_order, is their file_no. Small files share a frame."""
+
+    def rows(batch: pd.DataFrame) -> Iterator[tuple]:
+        for name, kind, pos, content in zip(batch["name"], batch["kind"], batch["pos"], batch["content"]):
+            found = parse_content_list(name, bytes(content)) if kind == "localization-xml" else parse_lsx(name, bytes(content)) if kind == "metadata-lsx" else []
+            yield from ((name, None if pd.isna(pos) else int(pos), *row[2:]) for row in found)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, kind, pos, content in zip(batch["name"], batch["kind"], batch["pos"], batch["content"]):
-                rows = parse_content_list(name, bytes(content)) if kind == "localization-xml" else parse_lsx(name, bytes(content)) if kind == "metadata-lsx" else []
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")]).assign(file_no=pos)
+        yield from batched((row for batch in batches for row in rows(batch)), [c.split()[0] for c in PARSED.split(", ")], 5)
 
     pos = F.col("pos") if "pos" in files.columns else F.lit(None)
     return files.select("name", "kind", pos.cast("long").alias("pos"), "content").mapInPandas(each, PARSED)

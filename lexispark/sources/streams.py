@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyarrow import fs
@@ -12,6 +12,25 @@ from pyspark.sql import DataFrame
 from ..staging import staged
 
 
+#: Rows and bytes of a frame that a task gives back.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def batched(rows: Iterable[tuple], columns: list[str], content: int) -> Iterator[pd.DataFrame]:
+    """rows in frames of bounded numbers and bytes, so that neither one row nor all of them make a frame; content is the
+    place of what their size is in, bytes or text."""
+    held: list[tuple] = []
+    size = 0
+    for row in rows:
+        held.append(row)
+        size += len(row[content] or b"")
+        if size > BATCH_BYTES or len(held) == BATCH_ROWS:
+            yield pd.DataFrame(held, columns=columns, dtype=object)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns, dtype=object)
+
+
 def place(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI, as Spark gives it (file:/x for file:///x)."""
     if uri.startswith("file:"):
