@@ -14,14 +14,15 @@ def pending(entries: DataFrame) -> DataFrame:
     return entries.where(~is_blank("source") & is_blank("target"))
 
 
-def plan(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def plan(entries: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(resolved, jobs). resolved: id, pos, target, rule. jobs: kind, base, first_pos, members (id, suffix in order).
+    known is the entries' memory, if it is at hand.
 
     In order: numbered names whose base is in memory; series of two or more pending names; exact keys in memory;
     the rest by exact key.
     """
     entries = series.keyed(entries)
-    open_entries, known = pending(entries), staged(memory.build(entries))
+    open_entries, known = pending(entries), staged(memory.build(entries)) if known is None else known
     alias = series.aliases(entries).select(F.col("base_key").alias("raw_key"), "canonical")
     sources = series.profiles(series.variants(entries)).select("base_key", "base_source")
     named = series.variants(open_entries).drop("key").withColumnRenamed("base_key", "raw_key").join(alias, "raw_key", "left").withColumn("base_key", F.coalesce("canonical", "raw_key")).join(sources, "base_key", "left").withColumn("base_source", F.coalesce("base_source", "base"))
@@ -55,8 +56,16 @@ def prompt(source: Column, matched: Column, consistent: Column, hint: Column) ->
     return F.when(parts == "", F.concat(F.lit(f"{ask}:\n\n"), source)).otherwise(F.concat(F.lit(f"{ask}.\n\n"), parts, F.lit("\n\nText:\n"), source))
 
 
+def planned(entries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(resolved, jobs, known): plan() with the entries' memory; entries are keyed, and their memory is built, once."""
+    entries = series.keyed(entries)
+    known = staged(memory.build(entries))
+    return *plan(entries, known), known
+
+
 def requests(jobs: DataFrame, terms: DataFrame, known: DataFrame, hint: Column | None = None) -> DataFrame:
-    """jobs with matches, consistency terms and the prompt."""
+    """jobs with matches, consistency terms and the prompt. Jobs are staged, as three branches read them."""
+    jobs = staged(jobs)
     keyed = jobs.withColumn("key", consistency_key("base"))
     pair = lambda order, a, b: F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(a).alias("source"), F.col(b).alias("target")))), lambda m: F.struct(m["source"], m["target"]))
     found = glossary.matches(jobs.select("base").distinct(), terms, "base", "base").groupBy("base").agg(pair("rank", "source", "target").alias("matches"))

@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import memory, state
+from ..operators import state
 from ..schema import TRANSLATING
 from ..sources.streams import batched
 from ..staging import staged
@@ -95,8 +95,8 @@ def memory_events(resolved: DataFrame) -> DataFrame:
 def translate_table(entries: DataFrame, terms: DataFrame, translator: Callable[[str, str], Iterable[str]] = offline, hint: Column | None = None, **options: object) -> tuple[DataFrame, DataFrame]:
     """(entries, events): plans, asks the translator for each job, and folds all events into the entries. Events are
     staged, so each job is asked once (again only where a task is lost); options are those of run_jobs."""
-    resolved, jobs = planner.plan(entries)
-    asked = planner.requests(jobs, terms, memory.build(entries), hint)
+    resolved, jobs, known = planner.planned(entries)
+    asked = planner.requests(jobs, terms, known, hint)
     events = staged(memory_events(resolved).unionByName(run_jobs(asked, translator, **options)))
     ordered = events.withColumns({"ts": F.timestamp_seconds("job_pos"), "status": F.lit(TRANSLATING)})
     return state.apply_to(entries, ordered), events

@@ -167,8 +167,8 @@ def fanout(spark, d):
 
 
 def prompt(spark, d):
-    jobs = planner.plan(entries(spark, d))[1]
-    return planner.requests(jobs, part_terms(spark, d), memory.build(entries(spark, d)), F.lit("  short names ")).select("kind", "first_pos", "prompt")
+    _, jobs, known = planner.planned(entries(spark, d))
+    return planner.requests(jobs, part_terms(spark, d), known, F.lit("  short names ")).select("kind", "first_pos", "prompt")
 
 
 def event_fold(spark, d):

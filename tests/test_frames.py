@@ -52,3 +52,16 @@ def test_archives_share_a_frame(tmp_path):
 def test_frames_are_bounded_by_bytes_too():
     assert [len(f) for f in batched(((b"x" * BATCH_BYTES,) for _ in range(4)), ["content"], 0)] == [2, 2]
     assert list(batched(iter([]), ["content"], 0)) == []
+
+
+def test_entries_are_keyed_and_remembered_once(spark, data, monkeypatch):
+    from lexispark import queries
+    from lexispark.operators import memory, series
+
+    built, keyed, stage = [], [], series.staged
+    build = memory.build
+    monkeypatch.setattr(memory, "build", lambda entries: built.append(1) or build(entries))
+    monkeypatch.setattr(series, "staged", lambda df, *under: keyed.append("key" in df.columns and "base" in df.columns) or stage(df, *under))
+    queries.translated_table(spark, data)
+    queries.prompt(spark, data)
+    assert len(built) == 2 and sum(keyed) == 2
