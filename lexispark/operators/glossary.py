@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import word_bounded, ws_trim
 from ..staging import scratch, staged
 from .containment import contained
+from .views import numbered
+
+#: Terms that are small enough for Spark to bring them to the texts.
+FEW_TERMS = 1 << 15
 
 #: Words too common to be terms of their own, if they have up to four bytes.
 STOP_WORDS = [
@@ -84,36 +88,54 @@ def matches(texts: DataFrame, terms: DataFrame, key: str, text: str = "text") ->
 
     Texts are split into distinct words (and what lies between, if a term has no word) and joined with the terms by the
     tokens of anchor_tokens(), so a term costs as many rows as texts have its rarest piece, whatever else it holds. Terms
-    of several words, and other ones that a token can't prove, are then tested on the candidates' texts. Only keys and
-    tokens are shuffled, and texts that have such candidates.
+    are numbered in the order of ranks, and a text's candidates are gathered as these numbers: no string of a term goes
+    through a shuffle with them. Terms of several words, and other ones that a token can't prove, are then tested on the
+    candidates' texts. Only keys, tokens and numbers are shuffled, and texts that have such candidates.
     """
     spark = texts.sparkSession
     with scratch(spark) as under:
         low = F.lower("source")
         found_words = F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0))
         usable = terms.where("enabled AND NOT ambiguous AND source <> ''").select("pos", "source", "target", "whole_word", "case_sensitive", F.when(F.col("case_sensitive"), F.col("source")).otherwise(low).alias("needle"), (F.size(found_words) > 0).alias("worded"), F.when(F.size(found_words) > 0, found_words).otherwise(F.array(low)).alias("pieces"))
-        usable = staged(usable, under)
+        usable = staged(numbered(usable, [-F.octet_length("source"), F.col("pos"), F.col("source"), F.col("target")]), under)
         pattern = r"(?U)\w+" if usable.where("NOT worded").isEmpty() else r"(?U)\w+|\W+"
         rows = texts.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
         tokens = F.array_distinct(F.regexp_extract_all("__text", F.lit(pattern), F.lit(0)))
-        anchored = staged(anchor_tokens(rows, usable, tokens, under).join(usable.drop("worded", "pieces"), "pos"), under)
-        term = F.struct((-F.octet_length("source")).alias("n"), "pos", "source", "target", "sure", "needle", "whole_word", "case_sensitive")
-        seen = rows.select("__key", F.explode(tokens).alias("token")).join(anchored, "token").groupBy("__key").agg(F.collect_set(term).alias("c"))
-        if anchored.where("NOT sure").isEmpty():
+        code = F.col("place") * 2 + F.when(F.col("sure"), 0).otherwise(1)  # even: nothing is left to be tested
+        anchored = staged(anchor_tokens(rows, usable, tokens, under).join(usable.select("pos", "place"), "pos").select("token", code.alias("code")), under)
+        seen = rows.select("__key", F.explode(tokens).alias("token")).join(anchored, "token").groupBy("__key").agg(F.collect_set("code").alias("c"))
+        if anchored.where("code % 2 = 1").isEmpty():
             held = seen
         else:
             seen = staged(seen, under)  # read twice, and the texts of candidates only are shuffled
-            unsure = F.exists("c", lambda t: ~t["sure"])
-            tested = seen.where(unsure).withColumnRenamed("__key", "__of")
-            hay = rows.join(tested, F.col("__key").eqNullSafe(F.col("__of"))).select("__key", "__text", F.lower("__text").alias("__low"), "c")
-
-            def holds(t: Column) -> Column:
-                inside = F.when(t["case_sensitive"], F.col("__text")).otherwise(F.col("__low"))
-                return t["sure"] | F.when(t["whole_word"], word_bounded(inside, t["needle"])).otherwise(inside.contains(t["needle"]))
-
-            held = seen.where(~unsure).union(hay.select("__key", F.filter("c", holds).alias("c")))
-        ranked = held.select("__key", F.posexplode(F.array_sort("c")).alias("rank", "m"))
-        return staged(ranked.select(F.col("__key").alias(key), F.col("m.pos").alias("term_pos"), "m.source", "m.target", (F.col("rank") + 1).cast("long").alias("rank")))
+            odd, unsure = lambda c: c % 2 == 1, F.exists("c", lambda c: c % 2 == 1)
+            tested = seen.where(unsure)
+            needles = usable.select((F.col("place") * 2 + 1).alias("code"), "needle", "whole_word", "case_sensitive")
+            passed = _tested(rows, tested.select(F.col("__key").alias("__of"), F.filter("c", odd).alias("c")), needles)
+            proved = tested.select("__key", F.explode(F.filter("c", lambda c: ~odd(c))).alias("code"))
+            held = seen.where(~unsure).union(proved.union(passed).groupBy("__key").agg(F.collect_set("code").alias("c")))
+        ranked = held.select("__key", F.posexplode(F.array_sort("c")).alias("rank", "code")).withColumn("place", F.shiftright("code", 1))
+        told = usable.select("place", "pos", "source", "target")
+        return staged(ranked.join(told, "place").select(F.col("__key").alias(key), F.col("pos").alias("term_pos"), "source", "target", (F.col("rank") + 1).cast("long").alias("rank")))
+
+
+def _tested(rows: DataFrame, candidates: DataFrame, needles: DataFrame) -> DataFrame:
+    """(__key, code): the candidates (__of, c) that their texts hold. The few terms of a usual glossary come to the texts;
+    the needles of more go through a shuffle to their texts' candidates, as texts once for each of them would be larger."""
+
+    def holds(of: Column, needle: Column, whole_word: Column, case_sensitive: Column) -> Column:
+        inside = F.when(case_sensitive, F.col("__text")).otherwise(of)
+        return F.when(whole_word, word_bounded(inside, needle)).otherwise(inside.contains(needle))
+
+    same = F.col("__key").eqNullSafe(F.col("__of"))
+    if needles.count() <= FEW_TERMS:
+        hay = rows.join(candidates, same).select("__key", "__text", F.lower("__text").alias("__low"), "c")  # in lower case once a text, not once a candidate
+        each = hay.select("__key", "__text", "__low", F.explode("c").alias("code")).join(needles, "code")
+        return each.where(holds(F.col("__low"), F.col("needle"), F.col("whole_word"), F.col("case_sensitive"))).select("__key", "code")
+    gathered = candidates.select("__of", F.explode("c").alias("code")).join(needles, "code").groupBy("__of").agg(F.collect_list(F.struct("code", "needle", "whole_word", "case_sensitive")).alias("c"))
+    hay = rows.join(gathered, same).select("__key", "__text", F.lower("__text").alias("__low"), "c")
+    held = F.filter("c", lambda t: holds(F.col("__low"), t["needle"], t["whole_word"], t["case_sensitive"]))
+    return hay.select("__key", F.explode(F.transform(held, lambda t: t["code"])).alias("code"))
 
 
 def page(terms: DataFrame, size: int, shown: int = 1) -> DataFrame:

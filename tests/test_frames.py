@@ -65,3 +65,15 @@ def test_entries_are_keyed_and_remembered_once(spark, data, monkeypatch):
     queries.translated_table(spark, data)
     queries.prompt(spark, data)
     assert len(built) == 2 and sum(keyed) == 2
+
+
+def test_no_string_of_a_term_is_gathered(spark, data, monkeypatch):
+    from lexispark import queries
+    from lexispark.operators import glossary
+
+    gathered, stage = [], glossary.staged
+    monkeypatch.setattr(glossary, "staged", lambda df, *under: gathered.extend(t for n, t in df.dtypes if n == "c") or stage(df, *under))
+    few = queries.glossary_match_substring(spark, data).collect()
+    assert gathered == ["array<bigint>"]
+    monkeypatch.setattr(glossary, "FEW_TERMS", 0)
+    assert sorted(queries.glossary_match_substring(spark, data).collect()) == sorted(few)
