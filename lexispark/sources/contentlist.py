@@ -21,7 +21,7 @@ from ..functions.files import file_kind, safe_or_error
 from ..functions.markup import escape_fragment
 from ..functions.text import escape_attribute
 from ..staging import staged
-from .streams import batched, write_streams
+from .streams import batched, small_batches, write_streams
 
 #: Translatable attributes of LSX files, and their types.
 LSX_FIELDS = frozenset(["Description", "DisplayName", "Title", "Tooltip", "TooltipDescription"])
@@ -225,20 +225,22 @@ def parse_split(spark: SparkSession, path: str) -> DataFrame:
             at += len(out)
             return out
 
-        columns = [c.split()[0] for c in RECORDS.split(", ")]
-        for batch in batches:
-            out = []
-            for record in batch.itertuples(index=False, name=None):
-                if held:
-                    ended = held[1:3] != record[1:3]
-                    out += parsed(held, ended and held[3])
-                    at = 0 if ended else at
-                held = record
-            yield pd.DataFrame(out, columns=columns)
-        if held:
-            yield pd.DataFrame(parsed(held, held[3]), columns=columns)
-
-    found = staged(lines.mapInPandas(each, RECORDS))
+        def rows() -> Iterator[tuple]:
+            nonlocal held, at
+            for batch in batches:
+                for record in batch.itertuples(index=False, name=None):
+                    if held:
+                        ended = held[1:3] != record[1:3]
+                        yield from parsed(held, ended and held[3])
+                        at = 0 if ended else at
+                    held = record
+            if held:
+                yield from parsed(held, held[3])
+
+        yield from batched(rows(), [c.split()[0] for c in RECORDS.split(", ")], 5)
+
+    with small_batches(spark):
+        found = staged(lines.mapInPandas(each, RECORDS))
     blocks = found.groupBy("source_file", "block").agg(F.max("ordinal").alias("most"), F.bool_or("suspect").alias("suspect"))
     file = Window.partitionBy("source_file")
     before = F.sum(F.col("most") + 1).over(file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1))

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..staging import staged
 
 
-#: Rows and bytes of a frame that a task gives back.
+#: Rows and bytes of a frame that a task takes or gives back.
 BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
@@ -31,6 +32,20 @@ def batched(rows: Iterable[tuple], columns: list[str], content: int) -> Iterator
         yield pd.DataFrame(held, columns=columns, dtype=object)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Tasks in Python take batches of as many rows and bytes at most; afterwards the session has its own settings again."""
+    own = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {name: spark.conf.get(name) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def place(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a URI, as Spark gives it (file:/x for file:///x)."""
     if uri.startswith("file:"):
@@ -102,6 +117,7 @@ def write_streams(pieces: DataFrame, order: list[str], folder: str, head: str =
 
     dealt = pieces.repartition("name").sortWithinPartitions("name", *order).select("name", "piece")
     try:
-        return staged(dealt.mapInPandas(write, "path string, pieces long, bytes long"))
+        with small_batches(pieces.sparkSession):
+            return staged(dealt.mapInPandas(write, "path string, pieces long, bytes long"))
     finally:
         sweep(folder, job)

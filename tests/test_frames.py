@@ -77,3 +77,16 @@ def test_no_string_of_a_term_is_gathered(spark, data, monkeypatch):
     assert gathered == ["array<bigint>"]
     monkeypatch.setattr(glossary, "FEW_TERMS", 0)
     assert sorted(queries.glossary_match_substring(spark, data).collect()) == sorted(few)
+
+
+def test_a_list_is_read_and_written_by_small_batches(spark, data, monkeypatch):
+    from lexispark import queries
+    from lexispark.sources import streams
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, during = spark.conf.get(name), []
+    for module in (streams, contentlist):
+        stage = module.staged
+        monkeypatch.setattr(module, "staged", lambda df, *under, stage=stage: during.append(int(spark.conf.get(name))) or stage(df, *under))
+    queries.contentlist_split(spark, data)
+    assert during == [BATCH_BYTES, BATCH_BYTES] and spark.conf.get(name) == before
