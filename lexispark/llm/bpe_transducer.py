@@ -1,11 +1,12 @@
-"""Byte-level BPE by a lazily determinised transducer, and streaming decoding.
+"""Byte-level BPE by a lazily determinised transducer with registers, and streaming decoding.
 
 The last token of the encoding of a prefix is the one token that ends the prefix and *stands* after the
 encoding of what precedes it: merging the bytes of both tokens gives back the two tokens. So every
-position of the input where a later token may begin is a thread: a node of the vocabulary's trie and the
-tokens that end there. Threads that die drop out, and tokens that all live threads agree on are emitted:
-lookahead is bounded by the vocabulary. A set of threads, less the tokens emitted, is a state; states and
-their transitions are built when first met and forgotten together when the table is full.
+position of the input where a token may begin is a thread: a node of the vocabulary's trie. Threads that die drop out,
+and the oldest live one says which others live, as their bytes are ends of its own; such a set is a state. Its transition
+by a byte names the tokens that end there. One register a position holds the last token of the prefix, which is the first
+of these that stands after the register at its own beginning; read backwards, registers give the ids. States and their
+transitions are built when first met, do not depend on the tokens before, and are forgotten together when the table is full.
 
 Nulls encode as the empty text; empty texts give no ids and decode to empty bytes. Texts, and pieces within them, may
 have any length; each row is encoded by itself, so repeated rows and ids give a row each; an empty table gives an empty
@@ -18,6 +19,7 @@ import base64
 import gc
 import hashlib
 import struct
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import AbstractContextManager, contextmanager
 from threading import Lock, Timer
@@ -33,6 +35,8 @@ from .common import bounded_batches
 from .packing import release
 
 NEVER = 1 << 60
+#: Bytes from which on a piece is rare enough for arrays.
+LONG = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -41,12 +45,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _State(dict):
-    """Transitions by byte: (next state, ids emitted). threads: (trie node, tokens not yet emitted), oldest first."""
+    """Transitions by byte: (next state, tokens that end there, longest first, each with where the one before it is, from
+    the end, and what it stands after). threads: live trie nodes with the bytes they have read, oldest first."""
 
-    __slots__ = ("last", "rest", "threads")
+    __slots__ = ("missing", "threads")
 
-    def __init__(self, last: int, threads: tuple):
-        self.last, self.threads, self.rest = last, threads, PACK[len(threads[-1][1])](*threads[-1][1])
+    def __init__(self, threads: tuple, missing: Callable[[_State, int], tuple]):
+        self.threads, self.missing = threads, missing
+
+    def __missing__(self, byte: int) -> tuple[_State, tuple]:
+        return self.missing(self, byte)
+
+
+class _Stands(dict):
+    """Whether a token stands after another one, by that; -1 is the beginning of a piece."""
+
+    __slots__ = ("missing", "token")
+
+    def __init__(self, token: int, missing: Callable[[int, int], bool]):
+        self.token, self.missing = token, missing
+        self[-1] = True
+
+    def __missing__(self, left: int) -> bool:
+        known = self[left] = self.missing(left, self.token)
+        return known
 
 
 class _Packs(dict):
@@ -78,20 +100,22 @@ class MergeTransducer:
                     self.inner[node] = True
                 node = below
             self.ends[node] = rank
-        self.stand: dict[int, bool] = {}
+        self.length = {rank: len(token) for rank, token in self.token.items()}
         self.edges: tuple[dict, dict] = {}, {}
         self._forget()
 
     def _forget(self) -> None:
         for state in getattr(self, "states", {}).values():
             state.clear()  # states refer to each other
-        self.states: dict[tuple, _State] = {}
-        self.start = self._state(-1, ((0, ()),))
+        self.states: dict[int, _State] = {}
+        self.after: dict[int, _Stands] = {}
+        self.pairs = 0
+        self.start = self._state(((0, 0),))
 
-    def _state(self, last: int, threads: tuple) -> _State:
-        known = self.states.get((last, threads))
+    def _state(self, threads: tuple) -> _State:
+        known = self.states.get(threads[0][0])
         if known is None:
-            known = self.states[last, threads] = _State(last, threads)
+            known = self.states[threads[0][0]] = _State(threads, self._transition)
         return known
 
     def merged(self, piece: bytes, until: int = 1) -> list[bytes]:
@@ -122,66 +146,59 @@ class MergeTransducer:
             self.edges[side][token] = known
         return known
 
-    def stands(self, left: int, right: int) -> bool:
+    def _stands(self, left: int, right: int) -> bool:
         """No merge across the border comes before the merges on either side. Of equal ranks the leftmost goes first."""
-        key = left << 32 | right
-        known = self.stand.get(key)
-        if known is None:
-            rank, known = self.ranks.get, True
-            for b, until_b in self._edge(self.token[right], 0):
-                for a, until_a in self._edge(self.token[left], 1):
-                    joined = rank(a + b)
-                    if joined is not None and joined < until_a and joined <= until_b:
-                        known = False
-            if len(self.stand) >= 200_000:
-                self.stand.clear()
-            self.stand[key] = known
-        return known
-
-    def _transition(self, state: _State, byte: int) -> tuple[_State, bytes]:
-        last, child, inner, ends = state.last, self.child, self.inner, self.ends
-        alive, ended = [], None
-        for node, pending in state.threads:
-            below = child.get(node << 8 | byte)
+        self.pairs += 1
+        if self.pairs >= 2 * self.max_states:
+            for known in self.after.values():
+                known.clear()
+                known[-1] = True
+            self.pairs = 0
+        rank = self.ranks.get
+        for b, until_b in self._edge(self.token[right], 0):
+            for a, until_a in self._edge(self.token[left], 1):
+                joined = rank(a + b)
+                if joined is not None and joined < until_a and joined <= until_b:
+                    return False
+        return True
+
+    def _transition(self, state: _State, byte: int) -> tuple[_State, tuple]:
+        alive, ended = [], []
+        for node, n in state.threads:
+            below = self.child.get(node << 8 | byte)
             if below is None:
                 continue
-            if inner[below]:
-                alive.append((below, pending))
-            if ended is None and (token := ends[below]) >= 0:
-                before = pending[-1] if pending else last
-                if before < 0 or self.stands(before, token):
-                    ended = (*pending, token)
-        if ended is None:
-            raise ValueError(f"byte {byte} cannot be encoded by this vocabulary")
-        alive.append((0, ended))
-        agreed = alive[0][1]
-        for _, pending in alive[1:]:
-            if not agreed:
-                break
-            n = 0
-            while n < len(agreed) and n < len(pending) and agreed[n] == pending[n]:
-                n += 1
-            agreed = agreed[:n]
-        if agreed:
-            last, alive = agreed[-1], [(node, pending[len(agreed) :]) for node, pending in alive]
-        if all(pending for _, pending in alive):
-            last = -2  # no thread looks at it
+            if self.inner[below]:
+                alive.append((below, n + 1))
+            if (token := self.ends[below]) >= 0:
+                if token not in self.after:
+                    self.after[token] = _Stands(token, self._stands)
+                ended.append((~n, token, self.after[token]))
+        alive.append((0, 0))
         if full := len(self.states) >= self.max_states:
             self._forget()
-        made = (self._state(last, tuple(alive)), PACK[len(agreed)](*agreed))
+        made = (self._state(tuple(alive)), tuple(ended))
         if not full:
             state[byte] = made
         return made
 
     def encode(self, piece: bytes) -> bytes:
         """Ids of one piece as little-endian unsigned 32-bit integers."""
-        state, out = self.start, []
+        state, last = self.start, [-1] if len(piece) < LONG else array("q", [-1])
         for byte in piece:
-            state, emitted = state.get(byte) or self._transition(state, byte)
-            if emitted:
-                out.append(emitted)
-        out.append(state.rest)
-        return b"".join(out)
+            state, ended = state[byte]
+            for before, token, stands in ended:
+                if stands[last[before]]:
+                    last.append(token)
+                    break
+            else:
+                raise ValueError(f"byte {byte} cannot be encoded by this vocabulary")
+        ids, at, length = [], len(piece), self.length
+        while at:
+            ids.append(last[at])
+            at -= length[last[at]]
+        ids.reverse()
+        return PACK[len(ids)](*ids) if len(piece) < LONG else np.array(ids, "<u4").tobytes()
 
 
 class _Units(dict):
@@ -219,7 +236,7 @@ class BpeCodec:
         """room: of what its tables may hold; with less, more is built again."""
         self.machine = MergeTransducer(ranks, int(100_000 * room))
         self.pieces, self.by_space = regex.compile(pattern).findall, pattern == public_tokenizers.PATTERN
-        self.piece = _Units(lambda piece: self.machine.encode(piece.encode()), int(30_000 * room))
+        self.piece = _Units(lambda piece: self.machine.encode(piece.encode()), int(100_000 * room))
         self.unit = _Units(self._pieces, int(20_000 * room))
         self.spaced = _Units(lambda unit: self._pieces(" " + unit), int(100_000 * room))
         self.token = [self.machine.token.get(i, b"") for i in range(max(self.machine.token, default=-1) + 1)]

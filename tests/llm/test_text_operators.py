@@ -91,6 +91,28 @@ def test_bpe_small_table(tik):
         assert np.frombuffer(machine.encode(word.encode()), "<u4").tolist() == tik.encode_ordinary(word)
 
 
+def test_bpe_states_do_not_grow_with_words(tik):
+    """Words that are all new meet states that are there. When states held the tokens before, these made 8,144."""
+    machine = bpe_transducer.MergeTransducer(bpe_transducer.read_ranks(RANKS))
+    draw = random.Random(4)
+    words = ["".join(draw.choices("th he an in er on re nd ed ou ti es or".split(), k=draw.randint(2, 8))) for _ in range(8000)]
+    for word in words[:4000]:
+        machine.encode(word.encode())
+    before = len(machine.states)
+    for word in words[4000:]:
+        assert np.frombuffer(machine.encode(word.encode()), "<u4").tolist() == tik.encode_ordinary(word)
+    assert len(machine.states) < 1.5 * before and len(machine.states) < 2000
+
+
+def test_bpe_forgets_pairs(tik):
+    """Tables that are full are forgotten within a piece."""
+    machine = bpe_transducer.MergeTransducer(bpe_transducer.read_ranks(RANKS), max_states=20)
+    draw = random.Random(5)
+    piece = "".join(draw.choices("abcdefinorst", k=5000))
+    assert np.frombuffer(machine.encode(piece.encode()), "<u4").tolist() == tik._encode_single_piece(piece.encode())
+    assert len(machine.states) <= 21 and machine.pairs < 40
+
+
 def test_utf8_machine():
     data = "aé中🙂".encode() + b"\xe0\x80\xff\xf0\x9f"
     machine = bpe_transducer.Utf8Machine()
