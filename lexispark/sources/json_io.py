@@ -51,11 +51,13 @@ def sse_deltas(bodies: DataFrame, column: str = "value", keep: Sequence[str] = (
 
 
 def line_deltas(lines: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """The deltas among whole lines (pos, line); lines of other kinds, broken ones and empty deltas don't count."""
+    """The deltas among whole lines (pos, line); lines of other kinds, broken ones and empty deltas don't count.
+    A text is exploded from an array of its own, as a filter on it would parse each line a second time."""
     data = ws_trim(F.regexp_extract("line", r"(?s)^data: (.*?)\r*\z", 1))
     parsed = F.from_json(data, "choices array<struct<delta:struct<content:string>>>")
-    rows = lines.where(data != "[DONE]").withColumn("text", F.get(parsed["choices"], F.lit(0))["delta"]["content"])
-    return rows.where("text <> ''").select(*keep, F.col("pos").cast("long"), "text")
+    found = F.get(parsed["choices"], F.lit(0))["delta"]["content"]
+    rows = lines.where(F.startswith("line", F.lit("data: "))).where(data != "[DONE]")
+    return rows.select(*keep, F.col("pos").cast("long"), F.explode(F.filter(F.array(found), lambda t: t != "")).alias("text"))
 
 
 #: A small glossary to begin with; own terms.

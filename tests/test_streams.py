@@ -1,8 +1,10 @@
 """Event state in batch and as a stream, and deltas of bodies that are cut anywhere."""
 
 import random
+import time
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +153,26 @@ def test_deltas_of_any_cut(spark):
         assert out["line"].tolist() == [x.decode() for x in whole] and out["pos"].tolist() == list(range(len(whole)))
     cut = spark.createDataFrame([("b", i, bytearray(BODY[i : i + 1])) for i in range(len(BODY))], "body string, seq long, chunk binary")
     assert sorted((r["pos"], r["text"]) for r in sse.deltas(cut).collect()) == [(0, "é🙂"), (7, "b")]
+
+
+def test_chunks_are_packed():
+    """A row for each body of a batch, null ones too; chunks whose packs interleave are put in order."""
+    names, seqs = ["a", None, "a", "b", None, "a"], [5, 1, 3, None, 0, 4]
+    batch = pa.RecordBatch.from_arrays([pa.array(names), pa.array(seqs, pa.int64()), pa.array([b"x", b"cd", b"", None, b"ab", b"yz"])], ["body", "seq", "chunk"])
+    packs = {r["body"]: r for half in (batch, batch.slice(0, 0)) for b in sse._packed(iter([half])) for r in b.to_pylist()}
+    assert len(packs) == 3 and {k: sse._in_order([r["seqs"]], [r["sizes"]], [r["data"]]) for k, r in packs.items()} == {"a": b"yzx", None: b"abcd", "b": b""}
+    halves = [r for b in sse._packed(iter([batch.slice(0, 3), batch.slice(3)])) for r in b.to_pylist() if r["body"] == "a"]
+    assert len(halves) == 2 and sse._in_order(*[[r[c] for r in halves] for c in ("seqs", "sizes", "data")]) == b"yzx"
+
+
+def test_packed_stream_over_batches(spark, tmp_path):
+    """Bodies that share buckets, one of them null, in two batches that cut lines and characters."""
+    bodies = ["a", "b", "c", None]
+    rows = [(body, i, bytearray(BODY[i : i + 2])) for body in bodies for i in range(0, len(BODY), 2)]
+    for at, half in enumerate(([r for r in rows if r[1] < 47], [r for r in rows if r[1] >= 47])):
+        spark.createDataFrame(half, "body string, seq long, chunk binary").repartition(3, "seq").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if at == 0:
+            time.sleep(1.1)
+    stream = spark.readStream.schema("body string, seq long, chunk binary").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = once.drained(sse.delta_stream(stream, buckets=2)).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((body, pos, text)) for body in bodies for pos, text in ((0, "é🙂"), (7, "b")))
