@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+import uuid
 from collections.abc import Iterator
 from xml.parsers import expat
 from xml.sax.saxutils import escape
@@ -26,6 +27,8 @@ from .streams import batched, small_batches, write_streams
 #: Translatable attributes of LSX files, and their types.
 LSX_FIELDS = frozenset(["Description", "DisplayName", "Title", "Tooltip", "TooltipDescription"])
 LSX_TYPES = frozenset(["LSString", "LSWString"])
+#: What a small file costs beside its bytes, of the bytes of a task that reads files.
+OPEN_BYTES = 64 << 10
 PARSED = "source_file string, file_no long, ordinal long, contentuid string, version string, source string, place long, warning string"
 
 
@@ -48,8 +51,14 @@ def _restored(x: str) -> str:
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """name (below the folder), kind and content of every file; folders that can't be read are skipped."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(folder)
+    """name (below the folder), kind and content of every file; folders that can't be read are skipped. A small file
+    counts as OPEN_BYTES of a task's bytes, where Spark's own setting puts 32 files in a task."""
+    reader = spark.newSession()  # a scan is planned by the settings of the session that it was made in
+    reader.conf.set("spark.sql.files.openCostInBytes", str(OPEN_BYTES))
+    view = f"files_{uuid.uuid4().hex}"
+    reader.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(folder).createGlobalTempView(view)
+    found = spark.table(f"{spark.conf.get('spark.sql.globalTempDatabase')}.{view}")
+    reader.catalog.dropGlobalTempView(view)
     name = F.regexp_replace("path", "^[a-zA-Z]+:/*", "/")
     root = F.lit(re.sub("^[a-zA-Z]+:/*", "/", folder.rstrip("/")) + "/")
     files = found.select(F.replace(name, root, F.lit("")).alias("name"), "length", "content")

@@ -78,3 +78,14 @@ def test_orders_for_readers(spark):
     by = views.numbered(files, views.language_order(files)).orderBy("place")
     assert [r["language"] for r in by.collect()] == ["de", "english", "English", "English", "Français", "french", "zzz", None, None] and [r["place"] for r in by.collect()] == list(range(1, 10))
     assert [r["name"] for r in views.by_language(files).collect()] == [r["name"] for r in by.collect()]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """More than 32 small files make a task; the session keeps its own settings."""
+    cores, own = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.openCostInBytes")
+    for i in range(64 * cores):
+        (tmp_path / f"f{i}.txt").write_bytes(b"x" * (i + 1))
+    files = contentlist.read_files(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() <= cores + 1
+    assert sorted((r["name"], r["length"], len(r["content"])) for r in files.collect()) == sorted((f"f{i}.txt", i + 1, i + 1) for i in range(64 * cores))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == own and files.sparkSession is spark
