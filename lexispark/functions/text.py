@@ -84,9 +84,11 @@ def escape_attribute(x: Column | str) -> Column:
 
 
 def word_bounded(text: Column, needle: Column) -> Column:
-    """Whether needle stands in text with Unicode word borders at both ends; the plain search goes first."""
+    """Whether needle stands in text with Unicode word borders at both ends. Plain searches go first: a needle that begins
+    and ends with characters of words has both borders between two spaces, so only the others' patterns are compiled."""
     literal = F.concat(F.lit(r"(?U)\b\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
-    return (needle != "") & text.contains(needle) & F.regexp_like(text, literal)
+    spaced = F.regexp_like(needle, F.lit(r"(?Us)\A\w(.*\w)?\z")) & text.contains(F.concat(F.lit(" "), needle, F.lit(" ")))
+    return (needle != "") & text.contains(needle) & (spaced | F.regexp_like(text, literal))
 
 
 def anchors(x: Column, sizes: Sequence[int] = (1, 2, 3)) -> Column:

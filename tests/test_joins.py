@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from lexispark.functions.text import word_bounded
 from lexispark.operators import containment, glossary, memory, series
 from lexispark.schema import TERM
 
@@ -96,3 +97,13 @@ def test_hot_sets_bound_the_join(spark):
     latin = spark.range(5000).selectExpr("array('1', '2', '3') AS suffixes", "concat('b', id) AS canonical", "3 AS m")
     cjk = spark.createDataFrame([(["1", "2", "3"],), (["1", "2"],), (["3"],)], "suffixes array<string>")
     assert sorted((tuple(r["suffixes"]), r["canonical"]) for r in series.best_overlaps(cjk, latin).collect()) == [(("1", "2"), "b0"), (("1", "2", "3"), "b0")]
+
+
+def test_borders_by_spaces(spark):
+    """Between two spaces or not, the answer is that of the pattern."""
+    needles = ["red fox", "fox", "-fox", "fox-", "e\u0301", "\u0301", " ", "\\E", "物", "x"]
+    texts = ["a red fox ran", "red fox", "a -fox b", "a fox- b", "a e\u0301 b", "a \u0301 b", "the foxes", "foxes fox, x", "a \\E b", "a 物 b", "a  b", " - x - ", "redfox fox"]
+    pairs = spark.createDataFrame([(t, n) for t in texts for n in needles], "t string, n string")
+    pattern = F.concat(F.lit(r"(?U)\b\Q"), F.replace("n", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\b"))
+    got = pairs.select("t", "n", word_bounded(F.col("t"), F.col("n")).alias("got"), F.regexp_like("t", pattern).alias("want")).collect()
+    assert [r for r in got if r["got"] != r["want"]] == [] and sum(r["got"] for r in got) > 8
