@@ -193,6 +193,8 @@ def write_archives(members: DataFrame, folder: str) -> DataFrame:
     """
 
     job = f"{uuid.uuid4().hex}.part"
+    system, root = place(folder)
+    system.create_dir(root, recursive=True)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         zip_, name, done = None, None, []

@@ -15,6 +15,7 @@ from xml.parsers import expat
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyarrow.fs import FileType
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,13 +23,12 @@ from ..functions.files import file_kind, safe_or_error
 from ..functions.markup import escape_fragment
 from ..functions.text import escape_attribute
 from ..staging import staged
+from . import folders
 from .streams import batched, small_batches, write_streams
 
 #: Translatable attributes of LSX files, and their types.
 LSX_FIELDS = frozenset(["Description", "DisplayName", "Title", "Tooltip", "TooltipDescription"])
 LSX_TYPES = frozenset(["LSString", "LSWString"])
-#: What a small file costs beside its bytes, of the bytes of a task that reads files.
-OPEN_BYTES = 64 << 10
 PARSED = "source_file string, file_no long, ordinal long, contentuid string, version string, source string, place long, warning string"
 
 
@@ -51,18 +51,26 @@ def _restored(x: str) -> str:
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """name (below the folder), kind and content of every file; folders that can't be read are skipped. A small file
-    counts as OPEN_BYTES of a task's bytes, where Spark's own setting puts 32 files in a task."""
+    """name (below the folder), length, content and kind of every file; folders that can't be read are skipped. Tasks
+    list the folder and read its files. A store that only Spark's readers open is listed by the driver, and without
+    files of no bytes, which they leave out."""
+    known = folders.kind_of(folder) != FileType.Unknown
+    files = folders.with_content(folders.files_below(spark, folder), folder) if known else _scanned(spark, folder)
+    return files.withColumn("kind", file_kind(F.col("name")))
+
+
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, length, content) by Spark's reader. A small file counts as OPEN_BYTES of a task's bytes, where Spark's own
+    setting puts 32 files in a task."""
     reader = spark.newSession()  # a scan is planned by the settings of the session that it was made in
-    reader.conf.set("spark.sql.files.openCostInBytes", str(OPEN_BYTES))
+    reader.conf.set("spark.sql.files.openCostInBytes", str(folders.OPEN_BYTES))
     view = f"files_{uuid.uuid4().hex}"
     reader.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(folder).createGlobalTempView(view)
     found = spark.table(f"{spark.conf.get('spark.sql.globalTempDatabase')}.{view}")
     reader.catalog.dropGlobalTempView(view)
     name = F.regexp_replace("path", "^[a-zA-Z]+:/*", "/")
     root = F.lit(re.sub("^[a-zA-Z]+:/*", "/", folder.rstrip("/")) + "/")
-    files = found.select(F.replace(name, root, F.lit("")).alias("name"), "length", "content")
-    return files.withColumn("kind", file_kind(F.col("name")))
+    return found.select(F.replace(name, root, F.lit("")).alias("name"), "length", "content")
 
 
 def in_order(files: DataFrame) -> DataFrame:

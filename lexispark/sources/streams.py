@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -53,6 +54,29 @@ def place(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
+def standing(system: fs.FileSystem, folder: str) -> Iterator[tuple[str, bool, int]]:
+    """Name, whether it is a folder, and bytes of what stands in a folder; nothing if that can't be read. A local folder
+    is read as a stream, so millions of files are never held."""
+    if not isinstance(system, fs.LocalFileSystem):
+        try:
+            found = system.get_file_info(fs.FileSelector(folder.rstrip("/")))
+        except OSError:
+            return
+        yield from ((x.base_name, x.type == fs.FileType.Directory, x.size or 0) for x in found)
+        return
+    try:
+        found = os.scandir(folder)
+    except OSError:
+        return
+    with found:
+        for x in found:
+            try:
+                if x.is_dir() or x.is_file():
+                    yield x.name, x.is_dir(), 0 if x.is_dir() else x.stat().st_size
+            except OSError:  # gone meanwhile
+                continue
+
+
 class Growing:
     """A file under a name of its own until it is closed; then it has its path, whole."""
 

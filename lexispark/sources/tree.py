@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyarrow import fs
@@ -14,6 +14,7 @@ from ..functions.files import file_kind, safe_or_error, target_path
 from ..operators.views import latest_readable
 from ..staging import staged
 from .contentlist import written_lsx, written_xml
+from .streams import batched, place, small_batches, standing
 
 
 def written(files: DataFrame, entries: DataFrame, retarget: bool = False) -> DataFrame:
@@ -27,24 +28,46 @@ def written(files: DataFrame, entries: DataFrame, retarget: bool = False) -> Dat
     return out.withColumn("name", target_path(F.col("name"))) if retarget else out
 
 
-def write_tree(files: DataFrame, folder: str) -> DataFrame:
-    """Files (name, content) written below folder, which all executors share. Returns the staged list of what was
-    written: name and size. Each file appears whole under its name, so tasks may run again. An unsafe name is an error."""
+def _put(files: DataFrame, folder: str, chosen: Callable[[Iterator[tuple]], Iterator[tuple[str, bytes]]]) -> DataFrame:
+    """Files that are chosen of a partition's rows, below folder; see write_tree."""
+    system, root = place(folder.rstrip("/"))
+    job = f"{root}/{uuid.uuid4().hex}.part"  # a task's file there says what it may have begun
+    system.create_dir(job, recursive=True)
+
+    def written(rows: Iterator[tuple]) -> Iterator[tuple[str, int]]:
+        system, task, parent = place(folder)[0], f"{uuid.uuid4().hex}.part", None
+        for name, content in chosen(rows):
+            path = f"{root}/{name}"
+            if parent != (parent := path.rpartition("/")[0]):
+                own = f"{parent}/{task}"  # not in the job's folder: names that change folders are changed one at a time
+                system.create_dir(parent, recursive=True)
+                with system.open_output_stream(f"{job}/{task}", compression=None) as out:
+                    out.write(own.encode())
+            with system.open_output_stream(own, compression=None) as out:
+                out.write(content)
+            system.move(own, path)
+            yield name, len(content)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        for batch in batches:
-            for name, content in zip(batch["name"], batch["content"]):
-                path = f"{root.rstrip('/')}/{name}"
-                system.create_dir(path.rpartition("/")[0], recursive=True)
-                own = f"{path}.{uuid.uuid4().hex}.part"
-                with system.open_output_stream(own) as out:
-                    out.write(bytes(content))
-                system.move(own, path)
-            yield pd.DataFrame({"name": batch["name"], "size": [len(c) for c in batch["content"]]})
-
-    named = files.where("content IS NOT NULL").select(safe_or_error(F.col("name")).alias("name"), "content")
-    return staged(named.mapInPandas(each, "name string, size long"))
+        yield from batched(written(row for batch in batches for row in batch.itertuples(index=False, name=None)), ["name", "size"], 0)
+
+    try:
+        with small_batches(files.sparkSession):
+            return staged(files.withColumn("name", safe_or_error(F.col("name"))).mapInPandas(each, "name string, size long"))
+    finally:
+        for task, *_ in standing(system, job):
+            with system.open_input_file(f"{job}/{task}") as file:
+                own = file.read().decode()
+            if system.get_file_info(own).type == fs.FileType.File:
+                system.delete_file(own)
+        system.delete_dir(job)
+
+
+def write_tree(files: DataFrame, folder: str) -> DataFrame:
+    """Files (name, content) written below folder, which all executors share. Returns the staged list of what was
+    written: name and size. Each file appears whole under its name, so tasks may run again; what failed or lost ones
+    had begun goes when the job has ended. An unsafe name is an error."""
+    return _put(files.where("content IS NOT NULL").select("name", "content"), folder, lambda rows: rows)
 
 
 def extract(members: DataFrame, folder: str) -> DataFrame:
