@@ -392,7 +392,7 @@ def extracted_files(spark, d):
     """The archives written, read, extracted below a folder, and what that folder holds then."""
     top = f"{shared_dir(spark)}/extract-{uuid.uuid4().hex}"
     archive.write_archives(_members(spark, d), f"{top}/zips")
-    tree.extract(archive.read_archives(spark, f"{top}/zips").withColumn("pos", F.lit(0)), f"{top}/files")
+    tree.extract_archives(spark, f"{top}/zips", f"{top}/files")
     return contentlist.read_files(spark, f"{top}/files").select("name", "kind", F.col("length").alias("size"), F.md5("content").alias("digest"))
 
 

@@ -7,15 +7,20 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+from typing import NamedTuple
 
 import pandas as pd
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import file_kind, is_safe, language, normalized_path, safe_or_error
 from ..staging import staged
-from .streams import Growing, batched, place, sweep
+from . import folders
+from .streams import Growing, batched, place, small_batches, sweep
 
 #: Bytes of members that one task reads, about.
 RANGE_BYTES = 32 << 20
@@ -49,6 +54,17 @@ def directory(archives: DataFrame) -> DataFrame:
     return archives.select("path").mapInPandas(listed, DIRECTORY)
 
 
+class Place(NamedTuple):
+    """Where a member stands in its archive, and how."""
+
+    size: int
+    packed: int
+    crc: int
+    method: int
+    encrypted: int
+    offset: int
+
+
 def _member(file: pa.NativeFile, m: object) -> bytes:
     """A member's bytes, by two reads of their ranges."""
     if m.encrypted or m.method not in (PLAIN, DEFLATED):
@@ -94,24 +110,63 @@ def contents(members: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch = batch.astype({c: object for c in ("name", "size", "packed", "crc", "method", "encrypted", "offset", "error")}).where(batch.notna(), None)
+            whole = batch.astype({c: "Int64" for c in ("size", "packed", "crc", "method", "offset")})  # floats beside a broken archive's nulls
+            batch = whole.astype(object).where(batch.notna(), None)
             yield from batched(rows(batch), ["archive", "pos", "name", "size", "content", "error"], 4)
 
     return dealt.mapInPandas(read, "archive string, pos long, name string, size long, content binary, error string")
 
 
+def _paths(spark: SparkSession, path: str) -> DataFrame:
+    """path of each archive. A folder is listed by tasks, other paths by Spark's reader on the driver."""
+    if folders.kind_of(path) != FileType.Directory:
+        return spark.read.format("binaryFile").load(path).select("path")
+    path = path.rstrip("/") if "://" in path and not path.startswith("file:") else "file:" + place(path)[1].rstrip("/")
+    own = folders.files_below(spark, path, recursive=False).where(~F.col("name").rlike("^[_.]"))
+    return folders.dealt(own, F.lit(0)).select(F.concat(F.lit(f"{path}/"), "name").alias("path"))
+
+
 def read_archives(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """A row for each member of the zip archives at path: archive, pos, name, size, kind, language, content, readable and error.
 
     Members whose paths leave the archive are left out, or an error if strict. Those that can't be read have no content;
-    an archive that can't be opened is one such row, with an empty name.
+    an archive that can't be opened is one such row, with an empty name. Of a folder all files are taken but hidden ones.
     """
-    found = contents(directory(spark.read.format("binaryFile").load(path).select("path")))
-    named = found.withColumn("name", normalized_path(F.coalesce("name", F.lit(""))))
-    named = named.withColumn("name", safe_or_error(F.col("name"))) if strict else named.where(is_safe(F.col("name")))
+    named = _safely_named(contents(directory(_paths(spark, path))), strict)
     return named.withColumns({"kind": file_kind(F.col("name")), "language": language(F.col("name")), "readable": F.col("content").isNotNull()})
 
 
+def _safely_named(members: DataFrame, strict: bool) -> DataFrame:
+    named = members.withColumn("name", normalized_path(F.coalesce("name", F.lit(""))))
+    return named.withColumn("name", safe_or_error(F.col("name"))) if strict else named.where(is_safe(F.col("name")))
+
+
+def copies(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """The members of read_archives without their content, but with what last_readable needs to read it: name, archive, size,
+    packed, crc, method, encrypted and offset. Dealt by name over as many tasks as their bytes need, a name's last copy first,
+    by archive and there by pos."""
+    own = folders.dealt(_safely_named(staged(directory(_paths(spark, path))), strict), F.col("size"))
+    return own.sortWithinPartitions("name", F.desc("archive"), F.desc("pos")).select("name", "archive", *Place._fields)
+
+
+def last_readable(rows: Iterator[tuple]) -> Iterator[tuple[str, bytes]]:
+    """Each name and its first copy that can be read, of rows of copies(); none is an error."""
+    for name, own in groupby(rows, key=itemgetter(0)):
+        for _, path, *at in own:
+            if pd.isna(at[-1]):  # of an archive that can't be opened
+                continue
+            system, file_path = place(path)
+            try:
+                with system.open_input_file(file_path) as file:
+                    content = _member(file, Place(*map(int, at)))
+            except (ValueError, OSError, zlib.error):
+                continue
+            yield name, content
+            break
+        else:
+            raise ValueError(f"no copy can be read: {name}")
+
+
 def inner_packages(members: DataFrame) -> DataFrame:
     """(archive, name): the first member of each archive, by name, that is a package itself."""
     return members.where(F.col("name").rlike(r"(?i)\.pak\z")).groupBy("archive").agg(F.min("name").alias("name"))
@@ -218,6 +273,7 @@ def write_archives(members: DataFrame, folder: str) -> DataFrame:
 
     sorted_ = packed(members).withColumn("archive", safe_or_error(F.col("archive"))).repartition("archive").sortWithinPartitions("archive", "name")
     try:
-        return staged(sorted_.mapInPandas(write, "path string, members long, bytes long"))
+        with small_batches(members.sparkSession):
+            return staged(sorted_.mapInPandas(write, "path string, members long, bytes long"))
     finally:
         sweep(folder, job)

@@ -102,9 +102,16 @@ class Growing:
 def sweep(folder: str, job: str) -> None:
     """Takes away what lost tasks of a job had begun."""
     system, root = place(folder)
-    for info in system.get_file_info(fs.FileSelector(root, allow_not_found=True, recursive=True)):
-        if info.path.endswith(job):
-            system.delete_file(info.path)
+
+    def begun(folder: str) -> Iterator[str]:
+        for name, is_folder, _ in standing(system, folder):
+            if is_folder:
+                yield from begun(f"{folder}/{name}")
+            elif name.endswith(job):
+                yield f"{folder}/{name}"
+
+    for path in list(begun(root)):
+        system.delete_file(path)
 
 
 def write_streams(pieces: DataFrame, order: list[str], folder: str, head: str = "", between: str = "", tail: str = "") -> DataFrame:

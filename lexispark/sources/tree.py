@@ -7,12 +7,12 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.files import file_kind, safe_or_error, target_path
-from ..operators.views import latest_readable
 from ..staging import staged
+from . import archive
 from .contentlist import written_lsx, written_xml
 from .streams import batched, place, small_batches, standing
 
@@ -70,10 +70,25 @@ def write_tree(files: DataFrame, folder: str) -> DataFrame:
     return _put(files.where("content IS NOT NULL").select("name", "content"), folder, lambda rows: rows)
 
 
+def _last_readable(rows: Iterator[tuple]) -> Iterator[tuple[str, bytes]]:
+    """The first row of each name, of rows (name, content, readable) sorted by name, the last that can be read first."""
+    last = None
+    for name, content, readable, *_ in rows:
+        if name != last:
+            if not readable:
+                raise ValueError(f"no copy can be read: {name}")
+            last = name
+            yield name, content
+
+
 def extract(members: DataFrame, folder: str) -> DataFrame:
-    """Members of archives written below folder: of copies of a name the last that can be read. Names without one are
-    an error once all copies of it failed."""
-    best = latest_readable(members).select("name", "pos")
-    found = best.join(members.where("readable").select("name", "pos", "content"), ["name", "pos"], "left")
-    lost = F.raise_error(F.concat(F.lit("no copy can be read: "), "name")).cast("binary")  # not in a filter, which an empty join would drop
-    return write_tree(found.select("name", F.when(F.col("pos").isNull(), lost).otherwise(F.col("content")).alias("content")), folder)
+    """Members of archives written below folder: of copies of a name the last that can be read, by pos and then archive.
+    Names without one are an error once all copies of it failed. Members are read once, dealt by name and sorted."""
+    order = [c for c in ("readable", "pos", "archive") if c in members.columns]
+    return _put(members.select("name", "content", *order).repartition("name").sortWithinPartitions("name", *map(F.desc, order)), folder, _last_readable)
+
+
+def extract_archives(spark: SparkSession, path: str, folder: str, strict: bool = False) -> DataFrame:
+    """extract() of the zip archives at path, where the last copy is that of the last archive. A member is read by the task
+    that writes it, so no content goes through an exchange, and copies before the last that can be read are not read."""
+    return _put(archive.copies(spark, path, strict), folder, archive.last_readable)

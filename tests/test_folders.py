@@ -1,10 +1,13 @@
 """Folders listed and read by tasks, and file trees written whole."""
 
+import zipfile
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lexispark import queries
-from lexispark.sources import contentlist, tree
+from lexispark.sources import archive, contentlist, tree
 
 
 def test_every_file_is_read(spark, tmp_path):
@@ -57,3 +60,67 @@ def test_extracted_files_of_odd_documents(spark, tmp_path, texts):
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     found = queries.extracted_files(spark, str(tmp_path)).select("name", "kind", "size", "digest").collect()
     assert sorted(map(tuple, found)) == sorted(duck.sql(queries.ORACLE_SQL["extracted_files"]).select("name", "kind", "size", "digest").fetchall())
+
+
+def test_members_are_read_once_and_not_joined(spark, tmp_path, monkeypatch):
+    """Contents go from the archives to the files by one exchange: none is broadcast or goes through the driver."""
+    for i in range(3):
+        with zipfile.ZipFile(tmp_path / f"{i}.zip", "w") as z:
+            for name in ("a.txt", f"d/{i}.txt"):
+                z.writestr(name, f"{name} of {i}")
+    plans, stage = [], tree.staged
+    monkeypatch.setattr(tree, "staged", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stage(df))
+    members = archive.read_archives(spark, str(tmp_path)).withColumn("pos", F.lit(0))
+    written = tree.extract(members, str(tmp_path / "out"))
+    assert "Join" not in plans[0] and plans[0].count("content binary") + plans[0].count("MapInPandas") == 2
+    assert sorted((r["name"], r["size"]) for r in written.collect()) == [("a.txt", 10), ("d/0.txt", 12), ("d/1.txt", 12), ("d/2.txt", 12)]
+    assert (tmp_path / "out/a.txt").read_text() == "a.txt of 2"  # the last archive's
+
+
+def test_the_last_readable_copy_is_extracted(spark, tmp_path):
+    rows = [("a", p, r, bytearray(b"%d" % p) if r else None) for p, r in ((0, True), (2, True), (10, False), (3, True), (11, None))] + [("b", 5, True, bytearray())]
+    members = spark.createDataFrame(rows, "name string, pos long, readable boolean, content binary")
+    tree.extract(members, str(tmp_path / "out"))
+    assert (tmp_path / "out/a").read_bytes() == b"3" and (tmp_path / "out/b").read_bytes() == b""
+
+
+def test_the_driver_lists_no_files(spark, tmp_path):
+    """What Spark scans are lists that tasks have made, of archives as of files."""
+    (tmp_path / "_SUCCESS").touch()
+    (tmp_path / "none.zip").touch()
+    with zipfile.ZipFile(tmp_path / "a b%20.zip", "w") as z:
+        z.writestr("x.txt", "x")
+    rows = archive.read_archives(spark, str(tmp_path))
+    assert sorted((r["archive"], r["name"], r["readable"]) for r in rows.collect()) == [(f"file:{tmp_path}/a b%20.zip", "x.txt", True), (f"file:{tmp_path}/none.zip", "", False)]
+    assert archive.read_archives(spark, f"file://{tmp_path}/").count() == 2
+    files = contentlist.read_files(spark, str(tmp_path))
+    assert all(f.endswith(".parquet") for df in (rows, files) for f in df.inputFiles()) and files.count() == 3
+
+
+def test_archives_are_extracted_without_an_exchange_of_contents(spark, tmp_path, monkeypatch):
+    """Of copies the last archive's last that can be read; contents are in no plan."""
+    for i in range(3):
+        with zipfile.ZipFile(tmp_path / f"{i}.zip", "w") as z:
+            for name in ("a.txt", f"d\\{i}.txt", "e", "../out"):
+                z.writestr(name, f"{name} of {i}" if name != "e" else "")
+    raw = bytearray((tmp_path / "2.zip").read_bytes())
+    raw[raw.index(b"a.txt of 2")] ^= 255
+    (tmp_path / "2.zip").write_bytes(raw)
+    plans, stage = [], tree.staged
+    monkeypatch.setattr(tree, "staged", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stage(df))
+    written = tree.extract_archives(spark, str(tmp_path), str(tmp_path / "out"))
+    assert "content" not in plans[0] and "Join" not in plans[0]
+    want = {"a.txt": "a.txt of 1", "d/0.txt": "d\\0.txt of 0", "d/1.txt": "d\\1.txt of 1", "d/2.txt": "d\\2.txt of 2", "e": ""}
+    assert {r["name"]: r["size"] for r in written.collect()} == {n: len(x) for n, x in want.items()}
+    assert {n: (tmp_path / "out" / n).read_text() for n in want} == want and len(list((tmp_path / "out").iterdir())) == 3
+    with pytest.raises(Exception, match="unsafe path"):
+        tree.extract_archives(spark, str(tmp_path), str(tmp_path / "out"), strict=True)
+    (tmp_path / "3.zip").write_bytes(b"no zip")
+    with pytest.raises(Exception, match="no copy can be read"):
+        tree.extract_archives(spark, str(tmp_path), str(tmp_path / "none"))
+
+
+def test_extracted_files_exchange_no_contents(spark, data, monkeypatch):
+    used, own = [], tree.extract_archives
+    monkeypatch.setattr(tree, "extract_archives", lambda *a: used.append(a) or own(*a))
+    assert queries.extracted_files(spark, data).count() == 200 and len(used) == 1
